@@ -51,3 +51,40 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``v_cand``: files offered for download (the remaining third)."""
     return (media(spark, sf_dir).where(F.pmod(F.col("doc_id"), F.lit(3)) == 0)
             .select(F.col("doc_id").alias("cand_id"), *INDEX_KEYS))
+
+
+# Fixed values of the binding: server file names are 13-digit millisecond stamps.
+NAME_4CH_BASE = 1500000000000
+
+
+def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the site's server name and an (ASCII) original file name.
+
+    The original name takes one of four shapes by ``doc_id % 4`` so that every
+    artist-name pattern has names to match.
+    """
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", "text")
+    did, n = F.col("doc_id").cast("string"), F.col("n_chars").cast("string")
+    shape = F.pmod(F.col("doc_id"), F.lit(4))
+    orig = (F.when(shape == 0, F.concat_ws("_", n, "source", "lang"))
+            .when(shape == 1, F.concat_ws("-", "lang", n, "source"))
+            .when(shape == 2, F.concat(F.lit("by_"), F.col("source"), F.lit("_"), F.col("lang")))
+            .otherwise(F.concat(did, F.lit("."), F.col("lang"), F.lit("_"), F.col("source"))))
+    return d.select("doc_id", "lang", "source", "n_chars", "text",
+                    (F.col("doc_id") + NAME_4CH_BASE).cast("string").alias("name_4ch"),
+                    orig.alias("orig_name"))
+
+
+def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``v_urls``: one URL per page, by ``page_id % 5``: thread page, file URL on the main
+    host, scheme-less file URL on the second host, a board with a digit, the raw URL."""
+    p = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    pid = F.col("page_id").cast("string")
+    name = (F.col("page_id") + NAME_4CH_BASE).cast("string")
+    k = F.pmod(F.col("page_id"), F.lit(5))
+    u = (F.when(k == 0, F.concat(F.lit("https://boards.4chan.org/gif/thread/"), pid))
+         .when(k == 1, F.concat(F.lit("https://i.4cdn.org/wsg/"), name, F.lit(".webm")))
+         .when(k == 2, F.concat(F.lit("//is2.4chan.org/gif/"), name, F.lit(".jpg")))
+         .when(k == 3, F.concat(F.lit("https://boards.4channel.org/3/thread/"), pid))
+         .otherwise(F.col("url")))
+    return p.select("page_id", u.alias("url"))

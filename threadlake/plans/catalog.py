@@ -1,6 +1,6 @@
 """Registered queries: one callable ``(spark, sf_dir) -> DataFrame`` per operator.
 
-Keys follow the operator inventory; ``plans/oracle.py`` holds the matching SQL.
+Keys follow the operator inventory; the ``sql_*`` modules hold the matching SQL.
 """
 
 from __future__ import annotations
@@ -8,10 +8,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from threadlake.operators import index as ix
-from threadlake.plans import bindings as b
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -23,43 +19,6 @@ def register(name: str):
     return deco
 
 
-# ---------------------------------------------------------------- index
-def _index(spark, sf):
-    return ix.build_index(b.index_media(spark, sf))
-
-
-@register("file_index")
-def q_file_index(spark, sf):
-    return _index(spark, sf)
-
-
-@register("duplicate_lookup")
-def q_duplicate_lookup(spark, sf):
-    return ix.lookup_duplicates(b.candidates(spark, sf), _index(spark, sf)).select(
-        "cand_id", "ext", "size_mb", "md5_b64", "n_copies", "first_path", "is_new")
-
-
-@register("novel_files")
-def q_novel_files(spark, sf):
-    return ix.novel(b.candidates(spark, sf), _index(spark, sf)).select(
-        "cand_id", "ext", "size_mb", "md5_b64", "is_new")
-
-
-@register("duplicate_groups")
-def q_duplicate_groups(spark, sf):
-    return ix.duplicate_groups(_index(spark, sf))
-
-
-@register("bucket_stats")
-def q_bucket_stats(spark, sf):
-    return ix.bucket_stats(_index(spark, sf))
-
-
-@register("index_dirs")
-def q_index_dirs(spark, sf):
-    return ix.index_directories(_index(spark, sf))
-
-
-@register("complete_dirs")
-def q_complete_dirs(spark, sf):
-    return ix.complete_dirs(ix.index_directories(_index(spark, sf)), "src1")
+def load_all() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from threadlake.plans import q_index, q_scalars  # noqa: F401
+    return QUERIES

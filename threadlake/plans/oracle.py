@@ -24,10 +24,6 @@ VIEWS: dict[str, str] = {}
 ORACLE: dict[str, str] = {}
 
 
-def view(name: str, sql: str) -> None:
-    VIEWS[name] = sql
-
-
 def query(name: str, sql: str, *views: str) -> None:
     """Register ``sql`` with the views it needs (dependencies first)."""
     needed: list[str] = []
@@ -46,60 +42,15 @@ def query(name: str, sql: str, *views: str) -> None:
     ORACLE[name] = sql
 
 
-DEPS: dict[str, tuple[str, ...]] = {
-    "v_index": ("v_media",),
-    "v_cand": ("v_media",),
-}
-
-view("v_media", f"""
-SELECT doc_id, ext, size_bytes, md5_hex,
-       source || '/' || CAST(doc_id AS VARCHAR) || '.' || ext AS path,
-       to_base64(unhex(md5_hex)) AS md5_b64,
-       {size_bucket('size_bytes')} AS size_mb
-FROM (SELECT doc_id, source, md5(text) AS md5_hex,
-             CAST(64 * strlen(text) AS BIGINT) AS size_bytes,
-             ['webm','gif','jpg','png','pdf'][instr('0123456789abcdef', substr(md5(text), 1, 1)) % 5 + 1] AS ext
-      FROM documents) m""")
-view("v_index", "SELECT * FROM v_media WHERE doc_id % 3 <> 0")
-view("v_cand", "SELECT doc_id AS cand_id, ext, size_mb, md5_b64 FROM v_media WHERE doc_id % 3 = 0")
-
-# ---------------------------------------------------------------- index
-query("file_index", """
-SELECT ext, size_mb, md5_b64, path FROM v_index
-WHERE ext IN ('webm','gif','jpg','png')""", "v_index")
-
-query("duplicate_lookup", """
-SELECT c.cand_id, c.ext, c.size_mb, c.md5_b64,
-       CAST(COALESCE(s.n_copies, 0) AS BIGINT) AS n_copies, s.first_path,
-       COALESCE(s.n_copies, 0) = 0 AS is_new
-FROM v_cand c LEFT JOIN (
-  SELECT ext, size_mb, md5_b64, COUNT(*) AS n_copies, MIN(path) AS first_path
-  FROM v_index WHERE ext IN ('webm','gif','jpg','png') GROUP BY 1, 2, 3) s
-ON c.ext = s.ext AND c.size_mb = s.size_mb AND c.md5_b64 = s.md5_b64""", "v_index", "v_cand")
-
-query("novel_files", """
-SELECT c.cand_id, c.ext, c.size_mb, c.md5_b64,
-       NOT EXISTS (SELECT 1 FROM v_index i WHERE i.ext IN ('webm','gif','jpg','png')
-                   AND i.ext = c.ext AND i.size_mb = c.size_mb AND i.md5_b64 = c.md5_b64) AS is_new
-FROM v_cand c""", "v_index", "v_cand")
-
-query("duplicate_groups", """
-SELECT ext, size_mb, md5_b64, COUNT(*) AS n_paths, MIN(path) AS first_path, MAX(path) AS last_path
-FROM v_index WHERE ext IN ('webm','gif','jpg','png')
-GROUP BY 1, 2, 3 HAVING COUNT(*) > 1""", "v_index")
-
-query("bucket_stats", """
-SELECT ext, CAST(SUM(n_files) AS BIGINT) AS n_files, COUNT(*) AS n_buckets,
-       COUNT(*) FILTER (WHERE n_files > 1) AS n_shared_buckets
-FROM (SELECT ext, size_mb, COUNT(*) AS n_files FROM v_index
-      WHERE ext IN ('webm','gif','jpg','png') GROUP BY 1, 2) b
-GROUP BY ROLLUP (ext)""", "v_index")
-
-query("index_dirs", """
-SELECT DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir
-FROM v_index WHERE ext IN ('webm','gif','jpg','png')""", "v_index")
-
-query("complete_dirs", """
-SELECT DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir
-FROM v_index WHERE ext IN ('webm','gif','jpg','png')
-  AND starts_with(regexp_extract(path, '^(.*)/[^/]*$', 1), 'src1')""", "v_index")
+DEPS: dict[str, tuple[str, ...]] = {}
+
+
+def view(name: str, sql: str, *deps: str) -> None:
+    VIEWS[name] = sql
+    DEPS[name] = deps
+
+
+def load_all() -> dict[str, str]:
+    from threadlake.plans import sql_index, sql_scalars  # noqa: F401
+    return ORACLE
+
