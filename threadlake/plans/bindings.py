@@ -88,3 +88,152 @@ def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
          .when(k == 3, F.concat(F.lit("https://boards.4channel.org/3/thread/"), pid))
          .otherwise(F.col("url")))
     return p.select("page_id", u.alias("url"))
+
+
+# ---------------------------------------------------------------- threads (from conversations)
+# Fixed values of the binding: boards by conv_id % 4, post numbers 10000000 + conv*100 + turn.
+BOARDS = ("gif", "wsg", "v", "a")
+POST_BASE = 10000000
+UTC_BASE = 1500000000
+MISSING_TURN = 99
+
+
+def _nr(conv, turn):
+    return (F.lit(POST_BASE) + conv * 100 + turn).cast("string")
+
+
+def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``v_posts``: one post per conversation turn; turn 0 is the opening post.
+
+    Quotes: turn t >= 1 quotes turn (t-1) div 2; turns 3 and 6 also quote the opening
+    post; turn 7 also quotes a post that does not exist. In threads with conv_id % 5 = 0,
+    turns 2 and 3 are blank (no text, no quotes).
+    """
+    c = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    conv, turn = F.col("conv_id"), F.col("turn")
+    blank = (F.pmod(conv, F.lit(5)) == 0) & turn.isin(2, 3)
+    q = F.array_compact(F.array(
+        F.when(turn >= 1, _nr(conv, F.floor((turn - 1) / 2))),
+        F.when((turn > 0) & (F.pmod(turn, F.lit(3)) == 0), _nr(conv, F.lit(0))),
+        F.when(turn == 7, _nr(conv, F.lit(MISSING_TURN)))))
+    quotes = F.when(blank, F.array().cast("array<string>")).otherwise(q)
+    body = F.regexp_replace(F.regexp_replace(F.col("text"), r"\n+", "\n"), r"^\n|\n$", "")
+    body = F.when(blank, F.lit("")).otherwise(body)
+    return c.select(
+        _nr(conv, F.lit(0)).alias("thread_nr"),
+        _nr(conv, turn).alias("post_nr"),
+        turn.cast("int").alias("pos"),
+        (F.lit(UTC_BASE) + conv * 1000 + turn * 7).cast("string").alias("utc"),
+        quotes.alias("quotes"),
+        body.alias("body"),
+        conv.alias("conv_id"),
+        F.element_at(F.array(*[F.lit(x) for x in BOARDS]), (F.pmod(conv, F.lit(4)) + 1).cast("int")).alias("board"),
+        F.when(F.pmod(conv, F.lit(4)) == 0, F.lit("")).otherwise(F.concat(F.lit("Thread about "), F.col("role"))).alias("subject"),
+    ).withColumn(
+        "post_msg",
+        F.array_join(F.concat(F.transform("quotes", lambda x: F.concat(F.lit(">>"), x)),
+                              F.when(F.col("body") != "", F.array("body")).otherwise(F.array().cast("array<string>"))),
+                     "\n"))
+
+
+def post_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``v_post_files``: even turns carry document ``conv_id*8 + turn`` as their file.
+
+    ``doc_id % 13 = 0``: the file was deleted (no file line); ``% 11 = 0``: spoilered;
+    ``% 3 = 0``: the original name sits in the link title. PDFs have no ``WxH``.
+    """
+    p = posts(spark, sf_dir).where(F.pmod(F.col("pos"), F.lit(2)) == 0) \
+        .select("thread_nr", "post_nr", "pos", "board", (F.col("conv_id") * 8 + F.col("pos")).alias("doc_id"))
+    m = media(spark, sf_dir).select("doc_id", "ext", "size_bytes", "md5_b64")
+    n = file_names(spark, sf_dir).select("doc_id", "name_4ch", "orig_name")
+    from threadlake.functions import format_size_text
+
+    j = p.join(m, "doc_id").join(n, "doc_id")
+    res = F.when(F.col("ext") == "pdf", F.lit("PDF")).otherwise(
+        F.concat((F.pmod(F.col("doc_id"), F.lit(900)) + 100).cast("string"), F.lit("x"),
+                 (F.pmod(F.col("size_bytes"), F.lit(700)) + 100).cast("string")))
+    key = F.concat(F.col("board"), F.lit("/"), F.col("name_4ch"), F.lit("."), F.col("ext"))
+    return j.select(
+        "thread_nr", "post_nr", "pos", "doc_id", "board", "ext", "size_bytes", "md5_b64", "name_4ch", "orig_name",
+        (F.pmod(F.col("doc_id"), F.lit(13)) == 0).alias("deleted"),
+        (F.pmod(F.col("doc_id"), F.lit(11)) == 0).alias("spoiler"),
+        (F.pmod(F.col("doc_id"), F.lit(3)) == 0).alias("titled"),
+        key.alias("file_key"),
+        format_size_text(F.col("size_bytes")).alias("file_size"),
+        res.alias("file_res"),
+    )
+
+
+def _esc(col):
+    for a, b_ in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#039;")):
+        col = F.replace(col, F.lit(a), F.lit(b_))
+    return col
+
+
+def thread_pages(spark: SparkSession, sf_dir: str, variant: str = "plain") -> DataFrame:
+    """``v_thread_html``: render each thread as one page ``(page_id, url, html)``.
+
+    ``variant="plain"`` is the site's own markup; ``"decorated"`` is the markup a
+    browser add-on sees (a ``file-info`` span around the file line).
+    """
+    p = posts(spark, sf_dir)
+    f = post_files(spark, sf_dir).select("post_nr", "deleted", "spoiler", "titled", "ext", "name_4ch",
+                                         "orig_name", "file_size", "file_res", "md5_b64", "board")
+    x = p.join(f.drop("board"), "post_nr", "left")
+    nr = F.col("post_nr")
+    href = F.concat(F.lit("//i.4cdn.org/"), F.col("board"), F.lit("/"), F.col("name_4ch"), F.lit("."), F.col("ext"))
+    thumb = F.concat(F.lit("//i.4cdn.org/"), F.col("board"), F.lit("/"), F.col("name_4ch"), F.lit("s.jpg"))
+    shown = F.concat(F.col("orig_name"), F.lit("."), F.col("ext"))
+    link_text = (F.when(F.col("spoiler"), F.lit("Spoiler Image"))
+                 .when(F.col("titled"), F.concat(F.substring(F.col("orig_name"), 1, 4), F.lit("(...)."), F.col("ext")))
+                 .otherwise(shown))
+    a_title = F.when(~F.col("spoiler") & F.col("titled"), F.concat(F.lit(' title="'), _esc(shown), F.lit('"'))).otherwise(F.lit(""))
+    div_title = F.when(F.col("spoiler"), F.concat(F.lit(' title="'), _esc(shown), F.lit('"'))).otherwise(F.lit(""))
+    link = F.concat(F.lit('<a href="'), href, F.lit('" target="_blank"'), a_title, F.lit(">"), _esc(link_text), F.lit("</a>"))
+    dims = F.concat(F.lit(" ("), F.col("file_size"), F.lit(", "), F.col("file_res"), F.lit(")"))
+    if variant == "plain":
+        ftext = F.concat(F.lit('<div class="fileText" id="fT'), nr, F.lit('"'), div_title, F.lit(">File: "), link, dims, F.lit("</div>"))
+    else:
+        spo = F.when(F.col("spoiler"), F.lit("Spoiler, ")).otherwise(F.lit(""))
+        ftext = F.concat(F.lit('<div class="fileText" id="fT'), nr, F.lit('"><span class="file-info">'),
+                         F.concat(F.lit('<a href="'), href, F.lit('" target="_blank">'), _esc(shown), F.lit("</a>")),
+                         F.lit(" ("), spo, F.col("file_size"), F.lit(", "), F.col("file_res"), F.lit(")</span></div>"))
+    thumb_a = F.concat(F.lit('<a class="fileThumb" href="'), href, F.lit('" target="_blank"><img src="'), thumb,
+                       F.lit('" alt="'), F.col("file_size"), F.lit('" data-md5="'), F.col("md5_b64"),
+                       F.lit('" style="height: 125px; width: 125px;"></a>'))
+    file_div = (F.when(F.col("deleted").isNull(), F.lit(""))
+                .when(F.col("deleted"), F.concat(F.lit('<div class="file" id="f'), nr,
+                                                 F.lit('"><span class="fileThumb"><img src="//s.4cdn.org/image/filedeleted-res.gif" alt="File deleted."></span></div>')))
+                .otherwise(F.concat(F.lit('<div class="file" id="f'), nr, F.lit('">'), ftext, thumb_a, F.lit("</div>"))))
+    quote_links = F.transform("quotes", lambda q: F.concat(F.lit('<a href="#p'), q, F.lit('" class="quotelink">&gt;&gt;'), q, F.lit("</a>")))
+    body_html = F.when(F.col("body") != "", F.array(F.replace(_esc(F.col("body")), F.lit("\n"), F.lit("<br>")))).otherwise(F.array().cast("array<string>"))
+    msg_html = F.array_join(F.concat(quote_links, body_html), "<br>")
+    is_op = F.col("pos") == 0
+    info = F.concat(
+        F.lit('<div class="postInfo desktop" id="pi'), nr, F.lit('"><input type="checkbox" name="'), nr, F.lit('" value="delete"> '),
+        F.when(is_op, F.concat(F.lit('<span class="subject">'), _esc(F.col("subject")), F.lit("</span> "))).otherwise(F.lit("")),
+        F.lit('<span class="nameBlock"><span class="name">Anonymous</span></span> <span class="dateTime" data-utc="'),
+        F.col("utc"), F.lit('">07/01/17(Sat)12:00:00</span> <span class="postNum desktop"><a href="#p'), nr,
+        F.lit('" title="Link to this post">No.</a><a href="javascript:quote(\'' ), nr, F.lit('\');" title="Reply to this post">'),
+        nr, F.lit("</a></span></div>"))
+    container = F.concat(
+        F.lit('<div class="postContainer '), F.when(is_op, F.lit("opContainer")).otherwise(F.lit("replyContainer")),
+        F.lit('" id="pc'), nr, F.lit('"><div class="post '), F.when(is_op, F.lit("op")).otherwise(F.lit("reply")),
+        F.lit('" id="p'), nr, F.lit('">'), info, file_div,
+        F.lit('<blockquote class="postMessage" id="m'), nr, F.lit('">'), msg_html, F.lit("</blockquote></div></div>"))
+    per_thread = (x.select("conv_id", "thread_nr", "board", "pos", container.alias("c"))
+                  .groupBy("conv_id", "thread_nr", "board")
+                  .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "c"))), lambda s: s["c"]), "")
+                       .alias("body")))
+    html = F.concat(F.lit('<!DOCTYPE html><html><head><title>/'), F.col("board"), F.lit("/ - thread</title></head><body>"),
+                    F.lit('<div class="board"><div class="thread" id="t'), F.col("thread_nr"), F.lit('">'), F.col("body"),
+                    F.lit("</div></div></body></html>"))
+    url = F.concat(F.lit("https://boards.4chan.org/"), F.col("board"), F.lit("/thread/"), F.col("thread_nr"))
+    return per_thread.select(F.col("conv_id").cast("bigint").alias("page_id"), url.alias("url"), html.alias("html"))
+
+
+def threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``v_threads``: opening posts with a folder name ``<board>_<conv_id>``."""
+    p = posts(spark, sf_dir).where(F.col("pos") == 0)
+    return p.select("thread_nr", "subject", "utc", F.col("post_msg").alias("op_post_msg"), "conv_id", "board",
+                    F.concat(F.col("board"), F.lit("_"), F.col("conv_id").cast("string")).alias("folder_name"))

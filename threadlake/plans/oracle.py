@@ -38,7 +38,11 @@ def query(name: str, sql: str, *views: str) -> None:
         add(v)
     if needed:
         ctes = ",\n".join(f"{v} AS (\n{VIEWS[v]}\n)" for v in needed)
-        sql = f"WITH {ctes}\n{sql}"
+        body = sql.lstrip()
+        if body[:5].upper() == "WITH ":
+            sql = f"WITH {ctes},\n{body[5:]}"
+        else:
+            sql = f"WITH {ctes}\n{sql}"
     ORACLE[name] = sql
 
 
@@ -51,6 +55,6 @@ def view(name: str, sql: str, *deps: str) -> None:
 
 
 def load_all() -> dict[str, str]:
-    from threadlake.plans import sql_index, sql_scalars  # noqa: F401
+    from threadlake.plans import sql_index, sql_scalars, sql_threads  # noqa: F401
     return ORACLE
 
