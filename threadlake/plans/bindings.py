@@ -237,3 +237,56 @@ def threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = posts(spark, sf_dir).where(F.col("pos") == 0)
     return p.select("thread_nr", "subject", "utc", F.col("post_msg").alias("op_post_msg"), "conv_id", "board",
                     F.concat(F.col("board"), F.lit("_"), F.col("conv_id").cast("string")).alias("folder_name"))
+
+
+def thread_pages_table(spark: SparkSession, sf_dir: str, variant: str = "plain") -> DataFrame:
+    """``thread_pages`` written once per input folder and read back as a crawl table."""
+    from threadlake.sources.materialize import materialize
+
+    return materialize(spark, lambda: thread_pages(spark, sf_dir, variant), f"thread-pages-{variant}", sf_dir)
+
+
+# ---------------------------------------------------------------- fetch log and manifests
+# Fixed values of the binding: 97 threads for the fetch log, a repeated line every tenth
+# document, a failed digest every seventh.
+ATTEMPT_THREADS = 97
+
+
+def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``v_attempts``: lineitem rows are fetch attempts of file ``l_orderkey``; attempt
+    number = row_number over all columns; success = returnflag <> 'R'; digest verdict =
+    linestatus 'F' (only for successful fetches)."""
+    from pyspark.sql import Window
+
+    li = read_table(spark, sf_dir, "lineitem")
+    cols = ["l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+            "l_returnflag", "l_linestatus", "l_shipdate"]
+    w = Window.partitionBy("l_orderkey").orderBy(*cols)
+    ok = F.col("l_returnflag") != "R"
+    return li.select(
+        F.col("l_orderkey").alias("file_id"),
+        F.col("l_orderkey").cast("string").alias("file_key"),
+        F.pmod(F.col("l_orderkey"), F.lit(ATTEMPT_THREADS)).cast("string").alias("thread_nr"),
+        F.row_number().over(w).cast("bigint").alias("n"),
+        ok.alias("dl_success"),
+        F.when(ok, F.col("l_linestatus") == "F").alias("md5_match"),
+        (F.col("l_quantity").cast("bigint") * 1024).alias("size_bytes"),
+        F.floor(F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("bigint").alias("bytes_received"),
+        F.floor(F.col("l_extendedprice")).cast("bigint").alias("content_length"),
+    )
+
+
+def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``v_manifest``: one line per stored file (seq = doc_id), every tenth line twice."""
+    m = media(spark, sf_dir).select("doc_id", "md5_hex", "path")
+    dup = m.where(F.pmod(F.col("doc_id"), F.lit(10)) == 0).withColumn("doc_id", F.col("doc_id") + 1000000000)
+    return m.unionByName(dup).select(F.col("doc_id").alias("seq"), "md5_hex", "path")
+
+
+def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``v_decisions``: files with a failed digest (doc_id % 7 = 0); keep the even ones."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    m = media(spark, sf_dir).select("doc_id", "md5_hex", "path")
+    return (m.where(F.pmod(F.col("doc_id"), F.lit(7)) == 0).join(d, "doc_id")
+            .select("doc_id", "md5_hex", "path", (F.pmod(F.col("doc_id"), F.lit(2)) == 0).alias("keep"),
+                    F.md5(F.concat(F.col("text"), F.lit("#"))).alias("actual_md5_hex")))

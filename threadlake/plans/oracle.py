@@ -55,6 +55,6 @@ def view(name: str, sql: str, *deps: str) -> None:
 
 
 def load_all() -> dict[str, str]:
-    from threadlake.plans import sql_index, sql_scalars, sql_threads  # noqa: F401
+    from threadlake.plans import sql_index, sql_integrity, sql_scalars, sql_threads  # noqa: F401
     return ORACLE
 

@@ -14,7 +14,7 @@ from threadlake.sources.tables import read_table
 
 
 def _pages(spark, sf):
-    return b.thread_pages(spark, sf, "plain")
+    return b.thread_pages_table(spark, sf, "plain")
 
 
 def _posts(spark, sf):
@@ -65,7 +65,7 @@ def q_posts_with_files(spark, sf):
 
 @register("extract_requests")
 def q_extract_requests(spark, sf):
-    return ex.extract_requests(b.thread_pages(spark, sf, "decorated")).drop("page_id")
+    return ex.extract_requests(b.thread_pages_table(spark, sf, "decorated")).drop("page_id")
 
 
 @register("backlinks")
