@@ -44,6 +44,11 @@ def html_text(html: Column) -> Column:
     return t
 
 
+def py_strip(text: Column) -> Column:
+    """``str.strip()``: remove leading/trailing Unicode whitespace (incl. \\x1c-\\x1f)."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f\x85]+|[\s\x1c-\x1f\x85]+$", "")
+
+
 def sanitize_name(name: Column) -> Column:
     """Keep letters, digits, space, ``_ - ( )``; replace anything else by ``_``; trim."""
     return F.trim(F.regexp_replace(name, r"[^\p{L}\p{N} _()\-]", "_"))

@@ -290,3 +290,42 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (m.where(F.pmod(F.col("doc_id"), F.lit(7)) == 0).join(d, "doc_id")
             .select("doc_id", "md5_hex", "path", (F.pmod(F.col("doc_id"), F.lit(2)) == 0).alias("keep"),
                     F.md5(F.concat(F.col("text"), F.lit("#"))).alias("actual_md5_hex")))
+
+
+# ---------------------------------------------------------------- curation log (from events)
+# Fixed values of the binding: hosts by event_id % 3, commands of 'purchase' events by
+# event_id % 4; every tenth signup renames the thread.
+HOSTS = ("https://i.4cdn.org/", "https://is2.4chan.org/", "//i.4cdn.org/")
+PURCHASE_COMMANDS = ("add_anyway", "toggle_use_orig_fn", "reset_filename", "reset_to_4ch_fn")
+
+
+def curation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``v_events``: session = user_id, seq = event_id; view/click copy the URL of file
+    slot ``k % 7`` of the session's thread; signup -> free text (or a rename); error ->
+    ``remove_file``; purchase -> one of four commands."""
+    e = read_table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props")
+    k = F.get_json_object(F.col("props"), "$.k").cast("bigint")
+    e = e.withColumn("k", k).withColumn("doc_id", F.col("user_id") * 8 + F.pmod(F.col("k"), F.lit(7)))
+    m = media(spark, sf_dir).select("doc_id", "ext")
+    x = e.join(m, "doc_id", "left")
+    board = F.element_at(F.array(*[F.lit(v) for v in BOARDS]), (F.pmod(F.col("user_id"), F.lit(4)) + 1).cast("int"))
+    host = F.element_at(F.array(*[F.lit(v) for v in HOSTS]), (F.pmod(F.col("event_id"), F.lit(3)) + 1).cast("int"))
+    url = F.concat(host, board, F.lit("/"), (F.col("doc_id") + NAME_4CH_BASE).cast("string"), F.lit("."),
+                   F.coalesce(F.col("ext"), F.lit("jpg")))
+    rename = (F.col("event_type") == "signup") & (F.pmod(F.col("k"), F.lit(10)) == 0)
+    cmd = F.element_at(F.array(*[F.lit(v) for v in PURCHASE_COMMANDS]), (F.pmod(F.col("event_id"), F.lit(4)) + 1).cast("int"))
+    value = (F.when(F.col("event_type").isin("view", "click"), url)
+             .when(rename, F.lit("rename_thread"))
+             .when(F.col("event_type") == "signup", F.concat(F.lit(" tag:"), F.col("k").cast("string"), F.lit("? ")))
+             .when(F.col("event_type") == "error", F.lit("remove_file"))
+             .otherwise(cmd))
+    return x.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), value.alias("value"),
+                    F.when(rename, F.concat(F.lit("folder_"), F.col("k").cast("string"))).alias("payload"))
+
+
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``v_sessions``: session -> thread (conv_id = user_id), unique_only on even users."""
+    e = read_table(spark, sf_dir, "events").select("user_id").distinct()
+    return e.select(F.col("user_id").alias("session_id"),
+                    (F.lit(POST_BASE) + F.col("user_id") * 100).cast("string").alias("thread_nr"),
+                    (F.pmod(F.col("user_id"), F.lit(2)) == 0).alias("unique_only"))

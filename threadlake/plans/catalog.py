@@ -20,5 +20,5 @@ def register(name: str):
 
 
 def load_all() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from threadlake.plans import q_index, q_integrity, q_scalars, q_threads  # noqa: F401
+    from threadlake.plans import q_curation, q_index, q_integrity, q_scalars, q_threads  # noqa: F401
     return QUERIES

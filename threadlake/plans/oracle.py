@@ -55,6 +55,7 @@ def view(name: str, sql: str, *deps: str) -> None:
 
 
 def load_all() -> dict[str, str]:
-    from threadlake.plans import sql_index, sql_integrity, sql_scalars, sql_threads  # noqa: F401
+    # Dependency order: later modules use views of earlier ones.
+    from threadlake.plans import sql_index, sql_scalars, sql_threads, sql_integrity, sql_curation  # noqa: F401, I001
     return ORACLE
 
