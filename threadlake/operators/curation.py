@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from threadlake.functions import file_key, is_file_url, py_strip, sanitize_name
 from threadlake.operators.sequence import prefix_sums, previous_value
+from threadlake.session import cut_lineage
 
 # The commands recognised in the log (compared after trimming).
 RENAME = "rename_thread"
@@ -58,7 +59,7 @@ def classify(events: DataFrame) -> DataFrame:
 
 
 def fold_curation(events: DataFrame, sessions: DataFrame, files: DataFrame,
-                  block_span: int | None = None) -> DataFrame:
+                  block_span: int | None = None, cut: bool = True) -> DataFrame:
     """Final per-file state of each session.
 
     ``events(session_id, seq, value)`` (after ``drop_repeats``);
@@ -66,6 +67,10 @@ def fold_curation(events: DataFrame, sessions: DataFrame, files: DataFrame,
     ``files(thread_nr, file_key, file_name_4ch, file_name_orig, is_new)`` where ``is_new``
     is the novelty verdict (NULL = unknown, treated as new, as a failed lookup is).
 
+    ``cut``: the classified, numbered log feeds five branches; it is written once to the
+    shared checkpoint folder so that the branches read it instead of recomputing three
+    shuffles each (and an executor loss does not replay them).
+
     Returns one row per (session, file) whose URL was copied and found in the thread:
     session_id, thread_nr, file_key, dl_filename (NULL unless selected), is_unique,
     to_download, removed.
@@ -78,6 +83,8 @@ def fold_curation(events: DataFrame, sessions: DataFrame, files: DataFrame,
         "tog": (F.col("kind") == "toggle").cast("int"),
         "sub": F.col("kind").isin("url", "reset", "reset4ch").cast("int"),
     }, **kw).where(F.col("epoch") > 0)
+    if cut:
+        c = cut_lineage(c)
 
     # One row per epoch: the URL row, resolved against the thread's files.
     s = sessions.select("session_id", "thread_nr", "unique_only")

@@ -27,17 +27,15 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], seq: str, values: dict[str,
     """
     keys = list(keys)
     blk = "_blk"
-    base = df.withColumn(blk, F.floor(F.col(seq) / block_span).cast("bigint"))
-    for name, expr in values.items():
-        base = base.withColumn(f"_v_{name}", expr.cast("bigint"))
+    base = df.select("*", F.floor(F.col(seq) / block_span).cast("bigint").alias(blk),
+                     *[expr.cast("bigint").alias(f"_v_{name}") for name, expr in values.items()])
     tot = base.groupBy(*keys, blk).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
     wb = Window.partitionBy(*keys).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(*keys, blk, *[F.coalesce(F.sum(f"_t_{n}").over(wb), F.lit(0)).alias(f"_o_{n}") for n in values])
     wi = Window.partitionBy(*keys, blk).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
     out = base.join(off, [*keys, blk])
-    for n in values:
-        out = out.withColumn(n, (F.sum(f"_v_{n}").over(wi) + F.col(f"_o_{n}")).cast("bigint"))
-    return out.drop(blk, *[f"_v_{n}" for n in values], *[f"_o_{n}" for n in values])
+    keep = [c for c in df.columns]
+    return out.select(*keep, *[(F.sum(f"_v_{n}").over(wi) + F.col(f"_o_{n}")).cast("bigint").alias(n) for n in values])
 
 
 def previous_value(df: DataFrame, keys: Sequence[str], seq: str, col: str, out: str,

@@ -8,6 +8,8 @@ input tables, so its work grows with them.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,20 @@ from threadlake.functions import hex_to_b64, size_bucket
 from threadlake.operators.index import INDEX_KEYS
 from threadlake.sources.tables import read_table
 
+def memo(fn):
+    """Build each view once per (session, input folder, args); DataFrames are immutable
+    plans, so sharing them only saves re-analysis on the driver."""
+    cache: dict = {}
+
+    @functools.wraps(fn)
+    def wrapper(spark, sf_dir, *args):
+        key = (id(spark), sf_dir, args)
+        if key not in cache:
+            cache[key] = fn(spark, sf_dir, *args)
+        return cache[key]
+    return wrapper
+
+
 # Fixed values of the binding: extension chosen from the first hex digit of the digest
 # (so exact copies share it), and the byte-size factor applied to the text length.
 MEDIA_EXTS = ("webm", "gif", "jpg", "png", "pdf")
@@ -22,6 +38,7 @@ HEX_DIGITS = "0123456789abcdef"
 BYTES_PER_CHAR = 64
 
 
+@memo
 def media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``v_media``: one stored file per document."""
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -42,11 +59,13 @@ def media(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
 
 
+@memo
 def index_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``v_index``: the already-stored part of the archive (two thirds of the documents)."""
     return media(spark, sf_dir).where(F.pmod(F.col("doc_id"), F.lit(3)) != 0)
 
 
+@memo
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``v_cand``: files offered for download (the remaining third)."""
     return (media(spark, sf_dir).where(F.pmod(F.col("doc_id"), F.lit(3)) == 0)
@@ -57,6 +76,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 NAME_4CH_BASE = 1500000000000
 
 
+@memo
 def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: the site's server name and an (ASCII) original file name.
 
@@ -75,6 +95,7 @@ def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
                     orig.alias("orig_name"))
 
 
+@memo
 def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``v_urls``: one URL per page, by ``page_id % 5``: thread page, file URL on the main
     host, scheme-less file URL on the second host, a board with a digit, the raw URL."""
@@ -102,6 +123,7 @@ def _nr(conv, turn):
     return (F.lit(POST_BASE) + conv * 100 + turn).cast("string")
 
 
+@memo
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``v_posts``: one post per conversation turn; turn 0 is the opening post.
 
@@ -136,6 +158,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
                      "\n"))
 
 
+@memo
 def post_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``v_post_files``: even turns carry document ``conv_id*8 + turn`` as their file.
 
@@ -232,6 +255,7 @@ def thread_pages(spark: SparkSession, sf_dir: str, variant: str = "plain") -> Da
     return per_thread.select(F.col("conv_id").cast("bigint").alias("page_id"), url.alias("url"), html.alias("html"))
 
 
+@memo
 def threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``v_threads``: opening posts with a folder name ``<board>_<conv_id>``."""
     p = posts(spark, sf_dir).where(F.col("pos") == 0)
@@ -239,6 +263,7 @@ def threads(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat(F.col("board"), F.lit("_"), F.col("conv_id").cast("string")).alias("folder_name"))
 
 
+@memo
 def thread_pages_table(spark: SparkSession, sf_dir: str, variant: str = "plain") -> DataFrame:
     """``thread_pages`` written once per input folder and read back as a crawl table."""
     from threadlake.sources.materialize import materialize
@@ -252,6 +277,7 @@ def thread_pages_table(spark: SparkSession, sf_dir: str, variant: str = "plain")
 ATTEMPT_THREADS = 97
 
 
+@memo
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``v_attempts``: lineitem rows are fetch attempts of file ``l_orderkey``; attempt
     number = row_number over all columns; success = returnflag <> 'R'; digest verdict =
@@ -276,6 +302,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@memo
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``v_manifest``: one line per stored file (seq = doc_id), every tenth line twice."""
     m = media(spark, sf_dir).select("doc_id", "md5_hex", "path")
@@ -283,6 +310,7 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.unionByName(dup).select(F.col("doc_id").alias("seq"), "md5_hex", "path")
 
 
+@memo
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``v_decisions``: files with a failed digest (doc_id % 7 = 0); keep the even ones."""
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -299,6 +327,7 @@ HOSTS = ("https://i.4cdn.org/", "https://is2.4chan.org/", "//i.4cdn.org/")
 PURCHASE_COMMANDS = ("add_anyway", "toggle_use_orig_fn", "reset_filename", "reset_to_4ch_fn")
 
 
+@memo
 def curation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``v_events``: session = user_id, seq = event_id; view/click copy the URL of file
     slot ``k % 7`` of the session's thread; signup -> free text (or a rename); error ->
@@ -323,6 +352,7 @@ def curation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(rename, F.concat(F.lit("folder_"), F.col("k").cast("string"))).alias("payload"))
 
 
+@memo
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``v_sessions``: session -> thread (conv_id = user_id), unique_only on even users."""
     e = read_table(spark, sf_dir, "events").select("user_id").distinct()

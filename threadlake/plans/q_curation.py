@@ -13,6 +13,7 @@ from threadlake.plans import bindings as b
 from threadlake.plans.catalog import register
 
 
+@b.memo
 def _thread_files(spark, sf):
     """Extracted thread files with their novelty verdict against the stored index."""
     f = ex.extract_files(b.thread_pages_table(spark, sf, "plain"))

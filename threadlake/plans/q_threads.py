@@ -13,14 +13,17 @@ from threadlake.plans.catalog import register
 from threadlake.sources.tables import read_table
 
 
+@b.memo
 def _pages(spark, sf):
     return b.thread_pages_table(spark, sf, "plain")
 
 
+@b.memo
 def _posts(spark, sf):
     return ex.extract_posts(_pages(spark, sf))
 
 
+@b.memo
 def _files(spark, sf):
     return ex.extract_files(_pages(spark, sf))
 

@@ -7,8 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 PAGES_DDL = "page_id BIGINT, url STRING, html STRING"
 
 
+_TABLES: dict[tuple[int, str], DataFrame] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """``<sf_dir>/<name>.parquet``; the DataFrame (not data) is reused per session and path,
+    so repeated references share one analysed scan instead of re-listing and re-reading
+    footers."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    if key not in _TABLES:
+        _TABLES[key] = spark.read.parquet(path)
+    return _TABLES[key]
 
 
 def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
