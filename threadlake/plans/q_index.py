@@ -46,3 +46,30 @@ def q_index_dirs(spark, sf):
 @register("complete_dirs")
 def q_complete_dirs(spark, sf):
     return ix.complete_dirs(ix.index_directories(_index(spark, sf)), "src1")
+
+
+@register("scan_media")
+def q_scan_media(spark, sf):
+    """S2 over the input folder itself: its parquet files are the media."""
+    from threadlake.sources.media import scan_media
+
+    return scan_media(spark, sf, exts=("parquet",))
+
+
+@register("index_roundtrip")
+def q_index_roundtrip(spark, sf):
+    """Write the index as Parquet partitioned by ext, read it back."""
+    from threadlake.sources.index_store import load_index, save_index
+    from threadlake.sources.materialize import table_path
+
+    path = table_path(spark, "index-snapshot", sf)
+    save_index(_index(spark, sf), path)
+    return load_index(spark, path)
+
+
+@register("index_json")
+def q_index_json(spark, sf):
+    """The index as sorted-key JSON lines."""
+    from threadlake.sources.index_store import index_json_lines
+
+    return index_json_lines(_index(spark, sf))

@@ -25,12 +25,17 @@ def _fs_exists(spark, path: str) -> bool:
     return p.getFileSystem(conf).exists(p)
 
 
+def table_path(spark: SparkSession, name: str, key: str = "") -> str:
+    """A folder for a derived table under the shared checkpoint folder."""
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    tag = hashlib.sha1(key.encode()).hexdigest()[:12]
+    return f"{base}/threadlake-tables/{name}-{tag}"
+
+
 def materialize(spark: SparkSession, build: Callable[[], DataFrame], name: str, key: str = "") -> DataFrame:
     """Write ``build()`` once to ``<checkpoint dir>/threadlake-tables/<name>-<hash(key)>``
     and read it back; later calls only read (the plan is not even built)."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    tag = hashlib.sha1(key.encode()).hexdigest()[:12]
-    path = f"{base}/threadlake-tables/{name}-{tag}"
+    path = table_path(spark, name, key)
     if not _fs_exists(spark, f"{path}/_SUCCESS"):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
