@@ -94,3 +94,20 @@ def q_index_upsert(spark, sf):
     new_index, _ = ix.upsert_index(ix.build_index(b.index_media(spark, sf)),
                                    verified.select("ext", "size_bytes", "md5_b64", "path"))
     return new_index
+
+
+@register("curation_stream")
+def q_curation_stream(spark, sf):
+    """The same fold as ``curation_fold``, run as a stateful stream over the log."""
+    import uuid
+
+    from threadlake.sources.materialize import materialize, table_path
+    from threadlake.streaming.curation import run_curation_stream
+
+    # Stage the log once as files the stream source can read, ordered by seq.
+    materialize(spark, lambda: b.curation_events(spark, sf).select("session_id", "seq", "value")
+                .repartitionByRange(1, "seq").sortWithinPartitions("seq"), "curation-log", sf)
+    src = table_path(spark, "curation-log", sf)
+    run = table_path(spark, f"curation-stream-{uuid.uuid4().hex}", sf)
+    return run_curation_stream(spark, src, b.sessions(spark, sf), _thread_files(spark, sf),
+                               f"{run}/sink", f"{run}/checkpoint")

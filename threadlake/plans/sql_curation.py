@@ -136,3 +136,5 @@ SELECT m.ext, m.size_mb, m.md5_b64, m.path FROM v_media m
 JOIN v_resolved r ON r.file_key = CAST(m.doc_id AS VARCHAR)
 WHERE m.doc_id % 3 = 0 AND r.dl_success AND r.md5_match AND m.ext IN ('webm','gif','jpg','png')""",
       "v_index", "v_media", "v_resolved")
+
+query("curation_stream", "SELECT * FROM v_fold", "v_fold")
