@@ -20,6 +20,7 @@ from threadlake.functions.text import HTML_ENTITIES
 # Markup anchors of the site's thread page.
 CONTAINER = '<div class="postContainer'
 THREAD_BLOCK = r'(?s)<div class="thread"[^>]*>(.*)'
+THREAD_ID = r'<div class="thread" id="t([^"]*)"'
 OP_BLOCK = r'(?s)<div class="post op"[^>]*>(.*?)</blockquote>'
 SUBJECT = r'<span class="subject">(.*?)</span>'
 POST_NUM = r'<span class="postNum desktop"><a [^>]*>[^<]*</a><a [^>]*>([^<]*)</a>'
@@ -52,17 +53,27 @@ def inner_text(fragment):
     return unescape(F.regexp_replace(fragment, r"<[^>]*>", ""))
 
 
+# Containers per page when a long thread is split over pages (``page_no`` column).
+PAGE_POSTS = 1000
+
+
 def parse_containers(pages: DataFrame) -> DataFrame:
-    """One row per post container: page_id, thread_nr, pos, post_nr, utc, raw fragment."""
+    """One row per post container: page_id, thread_nr, pos, post_nr, utc, raw fragment.
+
+    The thread number is the opening post's number, or the thread block's id on a
+    continuation page; with a ``page_no`` column, ``pos`` continues across pages.
+    """
     op = F.regexp_extract(F.col("html"), OP_BLOCK, 0)
+    thread_nr = F.coalesce(F.nullif(F.regexp_extract(op, POST_NUM, 1), F.lit("")),
+                           F.regexp_extract(F.col("html"), THREAD_ID, 1))
+    offset = (F.col("page_no") * PAGE_POSTS) if "page_no" in pages.columns else F.lit(0)
     page = pages.select(
-        "page_id",
-        F.regexp_extract(op, POST_NUM, 1).alias("thread_nr"),
+        "page_id", thread_nr.alias("thread_nr"), offset.alias("_off"),
         F.split(F.regexp_extract(F.col("html"), THREAD_BLOCK, 1), CONTAINER).alias("parts"),
     )
-    x = page.select("page_id", "thread_nr", F.posexplode("parts").alias("idx", "frag")).where(F.col("idx") > 0)
+    x = page.select("page_id", "thread_nr", "_off", F.posexplode("parts").alias("idx", "frag")).where(F.col("idx") > 0)
     return x.select(
-        "page_id", "thread_nr", (F.col("idx") - 1).cast("int").alias("pos"),
+        "page_id", "thread_nr", (F.col("_off") + F.col("idx") - 1).cast("int").alias("pos"),
         F.regexp_extract("frag", POST_NUM, 1).alias("post_nr"),
         F.regexp_extract("frag", DATE_UTC, 1).alias("utc"),
         "frag",

@@ -17,6 +17,11 @@ from threadlake.functions import hex_to_b64, size_bucket
 from threadlake.operators.index import INDEX_KEYS
 from threadlake.sources.tables import read_table
 
+# Bumped whenever a binding formula changes, so derived tables written under an older
+# formula in the shared checkpoint folder are not reused.
+BINDINGS_VERSION = 2
+
+
 def memo(fn):
     """Build each view once per (session, input folder, args); DataFrames are immutable
     plans, so sharing them only saves re-analysis on the driver."""
@@ -117,6 +122,9 @@ BOARDS = ("gif", "wsg", "v", "a")
 POST_BASE = 10000000
 UTC_BASE = 1500000000
 MISSING_TURN = 99
+# Posts per rendered page, and the page-id stride per thread.
+PAGE_POSTS = 1000
+PAGE_ID_STRIDE = 100000
 
 
 def _nr(conv, turn):
@@ -244,15 +252,20 @@ def thread_pages(spark: SparkSession, sf_dir: str, variant: str = "plain") -> Da
         F.lit('" id="pc'), nr, F.lit('"><div class="post '), F.when(is_op, F.lit("op")).otherwise(F.lit("reply")),
         F.lit('" id="p'), nr, F.lit('">'), info, file_div,
         F.lit('<blockquote class="postMessage" id="m'), nr, F.lit('">'), msg_html, F.lit("</blockquote></div></div>"))
-    per_thread = (x.select("conv_id", "thread_nr", "board", "pos", container.alias("c"))
-                  .groupBy("conv_id", "thread_nr", "board")
-                  .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "c"))), lambda s: s["c"]), "")
-                       .alias("body")))
+    # A page holds at most PAGE_POSTS containers (continuation pages carry no opening
+    # post), so no thread, however long, is gathered into one row or one task.
+    page_no = F.floor(F.col("pos") / PAGE_POSTS).cast("bigint")
+    per_page = (x.select("conv_id", "thread_nr", "board", page_no.alias("page_no"), "pos", container.alias("c"))
+                .groupBy("conv_id", "thread_nr", "board", "page_no")
+                .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "c"))), lambda s: s["c"]), "")
+                     .alias("body")))
     html = F.concat(F.lit('<!DOCTYPE html><html><head><title>/'), F.col("board"), F.lit("/ - thread</title></head><body>"),
                     F.lit('<div class="board"><div class="thread" id="t'), F.col("thread_nr"), F.lit('">'), F.col("body"),
                     F.lit("</div></div></body></html>"))
-    url = F.concat(F.lit("https://boards.4chan.org/"), F.col("board"), F.lit("/thread/"), F.col("thread_nr"))
-    return per_thread.select(F.col("conv_id").cast("bigint").alias("page_id"), url.alias("url"), html.alias("html"))
+    url = F.concat(F.lit("https://boards.4chan.org/"), F.col("board"), F.lit("/thread/"), F.col("thread_nr"),
+                   F.when(F.col("page_no") > 0, F.concat(F.lit("/p"), F.col("page_no").cast("string"))).otherwise(F.lit("")))
+    return per_page.select((F.col("conv_id") * PAGE_ID_STRIDE + F.col("page_no")).cast("bigint").alias("page_id"),
+                           url.alias("url"), html.alias("html"), "page_no")
 
 
 @memo
@@ -268,7 +281,11 @@ def thread_pages_table(spark: SparkSession, sf_dir: str, variant: str = "plain")
     """``thread_pages`` written once per input folder and read back as a crawl table."""
     from threadlake.sources.materialize import materialize
 
-    return materialize(spark, lambda: thread_pages(spark, sf_dir, variant), f"thread-pages-{variant}", sf_dir)
+    from threadlake.sources.materialize import input_signature
+
+    inputs = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in ("conversations", "documents")]
+    key = f"{BINDINGS_VERSION}|{sf_dir}|{input_signature(spark, inputs)}"
+    return materialize(spark, lambda: thread_pages(spark, sf_dir, variant), f"thread-pages-{variant}", key)
 
 
 # ---------------------------------------------------------------- fetch log and manifests

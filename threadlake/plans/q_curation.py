@@ -105,9 +105,12 @@ def q_curation_stream(spark, sf):
     from threadlake.streaming.curation import run_curation_stream
 
     # Stage the log once as files the stream source can read, ordered by seq.
+    from threadlake.sources.materialize import input_signature
+
+    key = f"{b.BINDINGS_VERSION}|{sf}|" + input_signature(spark, [f"{sf.rstrip('/')}/{t}.parquet" for t in ("events", "documents")])
     materialize(spark, lambda: b.curation_events(spark, sf).select("session_id", "seq", "value")
-                .repartitionByRange(1, "seq").sortWithinPartitions("seq"), "curation-log", sf)
-    src = table_path(spark, "curation-log", sf)
+                .repartitionByRange(1, "seq").sortWithinPartitions("seq"), "curation-log", key)
+    src = table_path(spark, "curation-log", key)
     run = table_path(spark, f"curation-stream-{uuid.uuid4().hex}", sf)
     return run_curation_stream(spark, src, b.sessions(spark, sf), _thread_files(spark, sf),
                                f"{run}/sink", f"{run}/checkpoint")

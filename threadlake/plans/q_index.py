@@ -59,10 +59,12 @@ def q_scan_media(spark, sf):
 @register("index_roundtrip")
 def q_index_roundtrip(spark, sf):
     """Write the index as Parquet partitioned by ext, read it back."""
+    import uuid
+
     from threadlake.sources.index_store import load_index, save_index
     from threadlake.sources.materialize import table_path
 
-    path = table_path(spark, "index-snapshot", sf)
+    path = table_path(spark, f"index-snapshot-{uuid.uuid4().hex}", sf)
     save_index(_index(spark, sf), path)
     return load_index(spark, path)
 

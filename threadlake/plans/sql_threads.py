@@ -85,10 +85,11 @@ SELECT page_id, url, CAST(strlen(html) AS BIGINT) AS n_bytes,
        COALESCE(regexp_matches(url, '^https?://boards\\.(4chan|4channel)\\.org/[a-z]+/thread/\\d+'), false) AS is_thread_url
 FROM pages""")
 
-query("extract_threads", "SELECT conv_id AS page_id, thread_nr, subject, utc, op_post_msg FROM v_threads", "v_threads")
+query("extract_threads", """
+SELECT conv_id * 100000 AS page_id, thread_nr, subject, utc, op_post_msg FROM v_threads""", "v_threads")
 
 query("extract_posts", """
-SELECT p.conv_id AS page_id, p.thread_nr, p.post_nr, p.pos, p.utc, p.post_msg,
+SELECT p.conv_id * 100000 + p.pos // 1000 AS page_id, p.thread_nr, p.post_nr, p.pos, p.utc, p.post_msg,
        array_to_string(p.quotes, ',') AS quotes,
        EXISTS (SELECT 1 FROM v_post_files f WHERE f.post_nr = p.post_nr) AS has_file_block
 FROM v_posts p""", "v_posts", "v_post_files")

@@ -25,6 +25,23 @@ def _fs_exists(spark, path: str) -> bool:
     return p.getFileSystem(conf).exists(p)
 
 
+def input_signature(spark: SparkSession, paths: list[str]) -> str:
+    """Length and modification time of the given inputs: a derived table is rebuilt when
+    one of them changes."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    parts = []
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(conf)
+        if fs.exists(p):
+            st = fs.getFileStatus(p)
+            parts.append(f"{path}:{st.getLen()}:{st.getModificationTime()}")
+        else:
+            parts.append(f"{path}:missing")
+    return "|".join(parts)
+
+
 def table_path(spark: SparkSession, name: str, key: str = "") -> str:
     """A folder for a derived table under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
