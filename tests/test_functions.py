@@ -134,3 +134,28 @@ def test_md5_b64_of_content(spark):
     data = [b"", b"abc", bytes(range(256))]
     out = one_col(spark, data, tf.md5_b64, "binary")
     assert out == [base64.b64encode(hashlib.md5(d).digest()).decode() for d in data]
+
+
+def test_sql_functions_equal_column_helpers(spark):
+    from threadlake.functions.sql import SQL_FUNCTIONS, register_sql_functions
+
+    register_sql_functions(spark)
+    samples = {
+        "BIGINT": [0, 1, 5242, 5243, 134217, 1048575, 1048576, 3 << 30],
+        "STRING": ["128 KB", "2.8 MB", "12.5 KB", "500 B", "2.835 MB", "gUkUw0o1n7cI+w0x8LWj2w==",
+                   "a\\b//./c.tar.gz", "https://is2.4chan.org/gif/1.webm", "//i.4cdn.org/v/2.jpg",
+                   "https://boards.4chan.org/gif/thread/1", "x:y?", " é (ok)_-! ", "a<br>b &amp; &lt;c&gt;",
+                   "", "name.with.dots", "814914c34a359fb708fb0d31f0b5a3db", "1x1.", "3.", "file.JPG"],
+        "INT": [0, 1, 3],
+        "TIMESTAMP": None,
+    }
+    for name, (helper, args, _ret) in SQL_FUNCTIONS.items():
+        if any(t == "TIMESTAMP" for _, t in args):
+            continue
+        cols = [a for a, _ in args]
+        import itertools
+        rows = list(itertools.product(*[samples[t] for _, t in args]))
+        df = spark.createDataFrame(rows, ", ".join(f"{a} {t}" for a, t in args))
+        via_col = df.select(*cols, helper(*[F.col(c) for c in cols]).alias("r"))
+        via_sql = df.selectExpr(*cols, f"{name}({', '.join(cols)}) AS r")
+        assert sorted(map(tuple, via_col.collect()), key=repr) == sorted(map(tuple, via_sql.collect()), key=repr), name

@@ -147,6 +147,24 @@ def selection_join(events: DataFrame, sessions: DataFrame, files: DataFrame) ->
     return u.join(f, ["thread_nr", "file_key"], "left").withColumn("known", F.col("post_nr").isNotNull())
 
 
+def session_folders(events: DataFrame, default: DataFrame) -> DataFrame:
+    """Folder of each session: the last valid ``rename_thread`` payload (names with
+    banned characters are refused, as the prompt refuses them), else the default
+    ``default(session_id, folder_name)``; plus the report file name
+    ``<sanitised folder>_<date of the last event>.txt``."""
+    from threadlake.functions import report_date, valid_folder
+
+    c = classify(events)
+    ren = (c.where((F.col("kind") == "rename") & F.col("payload").isNotNull() & valid_folder(F.col("payload")))
+           .groupBy("session_id").agg(F.max_by(F.trim("payload"), F.col("seq")).alias("renamed")))
+    last = c.groupBy("session_id").agg(F.max("ts").alias("last_ts"))
+    out = (last.join(default, "session_id", "left").join(ren, "session_id", "left")
+           .withColumn("folder_name", F.coalesce(F.col("renamed"), F.col("folder_name"))))
+    return out.select("session_id", "folder_name",
+                      F.concat(sanitize_name(F.col("folder_name")), F.lit("_"), report_date(F.col("last_ts")),
+                               F.lit(".txt")).alias("report_file"))
+
+
 def selected_files(state: DataFrame) -> DataFrame:
     """rebuild a selection from per-file flags."""
     return state.where(F.col("to_download")).select("session_id", "file_key")

@@ -19,7 +19,7 @@ from threadlake.sources.tables import read_table
 
 # Bumped whenever a binding formula changes, so derived tables written under an older
 # formula in the shared checkpoint folder are not reused.
-BINDINGS_VERSION = 2
+BINDINGS_VERSION = 3
 
 
 def memo(fn):
@@ -349,7 +349,7 @@ def curation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``v_events``: session = user_id, seq = event_id; view/click copy the URL of file
     slot ``k % 7`` of the session's thread; signup -> free text (or a rename); error ->
     ``remove_file``; purchase -> one of four commands."""
-    e = read_table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props")
+    e = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
     k = F.get_json_object(F.col("props"), "$.k").cast("bigint")
     e = e.withColumn("k", k).withColumn("doc_id", F.col("user_id") * 8 + F.pmod(F.col("k"), F.lit(7)))
     m = media(spark, sf_dir).select("doc_id", "ext")
@@ -365,8 +365,10 @@ def curation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
              .when(F.col("event_type") == "signup", F.concat(F.lit(" tag:"), F.col("k").cast("string"), F.lit("? ")))
              .when(F.col("event_type") == "error", F.lit("remove_file"))
              .otherwise(cmd))
+    folder = F.concat(F.when(F.pmod(F.col("k"), F.lit(20)) == 0, F.lit("folder:")).otherwise(F.lit("folder_")),
+                      F.col("k").cast("string"))
     return x.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), value.alias("value"),
-                    F.when(rename, F.concat(F.lit("folder_"), F.col("k").cast("string"))).alias("payload"))
+                    F.when(rename, folder).alias("payload"), "ts")
 
 
 @memo

@@ -76,6 +76,26 @@ def q_selection_resume(spark, sf):
     return cu.resume_selection(prior, new)
 
 
+@register("session_folders")
+def q_session_folders(spark, sf):
+    default = b.sessions(spark, sf).select(
+        "session_id", F.concat(F.element_at(F.array(*[F.lit(x) for x in b.BOARDS]),
+                                            (F.pmod(F.col("session_id"), F.lit(4)) + 1).cast("int")),
+                               F.lit("_"), F.col("session_id").cast("string")).alias("folder_name"))
+    return cu.session_folders(_events(spark, sf), default)
+
+
+@register("request_lookup")
+def q_request_lookup(spark, sf):
+    """Files listed on a decorated page -> new, or where the stored copies are
+    (extension from the displayed name, size from the displayed size text)."""
+    req = ex.extract_requests(b.thread_pages_table(spark, sf, "decorated"))
+    _, ext = tf.split_name_ext(F.trim(F.col("name")))
+    cand = req.select("file_id", ext.alias("ext"), tf.size_text_mb(F.col("size_text")).alias("size_mb"), "md5_b64")
+    return ix.lookup_duplicates(cand, ix.build_index(b.index_media(spark, sf))).select(
+        "file_id", "ext", "size_mb", "md5_b64", "n_copies", "first_path", "is_new")
+
+
 @register("resume_pending")
 def q_resume_pending(spark, sf):
     t = _threads_unique(spark, sf)

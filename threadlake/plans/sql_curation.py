@@ -12,7 +12,10 @@ SELECT e.user_id AS session_id, e.event_id AS seq,
        WHEN e.event_type = 'signup' AND e.k % 10 = 0 THEN 'rename_thread'
        WHEN e.event_type = 'signup' THEN ' tag:' || CAST(e.k AS VARCHAR) || '? '
        WHEN e.event_type = 'error' THEN 'remove_file'
-       ELSE ['add_anyway', 'toggle_use_orig_fn', 'reset_filename', 'reset_to_4ch_fn'][e.event_id % 4 + 1] END AS value
+       ELSE ['add_anyway', 'toggle_use_orig_fn', 'reset_filename', 'reset_to_4ch_fn'][e.event_id % 4 + 1] END AS value,
+  CASE WHEN e.event_type = 'signup' AND e.k % 10 = 0
+       THEN CASE WHEN e.k % 20 = 0 THEN 'folder:' ELSE 'folder_' END || CAST(e.k AS VARCHAR) END AS payload,
+  e.ts
 FROM (SELECT *, user_id * 8 + k % 7 AS doc_id
       FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) e0) e
 LEFT JOIN v_media m ON m.doc_id = e.doc_id""", "v_media")
@@ -30,7 +33,7 @@ SELECT f.*, NOT EXISTS (
 FROM v_files f""", "v_files", "v_index")
 
 view("v_drop", """
-SELECT session_id, seq, value FROM (
+SELECT session_id, seq, value, payload, ts FROM (
   SELECT *, lag(value) OVER (PARTITION BY session_id ORDER BY seq) AS prev FROM v_events) x
 WHERE prev IS NULL OR prev <> value""", "v_events")
 
@@ -138,3 +141,31 @@ WHERE m.doc_id % 3 = 0 AND r.dl_success AND r.md5_match AND m.ext IN ('webm','gi
       "v_index", "v_media", "v_resolved")
 
 query("curation_stream", "SELECT * FROM v_fold", "v_fold")
+
+query("session_folders", f"""
+WITH d AS (SELECT * FROM v_drop),
+ren AS (SELECT session_id, arg_max(trim(payload), seq) AS renamed FROM d
+        WHERE NOT regexp_matches(d.value, {FILE_RE}) AND trim(d.value) = 'rename_thread'
+          AND payload IS NOT NULL AND NOT regexp_matches(trim(payload), '[:?*"<>|]')
+        GROUP BY 1),
+base AS (SELECT session_id, max(ts) AS last_ts,
+                ['gif','wsg','v','a'][session_id % 4 + 1] || '_' || CAST(session_id AS VARCHAR) AS folder0
+         FROM d GROUP BY 1)
+SELECT b.session_id, COALESCE(r.renamed, b.folder0) AS folder_name,
+       {sanitize('COALESCE(r.renamed, b.folder0)')} || '_' || strftime(b.last_ts, '%Y-%m-%d') || '.txt' AS report_file
+FROM base b LEFT JOIN ren r ON r.session_id = b.session_id""", "v_drop")
+
+query("request_lookup", f"""
+WITH r AS (
+  SELECT 'f' || post_nr AS file_id, orig_name || '.' || ext AS name, file_size AS size_text, md5_b64
+  FROM v_post_files WHERE NOT deleted),
+c AS (
+  SELECT file_id,
+         CASE WHEN contains(trim(name), '.') THEN regexp_extract(trim(name), '\\.([^.]*)$', 1) END AS ext,
+         {size_text_mb_sql('size_text')} AS size_mb, md5_b64 FROM r)
+SELECT c.file_id, c.ext, c.size_mb, c.md5_b64, CAST(COALESCE(s.n_copies, 0) AS BIGINT) AS n_copies, s.first_path,
+       COALESCE(s.n_copies, 0) = 0 AS is_new
+FROM c LEFT JOIN (
+  SELECT ext, size_mb, md5_b64, COUNT(*) AS n_copies, MIN(path) AS first_path
+  FROM v_index WHERE ext IN ('webm','gif','jpg','png') GROUP BY 1, 2, 3) s
+ON c.ext = s.ext AND c.size_mb = s.size_mb AND c.md5_b64 = s.md5_b64""", "v_post_files", "v_index")
