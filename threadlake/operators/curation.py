@@ -67,9 +67,10 @@ def fold_curation(events: DataFrame, sessions: DataFrame, files: DataFrame,
     ``files(thread_nr, file_key, file_name_4ch, file_name_orig, is_new)`` where ``is_new``
     is the novelty verdict (NULL = unknown, treated as new, as a failed lookup is).
 
-    ``cut``: the classified, numbered log feeds five branches; it is written once to the
-    shared checkpoint folder so that the branches read it instead of recomputing three
-    shuffles each (and an executor loss does not replay them).
+    ``cut``: the classified, numbered log and the table of deciding epochs each feed
+    several branches; they are written once to the shared checkpoint folder so that the
+    branches read them instead of recomputing their shuffles (and an executor loss does
+    not replay them).
 
     Returns one row per (session, file) whose URL was copied and found in the thread:
     session_id, thread_nr, file_key, dl_filename (NULL unless selected), is_unique,
@@ -86,18 +87,22 @@ def fold_curation(events: DataFrame, sessions: DataFrame, files: DataFrame,
     if cut:
         c = cut_lineage(c)
 
-    # One row per epoch: the URL row, resolved against the thread's files.
+    # The deciding epoch of each (session, file): the last copy of its URL that names a
+    # file of the thread, with that file's attributes (one partial max_by, no self-join).
     s = sessions.select("session_id", "thread_nr", "unique_only")
-    urls = (c.where(F.col("kind") == "url").select("session_id", "epoch", "file_key", F.col("seq").alias("url_seq"),
-                                                   F.col("tog").alias("url_tog"))
+    urls = (c.where(F.col("kind") == "url").select("session_id", "epoch", "file_key")
             .join(s, "session_id")
             .join(files.select("thread_nr", "file_key", "file_name_4ch", "file_name_orig", "is_new"),
-                  ["thread_nr", "file_key"], "left"))
-    valid = urls.where(F.col("file_name_4ch").isNotNull())
-    last = valid.groupBy("session_id", "file_key").agg(F.max("epoch").alias("epoch"))
-    ep = valid.join(last, ["session_id", "file_key", "epoch"], "left_semi")
+                  ["thread_nr", "file_key"]))
+    attrs = ["epoch", "thread_nr", "unique_only", "file_name_4ch", "file_name_orig", "is_new"]
+    ep = (urls.groupBy("session_id", "file_key")
+          .agg(F.max_by(F.struct(*attrs), F.col("epoch")).alias("e"))
+          .select("session_id", "file_key", *[F.col(f"e.{a}").alias(a) for a in attrs]))
+    if cut:
+        ep = cut_lineage(ep)
 
-    # Rows of the deciding epochs, cut at the first remove_file.
+    # Rows of the deciding epochs, cut at the first remove_file. After the join every
+    # step below is keyed by (session, epoch), so it reuses that one shuffle.
     rows = c.join(ep.select("session_id", "epoch"), ["session_id", "epoch"], "left_semi")
     rem = rows.where(F.col("kind") == "remove").groupBy("session_id", "epoch").agg(F.min("seq").alias("remove_seq"))
     live = (rows.join(rem, ["session_id", "epoch"], "left")
@@ -115,8 +120,7 @@ def fold_curation(events: DataFrame, sessions: DataFrame, files: DataFrame,
                   "seq", sanitize_name(py_strip(F.col("value"))).alias("s")))), lambda x: F.concat(F.lit("_"), x["s"])), "")
                    .alias("suffix")))
     d = (ep.join(per_epoch, ["session_id", "epoch"], "left").join(suffix, ["session_id", "epoch"], "left")
-         .join(rows.where(F.col("kind") == "remove").groupBy("session_id", "epoch").agg(F.lit(True).alias("removed")),
-               ["session_id", "epoch"], "left"))
+         .join(rem.select("session_id", "epoch", F.lit(True).alias("removed")), ["session_id", "epoch"], "left"))
     n4, orig = F.col("file_name_4ch"), F.col("file_name_orig")
     with_orig = F.concat_ws("_", n4, orig)
     base_kind, base_tog = F.col("base_row.kind"), F.col("base_row.tog")
