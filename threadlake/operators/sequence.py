@@ -1,12 +1,12 @@
 """Running values over ordered rows per key, safe for a key holding a large share of rows.
 
 A window ``PARTITION BY key ORDER BY seq`` sorts a whole key in one task. Here rows are
-cut into blocks of the sequence range (``seq div block_span``) and shuffled once on
-``(key, block)``. On that layout each block is summed, the block totals get an exclusive
-prefix per key (one row per block, so even a hot key is small there; only this small
-table is shuffled again), and the offset is joined back and added to an in-block
-running sum - the join and the in-block window reuse the one shuffle. No task ever
-holds more than one block of one key.
+cut into blocks of the sequence range (``seq div block_span``). Each block is summed
+with a partial aggregate (combined map-side, so only block totals are shuffled), the
+block totals get an exclusive prefix per key (one row per block, so even a hot key is
+small there), and the offset is joined back on ``(key, block)``; the in-block running
+sum reuses the join's ``(key, block)`` partitioning. The full rows are shuffled once,
+and no task ever holds more than one block of one key.
 """
 
 from __future__ import annotations
@@ -20,8 +20,6 @@ DEFAULT_BLOCK_SPAN = 1 << 16
 
 
 def _block(seq: str, block_span: int) -> Column:
-    # Non-nullable on purpose: no null filter is inferred on the join side only, so both
-    # uses of the (key, block) shuffle stay identical and the shuffle is reused.
     return F.coalesce(F.floor(F.col(seq) / block_span).cast("bigint"), F.lit(-1).cast("bigint"))
 
 
@@ -35,8 +33,7 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], seq: str, values: dict[str,
     keys = list(keys)
     blk = "_blk"
     base = df.select("*", _block(seq, block_span).alias(blk),
-                     *[expr.cast("bigint").alias(f"_v_{name}") for name, expr in values.items()]) \
-        .repartition(*keys, blk)
+                     *[expr.cast("bigint").alias(f"_v_{name}") for name, expr in values.items()])
     tot = base.groupBy(*keys, blk).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
     wb = Window.partitionBy(*keys).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(*keys, blk, *[F.coalesce(F.sum(f"_t_{n}").over(wb), F.lit(0)).alias(f"_o_{n}") for n in values])
@@ -51,7 +48,7 @@ def previous_value(df: DataFrame, keys: Sequence[str], seq: str, col: str, out:
     """``lag(col)`` per key ordered by ``seq``, computed blockwise (see module doc)."""
     keys = list(keys)
     blk = "_blk"
-    base = df.withColumn(blk, _block(seq, block_span)).repartition(*keys, blk)
+    base = df.withColumn(blk, _block(seq, block_span))
     last = base.groupBy(*keys, blk).agg(F.max_by(F.col(col), F.col(seq)).alias("_last"))
     wb = Window.partitionBy(*keys).orderBy(blk)
     prev_blk = last.select(*keys, blk, F.lag("_last").over(wb).alias("_prev_block_last"),
