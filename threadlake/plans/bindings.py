@@ -19,7 +19,7 @@ from threadlake.sources.tables import read_table
 
 # Bumped whenever a binding formula changes, so derived tables written under an older
 # formula in the shared checkpoint folder are not reused.
-BINDINGS_VERSION = 3
+BINDINGS_VERSION = 4
 
 
 def memo(fn):
@@ -43,9 +43,26 @@ HEX_DIGITS = "0123456789abcdef"
 BYTES_PER_CHAR = 64
 
 
+def derived(name: str, inputs: tuple[str, ...]):
+    """Write the view once per input folder into the shared checkpoint folder and read it
+    back (see ``sources.materialize``); rebuilt when the formula version or an input
+    table changes."""
+    def deco(fn):
+        @functools.wraps(fn)
+        def wrapper(spark, sf_dir, *args):
+            from threadlake.sources.materialize import input_signature, materialize
+
+            paths = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in inputs]
+            key = f"{BINDINGS_VERSION}|{sf_dir}|{args}|{input_signature(spark, paths)}"
+            return materialize(spark, lambda: fn(spark, sf_dir, *args), name, key)
+        return wrapper
+    return deco
+
+
 @memo
+@derived("media", ("documents",))
 def media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``v_media``: one stored file per document."""
+    """``v_media``: one stored file per document (written once, then read as a table)."""
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     md5_hex = F.md5(F.col("text"))
     digit = F.conv(F.substring(md5_hex, 1, 1), 16, 10).cast("int")

@@ -16,7 +16,9 @@ from threadlake.plans.catalog import register
 @b.memo
 def _thread_files(spark, sf):
     """Extracted thread files with their novelty verdict against the stored index."""
-    f = ex.extract_files(b.thread_pages_table(spark, sf, "plain"))
+    from threadlake.plans.q_threads import files_table
+
+    f = files_table(spark, sf)
     cand = f.select("thread_nr", "post_nr", "pos", "file_key", "file_name_4ch", "file_name_orig",
                     F.col("file_ext").alias("ext"), tf.size_text_mb(F.col("file_size")).alias("size_mb"),
                     F.col("file_md5_b64").alias("md5_b64"))

@@ -28,6 +28,20 @@ def _files(spark, sf):
     return ex.extract_files(_pages(spark, sf))
 
 
+@b.memo
+@b.derived("posts", ("conversations", "documents"))
+def posts_table(spark, sf):
+    """Extracted posts, written once: the graph and report jobs read this table instead of
+    parsing every page again for each of their branches."""
+    return _posts(spark, sf)
+
+
+@b.memo
+@b.derived("files", ("conversations", "documents"))
+def files_table(spark, sf):
+    return _files(spark, sf)
+
+
 @register("scan_pages")
 def q_scan_pages(spark, sf):
     p = read_table(spark, sf, "pages")
@@ -73,19 +87,19 @@ def q_extract_requests(spark, sf):
 
 @register("backlinks")
 def q_backlinks(spark, sf):
-    p = _posts(spark, sf)
+    p = posts_table(spark, sf)
     return g.backlinks(p, ex.quote_edges(p))
 
 
 @register("dangling_quotes")
 def q_dangling_quotes(spark, sf):
-    p = _posts(spark, sf)
+    p = posts_table(spark, sf)
     return g.dangling_quotes(p, ex.quote_edges(p))
 
 
 def _graph(spark, sf):
-    p = _posts(spark, sf)
-    f = _files(spark, sf)
+    p = posts_table(spark, sf)
+    f = files_table(spark, sf)
     return p, g.backlinks(p, ex.quote_edges(p)), f
 
 
@@ -104,7 +118,7 @@ def q_relevant_replies(spark, sf):
 @register("thread_report")
 def q_thread_report(spark, sf):
     p, links, f = _graph(spark, sf)
-    t = (ex.extract_threads(_pages(spark, sf))
+    t = (ex.extract_threads(_pages(spark, sf)).drop("page_id")
          .join(b.threads(spark, sf).select("thread_nr", "folder_name"), "thread_nr")
          .join(f.select("thread_nr"), "thread_nr", "left_semi"))
     fetched = f.select("thread_nr", "post_nr", "pos", "file_ext", "file_size", "file_res", "file_md5_b64",
