@@ -19,7 +19,7 @@ from threadlake.sources.tables import read_table
 
 # Bumped whenever a binding formula changes, so derived tables written under an older
 # formula in the shared checkpoint folder are not reused.
-BINDINGS_VERSION = 4
+BINDINGS_VERSION = 5
 
 
 def memo(fn):
@@ -362,6 +362,7 @@ PURCHASE_COMMANDS = ("add_anyway", "toggle_use_orig_fn", "reset_filename", "rese
 
 
 @memo
+@derived("curation-events", ("events", "documents"))
 def curation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``v_events``: session = user_id, seq = event_id; view/click copy the URL of file
     slot ``k % 7`` of the session's thread; signup -> free text (or a rename); error ->
@@ -389,6 +390,7 @@ def curation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @memo
+@derived("sessions", ("events",))
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``v_sessions``: session -> thread (conv_id = user_id), unique_only on even users."""
     e = read_table(spark, sf_dir, "events").select("user_id").distinct()

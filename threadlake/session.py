@@ -57,6 +57,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df, eager: bool = True):
-    """Reliable checkpoint into the shared checkpoint folder (never a local one)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    """Cut lineage by writing ``df`` as Parquet under the shared checkpoint folder and
+    reading it back (never a local checkpoint).
+
+    Unlike ``Dataset.checkpoint`` on an unpersisted plan, this computes ``df`` once (one
+    write job) and the result is a real table: later scans prune columns and give AQE
+    exact sizes. Each call writes a fresh folder ``threadlake-cuts/<uuid>``; removing
+    old ones is the owner's housekeeping. ``eager`` is accepted for symmetry; the write
+    always happens now.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/threadlake-cuts/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
