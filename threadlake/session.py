@@ -14,7 +14,12 @@ from pyspark.sql import SparkSession
 
 # Settings the library relies on. AQE is on so that shuffle partition counts are
 # coalesced at run time and skewed join partitions (hot digests, hot posts) are split.
+# Broadcasts are decided only at run time: the plan-time estimate (from compressed file
+# sizes) is switched off, and AQE broadcasts a join side only when its measured shuffle
+# output is under the adaptive threshold; beyond it the shuffle join stays.
 DEFAULT_CONF = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "16MB",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
