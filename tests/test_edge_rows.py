@@ -93,3 +93,28 @@ def test_index_upsert_rejects_unknown_ext(spark):
     assert sorted((r.path, str(r.size_mb)) for r in new.collect()) == [("x/y.jpg", "0.13"), ("x/y.jpg", "0.13")]
     assert [r.reason for r in rej.collect()] == ["ext_not_allowed"]
     assert ix.bucket_stats(new).where(F.col("ext").isNull()).collect()[0].n_shared_buckets == 1
+
+
+def test_cli_gen_info_and_quarantine(spark, tmp_path):
+    from threadlake.__main__ import gen_info, quarantine
+    from threadlake.sources.index_store import load_index
+
+    (tmp_path / "m" / "d").mkdir(parents=True)
+    (tmp_path / "m" / "d" / "1.jpg").write_bytes(b"x" * 10)
+    (tmp_path / "m" / "d" / "2.gif").write_bytes(b"x" * 10)
+
+    class A:
+        root, index = str(tmp_path / "m"), str(tmp_path / "idx")
+    gen_info(spark, A)
+    assert sorted(r.path for r in load_index(spark, A.index).collect()) == ["d/1.jpg", "d/2.gif"]
+
+    (tmp_path / "man.md5").write_text("aa *x/1.jpg\nbb *x/2.jpg\n")
+    spark.createDataFrame([("aa", "x/1.jpg", True, "cc"), ("bb", "x/2.jpg", False, "dd")],
+                          "md5_hex STRING, path STRING, keep BOOLEAN, actual_md5_hex STRING") \
+        .write.parquet(str(tmp_path / "dec"))
+
+    class Q:
+        manifest, decisions, out = str(tmp_path / "man.md5"), str(tmp_path / "dec"), str(tmp_path / "q")
+    quarantine(spark, Q)
+    assert [r.value for r in spark.read.text(f"{Q.out}/manifest").collect()] == ["cc *x/1.jpg"]
+    assert [r.value for r in spark.read.text(f"{Q.out}/kept").collect()] == ["aa *x/1.jpg"]
