@@ -69,6 +69,13 @@ def q_selection_join(spark, sf):
         "session_id", "seq", "file_key", "post_nr", "known")
 
 
+@register("unknown_urls")
+def q_unknown_urls(spark, sf):
+    """J9 audit: copied file URLs that name no file of the session's thread."""
+    return cu.unknown_urls(_events(spark, sf), b.sessions(spark, sf), _thread_files(spark, sf)).select(
+        "session_id", "seq", "file_key")
+
+
 @register("selection_resume")
 def q_selection_resume(spark, sf):
     ev = _events(spark, sf)

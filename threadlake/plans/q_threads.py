@@ -125,3 +125,9 @@ def q_thread_report(spark, sf):
                        "file_name_orig",
                        F.concat_ws("_", "file_name_4ch", "file_name_orig").alias("dl_filename"))
     return rp.thread_report(t, fetched, p, links, f, max_level=3)
+
+
+@register("file_rejects")
+def q_file_rejects(spark, sf):
+    """Live file blocks that do not parse (the tool crashes on them)."""
+    return ex.file_rejects(_pages(spark, sf)).drop("page_id")

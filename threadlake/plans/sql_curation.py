@@ -169,3 +169,10 @@ FROM c LEFT JOIN (
   SELECT ext, size_mb, md5_b64, COUNT(*) AS n_copies, MIN(path) AS first_path
   FROM v_index WHERE ext IN ('webm','gif','jpg','png') GROUP BY 1, 2, 3) s
 ON c.ext = s.ext AND c.size_mb = s.size_mb AND c.md5_b64 = s.md5_b64""", "v_post_files", "v_index")
+
+query("unknown_urls", f"""
+SELECT d.session_id, d.seq, regexp_replace(d.value, {HOST_RE}, '') AS file_key
+FROM v_drop d JOIN v_sessions s ON s.session_id = d.session_id
+WHERE regexp_matches(d.value, {FILE_RE})
+  AND NOT EXISTS (SELECT 1 FROM v_files f WHERE f.thread_nr = s.thread_nr
+                  AND f.file_key = regexp_replace(d.value, {HOST_RE}, ''))""", "v_drop", "v_sessions", "v_files")

@@ -179,3 +179,7 @@ SELECT fk.thread_nr, fk.folder_name, fk.k || 'c' || tlines.key, tlines.line
 FROM tlines JOIN fk ON fk.thread_nr = tlines.thread_nr AND fk.post_nr = tlines.root_nr
 UNION ALL
 SELECT thread_nr, folder_name, k || 'z', {NL} FROM fk""", "v_files", "v_threads", "v_tree", "v_posts")
+
+query("file_rejects", """
+SELECT thread_nr, post_nr, 'file_line_unparsed' AS reason FROM v_post_files
+WHERE NOT deleted AND ext = 'pdf'""", "v_post_files")
