@@ -118,3 +118,14 @@ def test_cli_gen_info_and_quarantine(spark, tmp_path):
     quarantine(spark, Q)
     assert [r.value for r in spark.read.text(f"{Q.out}/manifest").collect()] == ["cc *x/1.jpg"]
     assert [r.value for r in spark.read.text(f"{Q.out}/kept").collect()] == ["aa *x/1.jpg"]
+
+
+def test_read_pages_from_saved_files(spark, tmp_path):
+    from threadlake.sources.tables import read_pages
+
+    (tmp_path / "a.html").write_text('<div class="thread" id="t5"><div class="postContainer">x</div></div>')
+    (tmp_path / "b.html").write_text("<html>no thread here</html>")
+    pages = read_pages(spark, str(tmp_path), fmt="text")
+    assert pages.count() == 2
+    rej = [r.reason for r in ex.page_rejects(pages).collect()]
+    assert rej == ["no_thread_block"]

@@ -161,6 +161,17 @@ def file_rejects(pages: DataFrame) -> DataFrame:
     return f.select("page_id", "thread_nr", "post_nr", reason.alias("reason")).where(F.col("reason").isNotNull())
 
 
+def page_rejects(pages: DataFrame) -> DataFrame:
+    """Pages that hold no thread: no thread block, or neither an opening post nor a
+    thread id to take the thread number from. ``(page_id, url, reason)``."""
+    html = F.col("html")
+    has_block = html.contains('<div class="thread"')
+    has_nr = html.rlike(OP_BLOCK) | (F.regexp_extract(html, THREAD_ID, 1) != "")
+    reason = (F.when(html.isNull() | ~has_block, F.lit("no_thread_block"))
+              .when(~has_nr, F.lit("no_thread_number")))
+    return pages.select("page_id", "url", reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
 def extract_requests(pages: DataFrame) -> DataFrame:
     """``(page_id, file_id, name, size_text, md5_b64)`` from decorated pages;
     deleted files (no ``file-info``) are skipped."""

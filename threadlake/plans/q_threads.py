@@ -131,3 +131,9 @@ def q_thread_report(spark, sf):
 def q_file_rejects(spark, sf):
     """Live file blocks that do not parse (the tool crashes on them)."""
     return ex.file_rejects(_pages(spark, sf)).drop("page_id")
+
+
+@register("page_rejects")
+def q_page_rejects(spark, sf):
+    """The crawl table through the extractor: pages without thread markup are rejects."""
+    return ex.page_rejects(read_table(spark, sf, "pages"))

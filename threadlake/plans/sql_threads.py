@@ -183,3 +183,11 @@ SELECT thread_nr, folder_name, k || 'z', {NL} FROM fk""", "v_files", "v_threads"
 query("file_rejects", """
 SELECT thread_nr, post_nr, 'file_line_unparsed' AS reason FROM v_post_files
 WHERE NOT deleted AND ext = 'pdf'""", "v_post_files")
+
+query("page_rejects", """
+SELECT page_id, url, CASE WHEN html IS NULL OR NOT contains(html, '<div class="thread"') THEN 'no_thread_block'
+                          ELSE 'no_thread_number' END AS reason
+FROM pages
+WHERE html IS NULL OR NOT contains(html, '<div class="thread"')
+   OR (NOT regexp_matches(html, '<div class="post op"[^>]*>(.|\n)*?</blockquote>')
+       AND regexp_extract(html, '<div class="thread" id="t([^"]*)"', 1) = '')""")
