@@ -54,5 +54,18 @@ def materialize(spark: SparkSession, build: Callable[[], DataFrame], name: str,
     and read it back; later calls only read (the plan is not even built)."""
     path = table_path(spark, name, key)
     if not _fs_exists(spark, f"{path}/_SUCCESS"):
-        build().write.mode("overwrite").parquet(path)
+        # Write aside, then rename into place: a reader never sees a half-written table,
+        # and when two jobs race, the first complete table wins and the other is unused.
+        import uuid
+
+        tmp = f"{path}.tmp-{uuid.uuid4().hex}"
+        build().write.parquet(tmp)
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        src, dst = jvm.org.apache.hadoop.fs.Path(tmp), jvm.org.apache.hadoop.fs.Path(path)
+        fs = dst.getFileSystem(conf)
+        if fs.exists(dst) and not fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")):
+            fs.delete(dst, True)  # an interrupted earlier attempt
+        if not fs.rename(src, dst):
+            fs.delete(src, True)
     return spark.read.parquet(path)
