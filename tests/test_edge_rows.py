@@ -129,3 +129,15 @@ def test_read_pages_from_saved_files(spark, tmp_path):
     assert pages.count() == 2
     rej = [r.reason for r in ex.page_rejects(pages).collect()]
     assert rej == ["no_thread_block"]
+
+
+def test_media_rows_rejects(spark):
+    listing = spark.createDataFrame([("a\\\\b.jpg", 1, "A"), ("../up.jpg", 1, "B"), ("x_files/c.png", 1, "C"),
+                                     ("d/e.JPG", 1, "D"), ("d/noext", 1, "E"), ("d/./f.gif", 1, "F")],
+                                    "path STRING, size_bytes BIGINT, md5_b64 STRING")
+    rows = ix.media_rows(listing)
+    kept = sorted(r.path for r in ix.media_filter(rows).collect())
+    assert kept == ["a/b.jpg", "d/f.gif"]
+    rej = {r.path: r.reason for r in ix.media_rejects(rows).collect()}
+    assert rej == {"../up.jpg": "parent_segment", "x_files/c.png": "pruned_dir", "d/e.JPG": "ext_not_allowed",
+                   "d/noext": "no_ext"}

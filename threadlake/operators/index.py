@@ -34,15 +34,22 @@ def media_rows(listing: DataFrame) -> DataFrame:
             .withColumn("size_mb", size_bucket(F.col("size_bytes"))))
 
 
+def _parent_segment(path):
+    """A ``..`` segment: the path would leave the archive root (rejected, never resolved)."""
+    return F.coalesce(path.rlike(r"(^|/)\.\.(/|$)"), F.lit(False))
+
+
 def media_filter(media: DataFrame, exts: Sequence[str] = VALID_FILE_EXT,
                  exclude: Sequence[str] = DIR_SUBSTR_EXCLUDE) -> DataFrame:
     """Keep allowed extensions (case-sensitive) outside pruned directories."""
-    return media.where(allowed_ext(F.col("ext"), exts) & ~pruned_dir(F.col("path"), exclude))
+    return media.where(allowed_ext(F.col("ext"), exts) & ~pruned_dir(F.col("path"), exclude)
+                       & ~_parent_segment(F.col("path")))
 
 
 def media_rejects(media: DataFrame, exts: Sequence[str] = VALID_FILE_EXT,
                   exclude: Sequence[str] = DIR_SUBSTR_EXCLUDE) -> DataFrame:
-    reason = (F.when(pruned_dir(F.col("path"), exclude), F.lit("pruned_dir"))
+    reason = (F.when(_parent_segment(F.col("path")), F.lit("parent_segment"))
+              .when(pruned_dir(F.col("path"), exclude), F.lit("pruned_dir"))
               .when(F.col("ext").isNull(), F.lit("no_ext"))
               .when(~allowed_ext(F.col("ext"), exts), F.lit("ext_not_allowed")))
     return media.withColumn("reason", reason).where(F.col("reason").isNotNull())
@@ -106,9 +113,10 @@ def upsert_index(index: DataFrame, verified: DataFrame, exts: Sequence[str] = VA
     rows = verified.select(
         "ext", size_bucket(F.col("size_bytes")).alias("size_mb"), "md5_b64",
         normalize_rel_path(F.col("path")).alias("path"))
-    ok = allowed_ext(F.col("ext"), exts)
+    ok = allowed_ext(F.col("ext"), exts) & ~_parent_segment(F.col("path"))
     new_index = index.select(*INDEX_KEYS, "path").unionByName(rows.where(ok))
-    rejects = rows.where(~ok).withColumn("reason", F.lit("ext_not_allowed"))
+    rejects = rows.where(~ok).withColumn(
+        "reason", F.when(_parent_segment(F.col("path")), F.lit("parent_segment")).otherwise(F.lit("ext_not_allowed")))
     return new_index, rejects
 
 
