@@ -141,3 +141,36 @@ def test_media_rows_rejects(spark):
     rej = {r.path: r.reason for r in ix.media_rejects(rows).collect()}
     assert rej == {"../up.jpg": "parent_segment", "x_files/c.png": "pruned_dir", "d/e.JPG": "ext_not_allowed",
                    "d/noext": "no_ext"}
+
+
+def test_cli_lookup_and_fold(spark, tmp_path):
+    from conftest import SF_SMALL
+    from threadlake.__main__ import fold, lookup
+    from threadlake.operators.index import build_index
+    from threadlake.plans import bindings as b
+    from threadlake.plans.catalog import load_all
+    from threadlake.sources.index_store import save_index
+
+    qs = load_all()
+    save_index(build_index(b.index_media(spark, SF_SMALL)), str(tmp_path / "idx"))
+    b.thread_pages(spark, SF_SMALL, "decorated").write.parquet(str(tmp_path / "pages"))
+
+    class L:
+        index, pages, out = str(tmp_path / "idx"), str(tmp_path / "pages"), str(tmp_path / "lk")
+    lookup(spark, L)
+    got = spark.read.parquet(L.out).select("file_id", "n_copies", "is_new")
+    want = qs["request_lookup"](spark, SF_SMALL).select("file_id", "n_copies", "is_new")
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+    from threadlake.plans.q_curation import _thread_files
+    b.curation_events(spark, SF_SMALL).write.parquet(str(tmp_path / "ev"))
+    b.sessions(spark, SF_SMALL).write.parquet(str(tmp_path / "s"))
+    _thread_files(spark, SF_SMALL).write.parquet(str(tmp_path / "f"))
+
+    class Fo:
+        events, sessions, files, out = (str(tmp_path / "ev"), str(tmp_path / "s"), str(tmp_path / "f"),
+                                        str(tmp_path / "fold"))
+    fold(spark, Fo)
+    got = spark.read.parquet(Fo.out)
+    want = qs["curation_fold"](spark, SF_SMALL)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
