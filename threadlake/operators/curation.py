@@ -11,8 +11,8 @@ group-bys:
 
 Running counts use the blockwise prefix sums of ``operators.sequence``, so a session
 holding a large share of all events is still spread over many tasks. Only the last
-epoch of each (session, file) decides its final state; an epoch ends at its first
-``remove_file``. Everything else is partial aggregates on (session, epoch) or
+epoch of each (session, file) decides its final state, and a ``remove_file`` in it
+deselects the file. Everything else is partial aggregates on (session, epoch) or
 (session, file) and joins on those keys.
 """
 
@@ -101,26 +101,23 @@ def fold_curation(events: DataFrame, sessions: DataFrame, files: DataFrame,
     if cut:
         ep = cut_lineage(ep)
 
-    # Rows of the deciding epochs, cut at the first remove_file. After the join every
-    # step below is keyed by (session, epoch), so it reuses that one shuffle.
+    # Rows of the deciding epochs. A removed file is not selected whatever else its epoch
+    # holds, so the name and add_anyway are read over the whole epoch; rows after the
+    # remove only matter when there is none. Every step below is keyed by
+    # (session, epoch), so it reuses the one shuffle of the join.
     rows = c.join(ep.select("session_id", "epoch"), ["session_id", "epoch"], "left_semi")
-    rem = rows.where(F.col("kind") == "remove").groupBy("session_id", "epoch").agg(F.min("seq").alias("remove_seq"))
-    live = (rows.join(rem, ["session_id", "epoch"], "left")
-            .where(F.col("remove_seq").isNull() | (F.col("seq") < F.col("remove_seq"))))
-
-    # Name base: the last base-setting row of the epoch; suffixes: text rows after it.
-    per_epoch = live.groupBy("session_id", "epoch").agg(
+    per_epoch = rows.groupBy("session_id", "epoch").agg(
         F.max("sub").alias("last_sub"),
         F.max_by(F.struct("kind", "tog"), F.when(F.col("kind").isin("url", "reset", "reset4ch"), F.col("seq"))).alias("base_row"),
-        F.max(F.col("kind") == "add").alias("added"))
-    suffix = (live.join(per_epoch.select("session_id", "epoch", "last_sub"), ["session_id", "epoch"])
+        F.max(F.col("kind") == "add").alias("added"),
+        F.max(F.col("kind") == "remove").alias("removed"))
+    suffix = (rows.join(per_epoch.select("session_id", "epoch", "last_sub"), ["session_id", "epoch"])
               .where((F.col("kind") == "text") & (F.col("sub") == F.col("last_sub")))
               .groupBy("session_id", "epoch")
               .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(
                   "seq", sanitize_name(py_strip(F.col("value"))).alias("s")))), lambda x: F.concat(F.lit("_"), x["s"])), "")
                    .alias("suffix")))
-    d = (ep.join(per_epoch, ["session_id", "epoch"], "left").join(suffix, ["session_id", "epoch"], "left")
-         .join(rem.select("session_id", "epoch", F.lit(True).alias("removed")), ["session_id", "epoch"], "left"))
+    d = ep.join(per_epoch, ["session_id", "epoch"], "left").join(suffix, ["session_id", "epoch"], "left")
     n4, orig = F.col("file_name_4ch"), F.col("file_name_orig")
     with_orig = F.concat_ws("_", n4, orig)
     base_kind, base_tog = F.col("base_row.kind"), F.col("base_row.tog")
