@@ -120,7 +120,7 @@ def test_fold_matches_sequential_model(spark, seed, block):
     s = spark.createDataFrame(sessions, SESS_DDL)
     f = spark.createDataFrame(files, FILE_DDL)
     e = spark.createDataFrame(events, EV_DDL)
-    got = cu.fold_curation(cu.drop_repeats(e, block_span=block), s, f, block_span=block)
+    got = cu.fold_curation(e, s, f, block_span=block)
     rows = sorted(tuple(r) for r in got.select("session_id", "thread_nr", "file_key", "dl_filename", "is_unique",
                                                "to_download", "removed").collect())
     assert rows == expected
@@ -164,3 +164,23 @@ def test_prefix_sums_blockwise_equal_window(spark):
         wl = Window.partitionBy("k").orderBy("seq")
         want_lag = sorted((r.k, r.seq, r.p) for r in df.select("k", "seq", F.lag("v").over(wl).alias("p")).collect())
         assert sorted((r.k, r.seq, r.p) for r in lag.collect()) == want_lag
+
+
+def test_dedup_prefix_sums_equal_window(spark):
+    from pyspark.sql import Window
+
+    from threadlake.operators.sequence import dedup_prefix_sums
+
+    rnd = random.Random(8)
+    rows, seq = [], 0
+    for _ in range(3000):
+        seq += rnd.randrange(1, 4)
+        rows.append((rnd.randrange(5), seq, rnd.choice("aab"), rnd.randrange(3)))
+    df = spark.createDataFrame(rows, "k INT, seq BIGINT, val STRING, v INT")
+    w = Window.partitionBy("k").orderBy("seq")
+    kept = df.withColumn("p", F.lag("val").over(w)).where(F.col("p").isNull() | (F.col("p") != F.col("val"))).drop("p")
+    want = sorted((r.k, r.seq, r.s) for r in kept.select(
+        "k", "seq", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s")).collect())
+    for span in (1, 3, 17, 1 << 16):
+        got = dedup_prefix_sums(df, ["k"], "seq", "val", {"s": F.col("v")}, block_span=span)
+        assert sorted((r.k, r.seq, r.s) for r in got.collect()) == want, span

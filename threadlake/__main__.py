@@ -54,10 +54,10 @@ def lookup(spark, a) -> None:
 
 
 def fold(spark, a) -> None:
-    from threadlake.operators.curation import drop_repeats, fold_curation
+    from threadlake.operators.curation import fold_curation
 
     ev = spark.read.parquet(a.events)
-    fold_curation(drop_repeats(ev), spark.read.parquet(a.sessions), spark.read.parquet(a.files)) \
+    fold_curation(ev, spark.read.parquet(a.sessions), spark.read.parquet(a.files)) \
         .write.mode("overwrite").parquet(a.out)
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlake.functions import file_key, is_file_url, py_strip, sanitize_name
-from threadlake.operators.sequence import prefix_sums, previous_value
+from threadlake.operators.sequence import dedup_prefix_sums, previous_value
 from threadlake.session import cut_lineage
 
 # The commands recognised in the log (compared after trimming).
@@ -62,7 +62,8 @@ def fold_curation(events: DataFrame, sessions: DataFrame, files: DataFrame,
                   block_span: int | None = None, cut: bool = True) -> DataFrame:
     """Final per-file state of each session.
 
-    ``events(session_id, seq, value)`` (after ``drop_repeats``);
+    ``events(session_id, seq, value)``, raw or after ``drop_repeats`` (repeats are dropped
+    here in the same blockwise pass that numbers the rows; dropping twice changes nothing);
     ``sessions(session_id, thread_nr, unique_only)``;
     ``files(thread_nr, file_key, file_name_4ch, file_name_orig, is_new)`` where ``is_new``
     is the novelty verdict (NULL = unknown, treated as new, as a failed lookup is).
@@ -79,7 +80,7 @@ def fold_curation(events: DataFrame, sessions: DataFrame, files: DataFrame,
     kw = {"block_span": block_span} if block_span else {}
     c = classify(events)
     is_url = (F.col("kind") == "url").cast("int")
-    c = prefix_sums(c, KEYS, "seq", {
+    c = dedup_prefix_sums(c, KEYS, "seq", "value", {
         "epoch": is_url,
         "tog": (F.col("kind") == "toggle").cast("int"),
         "sub": F.col("kind").isin("url", "reset", "reset4ch").cast("int"),

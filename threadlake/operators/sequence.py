@@ -59,3 +59,49 @@ def previous_value(df: DataFrame, keys: Sequence[str], seq: str, col: str, out:
     res = (joined.withColumn(out, F.when(first_in_block, F.col("_prev_block_last")).otherwise(F.lag(col).over(wi)))
            .withColumn(f"{out}_exists", F.when(first_in_block, F.col("_has_prev")).otherwise(F.lit(True))))
     return res.drop(blk, "_prev_block_last", "_has_prev")
+
+
+def dedup_prefix_sums(df: DataFrame, keys: Sequence[str], seq: str, col: str, values: dict[str, Column],
+                      block_span: int = DEFAULT_BLOCK_SPAN) -> DataFrame:
+    """Drop rows whose ``col`` equals the key's previous row, and add inclusive running sums
+    over the rows kept, in one blockwise pass (one full shuffle on ``(key, block)``).
+
+    Inside a block, ``lag`` decides every row but the first, and the running sums cover
+    those rows. The block table (one row per block) carries the block's last value, its
+    first row's value and flags, and the kept totals; a window over it decides each first
+    row against the previous block's last value and gives each block its offset, which
+    is joined back on ``(key, block)``.
+    """
+    keys = list(keys)
+    blk = "_blk"
+    names = list(values)
+    base = df.withColumn(blk, _block(seq, block_span))
+    wi = Window.partitionBy(*keys, blk).orderBy(seq)
+    wir = wi.rowsBetween(Window.unboundedPreceding, 0)
+    first = F.row_number().over(wi) == 1
+    keep_in = ~first & ~F.col(col).eqNullSafe(F.lag(col).over(wi))
+    a = base.select("*", first.alias("_first"), keep_in.alias("_keep_in"),
+                    *[expr.cast("bigint").alias(f"_x_{n}") for n, expr in values.items()])
+    a = a.select("*", *[F.sum(F.when(F.col("_keep_in"), F.col(f"_x_{n}")).otherwise(F.lit(0))).over(wir)
+                        .alias(f"_r_{n}") for n in names])
+    blocks = a.groupBy(*keys, blk).agg(
+        F.max_by(F.col(col), F.col(seq)).alias("_last"),
+        F.min_by(F.struct(F.col(col).alias("v"), *[F.col(f"_x_{n}").alias(n) for n in names]), F.col(seq))
+        .alias("_head"),
+        *[F.sum(F.when(F.col("_keep_in"), F.col(f"_x_{n}")).otherwise(F.lit(0))).alias(f"_t_{n}") for n in names])
+    wb = Window.partitionBy(*keys).orderBy(blk)
+    head_keep = ~F.col("_head.v").eqNullSafe(F.lag("_last").over(wb))
+    b1 = blocks.select(*keys, blk, head_keep.alias("_head_keep"),
+                       *[F.col(f"_head.{n}").alias(f"_h_{n}") for n in names],
+                       *[F.col(f"_t_{n}") for n in names])
+    wbx = wb.rowsBetween(Window.unboundedPreceding, -1)
+    b2 = b1.select(*keys, blk, "_head_keep", *[f"_h_{n}" for n in names],
+                   *[F.coalesce(F.sum(F.col(f"_t_{n}") + F.when(F.col("_head_keep"), F.col(f"_h_{n}")).otherwise(0))
+                                .over(wbx), F.lit(0)).alias(f"_o_{n}") for n in names])
+    j = a.join(b2, [*keys, blk])
+    keep = F.when(F.col("_first"), F.col("_head_keep")).otherwise(F.col("_keep_in"))
+    out = j.where(keep).select(
+        *df.columns,
+        *[(F.col(f"_o_{n}") + F.when(F.col("_head_keep"), F.col(f"_h_{n}")).otherwise(F.lit(0)) + F.col(f"_r_{n}"))
+          .cast("bigint").alias(n) for n in names])
+    return out

@@ -30,7 +30,7 @@ def _events(spark, sf):
 
 
 def _fold(spark, sf, events=None):
-    ev = _events(spark, sf) if events is None else events
+    ev = b.curation_events(spark, sf) if events is None else events
     return cu.fold_curation(ev, b.sessions(spark, sf), _thread_files(spark, sf))
 
 
@@ -79,7 +79,7 @@ def q_unknown_urls(spark, sf):
 @register("selection_resume")
 def q_selection_resume(spark, sf):
     ev = _events(spark, sf)
-    half = (b.curation_events(spark, sf).agg((F.max("seq") / 2).cast("bigint")).scalar())
+    half = b.curation_events(spark, sf).agg((F.max("seq") / 2).cast("bigint")).scalar()
     prior = _fold(spark, sf, ev.where(F.col("seq") < half))
     new = _fold(spark, sf, ev.where(F.col("seq") >= half))
     return cu.resume_selection(prior, new)
