@@ -42,6 +42,12 @@ def files_table(spark, sf):
     return _files(spark, sf)
 
 
+@b.memo
+@b.derived("threads", ("conversations", "documents"))
+def threads_table(spark, sf):
+    return ex.extract_threads(_pages(spark, sf))
+
+
 @register("scan_pages")
 def q_scan_pages(spark, sf):
     p = read_table(spark, sf, "pages")
@@ -118,7 +124,7 @@ def q_relevant_replies(spark, sf):
 @register("thread_report")
 def q_thread_report(spark, sf):
     p, links, f = _graph(spark, sf)
-    t = (ex.extract_threads(_pages(spark, sf)).drop("page_id")
+    t = (threads_table(spark, sf).drop("page_id")
          .join(b.threads(spark, sf).select("thread_nr", "folder_name"), "thread_nr")
          .join(f.select("thread_nr"), "thread_nr", "left_semi"))
     fetched = f.select("thread_nr", "post_nr", "pos", "file_ext", "file_size", "file_res", "file_md5_b64",
