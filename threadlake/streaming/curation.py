@@ -98,12 +98,23 @@ def _fold_session(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Itera
     yield pd.DataFrame(rows, columns=[f.name for f in OUT_SCHEMA.fields])
 
 
+def _ship_by_value() -> None:
+    """Pickle this module's state function by value, so executors need not have the
+    package installed (its only imports on the worker are pandas and PySpark)."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def curation_updates(events: DataFrame, sessions: DataFrame, files: DataFrame) -> DataFrame:
     """Streaming (or batch) ``events(session_id, seq, value)`` -> update rows (see module doc).
 
     ``sessions(session_id, thread_nr, unique_only)`` and
     ``files(thread_nr, file_key, file_name_4ch, file_name_orig, is_new)`` are static.
     """
+    _ship_by_value()
     c = classify(events).join(sessions.select("session_id", "thread_nr", "unique_only"), "session_id", "left")
     f = files.select("thread_nr", "file_key", "file_name_4ch", "file_name_orig", "is_new")
     x = c.join(f, ["thread_nr", "file_key"], "left").select(
