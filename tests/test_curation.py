@@ -184,3 +184,14 @@ def test_dedup_prefix_sums_equal_window(spark):
     for span in (1, 3, 17, 1 << 16):
         got = dedup_prefix_sums(df, ["k"], "seq", "val", {"s": F.col("v")}, block_span=span)
         assert sorted((r.k, r.seq, r.s) for r in got.collect()) == want, span
+
+
+def test_stored_name_golden(spark):
+    # A copied file URL, then free text: the text is sanitised and appended to the server name.
+    s = spark.createDataFrame([(1, "t", False)], SESS_DDL)
+    f = spark.createDataFrame([("t", "p/1579558670830.jpg", "1579558670830", "DSC_001", None)], FILE_DDL)
+    e = spark.createDataFrame([(1, 1, "https://i.4cdn.org/p/1579558670830.jpg"),
+                               (1, 2, "Fomapan 200, shot on a Pentax K1000 ")], EV_DDL)
+    row = cu.fold_curation(e, s, f).collect()[0]
+    assert row.dl_filename == "1579558670830_Fomapan 200_ shot on a Pentax K1000"
+    assert row.to_download and not row.removed
