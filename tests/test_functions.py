@@ -159,3 +159,11 @@ def test_sql_functions_equal_column_helpers(spark):
         via_col = df.select(*cols, helper(*[F.col(c) for c in cols]).alias("r"))
         via_sql = df.selectExpr(*cols, f"{name}({', '.join(cols)}) AS r")
         assert sorted(map(tuple, via_col.collect()), key=repr) == sorted(map(tuple, via_sql.collect()), key=repr), name
+
+
+def test_report_layout_golden(spark):
+    df = spark.createDataFrame([(1,), (2,), (3,)], "lvl INT")
+    rows = df.orderBy("lvl").select(tf.rule_line(F.col("lvl")).alias("r"),
+                                    tf.indent_line(F.lit(">>410169605"), F.col("lvl")).alias("l")).collect()
+    assert [r.r for r in rows] == ["       __________", "            __________", "                 __________"]
+    assert [r.l for r in rows] == [">      >>410169605", ">           >>410169605", ">                >>410169605"]
