@@ -58,27 +58,34 @@ def _node_edges(posts: DataFrame, links: DataFrame, files: DataFrame) -> DataFra
 
 
 def reply_tree(posts: DataFrame, links: DataFrame, files: DataFrame, roots: DataFrame,
-               max_level: int = 3) -> DataFrame:
+               max_level: int = 3, cut: bool = True) -> DataFrame:
     """Every reply path below each root, depth <= ``max_level``.
 
     A node is *shown* iff its message is non-empty; the walk descends from a node iff it
     has backlinks, the next level is within bounds, and not (no message and a file).
     One join per level (a fixed number of rounds). Returns thread_nr, root_nr, level,
     path (pre-order sort key), node_nr, shown.
+
+    ``cut``: the edge table and each level are written once to the shared checkpoint
+    folder, so level k is read (not recomputed) by level k+1 and by the final union, and
+    the lineage of a round never includes the earlier rounds.
     """
-    e = _node_edges(posts, links, files)
-    frontier = (roots.select("thread_nr", F.col("post_nr").alias("parent_nr"))
-                .join(e, ["thread_nr", "parent_nr"])
-                .select("thread_nr", F.col("parent_nr").alias("root_nr"), F.lit(1).alias("level"),
-                        F.col("seg").alias("path"), "node_nr", "has_msg", "has_file"))
+    from threadlake.session import cut_lineage
+
+    keep = cut_lineage if cut else (lambda df: df)
+    e = keep(_node_edges(posts, links, files))
+    frontier = keep(roots.select("thread_nr", F.col("post_nr").alias("parent_nr"))
+                    .join(e, ["thread_nr", "parent_nr"])
+                    .select("thread_nr", F.col("parent_nr").alias("root_nr"), F.lit(1).alias("level"),
+                            F.col("seg").alias("path"), "node_nr", "has_msg", "has_file"))
     levels = [frontier]
     for lvl in range(2, max_level + 1):
         go = frontier.where(F.col("has_msg") | ~F.col("has_file")) \
             .select("thread_nr", "root_nr", F.col("path").alias("ppath"), F.col("node_nr").alias("parent_nr"))
-        frontier = (go.join(e, ["thread_nr", "parent_nr"])
-                    .select("thread_nr", "root_nr", F.lit(lvl).alias("level"),
-                            F.concat(F.col("ppath"), F.lit("/"), F.col("seg")).alias("path"),
-                            "node_nr", "has_msg", "has_file"))
+        frontier = keep(go.join(e, ["thread_nr", "parent_nr"])
+                        .select("thread_nr", "root_nr", F.lit(lvl).alias("level"),
+                                F.concat(F.col("ppath"), F.lit("/"), F.col("seg")).alias("path"),
+                                "node_nr", "has_msg", "has_file"))
         levels.append(frontier)
     out = levels[0]
     for lv in levels[1:]:
