@@ -174,3 +174,22 @@ def test_cli_lookup_and_fold(spark, tmp_path):
     got = spark.read.parquet(Fo.out)
     want = qs["curation_fold"](spark, SF_SMALL)
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_bucketed_index_lookup_skips_index_shuffle(spark, tmp_path):
+    from conftest import SF_SMALL
+    from threadlake.operators.index import build_index, lookup_duplicates
+    from threadlake.plans import bindings as b
+    from threadlake.sources.index_store import save_index_table
+
+    idx = build_index(b.index_media(spark, SF_SMALL))
+    save_index_table(idx, "tl_index_bucketed", buckets=8, path=str(tmp_path / "bucketed"))
+    table = spark.table("tl_index_bucketed")
+    cand = b.candidates(spark, SF_SMALL)
+    res = lookup_duplicates(cand, table)
+    want = lookup_duplicates(cand, idx)
+    assert res.exceptAll(want).count() == 0 and want.exceptAll(res).count() == 0
+    plan = res._jdf.queryExecution().executedPlan().toString()
+    # Only the candidate side is shuffled.
+    assert plan.count("Exchange hashpartitioning") == 1
+    spark.sql("DROP TABLE tl_index_bucketed")

@@ -59,3 +59,15 @@ def load_run_state(spark: SparkSession, path: str) -> DataFrame:
 def write_text(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """A one-column text sink (``overwrite`` or ``append``)."""
     df.select(F.col(df.columns[0]).cast("string").alias("value")).write.mode(mode).text(path)
+
+
+def save_index_table(index: DataFrame, table: str, buckets: int = 64, path: str | None = None) -> None:
+    """The index as a catalog table bucketed and sorted on its key ``(ext, size_mb,
+    md5_b64)``: grouping it per key and joining candidates to it then shuffle only the
+    candidate side (the index side is already co-located by bucket). ``path`` makes it
+    an external table at that location."""
+    w = (index.select(*INDEX_KEYS, "path").write.mode("overwrite")
+         .bucketBy(buckets, *INDEX_KEYS).sortBy(*INDEX_KEYS))
+    if path:
+        w = w.option("path", path)
+    w.saveAsTable(table)
