@@ -105,6 +105,28 @@ def q_request_lookup(spark, sf):
         "file_id", "ext", "size_mb", "md5_b64", "n_copies", "first_path", "is_new")
 
 
+@register("fetch_outcomes")
+def q_fetch_outcomes(spark, sf):
+    """The thread's whole course: curated selection -> fetch log verdicts -> routes, and the
+    manifest line of each fetched file (its declared digest, even when it failed)."""
+    from threadlake.operators.manifest import manifest_line
+
+    sel = _fold(spark, sf).where(F.col("to_download"))
+    files = _thread_files(spark, sf).select("thread_nr", "file_key", "file_name_4ch", "ext", "md5_b64")
+    res = ig.resolve_attempts(b.attempts(spark, sf)).withColumnRenamed("file_key", "attempt_key")
+    folders = b.threads(spark, sf).select("thread_nr", "folder_name")
+    x = (sel.join(files, ["thread_nr", "file_key"])
+         .withColumn("attempt_key", (F.col("file_name_4ch").cast("bigint") - b.NAME_4CH_BASE).cast("string"))
+         .join(res, "attempt_key", "left")
+         .join(folders, "thread_nr"))
+    routed = ig.route_outcomes(x)
+    line = manifest_line(tf.b64_to_hex(F.col("md5_b64")),
+                         F.format_string("%s/%s.%s", "folder_name", "dl_filename", "ext"))
+    return routed.select("session_id", "thread_nr", "file_key", "dl_filename", "n_attempts", "dl_success",
+                         "md5_match", "to_report", "to_index", "to_quarantine",
+                         F.when(F.col("to_report"), line).alias("manifest_line"))
+
+
 @register("resume_pending")
 def q_resume_pending(spark, sf):
     t = _threads_unique(spark, sf)

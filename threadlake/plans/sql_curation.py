@@ -176,3 +176,17 @@ FROM v_drop d JOIN v_sessions s ON s.session_id = d.session_id
 WHERE regexp_matches(d.value, {FILE_RE})
   AND NOT EXISTS (SELECT 1 FROM v_files f WHERE f.thread_nr = s.thread_nr
                   AND f.file_key = regexp_replace(d.value, {HOST_RE}, ''))""", "v_drop", "v_sessions", "v_files")
+
+query("fetch_outcomes", """
+SELECT f.session_id, f.thread_nr, f.file_key, f.dl_filename, r.n_attempts, r.dl_success, r.md5_match,
+       COALESCE(r.dl_success, false) AS to_report,
+       COALESCE(r.dl_success, false) AND COALESCE(r.md5_match, false) AS to_index,
+       COALESCE(r.dl_success, false) AND NOT COALESCE(r.md5_match, true) AS to_quarantine,
+       CASE WHEN COALESCE(r.dl_success, false)
+            THEN lower(hex(from_base64(ff.file_md5_b64))) || ' *' || t.folder_name || '/' || f.dl_filename
+                 || '.' || ff.file_ext END AS manifest_line
+FROM v_fold f
+JOIN v_fold_files ff ON ff.thread_nr = f.thread_nr AND ff.file_key = f.file_key
+JOIN v_threads t ON t.thread_nr = f.thread_nr
+LEFT JOIN v_resolved r ON r.file_key = CAST(CAST(ff.file_name_4ch AS BIGINT) - 1500000000000 AS VARCHAR)
+WHERE f.to_download""", "v_fold", "v_fold_files", "v_threads", "v_resolved")
