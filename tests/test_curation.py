@@ -195,3 +195,20 @@ def test_stored_name_golden(spark):
     row = cu.fold_curation(e, s, f).collect()[0]
     assert row.dl_filename == "1579558670830_Fomapan 200_ shot on a Pentax K1000"
     assert row.to_download and not row.removed
+
+
+def test_stream_restart_keeps_state(spark, tmp_path):
+    from threadlake.streaming.curation import run_curation_stream
+
+    sessions, files, events, expected = random_case(21, n_sessions=10)
+    s = spark.createDataFrame(sessions, SESS_DDL)
+    f = spark.createDataFrame(files, FILE_DDL)
+    events.sort(key=lambda r: r[1])
+    half = len(events) // 2
+    src, sink, ck = str(tmp_path / "ev"), str(tmp_path / "sink"), str(tmp_path / "ck")
+    spark.createDataFrame(events[:half], EV_DDL).coalesce(1).write.mode("append").parquet(src)
+    run_curation_stream(spark, src, s, f, sink, ck)
+    # Restart from the same checkpoint after more of the log has arrived.
+    spark.createDataFrame(events[half:], EV_DDL).coalesce(1).write.mode("append").parquet(src)
+    out = run_curation_stream(spark, src, s, f, sink, ck)
+    assert sorted(tuple(r) for r in out.collect()) == expected
