@@ -212,3 +212,25 @@ def test_stream_restart_keeps_state(spark, tmp_path):
     spark.createDataFrame(events[half:], EV_DDL).coalesce(1).write.mode("append").parquet(src)
     out = run_curation_stream(spark, src, s, f, sink, ck)
     assert sorted(tuple(r) for r in out.collect()) == expected
+
+
+def test_hot_session_blockwise(spark):
+    """One session holds a third of 150k log rows: the blockwise pass (blocks of 4096 seq
+    values) equals a plain per-session window, and no block holds more than 4096 rows."""
+    from pyspark.sql import Window
+
+    from threadlake.operators.sequence import dedup_prefix_sums
+
+    n = 150_000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 97 + 1).alias("k"),
+        F.col("id").alias("seq"),
+        (F.col("id") * 7 % 5 < 2).cast("string").alias("val"),
+        (F.col("id") % 4).cast("int").alias("v"))
+    w = Window.partitionBy("k").orderBy("seq")
+    kept = df.withColumn("p", F.lag("val").over(w)).where(F.col("p").isNull() | (F.col("p") != F.col("val")))
+    want = kept.select("k", "seq", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"))
+    got = dedup_prefix_sums(df, ["k"], "seq", "val", {"s": F.col("v")}, block_span=4096).select("k", "seq", "s")
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    biggest = df.groupBy("k", F.floor(F.col("seq") / 4096)).count().agg(F.max("count")).first()[0]
+    assert biggest <= 4096
