@@ -24,9 +24,10 @@ def _post(nr, msg_html, file_html="", op=False):
 def _file(nr, href, link_text, size="128 KB", res="620x465", title=None, div_title=None):
     t = f' title="{title}"' if title else ""
     dt = f' title="{div_title}"' if div_title else ""
+    thumb_cls = "fileThumb imgspoiler" if div_title else "fileThumb"
     return (f'<div class="file" id="f{nr}"><div class="fileText" id="fT{nr}"{dt}>File: '
             f'<a href="{href}" target="_blank"{t}>{link_text}</a> ({size}, {res})</div>'
-            f'<a class="fileThumb" href="{href}" target="_blank"><img src="//i.4cdn.org/g/{nr}s.jpg" '
+            f'<a class="{thumb_cls}" href="{href}" target="_blank"><img src="//i.4cdn.org/g/{nr}s.jpg" '
             f'alt="{size}" data-md5="gUkUw0o1n7cI+w0x8LWj2w==" style="height: 1px;"></a></div>')
 
 
@@ -57,7 +58,7 @@ def test_page_edge_rows(spark):
     f = {r.post_nr: r for r in ex.extract_files(pages).collect()}
     assert sorted(f) == ["1", "3", "7"]
     assert (f["1"].file_name_orig, f["1"].file_ext, f["1"].file_key) == ("a.b.c", "jpg", "g/111.jpg")
-    assert f["3"].file_name_orig == "secret.png"
+    assert f["3"].file_name_orig == "secret.png" and f["3"].file_md5_b64 == "gUkUw0o1n7cI+w0x8LWj2w=="
     assert (f["7"].file_name_orig, f["7"].file_size) == ("a very long original name", "2.8 MB")
     rej = {r.post_nr: r.reason for r in ex.file_rejects(pages).collect()}
     assert rej == {"4": "file_line_unparsed", "6": "file_name_not_one_dot"}

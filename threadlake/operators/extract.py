@@ -30,7 +30,7 @@ QUOTE_LINK = r'<a (?=[^>]*class="quotelink")[^>]*href="#p([^"]*)"'
 FILE_DIV = r'<div class="file"'
 FILE_TEXT = r'(?s)<div class="fileText"([^>]*)>(.*?)</div>'
 LINK = r'(?s)<a ([^>]*)>(.*?)</a>'
-THUMB_IMG = r'<a class="fileThumb"[^>]*><img ([^>]*)>'
+THUMB_IMG = r'<a class="fileThumb(?: [^"]*)?"[^>]*><img ([^>]*)>'
 FILE_INFO = r'(?s)<span class="file-info">(.*?)</span>'
 # Decorated page file line: "File: name.ext (Spoiler, 2.8 MB, 1280x720)".
 REQUEST_LINE = r"^(?:File: )?(.+) \((?:Spoiler, )?([\d\.]+ [KMB]+),"

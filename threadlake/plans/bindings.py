@@ -43,6 +43,19 @@ HEX_DIGITS = "0123456789abcdef"
 BYTES_PER_CHAR = 64
 
 
+@functools.lru_cache(maxsize=1)
+def code_tag() -> str:
+    """Digest of the package's source: a derived table written by older code is not reused."""
+    import hashlib
+    import pathlib
+
+    root = pathlib.Path(__file__).resolve().parents[1]
+    h = hashlib.sha1()
+    for f in sorted(root.rglob("*.py")):
+        h.update(f.read_bytes())
+    return h.hexdigest()[:12]
+
+
 def derived(name: str, inputs: tuple[str, ...]):
     """Write the view once per input folder into the shared checkpoint folder and read it
     back (see ``sources.materialize``); rebuilt when the formula version or an input
@@ -53,7 +66,7 @@ def derived(name: str, inputs: tuple[str, ...]):
             from threadlake.sources.materialize import input_signature, materialize
 
             paths = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in inputs]
-            key = f"{BINDINGS_VERSION}|{sf_dir}|{args}|{input_signature(spark, paths)}"
+            key = f"{BINDINGS_VERSION}|{code_tag()}|{sf_dir}|{args}|{input_signature(spark, paths)}"
             return materialize(spark, lambda: fn(spark, sf_dir, *args), name, key)
         return wrapper
     return deco
@@ -301,7 +314,7 @@ def thread_pages_table(spark: SparkSession, sf_dir: str, variant: str = "plain")
     from threadlake.sources.materialize import input_signature
 
     inputs = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in ("conversations", "documents")]
-    key = f"{BINDINGS_VERSION}|{sf_dir}|{input_signature(spark, inputs)}"
+    key = f"{BINDINGS_VERSION}|{code_tag()}|{sf_dir}|{input_signature(spark, inputs)}"
     return materialize(spark, lambda: thread_pages(spark, sf_dir, variant), f"thread-pages-{variant}", key)
 
 

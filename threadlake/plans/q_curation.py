@@ -158,7 +158,7 @@ def q_curation_stream(spark, sf):
     # Stage the log once as files the stream source can read, ordered by seq.
     from threadlake.sources.materialize import input_signature
 
-    key = f"{b.BINDINGS_VERSION}|{sf}|" + input_signature(spark, [f"{sf.rstrip('/')}/{t}.parquet" for t in ("events", "documents")])
+    key = f"{b.BINDINGS_VERSION}|{b.code_tag()}|{sf}|" + input_signature(spark, [f"{sf.rstrip('/')}/{t}.parquet" for t in ("events", "documents")])
     materialize(spark, lambda: b.curation_events(spark, sf).select("session_id", "seq", "value")
                 .repartitionByRange(1, "seq").sortWithinPartitions("seq"), "curation-log", key)
     src = table_path(spark, "curation-log", key)
