@@ -39,7 +39,7 @@ def test_dedupe_and_index_upkeep_restart(spark, tmp_path):
         si.maintain_index(si.dedupe_verified(stream), index_path, ck).awaitTermination()
 
     run()
-    got = sorted((r.ext, r.md5_b64) for r in st.load_index(spark, index_path).collect())
+    got = sorted((r.ext, r.md5_b64) for r in si.current_index(spark, index_path).collect())
     assert got == [("jpg", "AAA"), ("png", "CCC")]
     # Restart from the checkpoint: only the new file is processed; a digest already seen
     # within the watermark is dropped again.
@@ -47,8 +47,13 @@ def test_dedupe_and_index_upkeep_restart(spark, tmp_path):
                            ("jpg", Decimal("0.12"), "AAA", "c/1.jpg", t0)], ddl) \
         .coalesce(1).write.mode("append").parquet(str(src))
     run()
-    got = sorted((r.ext, r.md5_b64) for r in st.load_index(spark, index_path).collect())
+    got = sorted((r.ext, r.md5_b64) for r in si.current_index(spark, index_path).collect())
     assert got == [("gif", "DDD"), ("jpg", "AAA"), ("png", "CCC")]
+    # The base snapshot and the additions together form the current index.
+    base = str(tmp_path / "base")
+    st.save_index(spark.createDataFrame([("webm", Decimal("2.80"), "EEE", "z/9.webm")],
+                                        "ext STRING, size_mb DECIMAL(12,2), md5_b64 STRING, path STRING"), base)
+    assert si.current_index(spark, index_path, base).count() == 4
 
 
 def test_text_and_run_state_sinks(spark, tmp_path):

@@ -21,12 +21,16 @@ def dedupe_verified(verified: DataFrame, event_time: str = "ts", delay: str = "1
     return verified.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(INDEX_KEYS))
 
 
-def maintain_index(verified: DataFrame, index_path: str, checkpoint: str, trigger_available_now: bool = True):
-    """T4/T5: append each micro-batch of verified files ``(ext, size_mb, md5_b64, path)`` to
-    the Parquet index (partitioned by ext). Restartable from ``checkpoint``; a batch that is
-    replayed after a failure is written again only if it had not committed."""
+def maintain_index(verified: DataFrame, additions_path: str, checkpoint: str, trigger_available_now: bool = True):
+    """T4/T5: write each micro-batch of verified files ``(ext, size_mb, md5_b64, path)`` to
+    ``additions_path/batch_id=<epoch>/ext=<ext>/``. Restartable from ``checkpoint``. The
+    write replaces its own batch folder (dynamic partition overwrite), so a batch replayed
+    after a failure is written exactly once. The current index is the base snapshot
+    united with the additions (``current_index``)."""
     def write_batch(df: DataFrame, epoch_id: int) -> None:
-        (df.select(*INDEX_KEYS, "path").write.mode("append").partitionBy("ext").parquet(index_path))
+        (df.select(*INDEX_KEYS, "path").withColumn("batch_id", F.lit(epoch_id).cast("bigint"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("batch_id", "ext").parquet(additions_path))
 
     w = verified.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     if trigger_available_now:
@@ -34,8 +38,10 @@ def maintain_index(verified: DataFrame, index_path: str, checkpoint: str, trigge
     return w.start()
 
 
-def current_index(spark, index_path: str) -> DataFrame:
-    return load_index(spark, index_path)
+def current_index(spark, additions_path: str, base_path: str | None = None) -> DataFrame:
+    """The stream's additions, plus the base snapshot when given."""
+    add = load_index(spark, additions_path)
+    return add if base_path is None else load_index(spark, base_path).unionByName(add)
 
 
 def index_counts(index: DataFrame) -> DataFrame:
