@@ -119,3 +119,10 @@ def test_scan_media_prunes_and_filters(spark, tmp_path):
     (tmp_path / "x_files" / "3.png").write_bytes(b"four")
     got = {r.path: (r.ext, r.size_bytes, r.md5_b64) for r in scan_media(spark, str(tmp_path)).collect()}
     assert got == {"a/1.jpg": ("jpg", 3, base64.b64encode(hashlib.md5(b"one").digest()).decode())}
+
+
+def test_one_pass_rows_equal_separate_extraction(spark):
+    pages = b.thread_pages(spark, SF_SMALL)
+    rows = ex.extract_post_rows(pages)
+    for a, c in ((ex.posts_of(rows), ex.extract_posts(pages)), (ex.files_of(rows), ex.extract_files(pages))):
+        assert a.exceptAll(c).count() == 0 and c.exceptAll(a).count() == 0

@@ -112,8 +112,12 @@ def quote_edges(posts: DataFrame) -> DataFrame:
         .withColumn("quote_pos", F.col("quote_pos").cast("int"))
 
 
-def _file_fields(pages: DataFrame) -> DataFrame:
-    c = parse_containers(pages).where(F.col("frag").contains(FILE_DIV))
+FILE_FIELDS = ("present", "file_url", "file_name_4ch", "file_ext", "one_dot", "file_name_orig", "file_size",
+               "file_res", "file_thumb_url", "file_md5_b64", "file_key")
+
+
+def _file_columns():
+    """File-block fields of a container fragment ``frag`` (see ``FILE_FIELDS``)."""
     ft = F.regexp_extract("frag", FILE_TEXT, 0)
     div_attrs = F.regexp_extract("frag", FILE_TEXT, 1)
     inner = F.regexp_extract("frag", FILE_TEXT, 2)
@@ -127,8 +131,7 @@ def _file_fields(pages: DataFrame) -> DataFrame:
     orig = F.when(spoiler, F.coalesce(_attr(div_attrs, "title"), orig0)).otherwise(orig0)
     size, res = file_text_parts(inner_text(inner))
     url = F.concat(F.lit("https:"), href)
-    return c.select(
-        "page_id", "thread_nr", "post_nr", "pos",
+    return [
         (ft != "").alias("present"),
         url.alias("file_url"),
         F.regexp_extract(fname, r"^([^.]*)\.([^.]*)$", 1).alias("file_name_4ch"),
@@ -140,9 +143,47 @@ def _file_fields(pages: DataFrame) -> DataFrame:
         F.concat(F.lit("https:"), _attr(img, "src")).alias("file_thumb_url"),
         _attr(img, "data-md5").alias("file_md5_b64"),
         file_key(url).alias("file_key"),
+    ]
+
+
+def _file_fields(pages: DataFrame) -> DataFrame:
+    c = parse_containers(pages).where(F.col("frag").contains(FILE_DIV))
+    return c.select("page_id", "thread_nr", "post_nr", "pos", *_file_columns())
+
+
+def extract_post_rows(pages: DataFrame) -> DataFrame:
+    """One pass over the pages: every post with its message fields and, when it has a file
+    block, the file fields (NULL otherwise). ``posts_of`` / ``files_of`` / ``rejects_of``
+    project it, so a crawl is parsed once however many tables are derived from it."""
+    c = parse_containers(pages)
+    msg_html = F.regexp_extract("frag", MESSAGE, 1)
+    has_block = F.col("frag").contains(FILE_DIV)
+    return c.select(
+        "page_id", "thread_nr", "post_nr", "pos", "utc",
+        html_text(msg_html).alias("post_msg"),
+        F.regexp_extract_all(msg_html, F.lit(QUOTE_LINK), 1).alias("quotes"),
+        has_block.alias("has_file_block"),
+        *[F.when(has_block, col).alias(name) for name, col in zip(FILE_FIELDS, _file_columns())],
     )
 
 
+def posts_of(rows: DataFrame) -> DataFrame:
+    return rows.select("page_id", "thread_nr", "post_nr", "pos", "utc", "post_msg", "quotes", "has_file_block")
+
+
+def files_of(rows: DataFrame) -> DataFrame:
+    """Live, parseable files (see ``extract_files``) from ``extract_post_rows`` output."""
+    return _live_files(rows.where("has_file_block"))
+
+
+def _live_files(f: DataFrame) -> DataFrame:
+    ok = F.col("present") & F.col("one_dot") & F.col("file_size").isNotNull()
+    return f.where(ok).select(
+        "page_id", "thread_nr", "post_nr", "pos", "file_key", "file_url", "file_name_4ch", "file_ext",
+        "file_name_orig", "file_size", "file_res", "file_thumb_url", "file_md5_b64",
+        F.lit(False).alias("to_download"), F.lit(False).alias("downloaded"))
+
+
 def extract_files(pages: DataFrame) -> DataFrame:
     """File rows of posts with a live file (deleted files have no row)."""
     f = _file_fields(pages)

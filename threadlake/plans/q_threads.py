@@ -29,17 +29,22 @@ def _files(spark, sf):
 
 
 @b.memo
-@b.derived("posts", ("conversations", "documents"))
+@b.derived("post-rows", ("conversations", "documents"))
+def post_rows_table(spark, sf):
+    """Posts with their file fields, parsed from the pages in one pass and written once:
+    the graph, report and curation jobs read projections of it instead of parsing every
+    page again for each of their branches."""
+    return ex.extract_post_rows(_pages(spark, sf))
+
+
+@b.memo
 def posts_table(spark, sf):
-    """Extracted posts, written once: the graph and report jobs read this table instead of
-    parsing every page again for each of their branches."""
-    return _posts(spark, sf)
+    return ex.posts_of(post_rows_table(spark, sf))
 
 
 @b.memo
-@b.derived("files", ("conversations", "documents"))
 def files_table(spark, sf):
-    return _files(spark, sf)
+    return ex.files_of(post_rows_table(spark, sf))
 
 
 @b.memo
