@@ -129,6 +129,14 @@ def bucket_stats(index: DataFrame) -> DataFrame:
                  F.count_if(F.col("n_files") > 1).alias("n_shared_buckets")))
 
 
+def bucket_occupancy(index: DataFrame) -> DataFrame:
+    """A3: per size bucket, files and distinct digests (a bucket holding more than one
+    digest is one the size key alone cannot settle). The distinct count is planned as a
+    two-phase aggregate, so a hot bucket is not counted in one task."""
+    return index.groupBy("ext", "size_mb").agg(
+        F.count(F.lit(1)).alias("n_files"), F.countDistinct("md5_b64").alias("n_digests"))
+
+
 def index_directories(index: DataFrame) -> DataFrame:
     """A5: distinct parent directories of indexed paths."""
     return index.select(dirname(F.col("path")).alias("dir")).distinct()

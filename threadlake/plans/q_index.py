@@ -38,6 +38,11 @@ def q_bucket_stats(spark, sf):
     return ix.bucket_stats(_index(spark, sf))
 
 
+@register("bucket_occupancy")
+def q_bucket_occupancy(spark, sf):
+    return ix.bucket_occupancy(_index(spark, sf))
+
+
 @register("index_dirs")
 def q_index_dirs(spark, sf):
     return ix.index_directories(_index(spark, sf))
