@@ -165,3 +165,25 @@ def q_curation_stream(spark, sf):
     run = table_path(spark, f"curation-stream-{uuid.uuid4().hex}", sf)
     return run_curation_stream(spark, src, b.sessions(spark, sf), _thread_files(spark, sf),
                                f"{run}/sink", f"{run}/checkpoint")
+
+
+@register("live_novelty")
+def q_live_novelty(spark, sf):
+    """Thread files arriving as a stream, each flagged new or seen against the stored
+    index (stream-static join), drained with ``availableNow`` into a Parquet sink."""
+    import uuid
+
+    from threadlake.sources.materialize import input_signature, materialize, table_path
+    from threadlake.streaming.index import novelty_stream
+
+    key = f"{b.BINDINGS_VERSION}|{b.code_tag()}|{sf}|" + input_signature(
+        spark, [f"{sf.rstrip('/')}/{t}.parquet" for t in ("conversations", "documents")])
+    cols = ["thread_nr", "file_key", "ext", "size_mb", "md5_b64"]
+    staged = materialize(spark, lambda: _thread_files(spark, sf).select(*cols), "arriving-files", key)
+    run = table_path(spark, f"live-novelty-{uuid.uuid4().hex}", sf)
+    stream = spark.readStream.schema(staged.schema).parquet(table_path(spark, "arriving-files", key))
+    q = (novelty_stream(stream, ix.build_index(b.index_media(spark, sf))).select("thread_nr", "file_key", "is_new")
+         .writeStream.format("parquet").option("path", f"{run}/sink").option("checkpointLocation", f"{run}/ck")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.schema("thread_nr STRING, file_key STRING, is_new BOOLEAN").parquet(f"{run}/sink")

@@ -190,3 +190,7 @@ JOIN v_fold_files ff ON ff.thread_nr = f.thread_nr AND ff.file_key = f.file_key
 JOIN v_threads t ON t.thread_nr = f.thread_nr
 LEFT JOIN v_resolved r ON r.file_key = CAST(CAST(ff.file_name_4ch AS BIGINT) - 1500000000000 AS VARCHAR)
 WHERE f.to_download""", "v_fold", "v_fold_files", "v_threads", "v_resolved")
+
+query("live_novelty", """
+SELECT thread_nr, file_key, CASE WHEN size_unknown THEN NULL ELSE is_new0 END AS is_new
+FROM v_fold_files""", "v_fold_files")
