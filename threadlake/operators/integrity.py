@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadlake.functions import digest_equal
+from threadlake.functions import b64_to_hex, digest_equal
 
 # Fixed value: retries after the first attempt.
 RETRIES = 1
@@ -91,3 +91,17 @@ def integrity_report(failed: DataFrame, key: str = "thread_nr", item: str = "fil
     body = failed.select(key, F.concat(F.lit("1"), F.col(order).cast("string")).alias("line_key"),
                          F.col(item).cast("string").alias("line"))
     return head.unionByName(body)
+
+
+def verify_stored(spark, root: str, declared: DataFrame, exts=None) -> DataFrame:
+    """J6 over files on disk: scan ``root`` (content digests computed in the scan tasks)
+    and compare with ``declared(path, declared_b64)``; paths are relative to ``root``.
+    Declared files missing on disk come out with ``md5_match = NULL``."""
+    from threadlake.functions.urls import VALID_FILE_EXT
+    from threadlake.sources.media import scan_media
+
+    scan = scan_media(spark, root, exts or VALID_FILE_EXT).select(
+        "path", b64_to_hex(F.col("md5_b64")).alias("actual_hex"))
+    return (declared.join(scan, "path", "left")
+            .withColumn("md5_match", F.when(F.col("actual_hex").isNotNull(),
+                                            digest_equal(F.col("declared_b64"), F.col("actual_hex")))))
