@@ -147,11 +147,10 @@ def test_sql_functions_equal_column_helpers(spark):
                    "https://boards.4chan.org/gif/thread/1", "x:y?", " é (ok)_-! ", "a<br>b &amp; &lt;c&gt;",
                    "", "name.with.dots", "814914c34a359fb708fb0d31f0b5a3db", "1x1.", "3.", "file.JPG"],
         "INT": [0, 1, 3],
-        "TIMESTAMP": None,
+        "TIMESTAMP": [__import__("datetime").datetime(2018, 3, 18, 23, 59, 59),
+                      __import__("datetime").datetime(2024, 1, 1, 0, 0, 0)],
     }
     for name, (helper, args, _ret) in SQL_FUNCTIONS.items():
-        if any(t == "TIMESTAMP" for _, t in args):
-            continue
         cols = [a for a, _ in args]
         import itertools
         rows = list(itertools.product(*[samples[t] for _, t in args]))
