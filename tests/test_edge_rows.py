@@ -194,3 +194,22 @@ def test_bucketed_index_lookup_skips_index_shuffle(spark, tmp_path):
     # Only the candidate side is shuffled.
     assert plan.count("Exchange hashpartitioning") == 1
     spark.sql("DROP TABLE tl_index_bucketed")
+
+
+def test_cli_watch(spark, tmp_path):
+    from threadlake.__main__ import watch
+
+    spark.createDataFrame([(1, "t", False)], "session_id BIGINT, thread_nr STRING, unique_only BOOLEAN") \
+        .write.parquet(str(tmp_path / "s"))
+    spark.createDataFrame([("t", "b/1.jpg", "1", "orig", None)],
+                          "thread_nr STRING, file_key STRING, file_name_4ch STRING, file_name_orig STRING, "
+                          "is_new BOOLEAN").write.parquet(str(tmp_path / "f"))
+    spark.createDataFrame([(1, 1, "//is2.4chan.org/b/1.jpg"), (1, 2, "toggle_use_orig_fn"), (1, 3, "reset_filename")],
+                          "session_id BIGINT, seq BIGINT, value STRING").coalesce(1).write.parquet(str(tmp_path / "ev"))
+
+    class W:
+        events, sessions, files = str(tmp_path / "ev"), str(tmp_path / "s"), str(tmp_path / "f")
+        out, checkpoint = str(tmp_path / "out"), str(tmp_path / "ck")
+    watch(spark, W)
+    row = spark.read.parquet(f"{W.out}/selection").collect()[0]
+    assert (row.file_key, row.dl_filename, row.to_download) == ("b/1.jpg", "1_orig", True)
