@@ -200,10 +200,10 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, kind: str, width: int, g
     covered = found.join(owners, ["gram", "context"]).where("doc > owner").select("doc", "context", F.lit(-1).cast("bigint").alias("mask"))
     covered = scratch.write(covered, "covered")
     scratch.drop("found")
-    several = owners.groupBy("gram").agg(F.min("context").alias("low"), F.max("context").alias("high"), F.count("*").alias("n")).where("low < high").select("gram", "n")
+    several = scratch.write(owners.groupBy("gram").agg(F.min("context").alias("low"), F.max("context").alias("high"), F.count("*").alias("n")).where("low < high").select("gram", "n"), "several")
     owned = owners.join(several, "gram").select(F.col("owner").alias("doc"), "context", "n")
     owned = scratch.write(per_document(owned, ["context", "n"]), "owned")
-    scratch.drop("owners")
+    scratch.drop("owners", "several")
     partial = scratch.write(resolve(docs, owned, scratch), "partial")
     return scratch.write(per_document(covered.unionByName(partial), ["context", "mask"]), "marks")
 
