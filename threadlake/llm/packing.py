@@ -32,13 +32,24 @@ from pyspark.sql import functions as F
 from threadlake.llm.common import ship
 
 SHARD = 512
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 500_000  # most words that a worker remembers, but for the last stretch's
+PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{}~"
 K1, B = 1.2, 0.75  # the usual constants of BM25
 
 
+def pieces(word: bytes) -> int:
+    """1 for letters only, 2 for letters and then punctuation, 0 for anything else."""
+    stem = word.rstrip(PUNCTUATION)
+    if stem.isalpha() or (not stem.isascii() and stem.decode().isalpha()):
+        return 1 + (len(stem) < len(word))
+    return 0
+
+
 class WordIds:
     """Ids of whole texts by way of their words. The tokenizer's normaliser and splitter treat
-    white space as a boundary, so the ids of a text are those of its words in turn."""
+    white space as a boundary, so the ids of a text are those of its words in turn. New words are
+    encoded together: those of letters only are one piece each, and the tokenizer marks the last
+    token of a piece; punctuation at the end of such a word is a piece of its own."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -46,21 +57,51 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[bytes, bytes] = {}
+        vocab = self.tokenizer.get_vocab()
+        self.ends_piece = np.zeros(1 + max(vocab.values()), bool)
+        self.ends_piece[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.marks = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known: dict[bytes, bytes] = {}
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def of_any(self, words: list[bytes]) -> dict[bytes, bytes]:
+        coded = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, coded)}
+
+    def learn(self, new: list[bytes]) -> dict[bytes, bytes]:
+        count = np.fromiter(map(pieces, new), np.int64, len(new))
+        out = self.of_any([new[i] for i in np.flatnonzero(count == 0).tolist()])
+        regular = np.flatnonzero(count)
+        for at in range(0, len(regular), 5000):
+            own = regular[at:at + 5000]
+            part = [new[i] for i in own.tolist()]
+            ids = self.ids(b" ".join(part).decode())
+            ends, last = np.flatnonzero(self.ends_piece[ids]), np.cumsum(count[own])
+            if len(ends) != last[-1]:  # a word is not made up as it seems
+                out |= self.of_any(part)
+                continue
+            cuts = (4 * (1 + ends[last - 1])).tolist()
+            raw = ids.tobytes()
+            out.update(zip(part, map(raw.__getitem__, map(slice, [0, *cuts[:-1]], cuts))))
+        return out
 
     def of(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         # Lower case is what the tokenizer makes of a text; done at once it leaves fewer words.
-        words = [t.split() if any(m in t.lower() and m not in t for m in self.marks) else t.lower().split() for t in texts]
+        words = []
+        for text in texts:
+            low = text.lower()
+            words.append((text if b"<|" in low and any(m in low and m not in text for m in self.marks) else low).split())
         known = self.known
-        new = list({w for own in words for w in own if w not in known})
-        coded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        extra = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, coded)}
+        new = list(set().union(*words).difference(known))
+        extra = self.learn(new) if new else {}
         if len(known) < KNOWN_WORDS:  # words met first are the frequent ones
             known |= extra
             return [b"".join([known[w] for w in own]) for own in words]
-        return [b"".join([known.get(w) or extra.get(w, b"") for w in own]) for own in words]
+        get, more = known.get, extra.get
+        return [b"".join([get(w) or more(w, b"") for w in own]) for own in words]
 
 
 @lru_cache(2)
@@ -68,7 +109,7 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def stretches(sizes: np.ndarray, most: int = 1 << 22):
+def stretches(sizes: np.ndarray, most: int = 1 << 23):
     """Ranges of rows with about ``most`` bytes together."""
     ends = np.cumsum(sizes)
     at = 0
