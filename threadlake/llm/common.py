@@ -68,7 +68,9 @@ class Scratch:
 
     def release(self) -> None:
         """Spark removes shuffle files once the driver's garbage collector has found that
-        nothing refers to them any more."""
+        nothing refers to them any more. The session holds on to the last query it ran, so a
+        small one comes in between."""
+        self.spark.range(1).count()
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
