@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from threadlake.llm.common import ship
 
 SHARD = 512
-KNOWN_WORDS = 500_000  # most words that a worker remembers, but for the last stretch's
+KNOWN_WORDS = 700_000  # most words that a worker remembers, but for the last stretch's
 PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{}~"
 K1, B = 1.2, 0.75  # the usual constants of BM25
 
@@ -57,6 +57,8 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # words come once: remembering them is done here
         vocab = self.tokenizer.get_vocab()
         self.ends_piece = np.zeros(1 + max(vocab.values()), bool)
         self.ends_piece[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
