@@ -32,7 +32,7 @@ from threadlake.llm.common import passed_on, ship
 
 #: How byte-level BPE splits a text into words (fixed value of the file format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KNOWN_WORDS = 400_000  # most words that a worker remembers
+KNOWN_WORDS = 400_000  # most words that a worker remembers, but for the last stretch's
 RESULTS = ["ids", "decoded"]
 NEVER = np.iinfo(np.int64).max
 
@@ -62,50 +62,53 @@ class Codec:
         self.special_splitter = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         n = 1 + max(self.bytes_of)
         self.left, self.right, self.rank = (np.full(n, -1, np.int64) for _ in range(3))
-        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
+        self.rank_of: dict[int, int] = {}
+        self.made: list[int] = []
         codes, ranks = [], []
         for rank, merge in enumerate(data["model"]["merges"]):
             a, b = (vocab[x] for x in (merge.split(" ") if isinstance(merge, str) else merge))
             ab = self.id_of[self.bytes_of[a] + self.bytes_of[b]]
-            self.pairs.setdefault((a, b), (rank, ab))
+            self.rank_of.setdefault(a * n + b, rank)
+            self.made.append(ab)
             codes.append(a * n + b)
             ranks.append(rank)
             if self.rank[ab] < 0:
                 self.left[ab], self.right[ab], self.rank[ab] = a, b, rank
         order = np.argsort(codes, kind="stable")
         self.n, self.codes, self.code_ranks = n, np.array(codes, np.int64)[order], np.array(ranks, np.int64)[order]
-        self.longest = max(map(len, self.id_of))
+        self.byte_ids = [self.id_of[bytes([b])] for b in range(256)]
+        self.longest: dict[bytes, int] = {}  # of the tokens by their first three bytes
+        for b in self.id_of:
+            if len(b) > 2:
+                self.longest[b[:3]] = max(len(b), self.longest.get(b[:3], 0))
         self.sound: dict[int, bool] = {}  # by token: BPE makes it of its own bytes
-        self.known: dict[str, tuple[str, int, bytes]] = {}
+        own = {t: i for t, i in self.special.items()}
+        self.known: tuple[dict[str, str], dict[str, bytes]] = ({t: str(i) for t, i in own.items()}, {t: t.encode() for t in own})
 
     def merge(self, word: bytes) -> list[int]:
         """Exact BPE: the pair of the lowest rank, leftmost first, until none is left."""
-        ids = [self.id_of[word[i:i + 1]] for i in range(len(word))]
-        while len(ids) > 1:
-            best = min((self.pairs[p] for p in zip(ids, ids[1:]) if p in self.pairs), default=None)
-            if best is None:
-                break
-            out, i = [], 0
-            while i < len(ids):
-                if i + 1 < len(ids) and self.pairs.get((ids[i], ids[i + 1])) == best:
-                    out.append(best[1])
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+        n, get = self.n, self.rank_of.get
+        ids = [self.byte_ids[b] for b in word]
+        ranks = [get(a * n + b, NEVER) for a, b in zip(ids, ids[1:])]
+        while ranks and (rank := min(ranks)) != NEVER:
+            i = ranks.index(rank)
+            ids[i:i + 2] = [self.made[rank]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get(ids[i - 1] * n + ids[i], NEVER)
+            if i < len(ranks):
+                ranks[i] = get(ids[i] * n + ids[i + 1], NEVER)
         return ids
 
     def propose(self, word: bytes) -> list[int]:
         """Greedy longest match."""
-        out, at, id_of = [], 0, self.id_of
-        while at < len(word):
-            for end in range(min(len(word), at + self.longest), at, -1):
-                token = id_of.get(word[at:end])
-                if token is not None:
-                    out.append(token)
-                    at = end
-                    break
+        out, at, id_of, longest, size = [], 0, self.id_of, self.longest, len(word)
+        while at < size:
+            end = min(size, at + longest.get(word[at:at + 3], 2))
+            while (token := id_of.get(word[at:end])) is None:
+                end -= 1
+            out.append(token)
+            at = end
         return out
 
     def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -149,11 +152,10 @@ class Codec:
             proposed[i] = self.merge(words[i])
         return proposed
 
-    def learn(self, words: set[str]) -> dict[str, tuple[str, int, bytes]]:
-        """For each word: ids joined by commas, their number, the bytes that they decode to."""
-        words = list(words)
+    def learn(self, words: list[str]) -> tuple[dict[str, str], dict[str, bytes]]:
+        """For each word: its ids joined by commas, and the bytes that they decode to."""
         coded = self.encode_words([w.encode() for w in words])
-        return {w: (",".join(map(str, ids)), len(ids), self.decode_bytes(ids)) for w, ids in zip(words, coded)}
+        return {w: ",".join(map(str, ids)) for w, ids in zip(words, coded)}, {w: self.decode_bytes(ids) for w, ids in zip(words, coded)}
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b"".join([self.bytes_of[i] for i in ids])
@@ -167,16 +169,14 @@ class Codec:
             out += [part] if part in self.special else self.splitter.findall(part)
         return out
 
-    def lookup(self, texts: list[str]) -> tuple[list[list[str]], dict[str, tuple[str, int, bytes]]]:
-        """The texts' words, and what is known of each of them."""
-        if len(self.known) > KNOWN_WORDS:
-            self.known = {}
-        if not self.known:
-            self.known = {s: (str(i), 1, s.encode()) for s, i in self.special.items()}
+    def code(self, texts: list[str]) -> tuple[list[str], list[bytes]]:
+        """Each text's ids joined by commas, and the bytes that they decode to."""
         words = [self.split(t) for t in texts]
-        new = {w for own in words for w in own if w not in self.known}
-        self.known |= self.learn(new)
-        return words, self.known
+        new = list(set().union(*words).difference(self.known[0]))
+        ids, back = (old | more for old, more in zip(self.known, self.learn(new))) if new else self.known
+        if len(self.known[0]) < KNOWN_WORDS:  # words met first are the frequent ones
+            self.known = ids, back
+        return [",".join(map(ids.__getitem__, own)) for own in words], [b"".join(map(back.__getitem__, own)) for own in words]
 
 
 @lru_cache(2)
@@ -184,7 +184,7 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def _stretches(texts: list[str], most: int = 1 << 22):
+def _stretches(texts: list[str], most: int = 1 << 23):
     """Indexes of texts of some millions of characters at a time."""
     at = 0
     while at < len(texts):
@@ -202,11 +202,9 @@ def _code(path: str, names: list[str], digests: bool):
         for batch in batches:
             texts = [(t or b"").decode() for t in batch.column("text").to_pylist()]
             for at, to in _stretches(texts):
-                words, known = c.lookup(texts[at:to])
-                coded = [[known[w] for w in own] for own in words]
-                count = pa.array([sum(x[1] for x in own) for own in coded], pa.int64())
-                ids = [",".join([x[0] for x in own]) for own in coded]
-                decoded = [b"".join([x[2] for x in own]).decode(errors="replace") for own in coded]
+                ids, raw = c.code(texts[at:to])
+                count = pa.array([x.count(",") + 1 if x else 0 for x in ids], pa.int64())
+                decoded = [x.decode(errors="replace") for x in raw]
                 rows = batch.slice(at, to - at)
                 columns = [*(rows.column(n) for n in names), count]
                 if digests:
