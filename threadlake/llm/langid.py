@@ -140,7 +140,8 @@ def _bundles(frames):
         if len(sums) > 500:
             yield frame()
             sums.clear()
-    yield frame()
+    if sums:
+        yield frame()
 
 
 def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:

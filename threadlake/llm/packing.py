@@ -95,7 +95,7 @@ class WordIds:
         words = []
         for text in texts:
             low = text.lower()
-            words.append((text if b"<|" in low and any(m in low and m not in text for m in self.marks) else low).split())
+            words.append((text if b"<|" in low and any(low.count(m) > text.count(m) for m in self.marks) else low).split())
         known = self.known
         new = list(set().union(*words).difference(known))
         extra = self.learn(new) if new else {}
