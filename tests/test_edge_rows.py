@@ -213,3 +213,58 @@ def test_cli_watch(spark, tmp_path):
     watch(spark, W)
     row = spark.read.parquet(f"{W.out}/selection").collect()[0]
     assert (row.file_key, row.dl_filename, row.to_download) == ("b/1.jpg", "1_orig", True)
+
+
+def test_markup_as_it_comes(spark):
+    """Very long tag runs, all kinds of character references, odd line terminators in names."""
+    from threadlake.functions import file_text_parts, html_text
+
+    cases = {"a" + "<br>" * 100_000 + "b": "a\nb", "&nbsp;x&#39;&#8217;&apos;&#x1F600;": "\u00a0x'\u2019'\U0001F600",
+             "&amp;lt; &lt;b&gt; &quot;&#039;": "&lt; <b> \"'", "&bogus; &#0; &#xD800; &": "&bogus; &#0; &#xD800; &",
+             "x\ue000y<i>z</i>": "xy\nz", "": "", "no markup": "no markup"}
+    df = spark.createDataFrame([(k,) for k in cases], "h STRING")
+    got = {r.h: r.t for r in df.select("h", html_text(F.col("h")).alias("t")).collect()}
+    assert got == cases
+    lines = [f"File: na{c}me.jpg (128 KB, 620x465)" for c in ("\u0085", "\u2028", " ")]
+    df = spark.createDataFrame([(x,) for x in lines], "t STRING")
+    size, res = file_text_parts(F.col("t"))
+    assert [tuple(r) for r in df.select(size, res).collect()] == [("128 KB", "620x465")] * 3
+
+
+def test_paths_as_users_know_them(spark, tmp_path, monkeypatch):
+    from threadlake.operators.manifest import read_manifest_tree
+    from threadlake.sources.media import oversize_media, scan_media
+
+    root = tmp_path / "x_files" / "me dia+%41"
+    names = ["sub dir/sp ace.png", "a+b%20c.jpg", "\u00e9\u6f22.gif", "deep/er/1.webm"]
+    for i, n in enumerate(names):
+        (root / n).parent.mkdir(parents=True, exist_ok=True)
+        (root / n).write_bytes(b"x" * (i + 1))
+    (root / "sub dir" / "all.md5").write_text("aa *1.jpg\n\n")
+    (root / "top.md5").write_text("bb *2.jpg\n")
+    monkeypatch.chdir(tmp_path)
+    for given in (str(root), f"file:{root}", str(root) + "/"):
+        assert sorted(r.path for r in scan_media(spark, given).collect()) == sorted(names)
+        assert sorted((r.rel_dir, r.value) for r in read_manifest_tree(spark, given).collect()) == [(".", "bb *2.jpg"), ("sub dir", "aa *1.jpg")]
+    big = oversize_media(spark, str(root), limit=2).collect()
+    assert sorted((r.path, r.size_bytes, r.reason) for r in big) == sorted((n, i + 1, "too_large") for i, n in enumerate(names) if i > 1)
+
+
+def test_positions_of_any_size_sort(spark):
+    from threadlake.operators.graph import path_segment
+
+    rows = [(0, 0), (9, 5), (10, 3), (10, 123456), (10, 1234567), (99_999_999_999, 1), (100_000_000_000, 0)]
+    df = spark.createDataFrame(rows, "p BIGINT, q BIGINT").select("*", path_segment(F.col("p"), F.col("q")).alias("k"))
+    assert [(r.p, r.q) for r in sorted(df.collect(), key=lambda r: r.k)] == rows
+
+
+def test_unknown_numbers_and_keys(spark):
+    from threadlake.operators import index as ix
+    from threadlake.operators.integrity import mark_short_reads
+
+    log = spark.createDataFrame([(True, True, 5, None), (True, True, 4, 5), (True, True, 5, 5)], "dl_success BOOLEAN, md5_match BOOLEAN, bytes_received BIGINT, content_length BIGINT")
+    assert [(r.dl_success, r.md5_match, r.short_read) for r in mark_short_reads(log).collect()] == [(True, True, False), (False, None, True), (True, True, False)]
+    ddl = "ext STRING, size_mb DECIMAL(12,2), md5_b64 STRING"
+    cand = spark.createDataFrame([("jpg", None, "A")], ddl)
+    index = spark.createDataFrame([("jpg", None, "A", "p")], ddl + ", path STRING")
+    assert ix.novel(cand, index).first().is_new is None and ix.lookup_duplicates(cand, index).first().is_new is None

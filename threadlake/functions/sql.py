@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from threadlake import functions as tf
+from threadlake.functions.text import ENTITY, referenced_character, text_nodes
 
 # name -> (helper, ((arg, type), ...), return type)
 SQL_FUNCTIONS = {
@@ -44,9 +45,19 @@ def _expression_sql(spark: SparkSession, col, args) -> str:
     return plan.projectList().apply(0).child().sql()
 
 
+def _html_text_sql(spark: SparkSession) -> str:
+    """``html_text`` maps over a text's character references, and a lambda does not render to
+    SQL: it is written here around the rendered parts."""
+    text = _expression_sql(spark, text_nodes(F.col("html")), (("html", "STRING"),))
+    char = _expression_sql(spark, referenced_character(F.col("ref")), (("ref", "STRING"),))
+    chars = f"concat(transform(regexp_extract_all({text}, '{ENTITY}', 0), ref -> {char}), array(''))"
+    pairs = f"zip_with(split({text}, '{ENTITY}', -1), {chars}, (a, b) -> array(a, b))"
+    return f"CASE WHEN contains({text}, '&') THEN array_join(flatten({pairs}), '') ELSE {text} END"
+
+
 def function_sql(spark: SparkSession, name: str) -> str:
     helper, args, ret = SQL_FUNCTIONS[name]
-    body = _expression_sql(spark, helper(*[F.col(a) for a, _ in args]), args)
+    body = _html_text_sql(spark) if helper is tf.html_text else _expression_sql(spark, helper(*[F.col(a) for a, _ in args]), args)
     params = ", ".join(f"{a} {t}" for a, t in args)
     return f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS {ret} RETURN {body}"
 

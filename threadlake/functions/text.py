@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,8 +29,10 @@ ARTIST_NAME_PATTERNS = (
 )
 # Size and resolution in a file line such as "File: name.jpg (128 KB, 620x465)".
 FILE_TEXT_PATTERN = r"File: .+ \(([0-9\.]+ [KMB]{1,2}), (\d+x\d+)\)"
-# HTML entities undone in message text; "&amp;" must come last.
-HTML_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#039;", "'"), ("&amp;", "&"))
+# A character reference: decimal, hexadecimal or named.
+ENTITY = r"&(#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,8}|[A-Za-z][A-Za-z0-9]*);"
+# Stands for a tag while text nodes are cut out; dropped from the input first.
+TAG_MARK = "\ue000"
 
 # Python-compatible regex flags for the JVM engine: Unicode classes for \w and \d,
 # and "\n" as the only line terminator for "." and "$".
@@ -37,11 +41,41 @@ PY_FLAGS = "(?Ud)"
 
 def html_text(html: Column) -> Column:
     """Text nodes of an HTML fragment joined by newlines; entities undone."""
-    t = F.regexp_replace(html, r"(<[^>]*>)+", "\n")
-    t = F.regexp_replace(t, r"^\n+|\n+$", "")
-    for ent, ch in HTML_ENTITIES:
-        t = F.replace(t, F.lit(ent), F.lit(ch))
-    return t
+    return unescape(text_nodes(html))
+
+
+def text_nodes(html: Column) -> Column:
+    """Text nodes of an HTML fragment joined by newlines, as they are written."""
+    # One mark per tag, then runs of that one character: a repeated group would recurse once
+    # per tag in the JVM's regex engine and overflow its stack.
+    t = F.regexp_replace(F.translate(html, TAG_MARK, ""), r"<[^>]*>", TAG_MARK)
+    t = F.regexp_replace(t, TAG_MARK + "+", "\n")
+    return F.regexp_replace(t, r"^\n+|\n+$", "")
+
+
+def _named_entities() -> Column:
+    """Names known to HTML and their characters (from the language's own table)."""
+    pairs = [F.lit(x) for name, code in sorted(name2codepoint.items()) for x in (name, chr(code))]
+    return F.create_map(*pairs, F.lit("apos"), F.lit("'"))
+
+
+def referenced_character(ref: Column) -> Column:
+    """The character of a reference (``&...;``); the reference itself if there is none."""
+    body = F.substring(ref, F.lit(2), F.length(ref) - 2)
+    digits = F.when(body.rlike("^#[xX]"), F.conv(F.substring(body, F.lit(3), F.length(body)), 16, 10)).when(
+        body.startswith("#"), F.substring(body, F.lit(2), F.length(body)))
+    code = digits.cast("bigint")
+    valid = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
+    char = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    return F.coalesce(char, F.try_element_at(_named_entities(), body), ref)
+
+
+def unescape(text: Column) -> Column:
+    """Character references undone, each once, from left to right."""
+    refs = F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
+    chars = F.concat(F.transform(refs, referenced_character), F.array(F.lit("")))
+    joined = F.array_join(F.flatten(F.zip_with(F.split(text, ENTITY, -1), chars, lambda a, b: F.array(a, b))), "")
+    return F.when(text.contains("&"), joined).otherwise(text)
 
 
 def py_strip(text: Column) -> Column:
@@ -80,7 +114,7 @@ def normalize_rel_path(path: Column) -> Column:
     """Backslashes to ``/``, repeated and ``./`` segments removed, no leading ``/``."""
     p = F.regexp_replace(path, r"\\", "/")
     p = F.regexp_replace(p, r"/{2,}", "/")
-    p = F.regexp_replace(p, r"(^|/)(\./)+", "$1")
+    p = F.regexp_replace(p, r"(^|(?<=/))(?:\./)", "")
     p = F.regexp_replace(p, r"/\.$", "")
     return F.regexp_replace(p, r"^/+", "")
 
@@ -119,9 +153,10 @@ def artist_names(orig_name: Column) -> Column:
 
 def file_text_parts(file_text: Column) -> tuple[Column, Column]:
     """(size text, ``WxH``) from a file line; NULLs when the line does not match."""
-    ok = file_text.rlike("^" + FILE_TEXT_PATTERN)
-    size = F.when(ok, F.regexp_extract(file_text, "^" + FILE_TEXT_PATTERN, 1))
-    res = F.when(ok, F.regexp_extract(file_text, "^" + FILE_TEXT_PATTERN, 2))
+    pattern = PY_FLAGS + "^" + FILE_TEXT_PATTERN
+    ok = file_text.rlike(pattern)
+    size = F.when(ok, F.regexp_extract(file_text, pattern, 1))
+    res = F.when(ok, F.regexp_extract(file_text, pattern, 2))
     return size, res
 
 

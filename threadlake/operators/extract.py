@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from threadlake.functions import (
     basename, file_key, file_text_parts, html_text, strip_ext,
 )
-from threadlake.functions.text import HTML_ENTITIES
+from threadlake.functions.text import PY_FLAGS, unescape
 
 # Markup anchors of the site's thread page.
 CONTAINER = '<div class="postContainer'
@@ -33,13 +33,7 @@ LINK = r'(?s)<a ([^>]*)>(.*?)</a>'
 THUMB_IMG = r'<a class="fileThumb(?: [^"]*)?"[^>]*><img ([^>]*)>'
 FILE_INFO = r'(?s)<span class="file-info">(.*?)</span>'
 # Decorated page file line: "File: name.ext (Spoiler, 2.8 MB, 1280x720)".
-REQUEST_LINE = r"^(?:File: )?(.+) \((?:Spoiler, )?([\d\.]+ [KMB]+),"
-
-
-def unescape(col):
-    for ent, ch in HTML_ENTITIES:
-        col = F.replace(col, F.lit(ent), F.lit(ch))
-    return col
+REQUEST_LINE = PY_FLAGS + r"^(?:File: )?(.+) \((?:Spoiler, )?([\d\.]+ [KMB]+),"
 
 
 def _attr(attrs, name: str):
