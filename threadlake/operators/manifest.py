@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from threadlake.functions import b64_to_hex
 from threadlake.operators.sequence import prefix_sums
+from threadlake.sources.paths import relative_to
 
 # Line layout and separator.
 LINE_FORMAT = "%s *%s"
@@ -52,18 +53,12 @@ def read_manifest(spark, path: str) -> DataFrame:
 def read_manifest_tree(spark, root: str) -> DataFrame:
     """Every ``*.md5*`` file below ``root`` as ``(rel_dir, value)`` (``"."`` at the root)."""
     raw = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md5*")
-           .text(root).select("value", F.col("_metadata.file_path").alias("file")))
-    root_uri = root.rstrip("/")
-    rel = F.regexp_extract(F.col("file"), r"^(?:file:)?" + _re_escape(root_uri) + r"/(.*)/[^/]*$", 1)
+           .text(root).select("value", relative_to(spark, root).alias("file")))
+    rel = F.regexp_extract(F.col("file"), r"^(.*)/[^/]*$", 1)
     return raw.select(F.when(rel == "", F.lit(".")).otherwise(rel).alias("rel_dir"), "value") \
         .where(F.trim("value") != "")
 
 
-def _re_escape(s: str) -> str:
-    import re
-    return re.escape(s)
-
-
 def apply_quarantine(manifest: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Apply keep/drop decisions for files whose digest failed.
 

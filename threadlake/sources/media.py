@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from threadlake.functions import md5_b64, pruned_dir, size_bucket
 from threadlake.functions.urls import DIR_SUBSTR_EXCLUDE, VALID_FILE_EXT
+from threadlake.sources.paths import relative_to
+
+# The largest content that one binary value can hold.
+MAX_CONTENT = 2**31 - 16
 
 
 def scan_media(spark: SparkSession, root: str, exts: Sequence[str] = VALID_FILE_EXT,
@@ -18,14 +22,15 @@ def scan_media(spark: SparkSession, root: str, exts: Sequence[str] = VALID_FILE_
     The extension allow-list is a ``pathGlobFilter`` (case-sensitive, applied while
     listing) and pruned directories are filtered on ``_metadata.file_path``, so neither
     is ever read. Content is read once per kept file and only its digest leaves the
-    scan task. Note: the file source skips names starting with ``_`` or ``.``.
+    scan task. Files over ``MAX_CONTENT`` bytes are left to ``oversize_media`` (the length
+    filter is applied before content is read). Note: the file source skips names starting
+    with ``_`` or ``.``.
     """
     glob = "*.{" + ",".join(exts) + "}" if len(exts) > 1 else f"*.{exts[0]}"
     raw = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
            .option("pathGlobFilter", glob).load(root))
-    root_re = "^(?:file:)?" + _escape(root.rstrip("/")) + "/"
-    rel = F.regexp_replace(F.col("_metadata.file_path"), root_re, "")
-    kept = raw.where(~pruned_dir(rel, exclude))
+    rel = relative_to(spark, root)
+    kept = raw.where(~pruned_dir(rel, exclude) & (F.col("length") <= MAX_CONTENT))
     return kept.select(
         rel.alias("path"),
         F.regexp_extract(rel, r"\.([^./]*)$", 1).alias("ext"),
@@ -35,6 +40,13 @@ def scan_media(spark: SparkSession, root: str, exts: Sequence[str] = VALID_FILE_
     )
 
 
-def _escape(s: str) -> str:
-    import re
-    return re.escape(s)
+def oversize_media(spark: SparkSession, root: str, exts: Sequence[str] = VALID_FILE_EXT,
+                   exclude: Sequence[str] = DIR_SUBSTR_EXCLUDE, limit: int = MAX_CONTENT) -> DataFrame:
+    """Reject rows ``(path, size_bytes, reason)``: files whose content does not fit one value.
+    Only the listing is read."""
+    glob = "*.{" + ",".join(exts) + "}" if len(exts) > 1 else f"*.{exts[0]}"
+    raw = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
+           .option("pathGlobFilter", glob).load(root))
+    rel = relative_to(spark, root)
+    return raw.where(~pruned_dir(rel, exclude) & (F.col("length") > limit)).select(
+        rel.alias("path"), F.col("length").alias("size_bytes"), F.lit("too_large").alias("reason"))
