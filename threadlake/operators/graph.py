@@ -4,7 +4,7 @@ Edges never cross threads, and every join is on ``(thread_nr, post_nr)`` pairs,
 shuffles spread over posts rather than threads: one huge thread still lands on many
 tasks. A post quoted very often is a skewed join key, which AQE's skew join splits.
 Backlink order (quoting post's document position, then quote position) is carried as
-columns instead of ranked lists; tree paths are fixed-width text keys that sort in
+columns instead of ranked lists; tree paths are text keys that sort in
 pre-order.
 """
 
@@ -15,12 +15,15 @@ from pyspark.sql import functions as F
 
 from threadlake.functions import indent_line, is_source_request, rule_line, split_lines
 
-# Width of one path segment: quoting post position (10 digits) and quote position (6).
-SEG_POS, SEG_QUOTE = 10, 6
+def order_text(n):
+    """A number >= 0 as text that sorts like the number, whatever its size: the count of its
+    digits in two places, then the digits."""
+    digits = n.cast("string")
+    return F.concat(F.lpad(F.length(digits).cast("string"), 2, "0"), digits)
 
 
 def path_segment(pos, quote_pos):
-    return F.concat(F.lpad(pos.cast("string"), SEG_POS, "0"), F.lpad(quote_pos.cast("string"), SEG_QUOTE, "0"))
+    return F.concat(order_text(pos), order_text(quote_pos))
 
 
 def backlinks(posts: DataFrame, edges: DataFrame) -> DataFrame:
@@ -106,7 +109,7 @@ def tree_lines(tree: DataFrame, posts: DataFrame) -> DataFrame:
                                  lambda l, i: F.struct((i + 1).alias("i"), indent_line(l, F.col("level")).alias("line"))))
     x = shown.select("thread_nr", "root_nr", "path", F.explode(lines).alias("l"))
     return x.select("thread_nr", "root_nr",
-                    F.concat(F.col("path"), F.lit("#"), F.lpad(F.col("l.i").cast("string"), 8, "0")).alias("key"),
+                    F.concat(F.col("path"), F.lit("#"), order_text(F.col("l.i"))).alias("key"),
                     F.col("l.line").alias("line"))
 
 
@@ -138,6 +141,6 @@ def relevant_replies(posts: DataFrame, links: DataFrame, roots: DataFrame) -> Da
                   F.posexplode(split_lines(F.col("m2"))).alias("i", "l")))
     second = l2.select("thread_nr", "root_nr",
                        F.concat(F.lit("1"), F.col("pseg"), F.lit("/"), F.col("seg"), F.lit("#"),
-                                F.lpad(F.col("i").cast("string"), 8, "0")).alias("key"),
+                                order_text(F.col("i"))).alias("key"),
                        F.concat(F.lit("> "), F.repeat(F.lit(" "), 10), F.col("l")).alias("line"))
     return own.unionByName(first).unionByName(second)

@@ -74,6 +74,14 @@ def duplicate_groups(index: DataFrame) -> DataFrame:
     return index_groups(index).where(F.col("n_paths") > 1)
 
 
+def _unless_unknown(keys: list[str], verdict):
+    """A candidate with an unknown key part (size unit, digest) is neither new nor a copy."""
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    return F.when(known, verdict)
+
+
 def novel(cand: DataFrame, index: DataFrame, match_on: str = "ext_size_md5") -> DataFrame:
     """Flag each candidate ``is_new`` iff its key is absent from the index.
 
@@ -82,12 +90,7 @@ def novel(cand: DataFrame, index: DataFrame, match_on: str = "ext_size_md5") ->
     """
     keys = list(MATCH_KEYS[match_on])
     seen = index.select(*keys).distinct().withColumn("_seen", F.lit(True))
-    null_key = F.lit(False)
-    for k in keys:
-        null_key = null_key | F.col(k).isNull()
-    return (cand.join(seen, keys, "left")
-            .withColumn("is_new", F.when(null_key, F.lit(None).cast("boolean"))
-                        .otherwise(F.col("_seen").isNull()))
+    return (cand.join(seen, keys, "left").withColumn("is_new", _unless_unknown(keys, F.col("_seen").isNull()))
             .drop("_seen"))
 
 
@@ -102,7 +105,7 @@ def lookup_duplicates(cand: DataFrame, index: DataFrame, match_on: str = "ext_si
                .agg(F.count(F.lit(1)).alias("n_copies"), F.min("path").alias("first_path")))
     return (cand.join(summary, keys, "left")
             .withColumn("n_copies", F.coalesce(F.col("n_copies"), F.lit(0)).cast("bigint"))
-            .withColumn("is_new", F.col("n_copies") == 0))
+            .withColumn("is_new", _unless_unknown(keys, F.col("n_copies") == 0)))
 
 
 def upsert_index(index: DataFrame, verified: DataFrame, exts: Sequence[str] = VALID_FILE_EXT) -> tuple[DataFrame, DataFrame]:

@@ -40,8 +40,9 @@ def resolve_attempts(attempts: DataFrame, retries: int = RETRIES, key: str = "fi
 
 
 def mark_short_reads(attempts: DataFrame) -> DataFrame:
-    """An attempt that received fewer bytes than announced is a failed fetch."""
-    short = F.col("bytes_received") < F.col("content_length")
+    """An attempt that received fewer bytes than announced is a failed fetch; where either
+    number is unknown it stands as it is."""
+    short = F.coalesce(F.col("bytes_received") < F.col("content_length"), F.lit(False))
     return (attempts.withColumn("short_read", short)
             .withColumn("dl_success", F.col("dl_success") & ~short)
             .withColumn("md5_match", F.when(F.col("dl_success"), F.col("md5_match"))))

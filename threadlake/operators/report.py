@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlake.functions import no_message
-from threadlake.operators.graph import reply_tree, tree_lines
+from threadlake.operators.graph import order_text, reply_tree, tree_lines
 
 # The report's text layout.
 HEADER = 'Thread No. %s: "%s", UTC_%s\n\tSaved to: %s\nOP: "%s"\n'
@@ -32,7 +32,7 @@ def thread_report(threads: DataFrame, fetched: DataFrame, posts: DataFrame, link
     t = threads.select("thread_nr", "folder_name", "subject", "utc", "op_post_msg")
     header = t.select("thread_nr", "folder_name", F.lit("0").alias("key"),
                       F.format_string(HEADER, "thread_nr", "subject", "utc", "folder_name", "op_post_msg").alias("line"))
-    fk = F.concat(F.lit("1"), F.lpad(F.col("pos").cast("string"), 10, "0"))
+    fk = F.concat(F.lit("1"), order_text(F.col("pos")))
     f = fetched.join(t.select("thread_nr", "folder_name"), "thread_nr")
     meta = f.select("thread_nr", "folder_name", F.concat(fk, F.lit("a")).alias("key"),
                     F.format_string(FILE_BLOCK, "dl_filename", "file_ext", "file_size", "file_res", "file_md5_b64",

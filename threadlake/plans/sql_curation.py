@@ -164,7 +164,8 @@ c AS (
          CASE WHEN contains(trim(name), '.') THEN regexp_extract(trim(name), '\\.([^.]*)$', 1) END AS ext,
          {size_text_mb_sql('size_text')} AS size_mb, md5_b64 FROM r)
 SELECT c.file_id, c.ext, c.size_mb, c.md5_b64, CAST(COALESCE(s.n_copies, 0) AS BIGINT) AS n_copies, s.first_path,
-       COALESCE(s.n_copies, 0) = 0 AS is_new
+       CASE WHEN c.ext IS NOT NULL AND c.size_mb IS NOT NULL AND c.md5_b64 IS NOT NULL
+            THEN COALESCE(s.n_copies, 0) = 0 END AS is_new
 FROM c LEFT JOIN (
   SELECT ext, size_mb, md5_b64, COUNT(*) AS n_copies, MIN(path) AS first_path
   FROM v_index WHERE ext IN ('webm','gif','jpg','png') GROUP BY 1, 2, 3) s

@@ -59,7 +59,8 @@ view("v_links", """
 SELECT q.thread_nr, q.quoted_nr AS post_nr, q.post_nr AS backlink_nr, q.pos, q.quote_pos
 FROM v_quotes q JOIN v_posts t ON t.thread_nr = q.thread_nr AND t.post_nr = q.quoted_nr""", "v_quotes", "v_posts")
 
-SEG = "lpad(CAST({p} AS VARCHAR), 10, '0') || lpad(CAST({q} AS VARCHAR), 6, '0')"
+ORD = "lpad(CAST(length(CAST({n} AS VARCHAR)) AS VARCHAR), 2, '0') || CAST({n} AS VARCHAR)"
+SEG = ORD.replace("{n}", "{p}") + " || " + ORD.replace("{n}", "{q}")
 
 view("v_edges", f"""
 SELECT l.thread_nr, l.post_nr AS parent_nr, l.backlink_nr AS node_nr,
@@ -143,21 +144,21 @@ FROM v_files r JOIN v_posts p ON p.thread_nr = r.thread_nr AND p.post_nr = r.pos
 UNION ALL
 SELECT thread_nr, root_nr, '1' || seg, '> ' || repeat(' ', 5) || post_msg FROM l1
 UNION ALL
-SELECT thread_nr, root_nr, '1' || pseg || '/' || seg || '#' || lpad(CAST(i - 1 AS VARCHAR), 8, '0'),
+SELECT thread_nr, root_nr, '1' || pseg || '/' || seg || '#' || lpad(CAST(length(CAST(i - 1 AS VARCHAR)) AS VARCHAR), 2, '0') || CAST(i - 1 AS VARCHAR),
        '> ' || repeat(' ', 10) || ls[i]
 FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM l2) z""", "v_files", "v_links", "v_posts")
 
 query("thread_report", f"""
 WITH f AS (SELECT v.*, t.folder_name FROM v_files v JOIN v_threads t ON t.thread_nr = v.thread_nr),
-fk AS (SELECT *, '1' || lpad(CAST(pos AS VARCHAR), 10, '0') AS k FROM f),
+fk AS (SELECT *, '1' || lpad(CAST(length(CAST(pos AS VARCHAR)) AS VARCHAR), 2, '0') || CAST(pos AS VARCHAR) AS k FROM f),
 tl AS (
   SELECT x.thread_nr, x.root_nr, x.level, x.path, p.post_msg FROM v_tree x
   JOIN v_posts p ON p.thread_nr = x.thread_nr AND p.post_nr = x.node_nr WHERE x.shown),
 tlines AS (
-  SELECT thread_nr, root_nr, path || '#' || lpad('0', 8, '0') AS key,
+  SELECT thread_nr, root_nr, path || '#' || lpad(CAST(length(CAST(0 AS VARCHAR)) AS VARCHAR), 2, '0') || CAST(0 AS VARCHAR) AS key,
          '  ' || repeat(' ', CAST(5 * level AS INTEGER)) || '__________' AS line FROM tl
   UNION ALL
-  SELECT thread_nr, root_nr, path || '#' || lpad(CAST(i AS VARCHAR), 8, '0'),
+  SELECT thread_nr, root_nr, path || '#' || lpad(CAST(length(CAST(i AS VARCHAR)) AS VARCHAR), 2, '0') || CAST(i AS VARCHAR),
          '> ' || repeat(' ', CAST(5 * level AS INTEGER)) || ls[i]
   FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i
         FROM (SELECT *, {lines_of('post_msg')} AS ls FROM tl) a) b)
