@@ -55,7 +55,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
-    # Unset: only a bare local session gets here (tests, the bench).
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    # A bare local session (tests, the bench).
     path = tempfile.mkdtemp(prefix="threadlake-ckpt-")
     sc.setCheckpointDir(path)
     return path
