@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
+from threadlake.functions import py_strip, sanitize_name
 from threadlake.operators.curation import classify
 
 OUT_SCHEMA = StructType([
@@ -38,10 +39,6 @@ STATE_SCHEMA = StructType([
 _EMPTY = (None, False, None, None, None, None, None, None, None, None, None)
 
 
-def _sanitize(text: str) -> str:
-    return "".join(c if c.isalnum() or c in " _-()" else "_" for c in text).strip()
-
-
 def _fold_session(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     (last_value, toggle, cur_key, cur_n4, cur_orig, cur_uo, cur_unique, cur_to_dl, cur_name, cur_epoch,
      last_seq) = state.get if state.exists else _EMPTY
@@ -90,7 +87,7 @@ def _fold_session(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Itera
             cur_uo = cur_unique = cur_to_dl = None
             cur_epoch = None
         else:
-            cur_name = f"{cur_name}_{_sanitize(r.value.strip())}"
+            cur_name = f"{cur_name}_{r.name_part}"
     if cur_key is not None:
         emit(False, False, last_seq)
     state.update((last_value, toggle, cur_key, cur_n4, cur_orig, cur_uo, cur_unique, cur_to_dl, cur_name,
@@ -118,7 +115,7 @@ def curation_updates(events: DataFrame, sessions: DataFrame, files: DataFrame) -
     c = classify(events).join(sessions.select("session_id", "thread_nr", "unique_only"), "session_id", "left")
     f = files.select("thread_nr", "file_key", "file_name_4ch", "file_name_orig", "is_new")
     x = c.join(f, ["thread_nr", "file_key"], "left").select(
-        "session_id", "seq", "value", "kind", "file_key", "file_name_4ch", "file_name_orig", "is_new", "unique_only")
+        "session_id", "seq", "value", sanitize_name(py_strip(F.col("value"))).alias("name_part"), "kind", "file_key", "file_name_4ch", "file_name_orig", "is_new", "unique_only")
     return x.groupBy("session_id").applyInPandasWithState(
         _fold_session, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
 
