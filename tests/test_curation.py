@@ -1,6 +1,6 @@
-"""The curation fold (windows/group-bys and the stateful stream) against a step-by-step
-model of the sequential loop, on random logs with repeated values, unknown URLs,
-removals followed by text, add_anyway on known files and toggles in mid-file."""
+"""The curation fold: written-out cases, block sizes against each other and the stateful stream
+against the batch on random logs (repeated values, unknown URLs, removals followed by text,
+add_anyway on known files, toggles in mid-file). The SQL cross-check is in test_oracle."""
 
 import random
 
@@ -15,73 +15,9 @@ FILE_DDL = "thread_nr STRING, file_key STRING, file_name_4ch STRING, file_name_o
 EV_DDL = "session_id BIGINT, seq BIGINT, value STRING"
 
 
-def sanitize(t):
-    return "".join(c if c.isalnum() or c in " _-()" else "_" for c in t).strip()
-
-
-def model(events, unique_only, files):
-    """Sequential fold of one session, following the tool's loop. files: key -> (n4, orig, is_new)."""
-    state = {}  # key -> dict(to_download, name, unique, removed)
-    cur, toggle, recent = None, False, None
-    dl = set()
-
-    def finalize():
-        f = state[cur]
-        if not f["to_download"] and not f["unique"]:
-            dl.discard(cur)
-            f["name"] = None
-
-    for v in events:
-        if v == recent:
-            continue
-        recent = v
-        if v.startswith("https://i.4cdn.org/") or v.startswith("//is2.4chan.org/"):
-            key = v.split(".org/", 1)[1]
-            if cur is not None:
-                finalize()
-            if key not in files:
-                cur = None
-                continue
-            n4, orig, is_new = files[key]
-            dl.add(key)
-            unique = True if is_new is None else is_new
-            state[key] = {"to_download": True, "name": f"{n4}_{orig}" if toggle else n4,
-                          "unique": unique if unique_only else True, "removed": False, "u": unique}
-            if unique_only and not unique:
-                state[key]["to_download"] = False
-            cur = key
-        elif v.strip() == "rename_thread":
-            pass
-        elif v.strip() == "toggle_use_orig_fn":
-            toggle = not toggle
-        elif cur is not None:
-            c = v.strip()
-            f = state[cur]
-            n4, orig, _ = files[cur]
-            if c == "reset_filename":
-                f["name"] = f"{n4}_{orig}" if toggle else n4
-            elif c == "reset_to_4ch_fn":
-                f["name"] = n4
-            elif c == "add_anyway":
-                f["to_download"] = True
-            elif c == "remove_file":
-                dl.remove(cur)
-                f["to_download"], f["name"], f["removed"] = False, None, True
-                cur = None
-            else:
-                f["name"] = f"{f['name']}_{sanitize(c)}"
-    if cur is not None:
-        finalize()
-    out = {}
-    for k, f in state.items():
-        sel = k in dl
-        out[k] = (f["name"] if sel else None, (f["u"] if unique_only else None), sel, f["removed"])
-    return out
-
-
 def random_case(seed, n_sessions=25):
     rnd = random.Random(seed)
-    sessions, files, events, expected_rows = [], [], [], []
+    sessions, files, events = [], [], []
     seq = 0
     for s in range(n_sessions):
         thread = f"t{s}"
@@ -108,28 +44,44 @@ def random_case(seed, n_sessions=25):
         for v in vals:
             seq += rnd.randrange(1, 4)
             events.append((s, seq, v))
-        expected = model([v for v in vals], uo, fmap)
-        for k, row in expected.items():
-            expected_rows.append((s, thread, k) + row)
-    return sessions, files, events, sorted(expected_rows)
+    return sessions, files, events
 
 
-@pytest.mark.parametrize("seed,block", [(1, 1 << 16), (2, 4), (3, 1)])
-def test_fold_matches_sequential_model(spark, seed, block):
-    sessions, files, events, expected = random_case(seed)
-    s = spark.createDataFrame(sessions, SESS_DDL)
-    f = spark.createDataFrame(files, FILE_DDL)
-    e = spark.createDataFrame(events, EV_DDL)
-    got = cu.fold_curation(e, s, f, block_span=block)
-    rows = sorted(tuple(r) for r in got.select("session_id", "thread_nr", "file_key", "dl_filename", "is_unique",
-                                               "to_download", "removed").collect())
-    assert rows == expected
+COLUMNS = ["session_id", "thread_nr", "file_key", "dl_filename", "is_unique", "to_download", "removed"]
+
+
+def multiset(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def folded(spark, sessions, files, events, **options):
+    s, f, e = (spark.createDataFrame(r, d) for r, d in ((sessions, SESS_DDL), (files, FILE_DDL), (events, EV_DDL)))
+    return sorted(tuple(r) for r in cu.fold_curation(e, s, f, **options).select(*COLUMNS).collect())
+
+
+@pytest.mark.parametrize("seed,block", [(1, 4), (2, 1)])
+def test_fold_does_not_depend_on_blocks(spark, seed, block):
+    case = random_case(seed)
+    whole = folded(spark, *case)
+    assert whole and folded(spark, *case, block_span=block) == whole
+
+
+def test_fold_cases(spark):
+    url = "https://i.4cdn.org/b/%d.jpg"
+    files = [("t", "b/1.jpg", "1", "orig1", True), ("t", "b/2.jpg", "2", "orig2", False), ("t", "b/3.jpg", "3", "orig3", True)]
+    values = [url % 1, "some text!", "some text!", url % 9, url % 3, "remove_file", url % 1]
+    events = [(1, 10 * i, v) for i, v in enumerate(values)]
+    got = {r[2]: r for r in folded(spark, [(1, "t", False)], files, events)}
+    assert got["b/1.jpg"][3:] == ("1", None, True, False)  # taken up again: named anew
+    assert got["b/3.jpg"][5:] == (False, True) and set(got) == {"b/1.jpg", "b/3.jpg"}
+    got = {r[2]: r for r in folded(spark, [(1, "t", False)], files, events[:3])}
+    assert got["b/1.jpg"][3:] == ("1_some text_", None, True, False)  # the repeat is dropped
 
 
 def test_stream_equals_batch(spark, tmp_path):
     from threadlake.streaming.curation import run_curation_stream
 
-    sessions, files, events, expected = random_case(9, n_sessions=12)
+    sessions, files, events = random_case(9, n_sessions=12)
     s = spark.createDataFrame(sessions, SESS_DDL)
     f = spark.createDataFrame(files, FILE_DDL)
     src = tmp_path / "events"
@@ -146,7 +98,7 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = cu.fold_curation(cu.drop_repeats(spark.createDataFrame(events, EV_DDL)), s, f)
     want = sorted(tuple(r) for r in batch.select("session_id", "thread_nr", "file_key", "dl_filename", "is_unique",
                                                   "to_download", "removed").collect())
-    assert got == want == expected
+    assert got == want
 
 
 def test_prefix_sums_blockwise_equal_window(spark):
@@ -200,7 +152,7 @@ def test_stored_name_golden(spark):
 def test_stream_restart_keeps_state(spark, tmp_path):
     from threadlake.streaming.curation import run_curation_stream
 
-    sessions, files, events, expected = random_case(21, n_sessions=10)
+    sessions, files, events = random_case(21, n_sessions=10)
     s = spark.createDataFrame(sessions, SESS_DDL)
     f = spark.createDataFrame(files, FILE_DDL)
     events.sort(key=lambda r: r[1])
@@ -211,7 +163,8 @@ def test_stream_restart_keeps_state(spark, tmp_path):
     # Restart from the same checkpoint after more of the log has arrived.
     spark.createDataFrame(events[half:], EV_DDL).coalesce(1).write.mode("append").parquet(src)
     out = run_curation_stream(spark, src, s, f, sink, ck)
-    assert sorted(tuple(r) for r in out.collect()) == expected
+    batch = cu.fold_curation(cu.drop_repeats(spark.createDataFrame(events, EV_DDL)), s, f)
+    assert multiset(out) == multiset(batch.select(*COLUMNS))
 
 
 def test_hot_session_blockwise(spark):

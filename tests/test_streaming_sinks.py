@@ -25,7 +25,7 @@ def test_novelty_stream(spark, tmp_path):
     assert got == {1: False, 2: True, 3: None}
 
 
-def test_dedupe_and_index_upkeep_restart(spark, tmp_path):
+def test_index_upkeep_restart(spark, tmp_path):
     src = tmp_path / "verified"
     ddl = "ext STRING, size_mb DECIMAL(12,2), md5_b64 STRING, path STRING, ts TIMESTAMP"
     t0 = dt.datetime(2024, 1, 1)
@@ -36,24 +36,29 @@ def test_dedupe_and_index_upkeep_restart(spark, tmp_path):
 
     def run():
         stream = spark.readStream.schema(ddl).parquet(str(src))
-        si.maintain_index(si.dedupe_verified(stream), index_path, ck).awaitTermination()
+        si.maintain_index(stream, index_path, ck).awaitTermination()
 
     run()
     got = sorted((r.ext, r.md5_b64) for r in si.current_index(spark, index_path).collect())
-    assert got == [("jpg", "AAA"), ("png", "CCC")]
-    # Restart from the checkpoint: only the new file is processed; a digest already seen
-    # within the watermark is dropped again.
+    assert got == [("jpg", "AAA"), ("jpg", "AAA"), ("png", "CCC")]  # every stored path is kept
+    # Restart from the checkpoint: only the new file is processed.
     spark.createDataFrame([("gif", Decimal("0.50"), "DDD", "c/3.gif", t0),
                            ("jpg", Decimal("0.12"), "AAA", "c/1.jpg", t0)], ddl) \
         .coalesce(1).write.mode("append").parquet(str(src))
     run()
     got = sorted((r.ext, r.md5_b64) for r in si.current_index(spark, index_path).collect())
-    assert got == [("gif", "DDD"), ("jpg", "AAA"), ("png", "CCC")]
+    assert got == [("gif", "DDD"), ("jpg", "AAA"), ("jpg", "AAA"), ("jpg", "AAA"), ("png", "CCC")]
+    # Novelty is a separate output: one row for each digest.
+    stream = spark.readStream.schema(ddl).parquet(str(src))
+    q = (si.dedupe_verified(stream).writeStream.format("memory").queryName("novel_out")
+         .option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert sorted(r.md5_b64 for r in spark.sql("SELECT * FROM novel_out").collect()) == ["AAA", "CCC", "DDD"]
     # The base snapshot and the additions together form the current index.
     base = str(tmp_path / "base")
     st.save_index(spark.createDataFrame([("webm", Decimal("2.80"), "EEE", "z/9.webm")],
                                         "ext STRING, size_mb DECIMAL(12,2), md5_b64 STRING, path STRING"), base)
-    assert si.current_index(spark, index_path, base).count() == 4
+    assert si.current_index(spark, index_path, base).count() == 6
 
 
 def test_text_and_run_state_sinks(spark, tmp_path):

@@ -37,28 +37,17 @@ def _thread(spark):
     return p, files
 
 
-def _walk(posts, backl, has_file, root, lvl, out, max_lvl=3):
-    for bl in backl.get(root, []):
-        if posts[bl]:
-            out.append("  " + " " * (5 * lvl) + "__________")
-            out.extend("> " + " " * (5 * lvl) + line for line in posts[bl].splitlines())
-        if backl.get(bl) and lvl + 1 <= max_lvl:
-            if not posts[bl] and has_file.get(bl):
-                continue
-            _walk(posts, backl, has_file, bl, lvl + 1, out, max_lvl)
-
-
 def test_reply_tree_and_report_layout(spark):
     p, files = _thread(spark)
     edges = ex.quote_edges(p)
     links = g.backlinks(p, edges)
     assert [r.quoted_nr for r in g.dangling_quotes(p, edges).collect()] == sorted(["9", "99"])
-    msgs = {r.post_nr: r.post_msg for r in p.collect()}
-    backl = {}
-    for r in links.orderBy("pos", "quote_pos").collect():
-        backl.setdefault(r.post_nr, []).append(r.backlink_nr)
-    expected = []
-    _walk(msgs, backl, {"1": True, "3": True}, "1", 1, expected)
+    # Reply 2 with its replies 4 and (through the empty 5) 6; the empty 3 has a file of its own.
+    expected = [
+        "       __________", ">      >>1", ">      reply",
+        "            __________", ">           >>3", ">           >>2", ">           both",
+        "                 __________", ">                six",
+    ]
     threads = spark.createDataFrame([("t", "Subj", "123", "op text\nsecond line", "gif_x")],
                                     "thread_nr STRING, subject STRING, utc STRING, op_post_msg STRING, folder_name STRING")
     fetched = spark.createDataFrame([("t", "1", 0, "111_orig", "jpg", "100 KB", "620x465", "E2nKKDmi/IwbuxHgn4hWff==", "orig")],
