@@ -5,8 +5,8 @@ its count for a new state, -1 and the old count for the state it replaces. Sums
 are additive, so totals never need the corpus again: a batch is reduced to one small delta by
 (source, lang, tokenizer), and the totals are the sum of the committed batches' deltas.
 
-Layout under the rollup's folder, by batch: ``log/<batch>`` (signed rows per document) is written
-first, ``delta/<batch>`` last; Spark's success marker of the delta commits the batch. A batch that
+Layout under the rollup's folder, by batch: ``change/<batch>`` (the changes as they came) and
+``log/<batch>`` (signed rows per document) are written first, ``delta/<batch>`` last; Spark's success marker of the delta commits the batch. A batch that
 is committed again changes nothing; one that died half-way is written over. The state of a
 document is the sum of its signed rows in committed batches.
 
@@ -58,7 +58,9 @@ class Rollup:
         """Apply a batch once; False if it had been committed before."""
         if batch in self._committed():
             return False
-        change = changes.select("doc_id", "tokenizer", "source", "lang", "n_tokens", "op", "seq")
+        # Written first: counting the tokens is the costly part, and the changes are read thrice.
+        changes.select("doc_id", "tokenizer", "source", "lang", "n_tokens", "op", "seq").write.mode("overwrite").parquet(f"{self.path}/change/{batch}")
+        change = self.spark.read.schema(CHANGE).parquet(f"{self.path}/change/{batch}")
         latest = change.where("doc_id is not null").groupBy("doc_id", "tokenizer").agg(F.max(F.struct("seq", "op", "source", "lang", "n_tokens")).alias("new"))
         latest = latest.select("doc_id", "tokenizer", "new.op", "new.source", "new.lang", "new.n_tokens")
         old = self.state().join(latest.select("doc_id", "tokenizer"), ["doc_id", "tokenizer"], "left_semi")
