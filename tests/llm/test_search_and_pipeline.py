@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 import pytest
-from conftest import SF
+from samples import SF
 from pyspark.sql import functions as F
 from test_copies import fingerprint, groups
 
