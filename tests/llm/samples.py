@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, gram string, fp string, row string, kept string"
 
@@ -20,5 +22,15 @@ def texts() -> list[tuple]:
     return [(i, t, "en", "s", None if t is None else len(t), "g", "f", "r", "k") for i, t in rows]
 
 
+@pytest.fixture(scope="session")
+def docs(spark):
+    return spark.createDataFrame(texts(), DOCS).repartition(3)
+
+
+@pytest.fixture(scope="session")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
 def multiset(rows) -> list[str]:
     return sorted(map(repr, rows))

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import xxhash
-from samples import multiset, texts
+from samples import docs, empty, multiset, texts  # noqa: F401
 
 from threadlake.llm import components, simhash, substring, suffix
 from threadlake.llm.common import Scratch

@@ -8,7 +8,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
-from samples import SF, multiset, texts
+from samples import SF, docs, empty, multiset, texts  # noqa: F401
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
