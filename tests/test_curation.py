@@ -63,7 +63,7 @@ def folded(spark, sessions, files, events, **options):
 def test_fold_does_not_depend_on_blocks(spark, seed, block):
     case = random_case(seed)
     whole = folded(spark, *case)
-    assert whole and folded(spark, *case, block_span=block) == whole
+    assert whole and folded(spark, *case, blocks=block) == whole
 
 
 def test_fold_cases(spark):
@@ -109,10 +109,10 @@ def test_prefix_sums_blockwise_equal_window(spark):
     df = spark.createDataFrame(rows, "k INT, seq BIGINT, v INT").dropDuplicates(["k", "seq"])
     w = Window.partitionBy("k").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     want = sorted((r.k, r.seq, r.s) for r in df.select("k", "seq", F.sum("v").over(w).alias("s")).collect())
-    for span in (1, 7, 1 << 16):
-        got = prefix_sums(df, ["k"], "seq", {"s": F.col("v")}, block_span=span)
+    for n in (1, 7, 40):
+        got = prefix_sums(df, ["k"], "seq", {"s": F.col("v")}, blocks=n)
         assert sorted((r.k, r.seq, r.s) for r in got.collect()) == want
-        lag = previous_value(df, ["k"], "seq", "v", "p", block_span=span)
+        lag = previous_value(df, ["k"], "seq", "v", "p", blocks=n)
         wl = Window.partitionBy("k").orderBy("seq")
         want_lag = sorted((r.k, r.seq, r.p) for r in df.select("k", "seq", F.lag("v").over(wl).alias("p")).collect())
         assert sorted((r.k, r.seq, r.p) for r in lag.collect()) == want_lag
@@ -133,9 +133,9 @@ def test_dedup_prefix_sums_equal_window(spark):
     kept = df.withColumn("p", F.lag("val").over(w)).where(F.col("p").isNull() | (F.col("p") != F.col("val"))).drop("p")
     want = sorted((r.k, r.seq, r.s) for r in kept.select(
         "k", "seq", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s")).collect())
-    for span in (1, 3, 17, 1 << 16):
-        got = dedup_prefix_sums(df, ["k"], "seq", "val", {"s": F.col("v")}, block_span=span)
-        assert sorted((r.k, r.seq, r.s) for r in got.collect()) == want, span
+    for n in (1, 3, 17, 64):
+        got = dedup_prefix_sums(df, ["k"], "seq", "val", {"s": F.col("v")}, blocks=n)
+        assert sorted((r.k, r.seq, r.s) for r in got.collect()) == want, n
 
 
 def test_stored_name_golden(spark):
@@ -168,22 +168,44 @@ def test_stream_restart_keeps_state(spark, tmp_path):
 
 
 def test_hot_session_blockwise(spark):
-    """One session holds a third of 150k log rows: the blockwise pass (blocks of 4096 seq
-    values) equals a plain per-session window, and no block holds more than 4096 rows."""
+    """One session holds a third of 150k log rows, numbered by microseconds with long gaps:
+    the blockwise pass equals a plain per-session window, and no block holds more than
+    about its share of all rows."""
     from pyspark.sql import Window
 
-    from threadlake.operators.sequence import dedup_prefix_sums
+    from threadlake.operators.sequence import dedup_prefix_sums, with_blocks
 
     n = 150_000
     df = spark.range(n).select(
         F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 97 + 1).alias("k"),
-        F.col("id").alias("seq"),
+        F.when(F.col("id") == 0, F.lit(0)).otherwise(1_700_000_000_000_000 + F.col("id") * 1_000_003
+                                                     + F.floor(F.col("id") / 50_000) * 10**13).alias("seq"),
         (F.col("id") * 7 % 5 < 2).cast("string").alias("val"),
         (F.col("id") % 4).cast("int").alias("v"))
     w = Window.partitionBy("k").orderBy("seq")
     kept = df.withColumn("p", F.lag("val").over(w)).where(F.col("p").isNull() | (F.col("p") != F.col("val")))
     want = kept.select("k", "seq", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"))
-    got = dedup_prefix_sums(df, ["k"], "seq", "val", {"s": F.col("v")}, block_span=4096).select("k", "seq", "s")
+    got = dedup_prefix_sums(df, ["k"], "seq", "val", {"s": F.col("v")}, blocks=40).select("k", "seq", "s")
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
-    biggest = df.groupBy("k", F.floor(F.col("seq") / 4096)).count().agg(F.max("count")).first()[0]
-    assert biggest <= 4096
+    sizes = with_blocks(df, ["k"], "seq", 40).groupBy("k", "_blk").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 2 * n / 40
+    hot = sizes.where("k = 0").count()
+    assert 10 <= hot <= 20  # a third of 40 blocks, not one block a row
+
+
+def test_hot_epoch_is_aggregated_before_its_shuffle(spark):
+    """One URL followed by a third of the log: a row per task and name base is shuffled."""
+    url = "https://i.4cdn.org/b/1.jpg"
+    ev = spark.range(9000).select(
+        F.when(F.col("id") < 3000, F.lit(1)).otherwise(F.col("id") % 50 + 2).cast("bigint").alias("session_id"),
+        F.col("id").alias("seq"),
+        F.when((F.col("id") == 0) | (F.col("id").between(3000, 3049)), F.lit(url))
+        .otherwise(F.when(F.col("id") % 2 == 0, F.lit("add_anyway")).otherwise(F.lit("toggle_use_orig_fn"))).alias("value"))
+    s = spark.range(1, 52).select(F.col("id").alias("session_id"), F.lit("t").alias("thread_nr"), F.lit(True).alias("unique_only"))
+    f = spark.createDataFrame([("t", "b/1.jpg", "1", "orig", False)], FILE_DDL)
+    out = cu.fold_curation(ev, s, f, blocks=20)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" not in plan and plan.count("Exchange hashpartitioning") <= 3
+    got = {r.session_id: (r.dl_filename, r.to_download) for r in out.collect()}
+    # Sessions of even numbers hold one add_anyway (the rest are repeats), those of odd ones one toggle.
+    assert got == {1: ("1", True)} | {k + 2: ("1", True) if k % 2 == 0 else (None, False) for k in range(50)}

@@ -36,10 +36,9 @@ REMOVE = "remove_file"
 KEYS = ["session_id"]
 
 
-def drop_repeats(events: DataFrame, block_span: int | None = None) -> DataFrame:
+def drop_repeats(events: DataFrame, blocks: int | None = None) -> DataFrame:
     """Drop a value equal to the session's immediately preceding value."""
-    kw = {"block_span": block_span} if block_span else {}
-    x = previous_value(events, KEYS, "seq", "value", "_prev", **kw)
+    x = previous_value(events, KEYS, "seq", "value", "_prev", blocks)
     return x.where(F.col("_prev").isNull() | (F.col("_prev") != F.col("value"))).drop("_prev", "_prev_exists")
 
 
@@ -59,7 +58,7 @@ def classify(events: DataFrame) -> DataFrame:
 
 
 def fold_curation(events: DataFrame, sessions: DataFrame, files: DataFrame,
-                  block_span: int | None = None, cut: bool = True) -> DataFrame:
+                  blocks: int | None = None, cut: bool = True) -> DataFrame:
     """Final per-file state of each session.
 
     ``events(session_id, seq, value)``, raw or after ``drop_repeats`` (repeats are dropped
@@ -77,14 +76,13 @@ def fold_curation(events: DataFrame, sessions: DataFrame, files: DataFrame,
     session_id, thread_nr, file_key, dl_filename (NULL unless selected), is_unique,
     to_download, removed.
     """
-    kw = {"block_span": block_span} if block_span else {}
     c = classify(events)
     is_url = (F.col("kind") == "url").cast("int")
     c = dedup_prefix_sums(c, KEYS, "seq", "value", {
         "epoch": is_url,
         "tog": (F.col("kind") == "toggle").cast("int"),
         "sub": F.col("kind").isin("url", "reset", "reset4ch").cast("int"),
-    }, **kw).where(F.col("epoch") > 0)
+    }, blocks).where(F.col("epoch") > 0)
     if cut:
         c = cut_lineage(c)
 
@@ -102,23 +100,24 @@ def fold_curation(events: DataFrame, sessions: DataFrame, files: DataFrame,
     if cut:
         ep = cut_lineage(ep)
 
-    # Rows of the deciding epochs. A removed file is not selected whatever else its epoch
-    # holds, so the name and add_anyway are read over the whole epoch; rows after the
-    # remove only matter when there is none. Every step below is keyed by
-    # (session, epoch), so it reuses the one shuffle of the join.
-    rows = c.join(ep.select("session_id", "epoch"), ["session_id", "epoch"], "left_semi")
-    per_epoch = rows.groupBy("session_id", "epoch").agg(
-        F.max("sub").alias("last_sub"),
+    # A removed file is not selected whatever else its epoch holds, so the name and
+    # add_anyway are read over the whole epoch; rows after the remove only matter when there
+    # is none. Rows are aggregated straight from the log (partial aggregates before the
+    # shuffle, so an epoch with very many rows arrives as one row per task), first per
+    # name base, then per epoch, where the last base decides the name. No join stands
+    # between the log and these aggregates.
+    text = F.struct("seq", sanitize_name(py_strip(F.col("value"))).alias("s"))
+    per_sub = c.groupBy("session_id", "epoch", "sub").agg(
         F.max_by(F.struct("kind", "tog"), F.when(F.col("kind").isin("url", "reset", "reset4ch"), F.col("seq"))).alias("base_row"),
+        F.collect_list(F.when(F.col("kind") == "text", text)).alias("texts"),
         F.max(F.col("kind") == "add").alias("added"),
         F.max(F.col("kind") == "remove").alias("removed"))
-    suffix = (rows.join(per_epoch.select("session_id", "epoch", "last_sub"), ["session_id", "epoch"])
-              .where((F.col("kind") == "text") & (F.col("sub") == F.col("last_sub")))
-              .groupBy("session_id", "epoch")
-              .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(
-                  "seq", sanitize_name(py_strip(F.col("value"))).alias("s")))), lambda x: F.concat(F.lit("_"), x["s"])), "")
-                   .alias("suffix")))
-    d = ep.join(per_epoch, ["session_id", "epoch"], "left").join(suffix, ["session_id", "epoch"], "left")
+    per_epoch = per_sub.groupBy("session_id", "epoch").agg(
+        F.max_by(F.struct("base_row", "texts"), F.col("sub")).alias("last"),
+        F.max("added").alias("added"), F.max("removed").alias("removed"))
+    d = ep.join(per_epoch, ["session_id", "epoch"], "left").select(
+        "*", F.col("last.base_row").alias("base_row"),
+        F.array_join(F.transform(F.array_sort("last.texts"), lambda x: F.concat(F.lit("_"), x["s"])), "").alias("suffix"))
     n4, orig = F.col("file_name_4ch"), F.col("file_name_orig")
     with_orig = F.concat_ws("_", n4, orig)
     base_kind, base_tog = F.col("base_row.kind"), F.col("base_row.tog")

@@ -47,27 +47,29 @@ def inner_text(fragment):
     return unescape(F.regexp_replace(fragment, r"<[^>]*>", ""))
 
 
-# Containers per page when a long thread is split over pages (``page_no`` column).
-PAGE_POSTS = 1000
+# Positions of a page's containers when a long thread is split over pages (``page_no``
+# column): more than one page's text can hold, so pages never overlap.
+PAGE_POSITIONS = 1 << 31
 
 
 def parse_containers(pages: DataFrame) -> DataFrame:
     """One row per post container: page_id, thread_nr, pos, post_nr, utc, raw fragment.
 
     The thread number is the opening post's number, or the thread block's id on a
-    continuation page; with a ``page_no`` column, ``pos`` continues across pages.
+    continuation page; with a ``page_no`` column, ``pos`` orders posts over pages of any
+    size (it has gaps between pages; the first page counts from 0).
     """
     op = F.regexp_extract(F.col("html"), OP_BLOCK, 0)
     thread_nr = F.coalesce(F.nullif(F.regexp_extract(op, POST_NUM, 1), F.lit("")),
                            F.regexp_extract(F.col("html"), THREAD_ID, 1))
-    offset = (F.col("page_no") * PAGE_POSTS) if "page_no" in pages.columns else F.lit(0)
+    offset = (F.col("page_no").cast("bigint") * PAGE_POSITIONS) if "page_no" in pages.columns else F.lit(0)
     page = pages.select(
         "page_id", thread_nr.alias("thread_nr"), offset.alias("_off"),
         F.split(F.regexp_extract(F.col("html"), THREAD_BLOCK, 1), CONTAINER).alias("parts"),
     )
     x = page.select("page_id", "thread_nr", "_off", F.posexplode("parts").alias("idx", "frag")).where(F.col("idx") > 0)
     return x.select(
-        "page_id", "thread_nr", (F.col("_off") + F.col("idx") - 1).cast("int").alias("pos"),
+        "page_id", "thread_nr", (F.col("_off") + F.col("idx") - 1).cast("bigint").alias("pos"),
         F.regexp_extract("frag", POST_NUM, 1).alias("post_nr"),
         F.regexp_extract("frag", DATE_UTC, 1).alias("utc"),
         "frag",

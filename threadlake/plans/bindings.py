@@ -29,7 +29,7 @@ def memo(fn):
 
     @functools.wraps(fn)
     def wrapper(spark, sf_dir, *args):
-        key = (id(spark), sf_dir, args)
+        key = (spark.sparkContext.applicationId, sf_dir, args)
         if key not in cache:
             cache[key] = fn(spark, sf_dir, *args)
         return cache[key]
@@ -360,11 +360,12 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @memo
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``v_decisions``: files with a failed digest (doc_id % 7 = 0); keep the even ones."""
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = read_table(spark, sf_dir, "documents").select(
+        "doc_id", F.md5(F.concat(F.col("text"), F.lit("#"))).alias("actual_md5_hex"))
     m = media(spark, sf_dir).select("doc_id", "md5_hex", "path")
     return (m.where(F.pmod(F.col("doc_id"), F.lit(7)) == 0).join(d, "doc_id")
             .select("doc_id", "md5_hex", "path", (F.pmod(F.col("doc_id"), F.lit(2)) == 0).alias("keep"),
-                    F.md5(F.concat(F.col("text"), F.lit("#"))).alias("actual_md5_hex")))
+                    "actual_md5_hex"))
 
 
 # ---------------------------------------------------------------- curation log (from events)

@@ -155,12 +155,12 @@ def q_curation_stream(spark, sf):
     from threadlake.sources.materialize import materialize, table_path
     from threadlake.streaming.curation import run_curation_stream
 
-    # Stage the log once as files the stream source can read, ordered by seq.
+    # Stage the log once as files the stream source can read. One batch takes them all and
+    # orders each session's rows, so the files need no order.
     from threadlake.sources.materialize import input_signature
 
     key = f"{b.BINDINGS_VERSION}|{b.code_tag()}|{sf}|" + input_signature(spark, [f"{sf.rstrip('/')}/{t}.parquet" for t in ("events", "documents")])
-    materialize(spark, lambda: b.curation_events(spark, sf).select("session_id", "seq", "value")
-                .repartitionByRange(1, "seq").sortWithinPartitions("seq"), "curation-log", key)
+    materialize(spark, lambda: b.curation_events(spark, sf).select("session_id", "seq", "value"), "curation-log", key)
     src = table_path(spark, "curation-log", key)
     run = table_path(spark, f"curation-stream-{uuid.uuid4().hex}", sf)
     return run_curation_stream(spark, src, b.sessions(spark, sf), _thread_files(spark, sf),

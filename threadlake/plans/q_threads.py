@@ -87,8 +87,7 @@ def q_html_text(spark, sf):
 
 @register("posts_with_files")
 def q_posts_with_files(spark, sf):
-    p = _posts(spark, sf).select("thread_nr", "post_nr")
-    return p.join(_files(spark, sf).select("thread_nr", "post_nr", "file_key"), ["thread_nr", "post_nr"])
+    return ex.files_of(post_rows_table(spark, sf)).select("thread_nr", "post_nr", "file_key")
 
 
 @register("extract_requests")

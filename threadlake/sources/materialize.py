@@ -14,6 +14,7 @@ import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from threadlake.session import ensure_checkpoint_dir
 
@@ -26,8 +27,8 @@ def _fs_exists(spark, path: str) -> bool:
 
 
 def input_signature(spark: SparkSession, paths: list[str]) -> str:
-    """Length and modification time of the given inputs: a derived table is rebuilt when
-    one of them changes."""
+    """Length and modification time of the given inputs, for a folder those of all files
+    below it: a derived table is rebuilt when one of them changes."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     parts = []
@@ -36,6 +37,12 @@ def input_signature(spark: SparkSession, paths: list[str]) -> str:
         fs = p.getFileSystem(conf)
         if fs.exists(p):
             st = fs.getFileStatus(p)
+            if st.isDirectory():
+                files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+                n, sign = files.agg(F.count(F.lit(1)), F.sum(
+                    F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()
+                parts.append(f"{path}:{n}:{sign}")
+                continue
             parts.append(f"{path}:{st.getLen()}:{st.getModificationTime()}")
         else:
             parts.append(f"{path}:missing")

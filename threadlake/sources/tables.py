@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 PAGES_DDL = "page_id BIGINT, url STRING, html STRING"
 
 
-_TABLES: dict[tuple[int, str], DataFrame] = {}
+_TABLES: dict[tuple[str, str], DataFrame] = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,7 +15,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     so repeated references share one analysed scan instead of re-listing and re-reading
     footers."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), path)
+    key = (spark.sparkContext.applicationId, path)
     if key not in _TABLES:
         _TABLES[key] = spark.read.parquet(path)
     return _TABLES[key]
