@@ -187,7 +187,7 @@ def test_bucketed_index_lookup_skips_index_shuffle(spark, tmp_path):
     save_index_table(idx, "tl_index_bucketed", buckets=8, path=str(tmp_path / "bucketed"))
     table = spark.table("tl_index_bucketed")
     cand = b.candidates(spark, SF_SMALL)
-    res = lookup_duplicates(cand, table)
+    res = lookup_duplicates(cand, table, co_located=True)
     want = lookup_duplicates(cand, idx)
     assert res.exceptAll(want).count() == 0 and want.exceptAll(res).count() == 0
     plan = res._jdf.queryExecution().executedPlan().toString()
@@ -268,3 +268,108 @@ def test_unknown_numbers_and_keys(spark):
     cand = spark.createDataFrame([("jpg", None, "A")], ddl)
     index = spark.createDataFrame([("jpg", None, "A", "p")], ddl + ", path STRING")
     assert ix.novel(cand, index).first().is_new is None and ix.lookup_duplicates(cand, index).first().is_new is None
+
+
+def test_hot_digest_is_split(spark):
+    """A third of the candidates share one digest: the join's partition of it is split."""
+    from threadlake.operators import index as ix
+
+    cand = spark.range(300_000).selectExpr(
+        "id AS cand_id", "'jpg' AS ext", "CAST(1 AS DECIMAL(12,2)) AS size_mb",
+        "CASE WHEN id % 3 = 0 THEN 'hot' ELSE CAST(id AS STRING) END AS md5_b64",
+        "sha2(CAST(id AS STRING), 256) AS name")
+    idx = spark.createDataFrame([("jpg", 1, "hot", "a/1.jpg"), ("jpg", 1, "hot", "b/1.jpg")],
+                                "ext STRING, size_mb INT, md5_b64 STRING, path STRING") \
+        .selectExpr("ext", "CAST(size_mb AS DECIMAL(12,2)) AS size_mb", "md5_b64", "path")
+    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        for res in (ix.lookup_duplicates(cand, idx), ix.novel(cand, idx)):
+            assert res.where("NOT is_new").count() == 100_000
+            rows = res.collect()
+            assert len(rows) == 300_000
+            assert "skew=true" in res._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_quarantine_keeps_other_lines_in_place(spark, tmp_path):
+    """A manifest with a comment, an empty and an unparsed line: they stay where they are."""
+    from threadlake.__main__ import quarantine
+    from threadlake.operators.manifest import append_manifest, read_manifest
+
+    man = tmp_path / "m.md5"
+    man.write_text("# files of a thread\naa *x/1.jpg\n\nbb x/2.jpg\naa *x/1.jpg\ncc *x/3.jpg\n")
+    spark.createDataFrame([("aa", "x/1.jpg", True, "dd"), ("cc", "x/3.jpg", False, "ee")],
+                          "md5_hex STRING, path STRING, keep BOOLEAN, actual_md5_hex STRING").write.parquet(str(tmp_path / "d"))
+
+    class A:
+        manifest, decisions, out = str(man), str(tmp_path / "d"), str(tmp_path / "q")
+    quarantine(spark, A)
+    parts = sorted((tmp_path / "q" / "manifest").glob("part-*"))
+    assert "".join(x.read_text() for x in parts) == "# files of a thread\ndd *x/1.jpg\n\nbb x/2.jpg\naa *x/1.jpg\n"
+    outcomes = spark.createDataFrame([(True, "qqo=", "f", "n", "jpg"), (False, "qqo=", "f", "m", "jpg")],
+                                     "dl_success BOOLEAN, file_md5_b64 STRING, folder_name STRING, dl_filename STRING, file_ext STRING")
+    for _ in range(2):
+        append_manifest(outcomes, str(tmp_path / "out"))
+    assert [(r.md5_hex, r.path) for r in read_manifest(spark, str(tmp_path / "out")).collect()] == [("aaaa", "f/n.jpg")] * 2
+
+
+def test_listed_media_holds_hidden_names(spark, tmp_path):
+    import base64
+    import hashlib
+
+    from threadlake.sources.media import list_media, scan_media
+
+    root = tmp_path / "a b%"
+    names = ["1.jpg", "_x.jpg", ".y.png", "sub dir/_d/é+1.gif", "page_files/z.jpg", "n.txt", "_e.webm"]
+    for i, name in enumerate(names):
+        f = root / name
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_bytes(b"" if name == "_e.webm" else name.encode() * (i + 1))
+    for given in (str(root), root.as_uri().replace("%20", " ").replace("%25", "%")):
+        got = {r.path: (r.ext, r.size_bytes, r.md5_b64) for r in scan_media(
+            spark, given, listing=list_media(spark, given)).collect()}
+        assert sorted(got) == sorted(n for n in names if n not in ("page_files/z.jpg", "n.txt"))
+        for name, (ext, size, digest) in got.items():
+            data = (root / name).read_bytes()
+            assert (ext, size) == (name.rsplit(".", 1)[1], len(data))
+            assert digest == base64.b64encode(hashlib.md5(data).digest()).decode()
+        plain = scan_media(spark, str(root))
+        listed = scan_media(spark, str(root), listing=list_media(spark, str(root)))
+        assert plain.exceptAll(listed.select(*plain.columns)).count() == 0
+
+
+def test_cli_extract_and_report(spark, tmp_path):
+    from conftest import SF_SMALL
+    from threadlake.__main__ import extract, report, resume
+    from threadlake.plans import bindings as b
+
+    b.thread_pages_table(spark, SF_SMALL, "plain").write.parquet(str(tmp_path / "pages"))
+    b.threads(spark, SF_SMALL).select("thread_nr", "folder_name").write.parquet(str(tmp_path / "folders"))
+
+    class A:
+        pages, out = str(tmp_path / "pages"), str(tmp_path / "tables")
+    extract(spark, A)
+    files = spark.read.parquet(f"{A.out}/files")
+    assert files.count() > 0
+
+    class R:
+        tables, folders, date, out = A.out, str(tmp_path / "folders"), "2024-01-01", str(tmp_path / "report")
+    report(spark, R)
+    text = spark.read.text(R.out)
+    assert text.where(text.value.startswith("File: ")).count() == files.count()
+    rows = "session_id BIGINT, file_key STRING, to_download BOOLEAN"
+    spark.createDataFrame([(1, "a", True), (1, "b", True)], rows).write.parquet(str(tmp_path / "p"))
+    spark.createDataFrame([(1, "b", False)], rows).write.parquet(str(tmp_path / "n"))
+
+    class S:
+        prior, new, out = str(tmp_path / "p"), str(tmp_path / "n"), str(tmp_path / "sel")
+    resume(spark, S)
+    assert sorted(map(tuple, spark.read.parquet(S.out).collect())) == [(1, "a", True), (1, "b", False)]

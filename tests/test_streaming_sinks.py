@@ -73,3 +73,19 @@ def test_text_and_run_state_sinks(spark, tmp_path):
     back = st.load_run_state(spark, str(tmp_path / "state"))
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, state.collect()))
     assert back.where(F.col("done")).count() == 1
+
+
+def test_live_novelty_follows_the_index(spark, tmp_path):
+    ddl = "file_id INT, ext STRING, size_mb DECIMAL(12,2), md5_b64 STRING"
+    src, idx, out, ck = (str(tmp_path / x) for x in ("files", "index", "out", "ck"))
+    st.save_index(spark.createDataFrame([("jpg", Decimal("0.12"), "AAA", "a/1.jpg")], IDX_DDL), idx)
+
+    def arrive(rows):
+        spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(src)
+        si.live_novelty(spark.readStream.schema(ddl).parquet(src), lambda: st.load_index(spark, idx), out, ck).awaitTermination()
+
+    arrive([(1, "jpg", Decimal("0.12"), "AAA"), (2, "jpg", Decimal("0.12"), "BBB"), (3, "jpg", None, "AAA")])
+    st.save_index(spark.createDataFrame([("jpg", Decimal("0.12"), "BBB", "a/2.jpg")], IDX_DDL), idx, mode="append")
+    arrive([(4, "jpg", Decimal("0.12"), "BBB")])
+    got = {r.file_id: r.is_new for r in spark.read.parquet(out).collect()}
+    assert got == {1: False, 2: True, 3: None, 4: False}

@@ -1,5 +1,8 @@
 """Command-line jobs: the archive tool's verbs as batch/stream Spark jobs.
 
+  python -m threadlake extract   --pages PAGES --out OUT              (pages -> tables)
+  python -m threadlake report    --tables OUT --folders F --date D --out DIR   (report text)
+  python -m threadlake resume    --prior P --new N --out OUT          (selection of a resumed run)
   python -m threadlake gen-info  --root MEDIA_DIR --index OUT        (scan -> index snapshot)
   python -m threadlake lookup    --index IDX --pages PAGES --out OUT (page files: new or where)
   python -m threadlake fold      --events EV --sessions S --files F --out OUT   (curation log)
@@ -34,9 +37,47 @@ def _spark(master: str | None) -> SparkSession:
 def gen_info(spark, a) -> None:
     from threadlake.operators.index import build_index
     from threadlake.sources.index_store import save_index
-    from threadlake.sources.media import scan_media
+    from threadlake.sources.media import list_media, scan_media
 
-    save_index(build_index(scan_media(spark, a.root)), a.index)
+    save_index(build_index(scan_media(spark, a.root, listing=list_media(spark, a.root))), a.index)
+
+
+def extract(spark, a) -> None:
+    """Saved pages -> ``threads``, ``posts``, ``files`` and ``rejects`` below ``--out``."""
+    from threadlake.operators import extract as ex
+    from threadlake.sources.tables import read_pages
+
+    pages = read_pages(spark, a.pages)
+    ex.extract_threads(pages).write.mode("overwrite").parquet(f"{a.out}/threads")
+    ex.extract_post_rows(pages).write.mode("overwrite").parquet(f"{a.out}/post_rows")
+    rows = spark.read.parquet(f"{a.out}/post_rows")
+    ex.posts_of(rows).write.mode("overwrite").parquet(f"{a.out}/posts")
+    ex.files_of(rows).write.mode("overwrite").parquet(f"{a.out}/files")
+    ex.page_rejects(pages).write.mode("overwrite").parquet(f"{a.out}/page_rejects")
+    ex.file_rejects(pages).write.mode("overwrite").parquet(f"{a.out}/file_rejects")
+
+
+def report(spark, a) -> None:
+    """Extracted tables -> report text. ``--folders(thread_nr, folder_name)``; every file of a
+    thread in it is reported under its stored name ``<server>_<original>``."""
+    from threadlake.operators import graph as g
+    from threadlake.operators import report as rp
+    from threadlake.operators.extract import quote_edges
+
+    posts, files = spark.read.parquet(f"{a.tables}/posts"), spark.read.parquet(f"{a.tables}/files")
+    threads = spark.read.parquet(f"{a.tables}/threads").join(
+        spark.read.parquet(a.folders).select("thread_nr", "folder_name"), "thread_nr")
+    fetched = files.withColumn("dl_filename", F.concat_ws("_", "file_name_4ch", "file_name_orig"))
+    lines = rp.thread_report(threads, fetched, posts, g.backlinks(posts, quote_edges(posts)), files)
+    rp.write_reports(lines, a.out, a.date)
+
+
+def resume(spark, a) -> None:
+    """The prior selection united with the resumed session's (``--prior``, ``--new``: outputs of
+    ``fold``)."""
+    from threadlake.operators.curation import resume_selection
+
+    resume_selection(spark.read.parquet(a.prior), spark.read.parquet(a.new)).write.mode("overwrite").parquet(a.out)
 
 
 def lookup(spark, a) -> None:
@@ -70,11 +111,12 @@ def watch(spark, a) -> None:
 
 
 def quarantine(spark, a) -> None:
-    from threadlake.operators.manifest import apply_quarantine, manifest_line, read_manifest
+    from threadlake.operators.manifest import apply_quarantine, manifest_line, read_manifest_lines
 
-    m = read_manifest(spark, a.manifest)
+    m = read_manifest_lines(spark, a.manifest)
     patched, kept, to_delete = apply_quarantine(m.drop("file"), spark.read.parquet(a.decisions))
-    (patched.orderBy("seq").select(manifest_line(F.col("md5_hex"), F.col("path")).alias("value"))
+    entry = F.when(F.col("md5_hex").isNotNull(), manifest_line(F.col("md5_hex"), F.col("path")))
+    (patched.orderBy("seq").select(F.coalesce(entry, F.col("value")).alias("value"))
      .write.mode("overwrite").text(f"{a.out}/manifest"))
     kept.select(F.col("line").alias("value")).write.mode("append").text(f"{a.out}/kept")
     to_delete.write.mode("overwrite").parquet(f"{a.out}/to_delete")
@@ -85,6 +127,11 @@ def main(argv=None) -> None:
     p.add_argument("--master", default=None)
     sub = p.add_subparsers(dest="cmd", required=True)
     s = sub.add_parser("gen-info"); s.add_argument("--root", required=True); s.add_argument("--index", required=True)
+    for cmd, opts in (("extract", ("--pages", "--out")), ("report", ("--tables", "--folders", "--date", "--out")),
+                      ("resume", ("--prior", "--new", "--out"))):
+        s = sub.add_parser(cmd)
+        for opt in opts:
+            s.add_argument(opt, required=True)
     s = sub.add_parser("lookup")
     for opt in ("--index", "--pages", "--out"):
         s.add_argument(opt, required=True)
@@ -99,7 +146,7 @@ def main(argv=None) -> None:
         s.add_argument(opt, required=True)
     a = p.parse_args(argv)
     spark = _spark(a.master)
-    {"gen-info": gen_info, "lookup": lookup, "fold": fold, "watch": watch, "quarantine": quarantine}[a.cmd](spark, a)
+    {"extract": extract, "report": report, "resume": resume, "gen-info": gen_info, "lookup": lookup, "fold": fold, "watch": watch, "quarantine": quarantine}[a.cmd](spark, a)
 
 
 if __name__ == "__main__":

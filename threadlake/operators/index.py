@@ -82,7 +82,26 @@ def _unless_unknown(keys: list[str], verdict):
     return F.when(known, verdict)
 
 
-def novel(cand: DataFrame, index: DataFrame, match_on: str = "ext_size_md5") -> DataFrame:
+def _join_summary(cand: DataFrame, summary: DataFrame, keys: list[str], co_located: bool) -> DataFrame:
+    """Left join of the candidates with one row per key.
+
+    A join directly above the summary's own group-by reuses its partitioning, and then AQE
+    does not split a hot key of the candidates. The join is therefore on a struct of the
+    key parts: both sides get a shuffle of their own (the summary's is one row per key),
+    which AQE's skew join can split. ``co_located``: the index is a table bucketed on the
+    key; join on the columns, so that only the candidates are shuffled (hot keys unsplit).
+    """
+    if co_located:
+        added = [c for c in summary.columns if c not in keys]
+        return cand.join(summary, keys, "left").select(*cand.columns, *added)
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    key = F.when(known, F.struct(*keys))
+    return cand.withColumn("_key", key).join(summary.withColumn("_key", key).drop(*keys), "_key", "left").drop("_key")
+
+
+def novel(cand: DataFrame, index: DataFrame, match_on: str = "ext_size_md5", co_located: bool = False) -> DataFrame:
     """Flag each candidate ``is_new`` iff its key is absent from the index.
 
     Candidates are not de-duplicated against each other (two copies in one batch both
@@ -90,11 +109,12 @@ def novel(cand: DataFrame, index: DataFrame, match_on: str = "ext_size_md5") ->
     """
     keys = list(MATCH_KEYS[match_on])
     seen = index.select(*keys).distinct().withColumn("_seen", F.lit(True))
-    return (cand.join(seen, keys, "left").withColumn("is_new", _unless_unknown(keys, F.col("_seen").isNull()))
+    return (_join_summary(cand, seen, keys, co_located).withColumn("is_new", _unless_unknown(keys, F.col("_seen").isNull()))
             .drop("_seen"))
 
 
-def lookup_duplicates(cand: DataFrame, index: DataFrame, match_on: str = "ext_size_md5") -> DataFrame:
+def lookup_duplicates(cand: DataFrame, index: DataFrame, match_on: str = "ext_size_md5",
+                      co_located: bool = False) -> DataFrame:
     """Per candidate, how many copies are stored and where the first one is.
 
     The full list of copies of a key is ``index.where(key = ...)``; it is never folded into
@@ -103,7 +123,7 @@ def lookup_duplicates(cand: DataFrame, index: DataFrame, match_on: str = "ext_si
     keys = list(MATCH_KEYS[match_on])
     summary = (index.groupBy(*keys)
                .agg(F.count(F.lit(1)).alias("n_copies"), F.min("path").alias("first_path")))
-    return (cand.join(summary, keys, "left")
+    return (_join_summary(cand, summary, keys, co_located)
             .withColumn("n_copies", F.coalesce(F.col("n_copies"), F.lit(0)).cast("bigint"))
             .withColumn("is_new", _unless_unknown(keys, F.col("n_copies") == 0)))
 

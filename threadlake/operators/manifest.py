@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from threadlake.functions import b64_to_hex
 from threadlake.operators.sequence import prefix_sums
+from threadlake.session import cut_lineage
 from threadlake.sources.paths import relative_to
 
 # Line layout and separator.
@@ -42,12 +43,32 @@ def merge_manifest_rows(rows: DataFrame) -> DataFrame:
     return parsed.withColumn("line", manifest_line(F.col("md5_hex"), F.concat_ws("/", "rel_dir", "path")))
 
 
+def read_manifest_lines(spark, path: str) -> DataFrame:
+    """Every line of manifest file(s) as ``(file, seq, value, md5_hex, path)``; a line without
+    the separator (comment, empty) has NULL ``md5_hex`` and ``path``.
+
+    ``seq`` is the line's order: file, start of the block in it, then the running id of the
+    scan, which ascends within a block. The rows are written once, so every branch sees
+    the same ids.
+    """
+    seq = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                   F.monotonically_increasing_id().alias("n"))
+    raw = cut_lineage(spark.read.text(path).select(seq.alias("seq"), "value"))
+    parts = F.split(F.col("value"), r" \*", 2)
+    ok = F.size(parts) == 2
+    return raw.select(F.col("seq.file").alias("file"), "seq", "value",
+                      F.when(ok, parts[0]).alias("md5_hex"), F.when(ok, parts[1]).alias("path"))
+
+
 def read_manifest(spark, path: str) -> DataFrame:
-    """Read manifest file(s) as ``(file, seq, md5_hex, path)``; ``seq`` is the line number."""
-    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value",
-                                       F.monotonically_increasing_id().alias("seq"))
-    parsed, _ = parse_manifest(raw)
-    return parsed
+    """The parsed lines of manifest file(s) as ``(file, seq, md5_hex, path)``."""
+    return read_manifest_lines(spark, path).where(F.col("md5_hex").isNotNull()).drop("value")
+
+
+def append_manifest(outcomes: DataFrame, path: str) -> None:
+    """S4 sink: append the lines of fetched files (``fetched_lines``) to the manifest folder
+    ``path``; earlier lines stay."""
+    fetched_lines(outcomes).select(F.col("line").alias("value")).write.mode("append").text(path)
 
 
 def read_manifest_tree(spark, root: str) -> DataFrame:
@@ -64,7 +85,8 @@ def apply_quarantine(manifest: DataFrame, decisions: DataFrame) -> tuple[DataFra
 
     ``manifest(seq, md5_hex, path)``; ``decisions(md5_hex, path, keep, actual_md5_hex)``.
     Only the first matching row (lowest ``seq``) of each decided ``(md5_hex, path)`` is
-    touched: kept -> its digest becomes the actual one; dropped -> removed. Returns
+    touched: kept -> its digest becomes the actual one; dropped -> removed. Rows with NULL
+    ``md5_hex`` (lines that are no entries) match nothing and stay. Returns
     ``(patched_manifest, kept_lines, to_delete)``. The first row per key is a partial
     ``min`` aggregate and the patch joins on the unique ``seq``, so a line repeated many
     times is never gathered into one task.

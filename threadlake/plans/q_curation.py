@@ -170,11 +170,11 @@ def q_curation_stream(spark, sf):
 @register("live_novelty")
 def q_live_novelty(spark, sf):
     """Thread files arriving as a stream, each flagged new or seen against the stored
-    index (stream-static join), drained with ``availableNow`` into a Parquet sink."""
+    index as it is at each micro-batch, drained with ``availableNow`` into a Parquet sink."""
     import uuid
 
     from threadlake.sources.materialize import input_signature, materialize, table_path
-    from threadlake.streaming.index import novelty_stream
+    from threadlake.streaming.index import live_novelty
 
     key = f"{b.BINDINGS_VERSION}|{b.code_tag()}|{sf}|" + input_signature(
         spark, [f"{sf.rstrip('/')}/{t}.parquet" for t in ("conversations", "documents")])
@@ -182,8 +182,75 @@ def q_live_novelty(spark, sf):
     staged = materialize(spark, lambda: _thread_files(spark, sf).select(*cols), "arriving-files", key)
     run = table_path(spark, f"live-novelty-{uuid.uuid4().hex}", sf)
     stream = spark.readStream.schema(staged.schema).parquet(table_path(spark, "arriving-files", key))
-    q = (novelty_stream(stream, ix.build_index(b.index_media(spark, sf))).select("thread_nr", "file_key", "is_new")
-         .writeStream.format("parquet").option("path", f"{run}/sink").option("checkpointLocation", f"{run}/ck")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.schema("thread_nr STRING, file_key STRING, is_new BOOLEAN").parquet(f"{run}/sink")
+    live_novelty(stream, lambda: ix.build_index(b.index_media(spark, sf)), f"{run}/sink", f"{run}/ck",
+                 ["thread_nr", "file_key", "is_new"]).awaitTermination()
+    return spark.read.parquet(f"{run}/sink").select("thread_nr", "file_key", "is_new")
+
+
+def _arriving_media(spark, sf):
+    """The stored files staged as a folder that a stream reads."""
+    from threadlake.sources.materialize import input_signature, materialize, table_path
+
+    key = f"{b.BINDINGS_VERSION}|{b.code_tag()}|{sf}|" + input_signature(spark, [f"{sf.rstrip('/')}/documents.parquet"])
+    staged = materialize(spark, lambda: ix.build_index(b.index_media(spark, sf))
+                         .withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp")), "arriving-media", key)
+    return spark.readStream.schema(staged.schema).parquet(table_path(spark, "arriving-media", key))
+
+
+@register("index_upkeep")
+def q_index_upkeep(spark, sf):
+    """T4/T5: verified files arriving as a stream are appended to the index; it is read back."""
+    import uuid
+
+    from threadlake.sources.materialize import table_path
+    from threadlake.streaming.index import current_index, maintain_index
+
+    run = table_path(spark, f"index-upkeep-{uuid.uuid4().hex}", sf)
+    maintain_index(_arriving_media(spark, sf), f"{run}/index", f"{run}/ck").awaitTermination()
+    return current_index(spark, f"{run}/index")
+
+
+@register("stream_dedupe")
+def q_stream_dedupe(spark, sf):
+    """One row per digest key of the arriving files."""
+    import uuid
+
+    from threadlake.sources.materialize import table_path
+    from threadlake.streaming.index import dedupe_verified
+
+    run = table_path(spark, f"stream-dedupe-{uuid.uuid4().hex}", sf)
+    (dedupe_verified(_arriving_media(spark, sf)).select(*ix.INDEX_KEYS).writeStream.format("parquet")
+     .option("path", f"{run}/sink").option("checkpointLocation", f"{run}/ck")
+     .trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema("ext STRING, size_mb DECIMAL(12,2), md5_b64 STRING").parquet(f"{run}/sink")
+
+
+@register("run_state")
+def q_run_state(spark, sf):
+    """The run state of every thread, written and read back."""
+    import uuid
+
+    from threadlake.sources.index_store import load_run_state, save_run_state
+    from threadlake.sources.materialize import table_path
+
+    path = table_path(spark, f"run-state-{uuid.uuid4().hex}", sf)
+    done = F.pmod(F.col("conv_id"), F.lit(3)) == 0
+    save_run_state(b.threads(spark, sf).select(
+        "board", "thread_nr", F.when(done, F.lit("done")).otherwise(F.lit("curate")).alias("stage"), done.alias("done")), path)
+    return load_run_state(spark, path)
+
+
+@register("manifest_append")
+def q_manifest_append(spark, sf):
+    """The lines of fetched files appended to a manifest in two runs, read back."""
+    import uuid
+
+    from threadlake.operators.manifest import append_manifest, read_manifest
+    from threadlake.plans.q_integrity import fetched_media
+    from threadlake.sources.materialize import table_path
+
+    path = table_path(spark, f"manifest-{uuid.uuid4().hex}", sf)
+    out = fetched_media(spark, sf)
+    for part in (0, 1):
+        append_manifest(out.where(F.pmod(F.col("doc_id"), F.lit(2)) == part), path)
+    return read_manifest(spark, path).select("md5_hex", "path")

@@ -87,15 +87,18 @@ def q_manifest_parse(spark, sf):
     return parsed.select("seq", "md5_hex", "path")
 
 
-@register("manifest_lines")
-def q_manifest_lines(spark, sf):
+def fetched_media(spark, sf):
     files = b.media(spark, sf).select(
         F.col("doc_id").cast("string").alias("file_key"), "doc_id",
         F.col("md5_b64").alias("file_md5_b64"), F.col("ext").alias("file_ext"),
         F.regexp_extract("path", "^([^/]*)/", 1).alias("folder_name"),
         (F.col("doc_id") + b.NAME_4CH_BASE).cast("string").alias("dl_filename"))
-    out = files.join(_resolved(spark, sf), "file_key")
-    return mf.fetched_lines(out).select("doc_id", "line")
+    return files.join(_resolved(spark, sf), "file_key")
+
+
+@register("manifest_lines")
+def q_manifest_lines(spark, sf):
+    return mf.fetched_lines(fetched_media(spark, sf)).select("doc_id", "line")
 
 
 @register("manifest_merge")

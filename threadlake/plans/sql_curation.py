@@ -195,3 +195,13 @@ WHERE f.to_download""", "v_fold", "v_fold_files", "v_threads", "v_resolved")
 query("live_novelty", """
 SELECT thread_nr, file_key, CASE WHEN size_unknown THEN NULL ELSE is_new0 END AS is_new
 FROM v_fold_files""", "v_fold_files")
+
+query("index_upkeep", """
+SELECT ext, size_mb, md5_b64, path FROM v_index WHERE ext IN ('webm','gif','jpg','png')""", "v_index")
+
+query("stream_dedupe", """
+SELECT DISTINCT ext, size_mb, md5_b64 FROM v_index WHERE ext IN ('webm','gif','jpg','png')""", "v_index")
+
+query("run_state", """
+SELECT board, thread_nr, CASE WHEN conv_id % 3 = 0 THEN 'done' ELSE 'curate' END AS stage, conv_id % 3 = 0 AS done
+FROM v_threads""", "v_threads")

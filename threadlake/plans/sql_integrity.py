@@ -82,6 +82,12 @@ SELECT m.doc_id,
 FROM v_media m JOIN v_resolved r ON r.file_key = CAST(m.doc_id AS VARCHAR)
 WHERE COALESCE(r.dl_success, false)""", "v_media", "v_resolved")
 
+query("manifest_append", """
+SELECT lower(hex(from_base64(m.md5_b64))) AS md5_hex,
+       regexp_extract(m.path, '^([^/]*)/', 1) || '/' || CAST(m.doc_id + 1500000000000 AS VARCHAR) || '.' || m.ext AS path
+FROM v_media m JOIN v_resolved r ON r.file_key = CAST(m.doc_id AS VARCHAR)
+WHERE COALESCE(r.dl_success, false)""", "v_media", "v_resolved")
+
 query("manifest_merge", """
 SELECT doc_id, regexp_extract(path, '^([^/]*)/', 1) AS rel_dir, md5_hex, regexp_extract(path, '/(.*)$', 1) AS path,
        md5_hex || ' *' || path AS line

@@ -7,25 +7,31 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlake.functions import md5_b64, pruned_dir, size_bucket
+from threadlake.functions import allowed_ext, hex_to_b64, md5_b64, pruned_dir, size_bucket
 from threadlake.functions.urls import DIR_SUBSTR_EXCLUDE, VALID_FILE_EXT
-from threadlake.sources.paths import relative_to
+from threadlake.session import cut_lineage
+from threadlake.sources.paths import relative_to, root_uri
 
 # The largest content that one binary value can hold.
 MAX_CONTENT = 2**31 - 16
 
 
 def scan_media(spark: SparkSession, root: str, exts: Sequence[str] = VALID_FILE_EXT,
-               exclude: Sequence[str] = DIR_SUBSTR_EXCLUDE) -> DataFrame:
+               exclude: Sequence[str] = DIR_SUBSTR_EXCLUDE, listing: DataFrame | None = None) -> DataFrame:
     """``(path, ext, size_bytes, size_mb, md5_b64)`` for files below ``root``.
 
     The extension allow-list is a ``pathGlobFilter`` (case-sensitive, applied while
     listing) and pruned directories are filtered on ``_metadata.file_path``, so neither
     is ever read. Content is read once per kept file and only its digest leaves the
     scan task. Files over ``MAX_CONTENT`` bytes are left to ``oversize_media`` (the length
-    filter is applied before content is read). Note: the file source skips names starting
-    with ``_`` or ``.``.
+    filter is applied before content is read).
+
+    Spark's file source hides names that start with ``_`` or ``.``. With ``listing``
+    (``list_media``, or an inventory ``(path, size_bytes)`` relative to the root) every listed
+    file is taken, whatever its name and size: it is digested in pieces in a task.
     """
+    if listing is not None:
+        return _digest_listing(spark, root, listing, exts, exclude)
     glob = "*.{" + ",".join(exts) + "}" if len(exts) > 1 else f"*.{exts[0]}"
     raw = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
            .option("pathGlobFilter", glob).load(root))
@@ -50,3 +56,65 @@ def oversize_media(spark: SparkSession, root: str, exts: Sequence[str] = VALID_F
     rel = relative_to(spark, root)
     return raw.where(~pruned_dir(rel, exclude) & (F.col("length") > limit)).select(
         rel.alias("path"), F.col("length").alias("size_bytes"), F.lit("too_large").alias("reason"))
+
+
+def list_media(spark: SparkSession, root: str, exclude: Sequence[str] = DIR_SUBSTR_EXCLUDE) -> DataFrame:
+    """``(path, size_bytes)`` of every file below ``root``, hidden names included.
+
+    One step per directory level: the directories of a level are spread over tasks, which
+    list them; pruned directories are not entered. Each level is a written table, and the
+    driver only asks whether another level exists.
+    """
+    uri, n = root_uri(spark, root), int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def entries(batches):
+        import pandas as pd
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(uri)
+        for pdf in batches:
+            for d in pdf["path"]:
+                found = store.get_file_info(fs.FileSelector(f"{base}/{d}" if d else base))
+                yield pd.DataFrame([(f"{d}/{e.base_name}" if d else e.base_name, e.type == fs.FileType.Directory, e.size or 0)
+                                    for e in found if e.type in (fs.FileType.Directory, fs.FileType.File)],
+                                   columns=["path", "is_dir", "size_bytes"])
+
+    level = spark.sql("SELECT '' AS path")
+    files = None
+    while True:
+        found = cut_lineage(level.mapInPandas(entries, "path STRING, is_dir BOOLEAN, size_bytes BIGINT"))
+        here = found.where(~F.col("is_dir")).select("path", "size_bytes")
+        files = here if files is None else files.unionByName(here)
+        inner = F.concat("path", F.lit("/x"))
+        dirs = found.where(F.col("is_dir") & ~pruned_dir(inner, exclude)).select("path")
+        if dirs.isEmpty():
+            return files
+        level = dirs.repartition(n, "path")
+
+
+def _digest_listing(spark: SparkSession, root: str, listing: DataFrame, exts: Sequence[str],
+                    exclude: Sequence[str]) -> DataFrame:
+    uri, n = root_uri(spark, root), int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def digests(batches):
+        import hashlib
+
+        import pandas as pd
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(uri)
+        for pdf in batches:
+            out = []
+            for path in pdf["path"]:
+                h = hashlib.md5()
+                with store.open_input_stream(f"{base}/{path}") as f:
+                    while piece := f.read(1 << 20):
+                        h.update(piece)
+                out.append(h.hexdigest())
+            yield pd.DataFrame({"path": pdf["path"], "size_bytes": pdf["size_bytes"], "md5_hex": out})
+
+    ext = F.regexp_extract("path", r"\.([^./]*)$", 1)
+    kept = listing.where(allowed_ext(ext, exts) & ~pruned_dir(F.col("path"), exclude)).select("path", "size_bytes")
+    return kept.repartition(n, "path").mapInPandas(digests, "path STRING, size_bytes BIGINT, md5_hex STRING").select(
+        "path", ext.alias("ext"), "size_bytes", size_bucket(F.col("size_bytes")).alias("size_mb"),
+        hex_to_b64(F.col("md5_hex")).alias("md5_b64"))

@@ -15,6 +15,17 @@ def root_path(spark: SparkSession, root: str) -> str:
     return path.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toUri().getPath()
 
 
+def root_uri(spark: SparkSession, root: str) -> str:
+    """``root`` as an absolute URI, for file access inside tasks."""
+    from urllib.parse import quote
+
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    uri = path.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toUri()
+    return f"{uri.getScheme()}://{uri.getAuthority() or ''}{quote(uri.getPath().rstrip('/') or '/')}"
+
+
 def relative_to(spark: SparkSession, root: str) -> Column:
     """The path of a row's file below ``root``. ``_metadata.file_path`` is a URI: its escapes
     are undone ("+" stands for itself there)."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,11 +12,33 @@ from threadlake.sources.index_store import load_index
 
 
 def novelty_stream(files: DataFrame, index: DataFrame) -> DataFrame:
-    """Flag each arriving file ``is_new`` against the index (stream-static left join;
-    the static side is re-read per micro-batch, so a refreshed index is picked up)."""
+    """T2 as a stream-static left join: each arriving file is flagged ``is_new`` against the
+    index as it was when the stream started. ``live_novelty`` follows a growing index."""
     return novel(files, index)
 
 
+def live_novelty(files: DataFrame, open_index: Callable[[], DataFrame], out_path: str, checkpoint: str,
+                 cols: list[str] | None = None):
+    """Flag each arriving file ``is_new`` against the index of that moment.
+
+    ``open_index`` is called for every micro-batch, so files indexed meanwhile are seen. The
+    index is first cut down to the batch's keys by a semi join, in which the keys are the
+    small side (AQE broadcasts them when their measured size is under its bound): the
+    index is scanned, not shuffled or aggregated whole. A batch replaces its own
+    ``batch_id`` folder, so a replay leaves each row once.
+    """
+    def write_batch(df: DataFrame, epoch_id: int) -> None:
+        index = open_index()
+        near = index.join(df.select(*INDEX_KEYS).distinct(), list(INDEX_KEYS), "left_semi")
+        out = novel(df, near)
+        (out.select(*(cols or out.columns)).withColumn("batch_id", F.lit(epoch_id).cast("bigint"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("batch_id").parquet(out_path))
+
+    return (files.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
 def dedupe_verified(verified: DataFrame, event_time: str = "ts", delay: str = "1 hour") -> DataFrame:
     """Keep the first verified file per ``(ext, size_mb, md5_b64)`` seen within the
     watermark; state is bounded by the watermark delay."""
