@@ -10,9 +10,10 @@ they are reported only where complementary parts lie in the same scope:
 
 * ``weak_secret``: with an identifier (``access`` or ``weak_id``) in scope;
 * ``weak_id``: with a secret (``assign``, ``hex`` or ``weak_secret``) in scope;
-* ``endpoint``: with both an identifier and a secret in scope.
+* ``endpoint``: with an identifier in scope that has a secret in scope, too.
 
-The scope of an identifier reaches ``reach`` characters to either side. Linking is an interval
+The scope of an identifier reaches ``reach`` characters to either side; an endpoint and a secret
+may lie on opposite sides of it. Linking is an interval
 join in Spark: scopes are cut into bins of ``reach`` characters, parts carry the bin of their
 start, and the join is on (row, bin) with a distance condition. It is a semi join: which part has
 a partner, not which pairs there are. A part takes up at least ``SHORTEST`` characters and parts
@@ -48,7 +49,8 @@ PATTERNS = {
     "access": re.compile(r"AKIA[A-Z0-9]{16,}"),
     "hex": re.compile(r"[0-9a-f]{24,}"),
     "weak_id": re.compile(r"(?<![A-Za-z0-9])(?:ASIA|AIDA|AROA|AGPA)[A-Z0-9]{16}(?![A-Za-z0-9])"),
-    "weak_secret": re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])"),
+    # "=" before the run is an assignment, after it padding.
+    "weak_secret": re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])"),
     "endpoint": re.compile(r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?|\b[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.amazonaws\.com\b"),
 }
 SPAN = "struct<kind: string, start: bigint, `end`: bigint>"
@@ -103,7 +105,7 @@ def linked(parts: DataFrame, reach: int = REACH) -> DataFrame:
 
     lone_ids, lone_secrets = ids.where("kind = 'weak_id'"), secrets.where("kind = 'weak_secret'")
     out = near(lone_ids, secrets).unionByName(near(lone_secrets, ids))
-    return out.unionByName(near(near(endpoints, ids), near(secrets, ids))).select("row", "kind", "start", "end")
+    return out.unionByName(near(endpoints, near(ids, secrets))).select("row", "kind", "start", "end")
 
 
 def scanned(docs: DataFrame, *, text_col: str = "text", reach: int = REACH, with_text: bool = True) -> DataFrame:
