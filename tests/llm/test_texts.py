@@ -140,6 +140,30 @@ def test_packing_joins_related_texts():
     assert all(len({text // 8 for text, _, _ in s}) == 1 for s in out)
 
 
+def test_packing_brings_related_documents_of_all_partitions_together(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    vocab = sorted(w[:-4] for w in Tokenizer.from_file(path).get_vocab() if re.fullmatch("[a-z]{4,}</w>", w))
+    rng = np.random.default_rng(6)
+    words = rng.choice(vocab, (41, 40), replace=False).tolist()
+    topic = {i: i % 40 for i in range(480)}
+    rows = [(i, " ".join(rng.choice(words[t], 24).tolist() + rng.choice(words[40], 8).tolist())) for i, t in topic.items()]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6, "doc_id")
+    own = {}
+    for r in packing.packs(df, path, window=128, shard=32).collect():
+        own.setdefault(r["sequence_id"], []).append((topic[r["doc_id"]], r["length"]))
+    most = [max(sum(n for t, n in s if t == u) for u, _ in s) for s in own.values()]
+    assert sum(most) > 0.7 * sum(n for s in own.values() for _, n in s)
+
+
+def test_packing_scores_long_documents_by_their_whole_text():
+    rng = np.random.default_rng(7)
+    texts = [rng.integers(k * 1000, k * 1000 + 60, 30).astype("<u4") for k in (1, 2) for _ in range(4)]
+    texts.insert(0, rng.integers(1000, 1060, 40).astype("<u4"))  # the rest seems to be of topic 1
+    whole = [packing.terms_of(t) for t in texts]
+    whole[0] = packing.terms_of(np.append(rng.integers(2000, 2060, 4000), texts[0]))
+    assert {t for t, _, _ in packing.packed(texts, 100, whole)[0][1:]} <= {5, 6, 7, 8}
+
+
 def test_language(spark, docs, empty):
     sf = spark.read.parquet(f"{SF}/documents.parquet")
     out = langid.held_out(F.col("doc_id"))

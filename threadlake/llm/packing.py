@@ -1,17 +1,25 @@
 """Lexical retrieval packing: sequences of a fixed number of tokens, filled with related texts.
 
 Each document becomes its token ids and an end id. Whole windows are cut off from its start; what
-is left over (less than a window) is packed. Documents are dealt evenly into shards of about
-``SHARD`` documents, whatever their ids or sources are. Each shard has a BM25 inverted index of
-its leftovers (term: token id). The longest unused leftover seeds a sequence; the index scores
-the others against it, and the unused neighbours fill the window greedily, best first. The last
-one is cut where the window ends, and its rest goes back to the unused ones. So all windows are
+is left over (less than a window) is packed. Documents are sorted by a lexical key, made of terms of
+their whole text (term: token id), and cut into shards of ``SHARD`` documents, so that those which
+share such terms are in one shard wherever they came from. The key: of the ``CANDIDATES`` terms
+with the highest tf-idf the ``KEY_TERMS`` most frequent ones that are no more frequent than a
+shard is long (or one document in ``COMMON``), the most frequent first; then the others, the
+rarest first. Document frequencies are those of the whole input. A key with more documents than a
+shard goes on by its later terms, then by row, so a hot key is split evenly.
+
+Each shard has a BM25 inverted index of its documents, whole windows included. The longest unused
+leftover seeds a sequence; the index scores the others against it, and the unused neighbours fill the window greedily, best first. The last
+one is cut where the window ends, and its rest goes back to the unused ones. All windows are
 full but for the last of a shard, which is cut into pieces of powers of two, which need no
 padding.
 
-The work of a shard is bounded; the number of shards grows with the documents. Results depend on
-the input's partitions and the order in them (which place a row in its shard), not on which
-executor runs what: a task that runs again gives the same pieces.
+The work of a shard is bounded; the number of shards grows with the documents. The driver holds a
+count for each term of the vocabulary. Related documents on both sides of a cut, or with other key
+terms, do not meet. Results depend on the input's partitions and the order in them (which order
+equal keys) and on the ranges that Spark samples, not on which executor runs what: a task that
+runs again gives the same pieces.
 
 Edge cases: a null or empty text still has the end id. Rows with equal or null ids are separate
 documents. Texts of any length: whole windows never leave their task but as length and checksum.
@@ -24,14 +32,14 @@ import zlib
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadlake.llm.common import ship
+from threadlake.llm.common import Scratch
 
 SHARD = 512
+CANDIDATES, KEY_TERMS, COMMON = 32, 8, 16
 KNOWN_WORDS = 700_000  # most words that a worker remembers, but for the last stretch's
 PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{}~"
 K1, B = 1.2, 0.75  # the usual constants of BM25
@@ -122,28 +130,76 @@ def stretches(sizes: np.ndarray, most: int = 1 << 23):
         at = to
 
 
-def _tokens(path: str, end_id: int, window: int, shards: int):
+def terms_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different tokens and how often each occurs."""
+    terms, counts = np.unique(ids, return_counts=True)
+    return terms.astype("<u4"), counts.astype("<u4")
+
+
+TOKENS = "doc bigint, doc_tokens bigint, crcs array<bigint>, rest binary, terms binary, counts binary"
+DF = pa.list_(pa.struct([("term", pa.int64()), ("n", pa.int64())]))
+
+
+def _tokens(path: str, end_id: int, window: int):
+    """Rows of documents, then one row with the task's document frequencies. Terms and counts of
+    a document without whole windows are those of its rest, and not stored."""
     size, end = 4 * window, np.array([end_id], "<u4").tobytes()
+    names = ["doc", "doc_tokens", "crcs", "rest", "terms", "counts", "df"]
 
     def emit(batches):
-        import pyspark
-
         tokens = word_ids(path)
-        place = (pyspark.TaskContext.get() or _NoTask).partitionId() * 7919
+        seen = np.zeros(0, np.int64)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             ids = batch.column("doc")
             for at, to in stretches(np.array([len(t or b"") for t in texts])):
-                shard, crcs, rest, count = [], [], [], []
+                crcs, rest, count, whole_terms = [], [], [], []
                 for row in tokens.of([t or b"" for t in texts[at:to]]):
                     row += end
                     whole = len(row) // size * size
                     crcs.append([zlib.crc32(row[i:i + size]) for i in range(0, whole, size)])
                     rest.append(row[whole:])
                     count.append(len(row) // 4)
-                    shard.append(place % shards)
-                    place += 1
-                yield pa.record_batch([pa.array(shard, pa.int64()), ids.slice(at, to - at), pa.array(count, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(rest, pa.binary())], ["shard", "doc", "doc_tokens", "crcs", "rest"])
+                    terms, counts = terms_of(np.frombuffer(row, "<u4"))
+                    if int(terms[-1]) >= len(seen):
+                        seen = np.append(seen, np.zeros(int(terms[-1]) + 1 - len(seen), np.int64))
+                    seen[terms] += 1
+                    whole_terms.append((terms.tobytes(), counts.tobytes()) if whole else (None, None))
+                columns = [ids.slice(at, to - at), pa.array(count, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(rest, pa.binary()), *(pa.array(x, pa.binary()) for x in zip(*whole_terms))]
+                yield pa.record_batch([*columns, pa.nulls(to - at, DF)], names)
+        own = [{"term": t, "n": int(seen[t])} for t in np.flatnonzero(seen).tolist()]
+        types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
+        yield pa.record_batch([*(pa.nulls(1, t) for t in types), pa.array([own], DF)], names)
+    return emit
+
+
+def lexical_key(terms: np.ndarray, counts: np.ndarray, rank: np.ndarray, idf: np.ndarray) -> bytes:
+    """Key terms in order, as bytes that sort like it."""
+    if len(terms) > CANDIDATES:
+        weight = idf[terms] * (1 + np.log(counts))
+        terms = terms[np.argpartition(-weight, CANDIDATES - 1)[:CANDIDATES]]
+    return np.sort(rank[terms])[:KEY_TERMS].astype(">u4").tobytes()
+
+
+def key_order(df: np.ndarray, n: int, shard: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rank of each term in keys, and its idf. A term of one document tells nothing of others."""
+    most = max(shard, n // COMMON)
+    shared = (df > 1) & (df <= most)
+    rank = np.empty(len(df), np.int64)
+    rank[np.lexsort((np.where(shared, -df, df), df < 2, ~shared))] = np.arange(len(df))
+    return rank, np.where(df > 1, np.log(1 + n / np.maximum(df, 1)), 0.0)
+
+
+def _whole(rest: bytes, terms: bytes | None, counts: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    return terms_of(np.frombuffer(rest, "<u4")) if terms is None else (np.frombuffer(terms, "<u4"), np.frombuffer(counts, "<u4"))
+
+
+def _keys(rank: np.ndarray, idf: np.ndarray):
+    def emit(batches):
+        for batch in batches:
+            own = (batch.column(c).to_pylist() for c in ("rest", "terms", "counts"))
+            keys = [lexical_key(*_whole(*x), rank, idf) for x in zip(*own)]
+            yield pa.record_batch([*batch.columns, pa.array(keys, pa.binary())], [*batch.schema.names, "key"])
     return emit
 
 
@@ -154,14 +210,17 @@ class _NoTask:
 
 
 class Index:
-    """BM25 inverted index of token arrays: postings (document, weight) by term."""
+    """BM25 inverted index of texts, given as (terms, counts): postings (document, weight) by
+    term."""
 
-    def __init__(self, texts: list[np.ndarray]):
+    def __init__(self, texts: list[tuple[np.ndarray, np.ndarray]]):
         n = len(texts)
-        size = np.array([len(t) for t in texts], np.int64)
-        doc = np.repeat(np.arange(n), size)
-        flat = np.concatenate(texts).astype(np.int64) if n else np.zeros(0, np.int64)
-        key, tf = np.unique(flat * n + doc, return_counts=True) if n else (flat, flat)
+        size = np.array([c.sum() for _, c in texts], np.int64)
+        doc = np.repeat(np.arange(n), [len(t) for t, _ in texts])
+        flat, tf = (np.concatenate(x).astype(np.int64) for x in zip(*texts)) if n else (np.zeros(0, np.int64),) * 2
+        key = flat * n + doc
+        by_term = np.argsort(key)
+        key, tf = key[by_term], tf[by_term]
         self.doc = key % max(n, 1)
         term = key // max(n, 1)
         head = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
@@ -183,10 +242,11 @@ class Index:
         return np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n)
 
 
-def packed(texts: list[np.ndarray], window: int) -> list[list[tuple[int, int, int]]]:
+def packed(texts: list[np.ndarray], window: int, whole: list[tuple[np.ndarray, np.ndarray]] | None = None) -> list[list[tuple[int, int, int]]]:
     """Sequences of pieces (text, first token, length) that hold each token of the texts once.
-    Each sequence has ``window`` tokens or a power of two."""
-    index = Index(texts)
+    Each sequence has ``window`` tokens or a power of two. Texts are scored by ``whole``, the
+    (terms, counts) of the documents they are left of, if given."""
+    index = Index([terms_of(t) for t in texts] if whole is None else whole)
     used = np.zeros(len(texts), np.int64)  # tokens already placed, by text
     left = np.array([len(t) for t in texts], np.int64)
     order = np.argsort(-left, kind="stable").tolist()
@@ -228,40 +288,64 @@ def packed(texts: list[np.ndarray], window: int) -> list[list[tuple[int, int, in
     return out
 
 
-COLUMNS = ["doc", "named", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+COLUMNS = ["doc", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
 
+def _pack(window: int, most: int):
+    """Packs each ``most`` rows of a sorted partition as a shard."""
 
-def _pack(window: int):
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        shard = int(pdf["shard"].iloc[0])
-        pdf = pdf.assign(crc=[zlib.crc32(r) for r in pdf["rest"]]).sort_values(["doc", "named", "doc_tokens", "crc"], kind="stable").reset_index(drop=True)
-        doc, count = list(zip(pdf["doc"].tolist(), pdf["named"].tolist())), pdf["doc_tokens"].tolist()
-        rests = [np.frombuffer(r, "<u4") for r in pdf["rest"]]
-        own = [len(c) for c in pdf["crcs"]]
-        rows, sequence = [], shard << 32
-        for i, crcs in enumerate(pdf["crcs"]):
+    def pack(own: pa.Table, sequence: int) -> tuple[pa.RecordBatch, int]:
+        doc, count, crc_lists, rests, terms, counts = (own.column(c).to_pylist() for c in ("doc", "doc_tokens", "crcs", "rest", "terms", "counts"))
+        rows = []
+        for i, crcs in enumerate(crc_lists):
             for k, crc in enumerate(crcs):
-                rows.append((*doc[i], k * window, window, int(crc), count[i], sequence, 0))
+                rows.append((doc[i], k * window, window, crc, count[i], sequence, 0))
                 sequence += 1
-        for pieces in packed(rests, window):
+        texts = [np.frombuffer(r, "<u4") for r in rests]
+        for pieces in packed(texts, window, [_whole(*x) for x in zip(rests, terms, counts)]):
             offset = 0
             for text, first, length in pieces:
-                crc = zlib.crc32(rests[text][first:first + length].tobytes())
-                rows.append((*doc[text], own[text] * window + first, length, crc, count[text], sequence, offset))
+                crc = zlib.crc32(texts[text][first:first + length].tobytes())
+                rows.append((doc[text], len(crc_lists[text]) * window + first, length, crc, count[text], sequence, offset))
                 offset += length
             sequence += 1
-        return pd.DataFrame(rows, columns=COLUMNS)
-    return pack
+        return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows)], COLUMNS), sequence
+
+    def emit(batches):
+        import pyspark
+
+        sequence, waiting, n = (pyspark.TaskContext.get() or _NoTask).partitionId() << 32, [], 0
+        for batch in batches:
+            while batch.num_rows:
+                part = batch.slice(0, most - n)
+                batch = batch.slice(part.num_rows)
+                waiting.append(part)
+                n += part.num_rows
+                if n == most:
+                    out, sequence = pack(pa.Table.from_batches(waiting), sequence)
+                    waiting, n = [], 0
+                    yield out
+        if n:
+            yield pack(pa.Table.from_batches(waiting), sequence)[0]
+    return emit
 
 
 def packs(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, end_id: int = 1, shard: int = SHARD) -> DataFrame:
     """Pieces (id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of sequences of at
     most ``window`` tokens."""
-    ship(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "packing")
     plain = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("binary").alias("text"))
-    shards = max(1, math.ceil(docs.count() / shard))
-    rows = plain.mapInArrow(_tokens(tokenizer, end_id, window, shards), "shard bigint, doc bigint, doc_tokens bigint, crcs array<bigint>, rest binary")
-    rows = rows.withColumn("named", F.col("doc").isNotNull()).withColumn("doc", F.coalesce("doc", F.lit(0).cast("bigint")))
-    fields = "doc bigint, named boolean, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-    out = rows.groupBy("shard").applyInPandas(_pack(window), fields)
-    return out.select(F.when(F.col("named"), F.col("doc")).alias(id_col), *COLUMNS[2:])
+    rows = plain.mapInArrow(_tokens(tokenizer, end_id, window), f"{TOKENS}, df array<struct<term: bigint, n: bigint>>")
+    rows = scratch.write(rows.withColumn("row", F.monotonically_increasing_id()), "tokens")
+    found = rows.where("df is not null").select(F.explode("df").alias("x")).groupBy("x.term").agg(F.sum("x.n").alias("n")).collect()
+    df = np.zeros(1 + max([r["term"] for r in found], default=0), np.int64)
+    df[[r["term"] for r in found]] = [r["n"] for r in found]
+    rows = rows.where("df is null").drop("df")
+    n = rows.count()
+    keyed = scratch.write(rows.mapInArrow(_keys(*key_order(df, n, shard)), f"{TOKENS}, row bigint, key binary"), "keyed")
+    scratch.drop("tokens")
+    # Some shards a partition: ranges are even but for what the sampling misses.
+    parts = min(10_000, max(1, math.ceil(n / shard / 8)))
+    out = keyed.repartitionByRange(parts, "key", "row").sortWithinPartitions("key", "row")
+    out = out.drop("key", "row").mapInArrow(_pack(window, shard), ", ".join(f"{c} bigint" for c in COLUMNS))
+    return out.select(F.col("doc").alias(id_col), *COLUMNS[1:])
