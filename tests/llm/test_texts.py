@@ -78,6 +78,18 @@ def test_quality(spark, docs, empty):
     assert not re.search("Python|Arrow|Pandas|Exchange|ExistingRDD", plan)
 
 
+def test_stop_words_are_a_ratio_for_listed_languages_only(spark):
+    some = lambda letters, n: " ".join(letters[i % 20] + letters[i // 20] + letters[i * 7 % 20] for i in range(n))
+    latin, russian = some("bcdfghjklmnpqrstvwxz", 300), some("абвгдежзиклмнопрстуф", 300)
+    rows = [(1, latin, "en"), (2, latin + " the", "en"), (3, latin + " the" + " and of" * 3, "en"), (4, russian, "ru"), (5, russian, None), (6, russian, "en"),
+            (7, latin, "pl"), (8, latin, None), (9, latin, "en-GB"), (10, latin, "und"), (11, " ".join(map(str, range(300))), None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    kept = [3, 4, 5, 6, 7]
+    assert sorted(r["doc_id"] for r in quality.keep_good(df).collect()) == kept
+    assert sorted(r["doc_id"] for r in quality.rated(df).where("kept").collect()) == kept
+    assert sorted(r["doc_id"] for r in quality.keep_good(df.drop("lang")).collect()) == [3, 4, 5, 6]
+
+
 def test_bpe_round_trip(docs, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
