@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlake.llm import ann, bpe, langid, packing, quality, secret_scan, simhash, substring, suffix, token_counts
+from threadlake.llm import ann, bpe, hard_negatives, langid, language_model, packing, quality, secret_scan, simhash, substring, suffix, token_counts, whitening
 from threadlake.llm.common import Scratch, table
 from threadlake.llm.sql import QUALITY_SQL
 
@@ -90,8 +90,23 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whitened(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
+def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    return language_model.scored(table(spark, sf_dir, "documents"), held_out)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_secret_scans, op2_simhash, op3_packing, op4_token_counts, op5_neighbours, op6_quality_rules, op7_language_id, op8_bpe, op9_suffix_dedup, op10_substring_dedup)
+    for f in (op1_secret_scans, op2_simhash, op3_packing, op4_token_counts, op5_neighbours, op6_quality_rules, op7_language_id, op8_bpe, op9_suffix_dedup, op10_substring_dedup, op11_whitening, op12_lm_scores, op13_hard_negatives)
 }
 ORACLE: dict[str, str] = {"op6_quality_rules": QUALITY_SQL}
