@@ -17,10 +17,11 @@ with the tree's n-grams, then sums by document. No task holds the tree.
 
 How it is spread: words are 64-bit hashes (``words``), an n-gram's key is made of those of its two
 shorter n-grams; texts are hashed once and written. N-grams are counted in the tasks, then in
-Spark. What occurs once is summed up as mass and not stored. Two bounded things are sent to all
-tasks: a bitmap of 2**26 bits, which keeps n-grams that the tree cannot have from being shuffled
-(false hits are only extra rows), and the ``HOT`` most frequent n-grams of a length with their
-numbers, so a hot n-gram never meets one task. Everything else is joined, whatever its size. All
+Spark, in lists by context (the most frequent contexts' lists in parts). What occurs once is summed
+up as mass and not stored. Bounded things are sent to all tasks: bitmaps of 2**26 bits, which keep
+n-grams that the tree cannot have from being shuffled (false hits are only extra rows), and the
+most frequent n-grams of a length with their numbers (``HOT`` at most), so a hot n-gram never
+meets one task. Everything else is joined, whatever its size. All
 training texts are counted, so the tree grows with the corpus.
 
 Edge cases: a null or empty text has one token, its end. Rows with equal or null ids are separate
@@ -45,6 +46,8 @@ DEPTH, LEAST, DISCOUNT, MARGIN = 2, 16, 0.5, 0.005  # MARGIN: in log10
 HOT = 1 << 18
 SLOTS = 1 << 20  # 64-bit words of a bitmap
 BLOCK = 1 << 22  # bytes of text, or of hashed text, that are worked on together
+TOGETHER = 1 << 21  # n-grams that are counted together
+PARTS, SPLIT = 256, 1 << 12  # parts of each of the most frequent contexts, and how many these are at most
 END = U(0x27BB2EE687B0B0FD)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -115,18 +118,36 @@ def _word_counts(batches):
             yield pa.record_batch([_signed(key), pa.array(n)], ["key", "n"])
 
 
-def _pairs(length: int, candidates: Bitmap):
-    """Counts of contexts of ``length`` words with the n-gram of the same length that ends one word
-    later."""
+def _pairs(length: int, candidates: Bitmap, ends: Bitmap, hot: np.ndarray):
+    """Counts of contexts of ``length`` words with the n-grams of the same length that end one word
+    later: a row for each context, and for each part of a ``hot`` one, with lists of the n-grams and
+    their counts. Some millions of tokens are counted together."""
+    def counted(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        context, low = map(np.concatenate, zip(*found))
+        _, first, n = np.unique(joined_key(context, low), return_index=True, return_counts=True)
+        context, low = context[first], low[first]
+        place = np.minimum(np.searchsorted(hot, context), max(0, len(hot) - 1))
+        is_hot = hot[place] == context if len(hot) else np.zeros(len(context), bool)
+        part = np.where(is_hot, (low & U(PARTS - 1)).astype(np.int32), 0).astype(np.int32)
+        order = np.lexsort((part, context))
+        context, low, part, n = context[order], low[order], part[order], n[order].astype(np.int32)
+        head = np.flatnonzero(np.concatenate([np.ones(min(1, len(part)), bool), (context[1:] != context[:-1]) | (part[1:] != part[:-1])]))
+        cuts = pa.array(np.append(head, len(part)), pa.int32())
+        return pa.record_batch([_signed(context[head]), pa.array(part[head]), pa.ListArray.from_arrays(cuts, _signed(low)), pa.ListArray.from_arrays(cuts, pa.array(n))], ["context", "part", "low", "n"])
+
     def emit(batches):
+        found, size = [], 0
         for batch in batches:
             for _, _, keys, doc in _grams(batch, length):
-                inside = np.flatnonzero((doc[1:] == doc[:-1]) & candidates.may_have(keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-                context, low = keys[inside], keys[inside + 1]
-                _, first, n = np.unique(joined_key(context, low), return_index=True, return_counts=True)
-                order = np.argsort(context[first])  # neighbouring rows share bytes
-                first, n = first[order], n[order]
-                yield pa.record_batch([_signed(context[first]), _signed(low[first]), pa.array(n)], ["context", "low", "n"])
+                if len(keys):
+                    inside = np.flatnonzero((doc[1:] == doc[:-1]) & candidates.may_have(keys[:-1]) & ends.may_have(keys[1:]))
+                    found.append((keys[inside], keys[inside + 1]))
+                    size += len(inside)
+                if size > TOGETHER:
+                    yield counted(found)
+                    found, size = [], 0
+        if size:
+            yield counted(found)
     return emit
 
 
@@ -147,6 +168,18 @@ def _seen(batches):
         yield pa.record_batch([_signed(joined_key(context, low)), batch.column("n"), pa.array(lp - below - np.log10(share)), pa.array(lp)], ["key", "n", "v", "lp"])
 
 
+def most_frequent(rows: DataFrame, most: int) -> pa.Table:
+    """Rows of the largest ``n``: as many whole classes of about equal n as have ``most`` rows together."""
+    size = F.floor(F.log2(F.col("n")) * 8)
+    left, least = most, None
+    for r in sorted(rows.groupBy(size.alias("size")).count().collect(), key=lambda r: -r["size"]):
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["size"]
+    return rows.where(size >= least if least is not None else F.lit(False)).toArrow()
+
+
 class Tree:
     """Number of training tokens and, by length of n-gram, the written table (key, n, known, base,
     v): what each occurrence of the n-gram adds to n_known, the base score and the score."""
@@ -162,8 +195,13 @@ class Tree:
         below = words.select("key", (F.log10(F.col("n") + 0.5) - self.scale).alias("lp"))
         contexts, levels = words.where(F.col("n") >= LEAST), [one]
         for length in range(1, depth + 1):
-            pairs = train.mapInArrow(_pairs(length, Bitmap(contexts)), "context bigint, low bigint, n bigint")
-            pairs = pairs.groupBy("context", "low").agg(F.sum("n").alias("n")).where("n > 1")
+            # An n-gram seen twice ends in one that was, with a retained context.
+            ends = Bitmap(words.where("n > 1") if length == 1 else below)
+            hot = np.sort(most_frequent(contexts.select("key", "n"), SPLIT).column("key").to_numpy().view(U))
+            pairs = train.mapInArrow(_pairs(length, Bitmap(contexts), ends, hot), "context bigint, part int, low array<bigint>, n array<int>")
+            # Whole lists are shuffled, by context (and part); they are taken apart where they meet.
+            pairs = pairs.repartition("context", "part").select("context", "part", F.explode(F.arrays_zip("low", "n")).alias("x"))
+            pairs = pairs.groupBy("context", "part", F.col("x.low").alias("low")).agg(F.sum("x.n").alias("n")).where("n > 1").select("context", "low", "n")
             pairs = scratch.write(pairs, f"pairs{length}")
             judged = scratch.write(pairs.join(below.withColumnRenamed("key", "low"), "low"), f"judged{length}")
             kept = scratch.write(self._retained(judged, contexts), f"kept{length}")
@@ -218,7 +256,7 @@ def scored(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_co
     tree = Tree(tokens, scratch, depth)
     sums = []
     for length, level in enumerate(tree.levels, 1):
-        top = level.orderBy(F.desc("n"), "key").limit(HOT).toArrow()
+        top = most_frequent(level, HOT)
         key = top.column("key").to_numpy().view(U)
         order = np.argsort(key)
         hot = {"key": key[order]} | {c: top.column(c).to_numpy().astype(float)[order] for c in ("known", "base", "v")}
