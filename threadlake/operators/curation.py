@@ -57,82 +57,161 @@ def classify(events: DataFrame) -> DataFrame:
         "file_key", F.when(F.col("kind") == "url", file_key(F.col("value"))))
 
 
-def fold_curation(events: DataFrame, sessions: DataFrame, files: DataFrame,
-                  blocks: int | None = None, cut: bool = True) -> DataFrame:
-    """Final per-file state of each session.
-
-    ``events(session_id, seq, value)``, raw or after ``drop_repeats`` (repeats are dropped
-    here in the same blockwise pass that numbers the rows; dropping twice changes nothing);
-    ``sessions(session_id, thread_nr, unique_only)``;
-    ``files(thread_nr, file_key, file_name_4ch, file_name_orig, is_new)`` where ``is_new``
-    is the novelty verdict (NULL = unknown, treated as new, as a failed lookup is).
-
-    ``cut``: the classified, numbered log and the table of deciding epochs each feed
-    several branches; they are written once to the shared checkpoint folder so that the
-    branches read them instead of recomputing their shuffles (and an executor loss does
-    not replay them).
-
-    Returns one row per (session, file) whose URL was copied and found in the thread:
-    session_id, thread_nr, file_key, dl_filename (NULL unless selected), is_unique,
-    to_download, removed.
-    """
-    c = classify(events)
-    is_url = (F.col("kind") == "url").cast("int")
+DECISION = ("epoch_seq BIGINT, thread_nr STRING, unique_only BOOLEAN, file_name_4ch STRING, file_name_orig STRING, "
+            "is_new BOOLEAN, base_kind STRING, base_tog INT, suffix STRING, added BOOLEAN, removed BOOLEAN")
+STATE = f"last_seq BIGINT, last_value STRING, toggles INT, open STRUCT<file_key STRING, {DECISION}>"
+_FIELDS = [f.split()[0] for f in DECISION.split(", ")]
+_CARRY = "carry"  # the kind of the row that stands for the log before a stretch
+
+
+def _numbered(events: DataFrame, carry: DataFrame | None, blocks: int | None) -> DataFrame:
+    """The log without repeats: (session_id, seq, kind, file_key, text, epoch, tog, sub)."""
+    cols = ["session_id", "seq", "value", "kind", "file_key"]
+    c = classify(events).select(*cols)
+    if carry is not None:
+        c = c.unionByName(carry.select("session_id", F.col("last_seq").alias("seq"), F.col("last_value").alias("value"),
+                                       F.lit(_CARRY).alias("kind"), F.lit(None).cast("string").alias("file_key")))
     c = dedup_prefix_sums(c, KEYS, "seq", "value", {
-        "epoch": is_url,
+        "epoch": (F.col("kind") == "url").cast("int"),
         "tog": (F.col("kind") == "toggle").cast("int"),
         "sub": F.col("kind").isin("url", "reset", "reset4ch").cast("int"),
-    }, blocks).where(F.col("epoch") > 0)
+    }, blocks)
+    text = F.when(F.col("kind") == "text", F.col("value")).alias("text")
+    return c.select("session_id", "seq", "kind", "file_key", text, "epoch", "tog", "sub")
+
+
+def fold_stretch(events: DataFrame, sessions: DataFrame, files: DataFrame, carry: DataFrame | None = None,
+                 blocks: int | None = None, cut: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The summary of a stretch of the log, which continues the summary ``carry`` of what came
+    before it: ``(decisions, states)``.
+
+    ``decisions(session_id, file_key, <DECISION>)``: for each file whose URL is copied in the
+    stretch, or that was open when it began, what its last epoch says. ``states(session_id,
+    <STATE>)``: for each session of the stretch all that a later stretch needs: the last value (for
+    repeats), the parity of toggles, and the file still open with its name so far. Folding a log in
+    one stretch or in any number of consecutive ones gives the same decisions, the later ones (by
+    ``epoch_seq``, then by stretch) standing for the earlier. ``carry`` has one row per session that
+    has been seen before (states of other sessions do no harm); the stretch's rows come after its
+    ``last_seq``.
+
+    Only an epoch that decides a file needs its texts, and of these only those after its last name
+    base: they are joined with the few deciding epochs, on a key that AQE can split, and collected
+    to what is the file's name.
+    """
+    if carry is not None:
+        carry = carry.join(events.select("session_id").distinct(), "session_id", "left_semi")
+        carry = cut_lineage(carry) if cut else carry
+    c = _numbered(events, carry, blocks)
+    if carry is None:
+        c = c.where(F.col("epoch") > 0)
     if cut:
         c = cut_lineage(c)
 
-    # The deciding epoch of each (session, file): the last copy of its URL that names a
-    # file of the thread, with that file's attributes (one partial max_by, no self-join).
-    s = sessions.select("session_id", "thread_nr", "unique_only")
-    urls = (c.where(F.col("kind") == "url").select("session_id", "epoch", "file_key")
-            .join(s, "session_id")
-            .join(files.select("thread_nr", "file_key", "file_name_4ch", "file_name_orig", "is_new"),
-                  ["thread_nr", "file_key"]))
-    attrs = ["epoch", "thread_nr", "unique_only", "file_name_4ch", "file_name_orig", "is_new"]
-    ep = (urls.groupBy("session_id", "file_key")
-          .agg(F.max_by(F.struct(*attrs), F.col("epoch")).alias("e"))
-          .select("session_id", "file_key", *[F.col(f"e.{a}").alias(a) for a in attrs]))
-    if cut:
-        ep = cut_lineage(ep)
-
-    # A removed file is not selected whatever else its epoch holds, so the name and
-    # add_anyway are read over the whole epoch; rows after the remove only matter when there
-    # is none. Rows are aggregated straight from the log (partial aggregates before the
-    # shuffle, so an epoch with very many rows arrives as one row per task), first per
-    # name base, then per epoch, where the last base decides the name. No join stands
-    # between the log and these aggregates.
-    text = F.struct("seq", sanitize_name(py_strip(F.col("value"))).alias("s"))
-    per_sub = c.groupBy("session_id", "epoch", "sub").agg(
-        F.max_by(F.struct("kind", "tog"), F.when(F.col("kind").isin("url", "reset", "reset4ch"), F.col("seq"))).alias("base_row"),
-        F.collect_list(F.when(F.col("kind") == "text", text)).alias("texts"),
+    # Each epoch without its texts (one partial aggregate straight from the log, so an epoch with
+    # very many rows arrives as one row per task). Rows after a remove only matter when there is
+    # none: a removed file is not selected whatever else its epoch holds. Epoch 0 goes on with
+    # the file that was open.
+    is_base = F.col("kind").isin("url", "reset", "reset4ch")
+    epochs = c.groupBy("session_id", "epoch").agg(
+        F.max_by(F.struct("kind", "tog"), F.when(is_base, F.col("seq"))).alias("base"),
+        F.max("sub").alias("last_sub"),
+        F.max("file_key").alias("file_key"),
+        F.max(F.when(F.col("kind") == "url", F.col("seq"))).alias("epoch_seq"),
+        F.max("tog").alias("tog"),
         F.max(F.col("kind") == "add").alias("added"),
         F.max(F.col("kind") == "remove").alias("removed"))
-    per_epoch = per_sub.groupBy("session_id", "epoch").agg(
-        F.max_by(F.struct("base_row", "texts"), F.col("sub")).alias("last"),
-        F.max("added").alias("added"), F.max("removed").alias("removed"))
-    d = ep.join(per_epoch, ["session_id", "epoch"], "left").select(
-        "*", F.col("last.base_row").alias("base_row"),
-        F.array_join(F.transform(F.array_sort("last.texts"), lambda x: F.concat(F.lit("_"), x["s"])), "").alias("suffix"))
+    s = sessions.select("session_id", "thread_nr", "unique_only")
+    f = files.select("thread_nr", "file_key", "file_name_4ch", "file_name_orig", "is_new")
+    known = epochs.where(F.col("epoch") > 0).join(s, "session_id").join(f, ["thread_nr", "file_key"])
+    attrs = ["epoch", "epoch_seq", "last_sub", "thread_nr", "unique_only", "file_name_4ch", "file_name_orig", "is_new", "base", "added", "removed"]
+    known = known.groupBy("session_id", "file_key").agg(F.max_by(F.struct(*attrs), F.col("epoch")).alias("e"))
+    known = known.select("session_id", "file_key", *[F.col(f"e.{a}").alias(a) for a in attrs if a != "base"],
+                         F.col("e.base.kind").alias("base_kind"), F.col("e.base.tog").alias("base_tog"), F.lit(None).cast("string").alias("begun"))
+    if carry is not None:
+        # Toggles count on from the sessions' parity; epoch 0 has what the open file already had.
+        before = carry.select("session_id", "toggles", "open")
+        known = known.join(before.select("session_id", "toggles"), "session_id", "left").withColumn(
+            "base_tog", F.col("base_tog") + F.coalesce("toggles", F.lit(0))).drop("toggles")
+        o = epochs.where(F.col("epoch") == 0).join(before.where(F.col("open").isNotNull()), "session_id")
+        anew = F.col("base").isNotNull()
+        gone_on = o.select(
+            "session_id", F.col("open.file_key").alias("file_key"), "epoch", F.col("open.epoch_seq").alias("epoch_seq"), "last_sub",
+            *[F.col(f"open.{a}").alias(a) for a in ("thread_nr", "unique_only", "file_name_4ch", "file_name_orig", "is_new")],
+            (F.col("added") | F.col("open.added")).alias("added"), "removed",
+            F.when(anew, F.col("base.kind")).otherwise(F.col("open.base_kind")).alias("base_kind"),
+            F.when(anew, F.col("base.tog") + F.col("toggles")).otherwise(F.col("open.base_tog")).alias("base_tog"),
+            F.when(~anew, F.col("open.suffix")).alias("begun"))
+        known = known.unionByName(gone_on)
+    if cut:
+        known = cut_lineage(known)
+
+    # The names' texts: an inner join on one struct, so that AQE can split an epoch with very many
+    # texts, then collected beside the epochs themselves.
+    key = F.struct("session_id", "epoch", F.col("last_sub").alias("sub")).alias("_key")
+    text = c.where(F.col("text").isNotNull()).select(
+        F.struct("session_id", "epoch", "sub").alias("_key"), F.struct("seq", sanitize_name(py_strip(F.col("text"))).alias("s")).alias("t"))
+    own = [x for x in known.columns if x not in ("session_id", "file_key", "epoch")]
+    named = text.join(known.where(~F.col("removed")).select(key, "session_id", "file_key", "epoch"), "_key").select("session_id", "file_key", "epoch", "t")
+    rows = known.withColumn("t", F.lit(None).cast(named.schema["t"].dataType)).unionByName(named, allowMissingColumns=True)
+    d = rows.groupBy("session_id", "file_key", "epoch").agg(F.collect_list("t").alias("texts"), *[F.max(x).alias(x) for x in own])
+    joined = F.array_join(F.transform(F.array_sort("texts"), lambda x: F.concat(F.lit("_"), x["s"])), "")
+    d = d.select("session_id", "file_key", "epoch", "epoch_seq", "thread_nr", "unique_only", "file_name_4ch", "file_name_orig", "is_new", "base_kind",
+                 F.pmod(F.col("base_tog"), F.lit(2)).cast("int").alias("base_tog"), F.concat(F.coalesce("begun", F.lit("")), joined).alias("suffix"),
+                 "added", "removed")
+    decisions = d.select("session_id", "file_key", *_FIELDS)
+
+    last = events.groupBy("session_id").agg(F.max("seq").alias("last_seq"), F.max_by("value", "seq").alias("last_value"))
+    ends = epochs.groupBy("session_id").agg(F.max("epoch").alias("epoch"), F.max("tog").alias("tog"))
+    still = d.where(~F.col("removed")).select("session_id", "epoch", F.struct("file_key", *_FIELDS).alias("open"))
+    states = last.join(ends, "session_id", "left").join(still, ["session_id", "epoch"], "left")
+    if carry is not None:
+        states = states.join(carry.select("session_id", "toggles"), "session_id", "left")
+    parity = F.coalesce("tog", F.lit(0)) + (F.coalesce("toggles", F.lit(0)) if carry is not None else F.lit(0))
+    return decisions, states.select("session_id", "last_seq", "last_value", F.pmod(parity, F.lit(2)).cast("int").alias("toggles"), "open")
+
+
+def later_decisions(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The decisions of two consecutive stretches as one: of a file the last epoch's, and of an epoch
+    that goes on into the second stretch the second's."""
+    rows = before.withColumn("_at", F.lit(0)).unionByName(after.withColumn("_at", F.lit(1)))
+    best = F.max_by(F.struct(*_FIELDS), F.struct("epoch_seq", "_at"))
+    return rows.groupBy("session_id", "file_key").agg(best.alias("d")).select("session_id", "file_key", "d.*")
+
+
+def selection_of(decisions: DataFrame) -> DataFrame:
+    """The state of each (session, file) from its deciding epoch: session_id, thread_nr, file_key,
+    dl_filename (NULL unless selected), is_unique, to_download, removed."""
     n4, orig = F.col("file_name_4ch"), F.col("file_name_orig")
-    with_orig = F.concat_ws("_", n4, orig)
-    base_kind, base_tog = F.col("base_row.kind"), F.col("base_row.tog")
-    base = (F.when(base_kind == "reset4ch", n4)
-            .when(F.pmod(base_tog, F.lit(2)) == 1, with_orig)
+    base = (F.when(F.col("base_kind") == "reset4ch", n4)
+            .when(F.col("base_tog") == 1, F.concat_ws("_", n4, orig))
             .otherwise(n4))
-    removed = F.coalesce(F.col("removed"), F.lit(False))
     unique = F.coalesce(F.col("is_new"), F.lit(True))
     to_dl0 = ~F.coalesce(F.col("unique_only"), F.lit(False)) | unique
-    selected = ~removed & (to_dl0 | F.coalesce(F.col("added"), F.lit(False)))
-    name = F.concat(base, F.coalesce(F.col("suffix"), F.lit("")))
-    return d.select("session_id", "thread_nr", "file_key",
-                    F.when(selected, name).alias("dl_filename"),
-                    F.when(F.col("unique_only"), unique).alias("is_unique"),
-                    selected.alias("to_download"), removed.alias("removed"))
+    selected = ~F.col("removed") & (to_dl0 | F.col("added"))
+    return decisions.select("session_id", "thread_nr", "file_key",
+                            F.when(selected, F.concat(base, F.col("suffix"))).alias("dl_filename"),
+                            F.when(F.col("unique_only"), unique).alias("is_unique"),
+                            selected.alias("to_download"), "removed")
+
+
+def fold_curation(events: DataFrame, sessions: DataFrame, files: DataFrame,
+                  blocks: int | None = None, cut: bool = True) -> DataFrame:
+    """Final per-file state of each session.
+
+    ``events(session_id, seq, value)``, raw or after ``drop_repeats`` (repeats are dropped
+    here in the same blockwise pass that numbers the rows; dropping twice changes nothing);
+    ``sessions(session_id, thread_nr, unique_only)``;
+    ``files(thread_nr, file_key, file_name_4ch, file_name_orig, is_new)`` where ``is_new``
+    is the novelty verdict (NULL = unknown, treated as new, as a failed lookup is).
+
+    ``cut``: the numbered log and the table of deciding epochs each feed several branches; they
+    are written once to the shared checkpoint folder so that the branches read them instead of
+    recomputing their shuffles (and an executor loss does not replay them).
+
+    Returns one row per (session, file) whose URL was copied and found in the thread
+    (``selection_of``).
+    """
+    return selection_of(fold_stretch(events, sessions, files, None, blocks, cut)[0])
 
 
 def unknown_urls(events: DataFrame, sessions: DataFrame, files: DataFrame) -> DataFrame:

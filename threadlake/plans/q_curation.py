@@ -76,13 +76,45 @@ def q_unknown_urls(spark, sf):
         "session_id", "seq", "file_key")
 
 
+def _half(spark, sf):
+    return b.curation_events(spark, sf).agg((F.max("seq") / 2).cast("bigint")).scalar()
+
+
+def _prior_fold(spark, sf):
+    """The first half of the log, folded once and kept as a table: what a resumed run finds."""
+    from threadlake.sources.materialize import input_signature, table_path
+    from threadlake.streaming.curation import continue_fold, fold_table
+
+    key = f"{b.BINDINGS_VERSION}|{b.code_tag()}|{sf}|" + input_signature(spark, [f"{sf.rstrip('/')}/{t}.parquet" for t in ("events", "documents", "conversations")])
+    path = table_path(spark, "prior-fold", key)
+    ev = b.curation_events(spark, sf)
+    continue_fold(path, ev.where(F.col("seq") < _half(spark, sf)), b.sessions(spark, sf), _thread_files(spark, sf), ("prior", 0))
+    return fold_table(spark, path).read()
+
+
 @register("selection_resume")
 def q_selection_resume(spark, sf):
-    ev = _events(spark, sf)
-    half = b.curation_events(spark, sf).agg((F.max("seq") / 2).cast("bigint")).scalar()
-    prior = _fold(spark, sf, ev.where(F.col("seq") < half))
-    new = _fold(spark, sf, ev.where(F.col("seq") >= half))
-    return cu.resume_selection(prior, new)
+    """The stored selection united with that of a new run over the second half of the log. The
+    new run starts afresh but for the last copied value."""
+    from threadlake.streaming.curation import decisions_of, states_of
+
+    prior = _prior_fold(spark, sf)
+    afresh = states_of(prior).withColumn("toggles", F.lit(0)).withColumn("open", F.lit(None).cast(prior.schema["state"].dataType["open"].dataType))
+    new = b.curation_events(spark, sf).where(F.col("seq") >= _half(spark, sf))
+    new = cu.selection_of(cu.fold_stretch(new, b.sessions(spark, sf), _thread_files(spark, sf), afresh)[0])
+    return cu.resume_selection(cu.selection_of(decisions_of(prior)), new)
+
+
+@register("fold_continue")
+def q_fold_continue(spark, sf):
+    """The second half of the log folded onto the stored summary of the first equals the
+    fold of the whole log; only the new half is read."""
+    from threadlake.streaming.curation import decisions_of, states_of
+
+    prior = _prior_fold(spark, sf)
+    new = b.curation_events(spark, sf).where(F.col("seq") >= _half(spark, sf))
+    decisions, _ = cu.fold_stretch(new, b.sessions(spark, sf), _thread_files(spark, sf), states_of(prior))
+    return cu.selection_of(cu.later_decisions(decisions_of(prior), decisions))
 
 
 @register("session_folders")
@@ -149,22 +181,21 @@ def q_index_upsert(spark, sf):
 
 @register("curation_stream")
 def q_curation_stream(spark, sf):
-    """The same fold as ``curation_fold``, run as a stateful stream over the log."""
+    """The same fold as ``curation_fold``, run over the log as it arrives in three parts. After
+    each part the stream is drained and starts again from its checkpoint."""
     import uuid
 
-    from threadlake.sources.materialize import materialize, table_path
+    from threadlake.sources.materialize import table_path
     from threadlake.streaming.curation import run_curation_stream
 
-    # Stage the log once as files the stream source can read. One batch takes them all and
-    # orders each session's rows, so the files need no order.
-    from threadlake.sources.materialize import input_signature
-
-    key = f"{b.BINDINGS_VERSION}|{b.code_tag()}|{sf}|" + input_signature(spark, [f"{sf.rstrip('/')}/{t}.parquet" for t in ("events", "documents")])
-    materialize(spark, lambda: b.curation_events(spark, sf).select("session_id", "seq", "value"), "curation-log", key)
-    src = table_path(spark, "curation-log", key)
     run = table_path(spark, f"curation-stream-{uuid.uuid4().hex}", sf)
-    return run_curation_stream(spark, src, b.sessions(spark, sf), _thread_files(spark, sf),
-                               f"{run}/sink", f"{run}/checkpoint")
+    log = b.curation_events(spark, sf).select("session_id", "seq", "value")
+    most = log.agg(F.max("seq")).scalar()
+    part = F.least(F.floor(F.col("seq") * 3 / (most + 1)), F.lit(2))
+    for i in range(3):
+        log.where(part == i).write.mode("append").parquet(f"{run}/log")
+        out = run_curation_stream(spark, f"{run}/log", b.sessions(spark, sf), _thread_files(spark, sf), f"{run}/sink", f"{run}/checkpoint")
+    return out
 
 
 @register("live_novelty")
@@ -187,14 +218,16 @@ def q_live_novelty(spark, sf):
     return spark.read.parquet(f"{run}/sink").select("thread_nr", "file_key", "is_new")
 
 
-def _arriving_media(spark, sf):
-    """The stored files staged as a folder that a stream reads."""
+def _arriving_media(spark, sf, files_at_once=None):
+    """All media files staged as a folder that a stream reads."""
     from threadlake.sources.materialize import input_signature, materialize, table_path
 
     key = f"{b.BINDINGS_VERSION}|{b.code_tag()}|{sf}|" + input_signature(spark, [f"{sf.rstrip('/')}/documents.parquet"])
-    staged = materialize(spark, lambda: ix.build_index(b.index_media(spark, sf))
-                         .withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp")), "arriving-media", key)
-    return spark.readStream.schema(staged.schema).parquet(table_path(spark, "arriving-media", key))
+    staged = materialize(spark, lambda: ix.build_index(b.media(spark, sf)), "arriving-media", key)
+    reader = spark.readStream.schema(staged.schema)
+    if files_at_once:
+        reader = reader.option("maxFilesPerTrigger", files_at_once)
+    return reader.parquet(table_path(spark, "arriving-media", key))
 
 
 @register("index_upkeep")
@@ -206,23 +239,21 @@ def q_index_upkeep(spark, sf):
     from threadlake.streaming.index import current_index, maintain_index
 
     run = table_path(spark, f"index-upkeep-{uuid.uuid4().hex}", sf)
-    maintain_index(_arriving_media(spark, sf), f"{run}/index", f"{run}/ck").awaitTermination()
+    maintain_index(_arriving_media(spark, sf, 4), f"{run}/index", f"{run}/ck").awaitTermination()
     return current_index(spark, f"{run}/index")
 
 
 @register("stream_dedupe")
 def q_stream_dedupe(spark, sf):
-    """One row per digest key of the arriving files."""
+    """One row per digest key of the arriving files, whenever each arrives."""
     import uuid
 
     from threadlake.sources.materialize import table_path
-    from threadlake.streaming.index import dedupe_verified
+    from threadlake.streaming.index import digest_table, distinct_digests
 
     run = table_path(spark, f"stream-dedupe-{uuid.uuid4().hex}", sf)
-    (dedupe_verified(_arriving_media(spark, sf)).select(*ix.INDEX_KEYS).writeStream.format("parquet")
-     .option("path", f"{run}/sink").option("checkpointLocation", f"{run}/ck")
-     .trigger(availableNow=True).start().awaitTermination())
-    return spark.read.schema("ext STRING, size_mb DECIMAL(12,2), md5_b64 STRING").parquet(f"{run}/sink")
+    distinct_digests(_arriving_media(spark, sf, 4), f"{run}/digests", f"{run}/ck").awaitTermination()
+    return digest_table(spark, f"{run}/digests").read().select(*ix.INDEX_KEYS)
 
 
 @register("run_state")

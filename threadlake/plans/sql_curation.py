@@ -141,6 +141,7 @@ WHERE m.doc_id % 3 = 0 AND r.dl_success AND r.md5_match AND m.ext IN ('webm','gi
       "v_index", "v_media", "v_resolved")
 
 query("curation_stream", "SELECT * FROM v_fold", "v_fold")
+query("fold_continue", "SELECT * FROM v_fold", "v_fold")
 
 query("session_folders", f"""
 WITH d AS (SELECT * FROM v_drop),
@@ -197,10 +198,10 @@ SELECT thread_nr, file_key, CASE WHEN size_unknown THEN NULL ELSE is_new0 END AS
 FROM v_fold_files""", "v_fold_files")
 
 query("index_upkeep", """
-SELECT ext, size_mb, md5_b64, path FROM v_index WHERE ext IN ('webm','gif','jpg','png')""", "v_index")
+SELECT ext, size_mb, md5_b64, path FROM v_media WHERE ext IN ('webm','gif','jpg','png')""", "v_media")
 
 query("stream_dedupe", """
-SELECT DISTINCT ext, size_mb, md5_b64 FROM v_index WHERE ext IN ('webm','gif','jpg','png')""", "v_index")
+SELECT DISTINCT ext, size_mb, md5_b64 FROM v_media WHERE ext IN ('webm','gif','jpg','png')""", "v_media")
 
 query("run_state", """
 SELECT board, thread_nr, CASE WHEN conv_id % 3 = 0 THEN 'done' ELSE 'curate' END AS stage, conv_id % 3 = 0 AS done

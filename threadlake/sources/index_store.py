@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from threadlake.functions.sizes import SIZE_TYPE
 from threadlake.operators.index import INDEX_KEYS
+from threadlake.sources.versions import Version, VersionedTable
 
 INDEX_DDL = "ext STRING, size_mb DECIMAL(12,2), md5_b64 STRING, path STRING"
 RUN_STATE_DDL = "board STRING, thread_nr STRING, stage STRING, done BOOLEAN"
@@ -47,13 +48,21 @@ def load_index_json(spark: SparkSession, path: str) -> DataFrame:
                                            "r.md5_b64", "r.path")
 
 
-def save_run_state(state: DataFrame, path: str) -> None:
-    """The run state is a small table rewritten after each thread."""
-    state.select("board", "thread_nr", "stage", "done").write.mode("overwrite").parquet(path)
+def run_state_table(spark: SparkSession, path: str) -> VersionedTable:
+    return VersionedTable(spark, path, RUN_STATE_DDL)
+
+
+def save_run_state(state: DataFrame, path: str, since: Version | None = None) -> Version:
+    """The run state is a small table rewritten after each thread. The new state is published
+    as the table's next version; the one before stays whole until then, and a writer that stops in
+    between leaves it so. ``since``: refuse (``StaleVersion``) if another run has saved its state
+    after that version was loaded."""
+    rows = state.select("board", "thread_nr", "stage", "done")
+    return run_state_table(state.sparkSession, path).replace(rows, since)
 
 
 def load_run_state(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RUN_STATE_DDL).parquet(path)
+    return run_state_table(spark, path).read()
 
 
 def write_text(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -1,147 +1,91 @@
-"""Live curation as a stateful stream, one state per session.
-
-The log arrives as a stream of ``(session_id, seq, value)``. Classification and the
-lookup of copied URLs in the thread's files are stateless (a stream-static join); the
-fold itself is ``applyInPandasWithState`` keyed by session, whose state is only the
-last value, the toggle and the current file - never the session's history. Each
-micro-batch emits a row whenever a file's epoch closes (next URL, ``remove_file``) and
-a provisional row for the file still open; ``final_selection`` keeps the latest row per
-(session, file), which equals the batch fold (``operators.curation.fold_curation``).
+"""Live curation over a stream of log rows, by summaries that continue each other.
+
+Each micro-batch is one stretch of the log. It is folded as the batch job folds a whole log
+(``operators.curation.fold_stretch``: blocks of rows, partial aggregates, so a session with a large
+share of the rows is spread over tasks), continuing the summaries of its sessions that the batches
+before left in a versioned table. The summary of a session is its last value, its toggles' parity
+and the file still open, never its history; decisions on files are one row each. Both are appended
+in one commit per batch, so a batch replayed after a failure counts once, and the table merges its
+commits as they come together, keeping the latest row of each key.
+
+A session's rows have to arrive in the order of ``seq`` from batch to batch (within a batch any
+order will do). A row that arrives later than that is not folded; it goes to the table of late rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
-
-from threadlake.functions import py_strip, sanitize_name
-from threadlake.operators.curation import classify
-
-OUT_SCHEMA = StructType([
-    StructField("session_id", LongType()), StructField("file_key", StringType()),
-    StructField("epoch_seq", LongType()), StructField("version", LongType()),
-    StructField("dl_filename", StringType()), StructField("is_unique", BooleanType()),
-    StructField("to_download", BooleanType()), StructField("removed", BooleanType()),
-    StructField("final", BooleanType()),
-])
-STATE_SCHEMA = StructType([
-    StructField("last_value", StringType()), StructField("toggle", BooleanType()),
-    StructField("cur_key", StringType()), StructField("cur_n4", StringType()), StructField("cur_orig", StringType()),
-    StructField("cur_unique_only", BooleanType()), StructField("cur_unique", BooleanType()),
-    StructField("cur_to_dl", BooleanType()), StructField("cur_name", StringType()),
-    StructField("cur_epoch", LongType()), StructField("last_seq", LongType()),
-])
-_EMPTY = (None, False, None, None, None, None, None, None, None, None, None)
-
-
-def _fold_session(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    (last_value, toggle, cur_key, cur_n4, cur_orig, cur_uo, cur_unique, cur_to_dl, cur_name, cur_epoch,
-     last_seq) = state.get if state.exists else _EMPTY
-    session_id = int(key[0])
-    rows = []
-
-    def emit(removed: bool, final: bool, version: int):
-        selected = bool(cur_to_dl) and not removed
-        rows.append((session_id, cur_key, cur_epoch, version, cur_name if selected else None,
-                     (cur_unique if cur_uo else None), selected, removed, final))
-
-    batch = pd.concat(list(pdfs), ignore_index=True).sort_values("seq")
-    for r in batch.itertuples(index=False):
-        if last_value is not None and r.value == last_value:
-            continue  # W1: repeated copy
-        last_value, last_seq = r.value, int(r.seq)
-        kind = r.kind
-        if kind == "url":
-            if cur_key is not None:
-                emit(False, True, last_seq)
-            if r.file_name_4ch is None or (isinstance(r.file_name_4ch, float) and pd.isna(r.file_name_4ch)):
-                cur_key = cur_n4 = cur_orig = cur_name = None
-                cur_uo = cur_unique = cur_to_dl = None
-                cur_epoch = None
-                continue
-            cur_key, cur_n4, cur_orig, cur_epoch = r.file_key, r.file_name_4ch, r.file_name_orig, int(r.seq)
-            cur_uo = bool(r.unique_only)
-            cur_unique = True if r.is_new is None or pd.isna(r.is_new) else bool(r.is_new)
-            cur_name = f"{cur_n4}_{cur_orig}" if toggle else cur_n4
-            cur_to_dl = (not cur_uo) or cur_unique
-        elif kind == "rename":
-            continue
-        elif kind == "toggle":
-            toggle = not toggle
-        elif cur_key is None:
-            continue
-        elif kind == "reset":
-            cur_name = f"{cur_n4}_{cur_orig}" if toggle else cur_n4
-        elif kind == "reset4ch":
-            cur_name = cur_n4
-        elif kind == "add":
-            cur_to_dl = True
-        elif kind == "remove":
-            emit(True, True, last_seq)
-            cur_key = cur_n4 = cur_orig = cur_name = None
-            cur_uo = cur_unique = cur_to_dl = None
-            cur_epoch = None
-        else:
-            cur_name = f"{cur_name}_{r.name_part}"
-    if cur_key is not None:
-        emit(False, False, last_seq)
-    state.update((last_value, toggle, cur_key, cur_n4, cur_orig, cur_uo, cur_unique, cur_to_dl, cur_name,
-                  cur_epoch, last_seq))
-    yield pd.DataFrame(rows, columns=[f.name for f in OUT_SCHEMA.fields])
-
-
-def _ship_by_value() -> None:
-    """Pickle this module's state function by value, so executors need not have the
-    package installed (its only imports on the worker are pandas and PySpark)."""
-    import sys
-
-    from pyspark import cloudpickle
-
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
-def curation_updates(events: DataFrame, sessions: DataFrame, files: DataFrame) -> DataFrame:
-    """Streaming (or batch) ``events(session_id, seq, value)`` -> update rows (see module doc).
-
-    ``sessions(session_id, thread_nr, unique_only)`` and
-    ``files(thread_nr, file_key, file_name_4ch, file_name_orig, is_new)`` are static.
-    """
-    _ship_by_value()
-    c = classify(events).join(sessions.select("session_id", "thread_nr", "unique_only"), "session_id", "left")
-    f = files.select("thread_nr", "file_key", "file_name_4ch", "file_name_orig", "is_new")
-    x = c.join(f, ["thread_nr", "file_key"], "left").select(
-        "session_id", "seq", "value", sanitize_name(py_strip(F.col("value"))).alias("name_part"), "kind", "file_key", "file_name_4ch", "file_name_orig", "is_new", "unique_only")
-    return x.groupBy("session_id").applyInPandasWithState(
-        _fold_session, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
-
-
-def final_selection(updates: DataFrame) -> DataFrame:
-    """Latest state per (session, file): the row of the last epoch, last version."""
-    best = F.max_by(F.struct("dl_filename", "is_unique", "to_download", "removed"),
-                    F.struct("epoch_seq", "version"))
-    g = updates.groupBy("session_id", "file_key").agg(best.alias("s"))
-    return g.select("session_id", "file_key", "s.dl_filename", "s.is_unique", "s.to_download", "s.removed")
-
-
-def run_curation_stream(spark, events_path: str, sessions: DataFrame, files: DataFrame, sink_path: str,
-                        checkpoint: str, schema: str = "session_id BIGINT, seq BIGINT, value STRING",
-                        max_files_per_trigger: int | None = None) -> DataFrame:
-    """Run the live fold over a folder of event files until it is drained (``availableNow``),
-    appending updates to a Parquet sink; restartable from ``checkpoint`` (T5). Returns the
-    final selection read from the sink."""
+
+from threadlake.operators.curation import DECISION, STATE, fold_stretch, selection_of
+from threadlake.session import cut_lineage
+from threadlake.sources.versions import VersionedTable
+
+LOG_DDL = "session_id BIGINT, seq BIGINT, value STRING"
+#: A session's summary (file_key NULL) or a decision on a file.
+FOLD_DDL = f"session_id BIGINT, file_key STRING, at BIGINT, batch BIGINT, state STRUCT<{STATE}>, decision STRUCT<{DECISION}>"
+
+
+def _latest(rows: DataFrame) -> DataFrame:
+    """The latest row of each key: of a file the last epoch's, and of that the last batch's."""
+    best = F.max_by(F.struct("at", "batch", "state", "decision"), F.struct("at", "batch"))
+    return rows.groupBy("session_id", "file_key").agg(best.alias("r")).select("session_id", "file_key", "r.*")
+
+
+def fold_table(spark: SparkSession, path: str) -> VersionedTable:
+    return VersionedTable(spark, f"{path.rstrip('/')}/fold", FOLD_DDL, sort_by=["session_id", "file_key"], merge=_latest)
+
+
+def late_table(spark: SparkSession, path: str) -> VersionedTable:
+    return VersionedTable(spark, f"{path.rstrip('/')}/late", LOG_DDL)
+
+
+def states_of(rows: DataFrame) -> DataFrame:
+    """The summaries of the sessions: (session_id, <STATE>)."""
+    return _latest(rows.where(F.col("file_key").isNull())).select("session_id", "state.*")
+
+
+def decisions_of(rows: DataFrame) -> DataFrame:
+    return _latest(rows.where(F.col("file_key").isNotNull())).select("session_id", "file_key", "decision.*")
+
+
+def continue_fold(path: str, events: DataFrame, sessions: DataFrame, files: DataFrame, batch: tuple[str, int],
+                  blocks: int | None = None) -> None:
+    """Fold a stretch ``events(session_id, seq, value)`` onto what the tables at ``path`` hold, in
+    one commit. ``batch``: (writer, number); one that was committed before is left out."""
+    spark = events.sparkSession
+    fold, late = fold_table(spark, path), late_table(spark, path)
+    now = fold.latest()
+    if now.batches.get(batch[0], -1) >= batch[1]:
+        return
+    events = cut_lineage(events.select("session_id", "seq", "value"))
+    before = fold.read(now).where(F.col("file_key").isNull()).join(events.select("session_id").distinct(), "session_id", "left_semi")
+    before = cut_lineage(states_of(before))
+    seen = events.join(before.select("session_id", "last_seq"), "session_id", "left")
+    in_time = F.col("last_seq").isNull() | (F.col("seq") > F.col("last_seq"))
+    late.append(seen.where(~in_time).select("session_id", "seq", "value"), batch)
+    decisions, states = fold_stretch(seen.where(in_time).select("session_id", "seq", "value"), sessions, files, before, blocks)
+    packed = lambda df, but: F.struct(*[c for c in df.columns if c not in but])
+    own = decisions.select("session_id", "file_key", F.col("epoch_seq").alias("at"), packed(decisions, ("session_id", "file_key")).alias("decision"))
+    summaries = states.select("session_id", F.lit(0).cast("bigint").alias("at"), packed(states, ("session_id",)).alias("state"))
+    rows = own.unionByName(summaries, allowMissingColumns=True).withColumn("batch", F.lit(now.number).cast("bigint"))
+    schema = spark.createDataFrame([], FOLD_DDL).schema
+    fold.append(rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema]), batch)
+
+
+def current_selection(spark: SparkSession, path: str) -> DataFrame:
+    """The selection as the tables at ``path`` have it now; equals the batch fold of the rows so far."""
+    return selection_of(decisions_of(fold_table(spark, path).read()))
+
+
+def run_curation_stream(spark: SparkSession, events_path: str, sessions: DataFrame, files: DataFrame, sink_path: str,
+                        checkpoint: str, schema: str = LOG_DDL, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Run the live fold over a folder of event files until it is drained (``availableNow``);
+    restartable from ``checkpoint`` (T5). Returns the selection."""
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.parquet(events_path)
-    q = (curation_updates(stream, sessions, files).writeStream
-         .format("parquet").option("path", sink_path).option("checkpointLocation", checkpoint)
-         .outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
-    final = final_selection(spark.read.schema(OUT_SCHEMA).parquet(sink_path))
-    return final.join(sessions.select("session_id", "thread_nr"), "session_id", "left").select(
-        "session_id", "thread_nr", "file_key", "dl_filename", "is_unique", "to_download", "removed")
+    (reader.parquet(events_path).writeStream
+     .foreachBatch(lambda df, number: continue_fold(sink_path, df, sessions, files, (checkpoint, number)))
+     .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())
+    return current_selection(spark, sink_path)
