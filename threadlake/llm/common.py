@@ -59,9 +59,9 @@ class Scratch:
         self.spark = spark
         self.base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         path, schema = f"{self.base}/{name}", df.schema
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").options(**options).parquet(path)
         del df
         self.release()
         return self.spark.read.schema(schema).parquet(path)

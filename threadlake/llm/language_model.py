@@ -17,8 +17,8 @@ with the tree's n-grams, then sums by document. No task holds the tree.
 
 How it is spread: words are 64-bit hashes (``words``), an n-gram's key is made of those of its two
 shorter n-grams; texts are hashed once and written. N-grams are counted in the tasks, then in
-Spark, in lists by context (the most frequent contexts' lists in parts). What occurs once is summed
-up as mass and not stored. Bounded things are sent to all tasks: bitmaps of 2**26 bits, which keep
+Spark; pairs of the most frequent words go by number. What occurs once is summed up as mass and
+not stored. Bounded things are sent to all tasks: bitmaps of 2**26 bits, which keep
 n-grams that the tree cannot have from being shuffled (false hits are only extra rows), and the
 most frequent n-grams of a length with their numbers (``HOT`` at most), so a hot n-gram never
 meets one task. Everything else is joined, whatever its size. All
@@ -47,7 +47,7 @@ HOT = 1 << 18
 SLOTS = 1 << 20  # 64-bit words of a bitmap
 BLOCK = 1 << 22  # bytes of text, or of hashed text, that are worked on together
 TOGETHER = 1 << 21  # n-grams that are counted together
-PARTS, SPLIT = 256, 1 << 12  # parts of each of the most frequent contexts, and how many these are at most
+NUMBERS = 1 << 20  # over HOT
 END = U(0x27BB2EE687B0B0FD)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -67,7 +67,7 @@ def _stretches(offsets: np.ndarray):
 
 
 def _hashed(batches):
-    """Documents as rows of word hashes with the end's."""
+    """Documents as lists of word hashes with the end's."""
     for batch in batches:
         buf, offsets = binary_parts(batch.column("text"))
         for at, to in _stretches(offsets):
@@ -75,7 +75,7 @@ def _hashed(batches):
             starts, ends, words = word_spans(part, bounds)
             w = np.insert(word_hashes(part, starts, ends), words[1:], END)
             cuts = words + np.arange(to - at + 1)
-            tokens = pa.Array.from_buffers(pa.large_binary(), to - at, [None, pa.py_buffer((8 * cuts).astype(np.int64)), pa.py_buffer(w)]).cast(pa.binary())
+            tokens = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), _signed(w))
             rows = batch.slice(at, to - at)
             yield pa.record_batch([*(rows.column(c) for c in ("row", "doc", "held_out")), pa.array(np.diff(cuts)), tokens], ["row", "doc", "held_out", "n_tokens", "tokens"])
 
@@ -97,9 +97,11 @@ class Bitmap:
 def _grams(batch: pa.RecordBatch, length: int):
     """For stretches of documents: first row, its number of rows, keys of n-grams and their
     document's place."""
-    buf, offsets = binary_parts(batch.column("tokens"))
+    lists = batch.column("tokens")
+    flat, offsets = lists.flatten().to_numpy().view(U), lists.offsets.to_numpy().astype(np.int64)
+    offsets = 8 * (offsets - offsets[0])
     for at, to in _stretches(offsets):
-        keys = np.frombuffer(buf[offsets[at]:offsets[to]].tobytes(), "<u8")
+        keys = flat[offsets[at] // 8:offsets[to] // 8]
         doc = np.repeat(np.arange(to - at), np.diff(offsets[at:to + 1]) // 8)
         for _ in range(length - 1):
             keys = joined_key(keys[:-1], keys[1:])
@@ -120,20 +122,19 @@ def _word_counts(batches):
 
 def _pairs(length: int, candidates: Bitmap, ends: Bitmap, hot: np.ndarray):
     """Counts of contexts of ``length`` words with the n-grams of the same length that end one word
-    later: a row for each context, and for each part of a ``hot`` one, with lists of the n-grams and
-    their counts. Some millions of tokens are counted together."""
+    later. Some millions of n-grams are counted together. A pair of ``hot`` ones goes by their
+    two numbers in one column, which are far fewer bytes to shuffle than two hashes."""
     def counted(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         context, low = map(np.concatenate, zip(*found))
         _, first, n = np.unique(joined_key(context, low), return_index=True, return_counts=True)
         context, low = context[first], low[first]
-        place = np.minimum(np.searchsorted(hot, context), max(0, len(hot) - 1))
-        is_hot = hot[place] == context if len(hot) else np.zeros(len(context), bool)
-        part = np.where(is_hot, (low & U(PARTS - 1)).astype(np.int32), 0).astype(np.int32)
-        order = np.lexsort((part, context))
-        context, low, part, n = context[order], low[order], part[order], n[order].astype(np.int32)
-        head = np.flatnonzero(np.concatenate([np.ones(min(1, len(part)), bool), (context[1:] != context[:-1]) | (part[1:] != part[:-1])]))
-        cuts = pa.array(np.append(head, len(part)), pa.int32())
-        return pa.record_batch([_signed(context[head]), pa.array(part[head]), pa.ListArray.from_arrays(cuts, _signed(low)), pa.ListArray.from_arrays(cuts, pa.array(n))], ["context", "part", "low", "n"])
+        if len(hot):
+            one, two = (np.minimum(np.searchsorted(hot, x), len(hot) - 1) for x in (context, low))
+            short = (hot[one] == context) & (hot[two] == low)
+            context = np.where(short, (one * NUMBERS + two).astype(U), context)
+            low = np.where(short, U(0), low)
+        order = np.argsort(context)  # neighbouring rows share bytes
+        return pa.record_batch([_signed(context[order]), _signed(low[order]), pa.array(n[order])], ["context", "low", "n"])
 
     def emit(batches):
         found, size = [], 0
@@ -151,6 +152,18 @@ def _pairs(length: int, candidates: Bitmap, ends: Bitmap, hot: np.ndarray):
     return emit
 
 
+def _spelt(hot: np.ndarray):
+    """Pairs of numbers as the pairs of hashes that they stand for."""
+    def emit(batches):
+        for batch in batches:
+            context, low = (batch.column(c).to_numpy().view(U) for c in ("context", "low"))
+            short = np.flatnonzero((low == 0) & (context < U(NUMBERS * NUMBERS)))
+            context, low, pair = context.copy(), low.copy(), context[short].astype(np.int64)
+            context[short], low[short] = hot[pair // NUMBERS], hot[pair % NUMBERS]
+            yield pa.record_batch([_signed(context), _signed(low), batch.column("n")], ["context", "low", "n"])
+    return emit
+
+
 def _longer(batches):
     """The key of each (context, low)."""
     for batch in batches:
@@ -197,11 +210,11 @@ class Tree:
         for length in range(1, depth + 1):
             # An n-gram seen twice ends in one that was, with a retained context.
             ends = Bitmap(words.where("n > 1") if length == 1 else below)
-            hot = np.sort(most_frequent(contexts.select("key", "n"), SPLIT).column("key").to_numpy().view(U))
-            pairs = train.mapInArrow(_pairs(length, Bitmap(contexts), ends, hot), "context bigint, part int, low array<bigint>, n array<int>")
-            # Whole lists are shuffled, by context (and part); they are taken apart where they meet.
-            pairs = pairs.repartition("context", "part").select("context", "part", F.explode(F.arrays_zip("low", "n")).alias("x"))
-            pairs = pairs.groupBy("context", "part", F.col("x.low").alias("low")).agg(F.sum("x.n").alias("n")).where("n > 1").select("context", "low", "n")
+            hot = np.sort(most_frequent(words, HOT).column("key").to_numpy().view(U)) if length == 1 else np.zeros(0, U)
+            pairs = train.mapInArrow(_pairs(length, Bitmap(contexts), ends, hot), "context bigint, low bigint, n bigint")
+            pairs = pairs.groupBy("context", "low").agg(F.sum("n").alias("n")).where("n > 1")
+            if len(hot):
+                pairs = pairs.mapInArrow(_spelt(hot), "context bigint, low bigint, n bigint")
             pairs = scratch.write(pairs, f"pairs{length}")
             judged = scratch.write(pairs.join(below.withColumnRenamed("key", "low"), "low"), f"judged{length}")
             kept = scratch.write(self._retained(judged, contexts), f"kept{length}")
@@ -252,7 +265,7 @@ def scored(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_co
     The model learns from the rows without ``held_out``. Scores are log10 probabilities."""
     scratch = Scratch(docs.sparkSession, "lm")
     plain = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("doc"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).cast("binary").alias("text"))
-    tokens = scratch.write(plain.mapInArrow(_hashed, "row bigint, doc bigint, held_out boolean, n_tokens bigint, tokens binary"), "tokens")
+    tokens = scratch.write(plain.mapInArrow(_hashed, "row bigint, doc bigint, held_out boolean, n_tokens bigint, tokens array<bigint>"), "tokens", **{"parquet.dictionary.page.size": str(1 << 24)})
     tree = Tree(tokens, scratch, depth)
     sums = []
     for length, level in enumerate(tree.levels, 1):
