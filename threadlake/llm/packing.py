@@ -27,6 +27,7 @@ documents. Texts of any length: whole windows never leave their task but as leng
 
 from __future__ import annotations
 
+import json
 import math
 import zlib
 from functools import lru_cache
@@ -41,23 +42,30 @@ from threadlake.llm.common import Scratch
 SHARD = 512
 CANDIDATES, KEY_TERMS, COMMON = 32, 8, 16
 KNOWN_WORDS = 700_000  # most words that a worker remembers, but for the last stretch's
+KNOWN_ENDS = 50_000  # endings that a worker remembers
 PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{}~"
 K1, B = 1.2, 0.75  # the usual constants of BM25
 
 
-def pieces(word: bytes) -> int:
-    """1 for letters only, 2 for letters and then punctuation, 0 for anything else."""
+LATIN = 0xC5  # bytes up to this one spell code points below U+0180, for which the steps of the
+# tokenizer before its merges do no more than lower case does
+DOTTED_I = "\u0130".encode()  # but for this one: in lower case it is a letter and a mark
+
+
+def stem_of(word: bytes) -> bytes | None:
+    """The letters of a word that is letters and then punctuation, if any; None for others."""
     stem = word.rstrip(PUNCTUATION)
-    if stem.isalpha() or (not stem.isascii() and stem.decode().isalpha()):
-        return 1 + (len(stem) < len(word))
-    return 0
+    if stem.isascii():
+        return stem if stem.isalpha() else None
+    return stem if DOTTED_I not in stem and stem.decode().isalpha() else None
 
 
 class WordIds:
     """Ids of whole texts by way of their words. The tokenizer's normaliser and splitter treat
-    white space as a boundary, so the ids of a text are those of its words in turn. New words are
-    encoded together: those of letters only are one piece each, and the tokenizer marks the last
-    token of a piece; punctuation at the end of such a word is a piece of its own."""
+    white space as a boundary, so the ids of a text are those of its words in turn. Punctuation at
+    the end of a word of letters is a piece of its own. New stems of letters are encoded together:
+    each is one piece, and the tokenizer marks the last token of a piece. Stems of Latin letters
+    are lower-cased here and go through a copy of the tokenizer that splits at white space only."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -72,31 +80,57 @@ class WordIds:
         self.ends_piece[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.marks = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
-
-    def ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        spec = json.loads(self.tokenizer.to_str())
+        spec["normalizer"] = None
+        spec["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+        self.plain = Tokenizer.from_str(json.dumps(spec))
+        if hasattr(self.plain.model, "_resize_cache"):
+            self.plain.model._resize_cache(0)
+        self.marked_ends: dict[bytes, bytes] = {}  # punctuation that ends words
+
+    def ids(self, text: str, latin: bool) -> np.ndarray:
+        coded = (self.plain if latin else self.tokenizer).encode_batch_fast([text.lower() if latin else text], add_special_tokens=False)
+        return np.array(coded[0].ids, "<u4")
 
     def of_any(self, words: list[bytes]) -> dict[bytes, bytes]:
         coded = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
         return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, coded)}
 
-    def learn(self, new: list[bytes]) -> dict[bytes, bytes]:
-        count = np.fromiter(map(pieces, new), np.int64, len(new))
-        out = self.of_any([new[i] for i in np.flatnonzero(count == 0).tolist()])
-        regular = np.flatnonzero(count)
-        for at in range(0, len(regular), 5000):
-            own = regular[at:at + 5000]
-            part = [new[i] for i in own.tolist()]
-            ids = self.ids(b" ".join(part).decode())
-            ends, last = np.flatnonzero(self.ends_piece[ids]), np.cumsum(count[own])
-            if len(ends) != last[-1]:  # a word is not made up as it seems
+    def of_stems(self, stems: list[bytes], latin: bool) -> dict[bytes, bytes]:
+        out = {}
+        for at in range(0, len(stems), 5000):
+            part = stems[at:at + 5000]
+            ids = self.ids(b" ".join(part).decode(), latin)
+            ends = np.flatnonzero(self.ends_piece[ids])
+            if len(ends) != len(part):  # a word is not made up as it seems
                 out |= self.of_any(part)
                 continue
-            cuts = (4 * (1 + ends[last - 1])).tolist()
+            cuts = (4 * (1 + ends)).tolist()
             raw = ids.tobytes()
             out.update(zip(part, map(raw.__getitem__, map(slice, [0, *cuts[:-1]], cuts))))
         return out
 
+    def learn(self, new: list[bytes]) -> dict[bytes, bytes]:
+        found = list(map(stem_of, new))
+        stems = set(found)
+        out = {}
+        if None in stems:
+            stems.discard(None)
+            out = self.of_any([w for w, stem in zip(new, found) if stem is None])
+        latin = [s for s in stems if s.isascii() or max(s) <= LATIN]
+        out |= self.of_stems(latin, True)
+        if len(latin) < len(stems):
+            out |= self.of_stems(list(stems.difference(latin)), False)
+        ended = [(w, stem, w[len(stem):]) for w, stem in zip(new, found) if stem is not w and stem is not None]
+        tail = self.marked_ends
+        if more := {e for _, _, e in ended}.difference(tail):
+            if len(tail) > KNOWN_ENDS:
+                tail.clear()
+                more = {e for _, _, e in ended}
+            tail |= self.of_any(list(more))
+        out |= {w: out[stem] + tail[e] for w, stem, e in ended}
+        return out
+
     def of(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         # Lower case is what the tokenizer makes of a text; done at once it leaves fewer words.
@@ -109,7 +143,7 @@ class WordIds:
         extra = self.learn(new) if new else {}
         if len(known) < KNOWN_WORDS:  # words met first are the frequent ones
             known |= extra
-            return [b"".join([known[w] for w in own]) for own in words]
+            return [b"".join(map(known.__getitem__, own)) for own in words]
         get, more = known.get, extra.get
         return [b"".join([get(w) or more(w, b"") for w in own]) for own in words]
 
@@ -141,8 +175,8 @@ DF = pa.list_(pa.struct([("term", pa.int64()), ("n", pa.int64())]))
 
 
 def _tokens(path: str, end_id: int, window: int):
-    """Rows of documents, then one row with the task's document frequencies. Terms and counts of
-    a document without whole windows are those of its rest, and not stored."""
+    """Rows of documents with their terms and counts, then one row with the task's document
+    frequencies."""
     size, end = 4 * window, np.array([end_id], "<u4").tobytes()
     names = ["doc", "doc_tokens", "crcs", "rest", "terms", "counts", "df"]
 
@@ -164,7 +198,7 @@ def _tokens(path: str, end_id: int, window: int):
                     if int(terms[-1]) >= len(seen):
                         seen = np.append(seen, np.zeros(int(terms[-1]) + 1 - len(seen), np.int64))
                     seen[terms] += 1
-                    whole_terms.append((terms.tobytes(), counts.tobytes()) if whole else (None, None))
+                    whole_terms.append((terms.tobytes(), counts.tobytes()))
                 columns = [ids.slice(at, to - at), pa.array(count, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(rest, pa.binary()), *(pa.array(x, pa.binary()) for x in zip(*whole_terms))]
                 yield pa.record_batch([*columns, pa.nulls(to - at, DF)], names)
         own = [{"term": t, "n": int(seen[t])} for t in np.flatnonzero(seen).tolist()]
@@ -190,15 +224,11 @@ def key_order(df: np.ndarray, n: int, shard: int) -> tuple[np.ndarray, np.ndarra
     return rank, np.where(df > 1, np.log(1 + n / np.maximum(df, 1)), 0.0)
 
 
-def _whole(rest: bytes, terms: bytes | None, counts: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    return terms_of(np.frombuffer(rest, "<u4")) if terms is None else (np.frombuffer(terms, "<u4"), np.frombuffer(counts, "<u4"))
-
-
 def _keys(rank: np.ndarray, idf: np.ndarray):
     def emit(batches):
         for batch in batches:
-            own = (batch.column(c).to_pylist() for c in ("rest", "terms", "counts"))
-            keys = [lexical_key(*_whole(*x), rank, idf) for x in zip(*own)]
+            own = (batch.column(c).to_pylist() for c in ("terms", "counts"))
+            keys = [lexical_key(*(np.frombuffer(x, "<u4") for x in pair), rank, idf) for pair in zip(*own)]
             yield pa.record_batch([*batch.columns, pa.array(keys, pa.binary())], [*batch.schema.names, "key"])
     return emit
 
@@ -302,7 +332,7 @@ def _pack(window: int, most: int):
                 rows.append((doc[i], k * window, window, crc, count[i], sequence, 0))
                 sequence += 1
         texts = [np.frombuffer(r, "<u4") for r in rests]
-        for pieces in packed(texts, window, [_whole(*x) for x in zip(rests, terms, counts)]):
+        for pieces in packed(texts, window, [tuple(np.frombuffer(x, "<u4") for x in pair) for pair in zip(terms, counts)]):
             offset = 0
             for text, first, length in pieces:
                 crc = zlib.crc32(texts[text][first:first + length].tobytes())
