@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlake.llm.common import Scratch, passed_on
-from threadlake.llm.windows import all_spans, blocks, joined, looked_up, mark_arrays, mix, prefix_hashes, removed_tokens, repeated_windows, Runs
+from threadlake.llm.windows import BASE, SECOND_BASE, all_spans, blocks, both, joined, looked_up, mark_arrays, prefix_hashes, removed_tokens, repeated_windows, Runs
 
 RESULTS = ["n_words", "removed", "kept_text"]
 
@@ -41,29 +41,29 @@ def _single_windows(width: int, gram: int):
                 n = r.count[runs]
                 run = np.repeat(runs, n)
                 bit = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
-                window = mix(_window_hashes(tokens, r.first[run] + bit, width))
-                yield pa.record_batch([pa.array(r.gram[run]), pa.array(window.view(np.int64)), pa.array(ids[at + r.doc[run]]), pa.array(r.context[run]), pa.array(bit)], ["gram", "window", "doc", "context", "bit"])
+                window, check = both(*(_window_hashes(t, r.first[run] + bit, width, b) for t, b in zip(tokens, (BASE, SECOND_BASE))))
+                yield pa.record_batch([pa.array(x) for x in (r.gram[run], window, check, ids[at + r.doc[run]], r.context[run], bit)], ["gram", "window", "check", "doc", "context", "bit"])
     return emit
 
 
-def _window_hashes(tokens: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+def _window_hashes(tokens: np.ndarray, starts: np.ndarray, width: int, base: int) -> np.ndarray:
     """Polynomial hashes of the windows at these tokens, over stretches that bound the memory."""
     out, step = np.empty(len(starts), np.uint64), 1 << 18
     for lo in range(0, len(tokens), step):
         own = np.flatnonzero((starts >= lo) & (starts < lo + step))
         if len(own):
-            p = prefix_hashes(tokens[lo:lo + step + width - 1])
-            out[own] = all_spans(p, width, len(p) - width)[starts[own] - lo]
+            p = prefix_hashes(tokens[lo:lo + step + width - 1], base)
+            out[own] = all_spans(p, width, len(p) - width, base)[starts[own] - lo]
     return out
 
 
 def _resolve(width: int, gram: int):
     def resolve(docs: DataFrame, owned: DataFrame, scratch: Scratch) -> DataFrame:
-        single = joined(docs, owned, "inner").mapInArrow(_single_windows(width, gram), "gram bigint, window bigint, doc bigint, context bigint, bit bigint")
+        single = joined(docs, owned, "inner").mapInArrow(_single_windows(width, gram), "gram bigint, window bigint, check bigint, doc bigint, context bigint, bit bigint")
         single = scratch.write(single, "single")
-        first = single.groupBy("gram", "window").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
-        first = scratch.write(first.select("gram", "window", "low"), "first")
-        again = single.join(first, ["gram", "window"]).where("doc > low")
+        first = single.groupBy("gram", "window", "check").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
+        first = scratch.write(first.select("gram", "window", "check", "low"), "first")
+        again = single.join(first, ["gram", "window", "check"]).where("doc > low")
         return again.groupBy("doc", "context").agg(F.bit_or(F.expr("shiftleft(1L, cast(bit as int))")).alias("mask"))
     return resolve
 

@@ -19,8 +19,12 @@ Hot anchors, contexts and windows are minima over partial aggregates, and the jo
 written tables with a plain exchange on each side, which AQE splits when a key is skewed. The
 only lists built are per document and no longer than its text.
 
-Hashes are Rabin-Karp polynomials modulo 2**64 with a random table for the symbols, taken
-from prefix sums, then mixed. Anchor and context hash together identify a context.
+Hashes are Rabin-Karp polynomials modulo 2**64 over hashes of the tokens (bytes: a random table;
+words: ``words.word_hashes``, which is no polynomial, so that no words collide by construction),
+taken from prefix sums, then mixed. Each document's tokens are hashed by two such families that
+share neither base nor token hashes. A context (and a single window) is told by its anchor's hash, a hash
+of both families and the second family's own hash, the ``check``: where a place is found to repeat,
+the check of its text equals that of the owner's text.
 """
 
 from __future__ import annotations
@@ -33,40 +37,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlake.llm.common import Scratch, binary_parts
+from threadlake.llm.words import word_hashes, word_spans
 
 U = np.uint64
-BASE = 0x9E3779B97F4A7C15
+BASE, SECOND_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+SECOND_SEED = 0x2545F4914F6CDD1D
 SEGMENT = 1 << 18  # tokens that are hashed at once; bounds the memory for very long texts
 POSITION = U((1 << 20) - 1)
-SYMBOLS = np.random.default_rng(20240607).integers(0, 2**64, 256, dtype=np.uint64)
-IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-_POWERS: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
+SYMBOLS, SECOND_SYMBOLS = np.random.default_rng(20240607).integers(0, 2**64, (2, 256), dtype=np.uint64)
+_POWERS: dict[int, np.ndarray] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n."""
-    if len(_POWERS[0]) < n:
+def powers(n: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo 2**64 for i < n."""
+    if base not in _POWERS or len(_POWERS[base][0]) < n:
         size = max(n, 2 * SEGMENT)
-        for k, b in enumerate((BASE, pow(BASE, -1, 2**64))):
-            p = np.full(size, b, U)
-            p[0] = 1
-            _POWERS[k] = np.multiply.accumulate(p)
-    return _POWERS[0], _POWERS[1]
+        p = np.empty((2, size), U)
+        p[:, 1:] = np.array([[base], [pow(base, -1, 2**64)]], U)
+        p[:, 0] = 1
+        _POWERS[base] = np.multiply.accumulate(p, axis=1)
+    return _POWERS[base][0], _POWERS[base][1]
 
 
-def prefix_hashes(tokens: np.ndarray) -> np.ndarray:
+def prefix_hashes(tokens: np.ndarray, base: int = BASE) -> np.ndarray:
     out = np.zeros(len(tokens) + 1, U)
-    np.cumsum(tokens * powers(len(tokens) + 1)[0][:len(tokens)], out=out[1:])
+    np.cumsum(tokens * powers(len(tokens) + 1, base)[0][:len(tokens)], out=out[1:])
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return (prefix[end] - prefix[start]) * powers(len(prefix))[1][start]
+def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = BASE) -> np.ndarray:
+    return (prefix[end] - prefix[start]) * powers(len(prefix), base)[1][start]
 
 
-def all_spans(prefix: np.ndarray, length: int, n: int) -> np.ndarray:
+def all_spans(prefix: np.ndarray, length: int, n: int, base: int = BASE) -> np.ndarray:
     """``span_hash`` of the first n spans of that length."""
-    return (prefix[length:length + n] - prefix[:n]) * powers(len(prefix))[1][:n]
+    return (prefix[length:length + n] - prefix[:n]) * powers(len(prefix), base)[1][:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -85,43 +90,35 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def byte_tokens(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return SYMBOLS[buf], bounds
+    """Both families' hashes of each byte, and the documents' bounds."""
+    return np.stack([SYMBOLS[buf], SECOND_SYMBOLS[buf]]), bounds
 
 
 def word_tokens(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash for each word, and the documents' bounds counted in words."""
-    space = IS_SPACE[buf]
-    filled = bounds[1:] > bounds[:-1]
-    before, after = np.ones(len(buf), bool), np.ones(len(buf), bool)
-    before[1:], after[:-1] = space[:-1], space[1:]
-    before[bounds[:-1][filled]] = True
-    after[bounds[1:][filled] - 1] = True
-    starts, ends = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
-    hashes, at = np.empty(len(starts), U), 0
-    while at < len(starts):  # so many words at once as fit in a segment
-        lo = starts[at]
-        to = max(at + 1, int(np.searchsorted(ends, lo + SEGMENT, "right")))
-        p = prefix_hashes(SYMBOLS[buf[lo:ends[to - 1]]])
-        s, e = starts[at:to] - lo, ends[at:to] - lo
-        hashes[at:to] = mix(span_hash(p, s, e) + (e - s).astype(U))
-        at = to
-    return hashes, np.searchsorted(starts, bounds)
+    """Both families' hashes of each word, and the documents' bounds counted in words."""
+    starts, ends, words = word_spans(buf, bounds)
+    return np.stack([word_hashes(buf, starts, ends), word_hashes(buf, starts, ends, SECOND_SEED)]), words
 
 
 TOKENS = {"bytes": byte_tokens, "words": word_tokens}
 
 
+def both(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a hash of both families' hashes, the check) of some spans, as bigints."""
+    return mix(first + second * U(0xA0761D6478BD642F)).view(np.int64), mix(second).view(np.int64)
+
+
 class Runs:
-    """The runs of some documents: arrays gram, context, doc, first (token), count, offset (of
-    the anchor from the first token)."""
+    """The runs of some documents: arrays gram, context, check, doc, first (token), count, offset
+    (of the anchor from the first token)."""
 
     def __init__(self, tokens: np.ndarray, bounds: np.ndarray, width: int, gram: int):
-        lens, w = np.diff(bounds), width - gram + 1
+        lens, w, size = np.diff(bounds), width - gram + 1, tokens.shape[1]
         doc, end = np.repeat(np.arange(len(lens)), lens), np.repeat(bounds[1:], lens)
         parts = []
-        for lo in range(0, len(tokens) - width + 1, SEGMENT):
-            n = min(SEGMENT, len(tokens) - width + 1 - lo)
-            p = prefix_hashes(tokens[lo:lo + n + width - 1])
+        for lo in range(0, size - width + 1, SEGMENT):
+            n = min(SEGMENT, size - width + 1 - lo)
+            p, q = (prefix_hashes(t[lo:lo + n + width - 1], b) for t, b in zip(tokens, (BASE, SECOND_BASE)))
             grams = mix(all_spans(p, gram, n + w - 1))
             order = (grams & ~POSITION) | np.arange(n + w - 1, dtype=U)
             whole = np.flatnonzero(np.arange(lo + width, lo + n + width) <= end[lo:lo + n])
@@ -130,10 +127,11 @@ class Runs:
             anchor = (sliding_min(order, w)[whole] & POSITION).astype(np.int64)
             new = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
             first, count = whole[new], np.diff(np.append(new, len(whole)))
-            context = mix(span_hash(p, first, first + count - 1 + width) + count.astype(U) * U(0xA0761D6478BD642F))
-            parts.append((grams[anchor[new]].view(np.int64), context.view(np.int64), doc[lo + first], lo + first, count, anchor[new] - first))
-        cols = [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 6
-        self.gram, self.context, self.doc, self.first, self.count, self.offset = cols
+            last = first + count - 1 + width
+            context, check = both(span_hash(p, first, last) + count.astype(U), span_hash(q, first, last, SECOND_BASE))
+            parts.append((grams[anchor[new]].view(np.int64), context, check, doc[lo + first], lo + first, count, anchor[new] - first))
+        cols = [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 7
+        self.gram, self.context, self.check, self.doc, self.first, self.count, self.offset = cols
 
 
 def blocks(batch: pa.RecordBatch, text: str, kind: str) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -157,7 +155,7 @@ def anchors_of(kind: str, width: int, gram: int, contexts: bool) -> Callable:
                     yield pa.record_batch([pa.array(r.gram), pa.array(ids[at + r.doc])], ["gram", "doc"])
                     continue
                 once = np.unique(mix(r.context.view(U) + r.doc.astype(U) * U(BASE)), return_index=True)[1]
-                yield pa.record_batch([pa.array(r.gram[once]), pa.array(r.context[once]), pa.array(ids[at + r.doc[once]])], ["gram", "context", "doc"])
+                yield pa.record_batch([pa.array(x) for x in (r.gram[once], r.context[once], r.check[once], ids[at + r.doc[once]])], ["gram", "context", "check", "doc"])
     return emit
 
 
@@ -192,12 +190,13 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, kind: str, width: int, g
     grams = docs.mapInArrow(anchors_of(kind, width, gram, False), "gram bigint, doc bigint")
     grams = grams.groupBy("gram").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
     grams = scratch.write(grams.where("low < high").select("gram"), "grams")
-    found = docs.mapInArrow(anchors_of(kind, width, gram, True), "gram bigint, context bigint, doc bigint")
+    place = ["gram", "context", "check"]
+    found = docs.mapInArrow(anchors_of(kind, width, gram, True), "gram bigint, context bigint, check bigint, doc bigint")
     # One row for each gram: the smaller side by far, a hash table of which needs no sort.
     found = scratch.write(found.join(grams.hint("shuffle_hash"), "gram"), "found")
     scratch.drop("grams")
-    owners = scratch.write(found.groupBy("gram", "context").agg(F.min("doc").alias("owner")), "owners")
-    covered = found.join(owners, ["gram", "context"]).where("doc > owner").select("doc", "context", F.lit(-1).cast("bigint").alias("mask"))
+    owners = scratch.write(found.groupBy(*place).agg(F.min("doc").alias("owner")), "owners")
+    covered = found.join(owners, place).where("doc > owner").select("doc", "context", F.lit(-1).cast("bigint").alias("mask"))
     covered = scratch.write(covered, "covered")
     scratch.drop("found")
     several = scratch.write(owners.groupBy("gram").agg(F.min("context").alias("low"), F.max("context").alias("high"), F.count("*").alias("n")).where("low < high").select("gram", "n"), "several")
@@ -210,7 +209,7 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, kind: str, width: int, g
 
 def removed_tokens(tokens: np.ndarray, bounds: np.ndarray, marks: list[tuple[np.ndarray, np.ndarray]], width: int, gram: int) -> np.ndarray:
     """Which tokens of a block of documents lie in a repeated window. marks: per document."""
-    step = np.zeros(len(tokens) + 1, np.int32)
+    step = np.zeros(tokens.shape[1] + 1, np.int32)
     r = Runs(tokens, bounds, width, gram)
     mask = np.zeros(len(r.doc), np.int64)
     cuts = np.searchsorted(r.doc, np.arange(len(bounds)))

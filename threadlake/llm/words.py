@@ -35,15 +35,15 @@ def word_spans(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, ends, np.searchsorted(starts, bounds)
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = SEED) -> np.ndarray:
     padded = np.concatenate([buf, np.zeros(8, np.uint8)])
     eight = np.ndarray(len(buf) + 1, "<u8", padded.data, strides=(1,))  # the eight bytes from each place on
     size = ends - starts
-    h = mix(U(SEED) + size.astype(U))
+    h = mix(U(seed) + size.astype(U))
     own, at, left = np.arange(len(starts)), starts, size
     if len(size) and int(size.max()) > LONG:
         for i in np.flatnonzero(size > LONG).tolist():
-            h[i] = xxhash.xxh64_intdigest(buf[starts[i]:ends[i]].tobytes(), SEED)
+            h[i] = xxhash.xxh64_intdigest(buf[starts[i]:ends[i]].tobytes(), seed)
         own = np.flatnonzero(size <= LONG)
         at, left = at[own], left[own]
     while len(own):
