@@ -30,9 +30,11 @@ from __future__ import annotations
 import hashlib
 import re
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from threadlake.llm.common import Scratch, with_results
 
@@ -146,17 +148,21 @@ def redacted(docs: DataFrame, *, text_col: str = "text", **options) -> DataFrame
     one); rows without spans are as they were."""
     columns = docs.columns
     out = scanned(docs, text_col=text_col, **options)
-    start = F.struct(F.lit("").alias("text"), F.lit(0).cast("bigint").alias("at"))
+    has = F.size("spans") > 0
+    text = F.when(has, _masked(F.when(has, F.col(text_col)), F.when(has, F.col("spans")))).otherwise(F.col(text_col))
+    return out.withColumn(text_col, text).select(*(F.col(f"`{c}`") for c in columns if c.lower() not in ("base", "spans", "base_sha256")))
 
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substring(F.col(text_col), (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int"))
-        fresh = x["start"] >= acc["at"]
-        first = fresh & ((x["start"] > acc["at"]) | (acc["text"] == ""))
-        text = F.when(first, F.concat(acc["text"], gap, F.lit(REDACTED))).otherwise(acc["text"])
-        return F.struct(text.alias("text"), F.greatest(acc["at"], x["end"]).alias("at"))
 
-    def finish(acc: Column) -> Column:
-        return F.concat(acc["text"], F.substring(F.col(text_col), (acc["at"] + 1).cast("int"), F.length(text_col)))
+def masked(text: str, spans) -> str:
+    """``spans`` (start, end), in order of start. One pass over the text."""
+    out, at, covered = [], 0, -1
+    for start, end in spans:
+        if start > covered:  # neither touching nor overlapping what is masked
+            out += [text[at:start], REDACTED]
+        at = covered = max(covered, end)
+    return "".join([*out, text[at:]])
 
-    text = F.when(F.size("spans") > 0, F.aggregate("spans", start, step, finish)).otherwise(F.col(text_col))
-    return out.withColumn(text_col, text).select(*(F.col(f"`{c}`") for c in columns if c.lower() not in ("base", "spans", "base_sha256")))
+
+@F.pandas_udf(StringType())
+def _masked(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else masked(t, [(x["start"], x["end"]) for x in own]) for t, own in zip(texts, spans)], dtype=object)

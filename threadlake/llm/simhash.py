@@ -36,6 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from threadlake.llm.common import Scratch, ship, with_results
 from threadlake.llm.components import components
@@ -150,7 +151,8 @@ def links(prints: DataFrame, scratch: Scratch, max_distance: int = 2) -> DataFra
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_distance: int = 2) -> DataFrame:
-    """(id, fp, component_id) for each row of ``docs``."""
+    """(id, fp, component_id, label) for each row of ``docs``. ``label`` tells components apart that
+    have the same smallest id (where ids repeat)."""
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.write(fingerprints(docs, id_col, text_col, shingle), "rows")
     prints = scratch.write(rows.groupBy("fp").agg(F.min("doc").alias("lowest")), "prints")
@@ -158,9 +160,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     label = scratch.write(components(pairs, scratch), "label").withColumnRenamed("node", "fp")
     members = scratch.write(prints.join(label, "fp"), "members")
     lowest = members.groupBy("label").agg(F.min("lowest").alias("component"))
-    named = members.select("fp", "label").join(lowest, "label").select("fp", "component")
-    named = scratch.write(prints.join(named, "fp", "left").select("fp", F.when(F.col("component").isNotNull(), F.col("component")).otherwise(F.col("lowest")).alias("component_id")), "named")
-    return rows.join(named, "fp").select(F.col("doc").alias(id_col), "fp", "component_id")
+    named = members.select("fp", "label").join(lowest, "label").select("fp", "label", "component")
+    component = F.when(F.col("component").isNotNull(), F.col("component")).otherwise(F.col("lowest"))
+    named = scratch.write(prints.join(named, "fp", "left").select("fp", component.alias("component_id"), F.coalesce("label", "fp").alias("label")), "named")
+    return rows.join(named, "fp").select(F.col("doc").alias(id_col), "fp", "component_id", "label")
 
 
 def with_components(docs: DataFrame, **options) -> DataFrame:
@@ -171,30 +174,34 @@ def with_components(docs: DataFrame, **options) -> DataFrame:
 
 
 def keep_one_each(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the row with the smallest id (one row,
-    if that id is repeated). Rows with a null id stay where no row of their component has an id,
-    as no order tells them apart."""
-    named = near_duplicates(docs, id_col=id_col, **options)
-    first = named.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_first")).distinct()
-    kept = docs.join(first, docs[id_col].cast("bigint") == F.col("_first"), "left_semi").dropDuplicates([id_col])
-    nameless = named.where(F.col(id_col).isNull() & F.col("component_id").isNull()).select("fp").distinct()
-    alone = fingerprints_of_nameless(docs, id_col, nameless, options)
-    return kept if alone is None else kept.unionByName(alone)
-
-
-def fingerprints_of_nameless(docs: DataFrame, id_col: str, nameless: DataFrame, options: dict) -> DataFrame | None:
-    """Rows with null ids whose component has no id; None where there are no rows with null ids."""
-    null = docs.where(F.col(id_col).isNull())
-    if not null.limit(1).count() or not nameless.limit(1).count():
-        return None
-    text_col, shingle = options.get("text_col", "text"), options.get("shingle", 3)
-
+    """The rows of ``docs`` that stay: of each component one row with the smallest id (where that
+    id is on several of its rows, one with the smallest fingerprint). A row stays for its own
+    component only, whatever other rows share its id. Rows with a null id stay where no row of
+    their component has an id, as no order tells them apart."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "one-each")
+    named = scratch.write(near_duplicates(docs, id_col=id_col, **options).withColumnRenamed(id_col, "__id"), "named")
+    first = named.where(F.col("__id") == F.col("component_id")).groupBy("__id", "label").agg(F.min("fp").alias("__fp")).select("__id", "__fp")
+    many = scratch.write(named.where("__id is not null").groupBy("__id").count().where("count > 1").select("__id"), "many")
+    own = docs[id_col].cast("bigint")
+    kept = docs.join(first.join(many, "__id", "left_anti").select("__id").distinct(), own == F.col("__id"), "left_semi")
+    if many.limit(1).count():  # which of the rows with one id it is, their fingerprints tell
+        several = with_fingerprint(docs.join(many, own == F.col("__id"), "left_semi"), **options)
+        several = several.withColumn("__id", F.col(id_col).cast("bigint")).join(first, ["__id", "__fp"], "left_semi")
+        kept = kept.unionByName(several.dropDuplicates(["__id", "__fp"]).drop("__id", "__fp"))
+    nameless = named.where("__id is null and component_id is null").select(F.col("fp").alias("__fp")).distinct()
+    if nameless.limit(1).count():
+        null = with_fingerprint(docs.where(F.col(id_col).isNull()), **options)
+        kept = kept.unionByName(null.join(nameless, "__fp", "left_semi").drop("__fp"))
+    return kept
+
+
+def with_fingerprint(docs: DataFrame, *, text_col: str = "text", shingle: int = 3, max_distance: int = 2) -> DataFrame:
+    """The input rows with their fingerprint as ``__fp``."""
     def add(batches):
         for batch in batches:
             fp = np.array([fingerprint_of((t or "").encode(), shingle) for t in batch.column(text_col).to_pylist()], np.uint64)
-            yield pa.record_batch([*batch.columns, pa.array(fp.view(np.int64))], [*batch.schema.names, "_fp"])
-
-    from pyspark.sql.types import LongType, StructType
+            yield pa.record_batch([*batch.columns, pa.array(fp.view(np.int64))], [*batch.schema.names, "__fp"])
 
-    schema = StructType([*null.schema.fields]).add("_fp", LongType())
-    return null.mapInArrow(add, schema).join(nameless.withColumnRenamed("fp", "_fp"), "_fp", "left_semi").drop("_fp")
+    schema = StructType([*docs.schema.fields]).add("__fp", LongType())
+    return docs.mapInArrow(add, schema)

@@ -49,9 +49,13 @@ class Rollup:
         paths = [f"{self.path}/{kind}/{b}" for b in self._committed()]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def state(self) -> DataFrame:
-        """One row for each document and tokenizer version that is there."""
-        own = self._read("log", LOG).where("doc_id is not null").groupBy("doc_id", *KEYS)
+    def state(self, of: DataFrame | None = None) -> DataFrame:
+        """One row for each document and tokenizer version that is there (``of``: of those only,
+        picked from the log before it is grouped)."""
+        log = self._read("log", LOG).where("doc_id is not null")
+        if of is not None:
+            log = log.join(of.select("doc_id", "tokenizer"), ["doc_id", "tokenizer"], "left_semi")
+        own = log.groupBy("doc_id", *KEYS)
         return own.agg(F.sum("sign").alias("live"), F.sum(F.col("sign") * F.col("n_tokens")).alias("n_tokens")).where("live > 0").drop("live")
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
@@ -63,7 +67,7 @@ class Rollup:
         change = self.spark.read.schema(CHANGE).parquet(f"{self.path}/change/{batch}")
         latest = change.where("doc_id is not null").groupBy("doc_id", "tokenizer").agg(F.max(F.struct("seq", "op", "source", "lang", "n_tokens")).alias("new"))
         latest = latest.select("doc_id", "tokenizer", "new.op", "new.source", "new.lang", "new.n_tokens")
-        old = self.state().join(latest.select("doc_id", "tokenizer"), ["doc_id", "tokenizer"], "left_semi")
+        old = self.state(latest)
         added = latest.where("op <> 'delete'").unionByName(change.where("doc_id is null and op <> 'delete'").drop("seq"))
         columns = ["doc_id", "tokenizer", "source", "lang", "sign", "n_tokens"]
         signed = added.withColumn("sign", F.lit(1)).select(columns).unionByName(old.withColumn("sign", F.lit(-1)).select(columns))
