@@ -13,7 +13,7 @@ from tools.check_oracle import TABLES, rows_of
 QUERIES = {k: v for k, v in E.queries().items() if k in load_all()}
 ORACLE = E.oracle_sql()
 # The media-scan oracle reads the sf0.01 folder itself (the driver's check scale).
-SF_FIXED = {"scan_media": "/root/testdata/sf0.01"}
+SF_FIXED = dict.fromkeys(("scan_media", "scan_again"), "/root/testdata/sf0.01")
 
 
 @pytest.fixture(scope="module")

@@ -1,7 +1,7 @@
 """Column -> Column helpers (all Catalyst built-ins, so they stay inside codegen)."""
 
 from threadlake.functions.digests import b64_to_hex, hex_to_b64, md5_b64, digest_equal
-from threadlake.functions.sizes import size_bucket, size_text_mb, half_even_div, format_size_text
+from threadlake.functions.sizes import size_bucket, size_text_mb, size_text_reject, half_even_div, format_size_text
 from threadlake.functions.text import (
     html_text, py_strip, sanitize_name, strip_ext, basename, dirname, split_name_ext, normalize_rel_path,
     split_lines, indent_line, rule_line, no_message, artist_names, file_text_parts, report_date,
@@ -13,7 +13,7 @@ from threadlake.functions.urls import (
 
 __all__ = [
     "b64_to_hex", "hex_to_b64", "md5_b64", "digest_equal",
-    "size_bucket", "size_text_mb", "half_even_div", "format_size_text",
+    "size_bucket", "size_text_mb", "size_text_reject", "half_even_div", "format_size_text",
     "html_text", "py_strip", "sanitize_name", "strip_ext", "basename", "dirname", "split_name_ext",
     "normalize_rel_path", "split_lines", "indent_line", "rule_line", "no_message", "artist_names",
     "file_text_parts", "report_date",

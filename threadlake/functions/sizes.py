@@ -40,19 +40,29 @@ def size_bucket(size_bytes: Column) -> Column:
 def size_text_mb(size_text: Column) -> Column:
     """Site size text -> MB bucket.
 
-    ``"<int> KB"`` -> round(int / 1024, 2); fractional KB is accepted too (thousandths).
-    ``"<x> MB"`` -> x, when it has at most two decimals (more could never equal a bucket).
-    Any other unit (``"500 B"``) or shape -> NULL.
+    ``"<x> KB"`` -> round(x / 1024, 2), with any number of decimals: those beyond thousandths only
+    decide what would else be a tie. ``"<x> MB"`` -> x; with decimals that are not zero beyond the
+    second it equals no bucket: NULL. Any other unit (``"500 B"``) or shape -> NULL. Texts that
+    have no bucket are rejects (``size_text_reject``).
     """
-    parts = F.regexp_extract(size_text, r"^([0-9]+(?:\.[0-9]{1,3})?) (KB|MB)$", 0)
-    amount = F.regexp_extract(size_text, r"^([0-9]+(?:\.[0-9]{1,3})?) (KB|MB)$", 1)
-    unit = F.regexp_extract(size_text, r"^([0-9]+(?:\.[0-9]{1,3})?) (KB|MB)$", 2)
-    milli_kb = (amount.cast(DecimalType(20, 3)) * 1000).cast("bigint")
-    kb = _cents_to_mb(half_even_div(milli_kb * 100, KB_PER_MB * 1000))
-    mb = F.when(amount.rlike(r"^[0-9]+(\.[0-9]{1,2})?$"), amount.cast(SIZE_TYPE))
-    return (F.when(parts == "", F.lit(None).cast(SIZE_TYPE))
-            .when(unit == "KB", kb)
-            .otherwise(mb))
+    shape = r"^([0-9]{1,10})(?:\.([0-9]+))? (KB|MB)$"
+    whole, decimals, unit = (F.regexp_extract(size_text, shape, i) for i in (1, 2, 3))
+    thousandths = F.rpad(F.substring(decimals, 1, 3), 3, "0")
+    rest = F.regexp_replace(F.substring(decimals, F.lit(4), F.length(decimals)), "0+$", "")
+    num = (whole.try_cast("bigint") * 1000 + thousandths.try_cast("bigint")) * 100
+    den = KB_PER_MB * 1000
+    tie_up = (rest != "") & (F.pmod(num, F.lit(den)) * 2 == den)
+    kb = _cents_to_mb(F.when(tie_up, ((num - F.pmod(num, F.lit(den))) / F.lit(den)).cast("bigint") + 1).otherwise(half_even_div(num, den)))
+    mb = F.when(F.rtrim(decimals, F.lit("0")).rlike("^[0-9]{0,2}$"), F.concat(whole, F.lit("."), F.substring(thousandths, 1, 2)).try_cast(SIZE_TYPE))
+    return F.when(unit == "KB", kb).when(unit == "MB", mb).otherwise(F.lit(None).cast(SIZE_TYPE))
+
+
+def size_text_reject(size_text: Column) -> Column:
+    """Why a size text has no bucket: ``no_size``, ``unknown_unit``, ``odd_size``; NULL if it has one."""
+    return (F.when(size_text_mb(size_text).isNotNull(), F.lit(None).cast("string"))
+            .when(size_text.isNull() | (F.trim(size_text) == ""), F.lit("no_size"))
+            .when(size_text.rlike(r"^[0-9]+(\.[0-9]+)? [A-Za-z]+$") & ~size_text.rlike(" (KB|MB)$"), F.lit("unknown_unit"))
+            .otherwise(F.lit("odd_size")))
 
 
 def format_size_text(size_bytes: Column) -> Column:

@@ -94,14 +94,27 @@ def integrity_report(failed: DataFrame, key: str = "thread_nr", item: str = "fil
     return head.unionByName(body)
 
 
+def write_failures(lines: DataFrame, out_dir: str) -> None:
+    """The text of each thread's failure report under ``thread=<key>/``.
+
+    ``lines``: the rows of ``integrity_report``. They are range-partitioned and sorted by (thread,
+    line), so the part files of a thread, read in name order, hold its lines in order; a thread
+    with very many failures has several."""
+    key = lines.columns[0]
+    (lines.repartitionByRange(key, "line_key").sortWithinPartitions(key, "line_key")
+     .select(F.col("line").alias("value"), F.col(key).cast("string").alias("thread"))
+     .write.mode("overwrite").partitionBy("thread").text(out_dir))
+
+
 def verify_stored(spark, root: str, declared: DataFrame, exts=None) -> DataFrame:
-    """J6 over files on disk: scan ``root`` (content digests computed in the scan tasks)
-    and compare with ``declared(path, declared_b64)``; paths are relative to ``root``.
+    """J6 over files on disk: list ``root`` (hidden names included), digest the files in the tasks,
+    whatever their size, and compare with ``declared(path, declared_b64)``; paths are relative to ``root``.
     Declared files missing on disk come out with ``md5_match = NULL``."""
     from threadlake.functions.urls import VALID_FILE_EXT
-    from threadlake.sources.media import scan_media
+    from threadlake.sources.media import list_media, scan_media
 
-    scan = scan_media(spark, root, exts or VALID_FILE_EXT).select(
+    exts = exts or VALID_FILE_EXT
+    scan = scan_media(spark, root, exts, listing=list_media(spark, root)).select(
         "path", b64_to_hex(F.col("md5_b64")).alias("actual_hex"))
     return (declared.join(scan, "path", "left")
             .withColumn("md5_match", F.when(F.col("actual_hex").isNotNull(),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from threadlake.functions import no_message
 from threadlake.operators.graph import order_text, reply_tree, tree_lines
+from threadlake.session import cut_lineage
 
 # The report's text layout.
 HEADER = 'Thread No. %s: "%s", UTC_%s\n\tSaved to: %s\nOP: "%s"\n'
@@ -29,24 +30,24 @@ def thread_report(threads: DataFrame, fetched: DataFrame, posts: DataFrame, link
     ``fetched``: successfully fetched files: thread_nr, post_nr, pos, dl_filename, file_ext,
     file_size, file_res, file_md5_b64, file_name_orig (in document order by ``pos``).
     """
-    t = threads.select("thread_nr", "folder_name", "subject", "utc", "op_post_msg")
+    # One row per thread, read by the header and by the file rows: written once.
+    t = cut_lineage(threads.select("thread_nr", "folder_name", "subject", "utc", "op_post_msg"))
     header = t.select("thread_nr", "folder_name", F.lit("0").alias("key"),
                       F.format_string(HEADER, "thread_nr", "subject", "utc", "folder_name", "op_post_msg").alias("line"))
+    # A file row carries its thread's folder, its sort key and its message; its lines are exploded
+    # from it. The tree's walk carries folder and key along, so its lines need no join back.
     fk = F.concat(F.lit("1"), order_text(F.col("pos")))
-    f = fetched.join(t.select("thread_nr", "folder_name"), "thread_nr")
-    meta = f.select("thread_nr", "folder_name", F.concat(fk, F.lit("a")).alias("key"),
-                    F.format_string(FILE_BLOCK, "dl_filename", "file_ext", "file_size", "file_res", "file_md5_b64",
-                                    "file_name_orig").alias("line"))
+    f = cut_lineage(fetched.join(t.select("thread_nr", "folder_name"), "thread_nr").withColumn("fk", fk))
     msgs = posts.select("thread_nr", "post_nr", "post_msg")
-    own = f.join(msgs, ["thread_nr", "post_nr"]).select(
-        "thread_nr", "folder_name", F.concat(fk, F.lit("b")).alias("key"), no_message(F.col("post_msg")).alias("line"))
-    end = f.select("thread_nr", "folder_name", F.concat(fk, F.lit("z")).alias("key"), F.lit(BLOCK_END).alias("line"))
-    roots = f.select("thread_nr", "post_nr", "pos", "folder_name")
-    tree = reply_tree(posts, links, files, roots.select("thread_nr", "post_nr"), max_level)
-    tl = (tree_lines(tree, posts)
-          .join(roots.withColumnRenamed("post_nr", "root_nr"), ["thread_nr", "root_nr"])
-          .select("thread_nr", "folder_name", F.concat(fk, F.lit("c"), F.col("key")).alias("key"), "line"))
-    return header.unionByName(meta).unionByName(own).unionByName(tl).unionByName(end)
+    own = f.join(msgs, ["thread_nr", "post_nr"], "left")
+    meta = F.format_string(FILE_BLOCK, "dl_filename", "file_ext", "file_size", "file_res", "file_md5_b64", "file_name_orig")
+    line = lambda part, text: F.struct(F.concat("fk", F.lit(part)).alias("key"), text.alias("line"))
+    message = F.when(F.col("post_msg").isNotNull(), line("b", no_message(F.col("post_msg"))))
+    lines = F.array_compact(F.array(line("a", meta), message, line("z", F.lit(BLOCK_END))))
+    block = own.select("thread_nr", "folder_name", F.explode(lines).alias("l")).select("thread_nr", "folder_name", "l.key", "l.line")
+    tree = reply_tree(posts, links, files, f.select("thread_nr", "post_nr", "folder_name", "fk"), max_level, carry=("folder_name", "fk"))
+    tl = tree_lines(tree, posts, carry=("folder_name", "fk")).select("thread_nr", "folder_name", F.concat("fk", F.lit("c"), F.col("key")).alias("key"), "line")
+    return header.unionByName(block).unionByName(tl)
 
 
 def write_reports(lines: DataFrame, out_dir: str, run_date: str, n_ranges: int | None = None) -> None:

@@ -56,9 +56,33 @@ def q_complete_dirs(spark, sf):
 @register("scan_media")
 def q_scan_media(spark, sf):
     """S2 over the input folder itself: its parquet files are the media."""
-    from threadlake.sources.media import scan_media
+    from threadlake.sources.media import list_media, scan_media
 
-    return scan_media(spark, sf, exts=("parquet",))
+    return scan_media(spark, sf, exts=("parquet",), listing=list_media(spark, sf))
+
+
+@register("scan_again")
+def q_scan_again(spark, sf):
+    """S2 over a folder that was scanned before: digests of unchanged files come from that scan."""
+    from threadlake.sources.materialize import materialize
+    from threadlake.sources.media import SCAN_DDL, scan_changes
+
+    none = spark.createDataFrame([], SCAN_DDL)
+    before = materialize(spark, lambda: scan_changes(spark, sf, none, exts=("parquet",))[0], "scan", f"{b.code_tag()}|{sf}")
+    return scan_changes(spark, sf, before, exts=("parquet",))[0].drop("modified")
+
+
+@register("index_nested")
+def q_index_nested(spark, sf):
+    """The index written in the archive's nested layout and read back from its lines."""
+    import uuid
+
+    from threadlake.sources.index_store import load_index_nested, save_index_nested
+    from threadlake.sources.materialize import table_path
+
+    path = table_path(spark, f"index-nested-{uuid.uuid4().hex}", sf)
+    save_index_nested(_index(spark, sf), path)
+    return load_index_nested(spark, path)
 
 
 @register("index_roundtrip")

@@ -47,6 +47,18 @@ def q_integrity_report(spark, sf):
     return ig.integrity_report(failed)
 
 
+@register("failure_text")
+def q_failure_text(spark, sf):
+    """The failure reports written as text, one folder per thread, and read back."""
+    import uuid
+
+    from threadlake.sources.materialize import table_path
+
+    path = table_path(spark, f"failures-{uuid.uuid4().hex}", sf)
+    ig.write_failures(q_integrity_report(spark, sf), path)
+    return spark.read.schema("value STRING, thread STRING").text(path).select("thread", F.col("value").alias("line"))
+
+
 def _declared(spark, sf):
     from threadlake.sources.tables import read_table
 

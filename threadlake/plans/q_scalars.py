@@ -37,6 +37,13 @@ def q_size_text(spark, sf):
     return _size_texts(spark, sf).withColumn("size_mb", tf.size_text_mb(F.col("size_text")))
 
 
+@register("size_rejects")
+def q_size_rejects(spark, sf):
+    """Size texts that have no bucket, and why."""
+    return (_size_texts(spark, sf).withColumn("reason", tf.size_text_reject(F.col("size_text")))
+            .where(F.col("reason").isNotNull()))
+
+
 @register("digest_convert")
 def q_digest_convert(spark, sf):
     m = b.media(spark, sf)

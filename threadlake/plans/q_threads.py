@@ -137,6 +137,19 @@ def q_thread_report(spark, sf):
     return rp.thread_report(t, fetched, p, links, f, max_level=3)
 
 
+@register("report_text")
+def q_report_text(spark, sf):
+    """The reports appended as text below folder and date, and read back."""
+    import uuid
+
+    from threadlake.sources.materialize import table_path
+
+    path = table_path(spark, f"reports-{uuid.uuid4().hex}", sf)
+    rp.write_reports(q_thread_report(spark, sf), path, "2024-01-01")
+    back = spark.read.schema("value STRING, folder STRING, run_date STRING").text(path)
+    return back.select("folder", F.col("value").alias("line"))
+
+
 @register("file_rejects")
 def q_file_rejects(spark, sf):
     """Live file blocks that do not parse (the tool crashes on them)."""

@@ -60,6 +60,13 @@ SELECT DISTINCT thread_nr, '0' AS line_key, 'Failed MD5s of Thread No. ' || thre
 UNION ALL
 SELECT thread_nr, '1' || file_key, file_key FROM f""", "v_resolved")
 
+query("failure_text", """
+WITH f AS (SELECT CAST(CAST(file_key AS BIGINT) % 97 AS VARCHAR) AS thread_nr, file_key
+           FROM v_resolved WHERE dl_success AND NOT md5_match)
+SELECT DISTINCT thread_nr AS thread, 'Failed MD5s of Thread No. ' || thread_nr || ':' AS line FROM f
+UNION ALL
+SELECT thread_nr, file_key FROM f""", "v_resolved")
+
 query("integrity", """
 SELECT m.doc_id, m.path,
        CASE WHEN m.doc_id % 7 = 0 THEN to_base64(unhex(md5(d.text || '#'))) ELSE m.md5_b64 END AS declared_b64,

@@ -16,12 +16,12 @@ def size_text_sql(b: str) -> str:
 
 
 def size_text_mb_sql(t: str) -> str:
-    pat = "'^([0-9]+(?:\\.[0-9]{1,3})?) (KB|MB)$'"
+    pat = "'^([0-9]+(?:\\.[0-9]+)?) (KB|MB)$'"
     amount = f"regexp_extract({t}, {pat}, 1)"
     unit = f"regexp_extract({t}, {pat}, 2)"
     milli = f"CAST(CAST({amount} AS DECIMAL(20,3)) * 1000 AS BIGINT)"
     kb = f"CAST({half_even_div(f'{milli} * 100', 1024000)} / 100.0 AS DECIMAL(12,2))"
-    mb = f"CASE WHEN regexp_matches({amount}, '^[0-9]+(\\.[0-9]{{1,2}})?$') THEN CAST({amount} AS DECIMAL(12,2)) END"
+    mb = f"CASE WHEN regexp_matches({amount}, '^[0-9]+(\\.[0-9]{{1,2}}0*)?$') THEN CAST({amount} AS DECIMAL(12,2)) END"
     return (f"CASE WHEN NOT regexp_matches({t}, {pat}) THEN NULL "
             f"WHEN {unit} = 'KB' THEN {kb} ELSE {mb} END")
 
@@ -60,6 +60,16 @@ FROM (SELECT doc_id, CASE doc_id % 4
         ELSE CAST(size_bytes // 1048576 AS VARCHAR) || '.' || lpad(CAST((size_bytes * 1000 // 1048576) % 1000 AS VARCHAR), 3, '0') || ' MB'
       END AS size_text FROM v_media) t""", "v_media")
 
+query("size_rejects", f"""
+SELECT doc_id, size_text, CASE WHEN size_text LIKE '% B' THEN 'unknown_unit' ELSE 'odd_size' END AS reason
+FROM (SELECT doc_id, CASE doc_id % 4
+        WHEN 0 THEN {size_text_sql('size_bytes')}
+        WHEN 1 THEN CAST(size_bytes // 1024 AS VARCHAR) || '.' || CAST((size_bytes * 10 // 1024) % 10 AS VARCHAR) || ' KB'
+        WHEN 2 THEN CAST(size_bytes AS VARCHAR) || ' B'
+        ELSE CAST(size_bytes // 1048576 AS VARCHAR) || '.' || lpad(CAST((size_bytes * 1000 // 1048576) % 1000 AS VARCHAR), 3, '0') || ' MB'
+      END AS size_text FROM v_media) t
+WHERE size_text LIKE '% B' OR (size_text LIKE '% MB' AND NOT regexp_matches(size_text, '^[0-9]+\\.[0-9][0-9](0*) MB$'))""", "v_media")
+
 query("digest_convert", """
 SELECT doc_id, md5_hex, md5_b64, lower(hex(from_base64(md5_b64))) AS hex_from_b64,
        substr(md5_b64, 1, 21) || 'f==' AS loose_b64,

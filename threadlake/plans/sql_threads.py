@@ -148,7 +148,7 @@ SELECT thread_nr, root_nr, '1' || pseg || '/' || seg || '#' || lpad(CAST(length(
        '> ' || repeat(' ', 10) || ls[i]
 FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM l2) z""", "v_files", "v_links", "v_posts")
 
-query("thread_report", f"""
+REPORT = f"""
 WITH f AS (SELECT v.*, t.folder_name FROM v_files v JOIN v_threads t ON t.thread_nr = v.thread_nr),
 fk AS (SELECT *, '1' || lpad(CAST(length(CAST(pos AS VARCHAR)) AS VARCHAR), 2, '0') || CAST(pos AS VARCHAR) AS k FROM f),
 tl AS (
@@ -179,7 +179,9 @@ UNION ALL
 SELECT fk.thread_nr, fk.folder_name, fk.k || 'c' || tlines.key, tlines.line
 FROM tlines JOIN fk ON fk.thread_nr = tlines.thread_nr AND fk.post_nr = tlines.root_nr
 UNION ALL
-SELECT thread_nr, folder_name, k || 'z', {NL} FROM fk""", "v_files", "v_threads", "v_tree", "v_posts")
+SELECT thread_nr, folder_name, k || 'z', {NL} FROM fk"""
+query("thread_report", REPORT, "v_files", "v_threads", "v_tree", "v_posts")
+query("report_text", f"SELECT folder_name AS folder, unnest(string_split(line, chr(10))) AS line FROM ({REPORT}) r", "v_files", "v_threads", "v_tree", "v_posts")
 
 query("file_rejects", """
 SELECT thread_nr, post_nr, 'file_line_unparsed' AS reason FROM v_post_files

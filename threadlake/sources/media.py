@@ -58,32 +58,61 @@ def oversize_media(spark: SparkSession, root: str, exts: Sequence[str] = VALID_F
         rel.alias("path"), F.col("length").alias("size_bytes"), F.lit("too_large").alias("reason"))
 
 
+LISTED_AT_ONCE = 10_000  # entries of a directory that a task holds at once
+
+
+def _entries(store, base: str, path: str):
+    """Entries (name, is_dir, size, modified in nanoseconds) of a directory. A link to a directory is
+    none: what it leads to is listed where it lies, or lies outside the tree (and a loop would never
+    end). A link to a file is a file."""
+    import os
+
+    from pyarrow import fs
+
+    where = f"{base}/{path}" if path else base
+    if isinstance(store, fs.LocalFileSystem):
+        with os.scandir(where) as found:
+            for e in found:
+                if e.is_dir(follow_symlinks=False):
+                    yield e.name, True, 0, 0
+                elif e.is_file():
+                    info = e.stat()
+                    yield e.name, False, info.st_size, info.st_mtime_ns
+        return
+    for e in store.get_file_info(fs.FileSelector(where)):
+        if e.type in (fs.FileType.Directory, fs.FileType.File):
+            yield e.base_name, e.type == fs.FileType.Directory, e.size or 0, e.mtime_ns or 0
+
+
 def list_media(spark: SparkSession, root: str, exclude: Sequence[str] = DIR_SUBSTR_EXCLUDE) -> DataFrame:
-    """``(path, size_bytes)`` of every file below ``root``, hidden names included.
+    """``(path, size_bytes, modified)`` of every file below ``root``, hidden names included;
+    ``modified`` in nanoseconds since 1970.
 
     One step per directory level: the directories of a level are spread over tasks, which
-    list them; pruned directories are not entered. Each level is a written table, and the
-    driver only asks whether another level exists.
+    list them in pieces; pruned directories are not entered, links to directories not followed.
+    Each level is a written table, and the driver only asks whether another level exists.
     """
     uri, n = root_uri(spark, root), int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def entries(batches):
+        from itertools import islice
+
         import pandas as pd
         from pyarrow import fs
 
         store, base = fs.FileSystem.from_uri(uri)
         for pdf in batches:
             for d in pdf["path"]:
-                found = store.get_file_info(fs.FileSelector(f"{base}/{d}" if d else base))
-                yield pd.DataFrame([(f"{d}/{e.base_name}" if d else e.base_name, e.type == fs.FileType.Directory, e.size or 0)
-                                    for e in found if e.type in (fs.FileType.Directory, fs.FileType.File)],
-                                   columns=["path", "is_dir", "size_bytes"])
+                found = _entries(store, base, d)
+                while part := list(islice(found, LISTED_AT_ONCE)):
+                    yield pd.DataFrame([(f"{d}/{name}" if d else name, *rest) for name, *rest in part],
+                                       columns=["path", "is_dir", "size_bytes", "modified"])
 
     level = spark.sql("SELECT '' AS path")
     files = None
     while True:
-        found = cut_lineage(level.mapInPandas(entries, "path STRING, is_dir BOOLEAN, size_bytes BIGINT"))
-        here = found.where(~F.col("is_dir")).select("path", "size_bytes")
+        found = cut_lineage(level.mapInPandas(entries, "path STRING, is_dir BOOLEAN, size_bytes BIGINT, modified BIGINT"))
+        here = found.where(~F.col("is_dir")).select("path", "size_bytes", "modified")
         files = here if files is None else files.unionByName(here)
         inner = F.concat("path", F.lit("/x"))
         dirs = found.where(F.col("is_dir") & ~pruned_dir(inner, exclude)).select("path")
@@ -92,6 +121,34 @@ def list_media(spark: SparkSession, root: str, exclude: Sequence[str] = DIR_SUBS
         level = dirs.repartition(n, "path")
 
 
+SCAN_DDL = "path STRING, ext STRING, size_bytes BIGINT, size_mb DECIMAL(12,2), md5_b64 STRING, modified BIGINT"
+
+
+def scan_changes(spark: SparkSession, root: str, before: DataFrame, exts: Sequence[str] = VALID_FILE_EXT,
+                 exclude: Sequence[str] = DIR_SUBSTR_EXCLUDE) -> tuple[DataFrame, DataFrame]:
+    """S2 again over a tree that was scanned before: ``(scan, changes)``.
+
+    ``before`` and ``scan`` have the columns of ``SCAN_DDL`` (an empty ``before``: a first scan).
+    A file whose path, size and modification time are those of the scan before keeps its digest;
+    only new and changed files are read. ``changes(path, change)`` says what became of a path: ``new``,
+    ``changed`` or ``gone``; paths without a row are as they were.
+    """
+    ext = F.regexp_extract("path", r"\.([^./]*)$", 1)
+    now = cut_lineage(list_media(spark, root, exclude).where(allowed_ext(ext, exts) & ~pruned_dir(F.col("path"), exclude)))
+    old = before.select("path", *[F.col(c).alias(f"_{c}") for c in ("ext", "size_bytes", "size_mb", "md5_b64", "modified")])
+    x = now.join(old, "path", "full")
+    same = (F.col("size_bytes") == F.col("_size_bytes")) & (F.col("modified") == F.col("_modified"))
+    change = (F.when(F.col("size_bytes").isNull(), F.lit("gone")).when(F.col("_size_bytes").isNull(), F.lit("new"))
+              .when(~F.coalesce(same, F.lit(False)), F.lit("changed")))
+    x = cut_lineage(x.withColumn("change", change))
+    kept = x.where(F.col("change").isNull()).select(
+        "path", *[F.col(f"_{c}").alias(c) for c in ("ext", "size_bytes", "size_mb", "md5_b64", "modified")])
+    todo = x.where(F.col("change").isin("new", "changed")).select("path", "size_bytes", "modified")
+    fresh = _digest_listing(spark, root, todo.select("path", "size_bytes"), exts, exclude)
+    scan = kept.unionByName(fresh.join(todo.select("path", "modified"), "path"))
+    return scan, x.where(F.col("change").isNotNull()).select("path", "change")
+
+
 def _digest_listing(spark: SparkSession, root: str, listing: DataFrame, exts: Sequence[str],
                     exclude: Sequence[str]) -> DataFrame:
     uri, n = root_uri(spark, root), int(spark.conf.get("spark.sql.shuffle.partitions"))
