@@ -14,8 +14,10 @@ entries are ranked by the exact inner product in double precision.
   other id of the group can be among a query's k nearest. So a vector that a third of all rows
   share is one entry, and one search answers all queries that share a vector.
 * Cells are dealt into parts of about ``BLOCK`` entries; a cell with more is split into blocks
-  over several parts. Queries go, with the cells they visit, to the parts, in chunks of about
-  ``BLOCK``; a task ranks one part for one chunk. No entry is left out.
+  over several parts. Queries are ordered by their nearest cell and cut into chunks of about
+  ``BLOCK``, so those of a chunk visit much the same cells. They go, with the cells they visit, to the
+  parts; a part goes to the chunks that visit one of its cells, and to no other. A task ranks one
+  part for one chunk. No entry is left out.
 * Only the codebooks and the cell counts (``MOST_CENTROIDS`` squared at most) reach the driver.
 
 Edge cases: vectors that are null, all zero or hold a null or non-finite component take no part,
@@ -42,7 +44,6 @@ ENTRIES_PER_CELL = 2.5  # at least, on average
 BLOCK = 4096  # entries of a part, queries of a chunk
 SHARE = 0.45
 LEAST = 1000  # entries that a query visits at least
-SPREAD = (2654435761, 40503)  # deal cells and blocks to parts
 
 
 def usable(v: Column) -> Column:
@@ -107,21 +108,47 @@ def _assign(books):
     return assign
 
 
-def _visit(books, counts, wanted, parts, chunks):
-    blocks = -(-counts // BLOCK)
+def deal(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """By cell its first part and its number of parts, and the number of all: neighbouring cells
+    share a part of about ``BLOCK`` entries, a larger cell has parts of its own."""
+    first, blocks = np.zeros(len(counts), np.int64), np.maximum(1, -(-counts // BLOCK))
+    part, held = 0, 0
+    for cell in np.flatnonzero(counts).tolist():
+        n = int(counts[cell])
+        if held and held + n > BLOCK:
+            part, held = part + 1, 0
+        first[cell], held = part, held + n
+        if blocks[cell] > 1:
+            part, held = part + int(blocks[cell]), 0
+    return first, blocks, part + 1
+
+
+def _nearest_cell(books):
+    half = len(books[0][0])
+
+    def find(frames):
+        for pdf in frames:
+            if len(pdf):
+                v = _matrix(pdf["vector"])
+                yield pdf.assign(first=(v[:, :half] @ books[0].T).argmax(axis=1) * len(books[1]) + (v[:, half:] @ books[1].T).argmax(axis=1))
+    return find
+
+
+def _visit(books, counts, wanted):
+    first, blocks, _ = deal(counts)
 
     def visit(frames):
         for pdf in frames:
             rows = []
-            for key, vector in zip(pdf["key"].tolist(), pdf["vector"].tolist()):
+            for key, vector, chunk in zip(pdf["key"].tolist(), pdf["vector"].tolist(), pdf["chunk"].tolist()):
                 cells = np.array(visited(np.array(vector, np.float64), books, counts, wanted), np.int64)
                 cell = np.repeat(cells, blocks[cells])
                 block = np.arange(len(cell)) - np.repeat(np.cumsum(blocks[cells]) - blocks[cells], blocks[cells])
-                part = (cell * SPREAD[0] + block * SPREAD[1]) % parts
+                part = first[cell] + block
                 order = np.argsort(part, kind="stable")
                 for p in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
                     if len(p):
-                        rows.append((key, vector, int(part[p[0]]), key % chunks, np.unique(cell[p]).tolist()))
+                        rows.append((key, vector, int(part[p[0]]), chunk, np.unique(cell[p]).tolist()))
             yield pd.DataFrame(rows, columns=["query", "asked", "part", "chunk", "cells"])
     return visit
 
@@ -174,15 +201,17 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vect
         counts[r["cell"]] = r["count"]
     askers = scratch.write(rows.where("asks").join(entries.select("vector", "key"), "vector").select("id", "key"), "askers")
     asked = scratch.write(entries.join(askers.select("key").distinct(), "key", "left_semi").select("key", "vector"), "asked")
-    parts, chunks = max(1, math.ceil(n / BLOCK)), max(1, math.ceil(asked.count() / BLOCK))
+    chunks = max(1, math.ceil(asked.count() / BLOCK))
+    asked = asked.mapInPandas(_nearest_cell(books), "key bigint, vector array<double>, first bigint").repartitionByRange(chunks, "first", "key")
+    asked = scratch.write(asked.select("key", "vector", F.spark_partition_id().cast("bigint").alias("chunk")), "chunks")
     wanted = max(LEAST, math.ceil(share * n))
-    visits = asked.mapInPandas(_visit(books, counts, wanted, parts, chunks), "query bigint, asked array<double>, part bigint, chunk bigint, cells array<bigint>")
-    blocks = F.ceil(F.col("n") / BLOCK)
-    split = entries.groupBy("cell").agg(F.count("*").alias("n"))
-    split = scratch.write(split.select("cell", blocks.alias("blocks")), "split")
-    block = F.pmod(F.xxhash64("key"), F.col("blocks"))
-    part = F.pmod(F.col("cell") * SPREAD[0] + block * SPREAD[1], F.lit(parts))
-    dealt = entries.join(split, "cell").select("cell", "vector", "ids", part.alias("part"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint"))).alias("chunk"))
+    visits = asked.mapInPandas(_visit(books, counts, wanted), "query bigint, asked array<double>, part bigint, chunk bigint, cells array<bigint>")
+    visits = scratch.write(visits, "visits")
+    meet = scratch.write(visits.select("part", "chunk").distinct(), "meet")
+    first, blocks, _ = deal(counts)
+    split = spark.createDataFrame([(c, int(first[c]), int(blocks[c])) for c in np.flatnonzero(counts).tolist()], "cell bigint, first bigint, blocks bigint")
+    part = F.col("first") + F.pmod(F.xxhash64("key"), F.col("blocks"))
+    dealt = entries.join(split, "cell").select("cell", "vector", "ids", part.alias("part")).join(meet, "part")
     ranked = dealt.groupBy("part", "chunk").cogroup(visits.groupBy("part", "chunk")).applyInPandas(_rank(k), "query bigint, score double, ids array<bigint>")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     top = ranked.select("query", "score", F.explode("ids").alias("id")).withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
