@@ -18,7 +18,7 @@ with the tree's n-grams, then sums by document. No task holds the tree.
 How it is spread: words are 64-bit hashes (``words``), an n-gram's key is made of those of its two
 shorter n-grams; texts are hashed once and written. N-grams are counted in the tasks, then in
 Spark; pairs of the most frequent words go by number. What occurs once is summed up as mass and
-not stored. Bounded things are sent to all tasks: bitmaps of 2**26 bits, which keep
+not stored. Bounded things are sent to all tasks: bitmaps of 2**27 bits, which keep
 n-grams that the tree cannot have from being shuffled (false hits are only extra rows), and the
 most frequent n-grams of a length with their numbers (``HOT`` at most), so a hot n-gram never
 meets one task. Everything else is joined, whatever its size. All
@@ -44,9 +44,10 @@ from threadlake.llm.words import U, mix, word_hashes, word_spans
 
 DEPTH, LEAST, DISCOUNT, MARGIN = 2, 16, 0.5, 0.005  # MARGIN: in log10
 HOT = 1 << 18
-SLOTS = 1 << 20  # 64-bit words of a bitmap
+SLOTS = 1 << 21  # 64-bit words of a bitmap
 BLOCK = 1 << 22  # bytes of text, or of hashed text, that are worked on together
 TOGETHER = 1 << 21  # n-grams that are counted together
+SHIFT = 32  # to a key's second place in a bitmap
 NUMBERS = 1 << 20  # over HOT
 END = U(0x27BB2EE687B0B0FD)
 LOWER = np.arange(256, dtype=np.uint8)
@@ -81,17 +82,23 @@ def _hashed(batches):
 
 
 class Bitmap:
-    """Which keys may be among some keys: those whose last 26 bits are."""
+    """Which keys may be among some keys: those whose two places (the last 27 bits of each half) are
+    set."""
 
     def __init__(self, keys: DataFrame):
-        slot, bit = F.expr(f"shiftright(key & {64 * SLOTS - 1}, 6)").alias("slot"), F.expr("shiftleft(1L, cast(key & 63 as int))")
-        found = keys.groupBy(slot).agg(F.bit_or(bit).alias("bits")).toArrow()
+        places = F.explode(F.array(F.col("key"), F.shiftrightunsigned("key", SHIFT))).alias("at")
+        slot, bit = F.expr(f"shiftright(at & {64 * SLOTS - 1}, 6)").alias("slot"), F.expr("shiftleft(1L, cast(at & 63 as int))")
+        found = keys.select(places).groupBy(slot).agg(F.bit_or(bit).alias("bits")).toArrow()
         self.bits = np.zeros(SLOTS, U)
         self.bits[found.column("slot").to_numpy()] = found.column("bits").to_numpy().view(U)
 
     def may_have(self, keys: np.ndarray) -> np.ndarray:
-        slot = ((keys & U(64 * SLOTS - 1)) >> U(6)).astype(np.int64)
-        return (self.bits[slot] >> (keys & U(63))) & U(1) == 1
+        out = self._set(keys)
+        out[out] = self._set(keys[out] >> U(SHIFT))
+        return out
+
+    def _set(self, at: np.ndarray) -> np.ndarray:
+        return (self.bits[((at & U(64 * SLOTS - 1)) >> U(6)).astype(np.int64)] >> (at & U(63))) & U(1) == 1
 
 
 def _grams(batch: pa.RecordBatch, length: int):
@@ -194,8 +201,8 @@ def most_frequent(rows: DataFrame, most: int) -> pa.Table:
 
 
 class Tree:
-    """Number of training tokens and, by length of n-gram, the written table (key, n, known, base,
-    v): what each occurrence of the n-gram adds to n_known, the base score and the score."""
+    """Number of training tokens and, by length of n-gram, the rows (key, n, known, base, v) of
+    written tables: what each occurrence of the n-gram adds to n_known, the base score and the score."""
 
     def __init__(self, tokens: DataFrame, scratch: Scratch, depth: int = DEPTH):
         train = tokens.where("not held_out").select("tokens")
@@ -223,11 +230,13 @@ class Tree:
             contexts = scratch.write(judged.where(F.col("n") >= LEAST).select("context", "low", "n").mapInArrow(_longer, "key bigint, n bigint"), f"contexts{length + 1}")
             scratch.drop(f"pairs{length}", f"judged{length}")
             shares = kept.select(F.col("context").alias("key"), F.col("total").alias("n"), F.lit(0).alias("known"), F.lit(0.0).alias("base"), F.log10("share").alias("v"))
+            # An n-gram that is both seen and a context has a row for each; their numbers add up.
             levels[-1] = levels[-1].unionByName(shares)
             levels.append(seen.select("key", "n", F.lit(0).alias("known"), F.lit(0.0).alias("base"), "v"))
             below = seen.select("key", "lp")
-        sums = [F.max("n").alias("n"), *(F.sum(c).alias(c) for c in ("known", "base", "v"))]
-        self.levels = [scratch.write(x.groupBy("key").agg(*sums), f"level{i + 1}") for i, x in enumerate(levels)]
+            scratch.drop(f"contexts{length}")
+        scratch.drop(f"contexts{depth + 1}")
+        self.levels = levels
 
     @staticmethod
     def _retained(judged: DataFrame, contexts: DataFrame) -> DataFrame:
@@ -270,9 +279,8 @@ def scored(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_co
     sums = []
     for length, level in enumerate(tree.levels, 1):
         top = most_frequent(level, HOT)
-        key = top.column("key").to_numpy().view(U)
-        order = np.argsort(key)
-        hot = {"key": key[order]} | {c: top.column(c).to_numpy().astype(float)[order] for c in ("known", "base", "v")}
+        key, place = np.unique(top.column("key").to_numpy().view(U), return_inverse=True)
+        hot = {"key": key} | {c: np.bincount(place, top.column(c).to_numpy().astype(float), len(key)) for c in ("known", "base", "v")}
         members = Bitmap(level) if length > 1 else None
         found = tokens.select("row", "tokens").mapInArrow(_positions(length, hot, members), "key bigint, row bigint, known double, base double, v double")
         values = level.select("key", *(F.col(c).alias(f"of_{c}") for c in ("known", "base", "v")))
