@@ -105,6 +105,34 @@ def test_sizes_with_any_decimals(spark):
     assert [reasons[t] for t in ("1 GB", "", None, "KB", "2.505 MB", "3 MB")] == ["unknown_unit", "no_size", "no_size", "odd_size", "odd_size", None]
 
 
+def test_quarantine_over_several_manifests(spark, tmp_path):
+    from threadlake.__main__ import gen_info, quarantine
+    from threadlake.sources.index_store import load_index
+
+    (tmp_path / "man").mkdir()
+    (tmp_path / "man" / "a.md5").write_text("aa *x/1.jpg\n# note\nbb *x/2.jpg\n")
+    (tmp_path / "man" / "b.md5").write_text("aa *x/1.jpg\naa *x/1.jpg\n")
+    spark.createDataFrame([("b.md5", "aa", "x/1.jpg", False, "cc"), ("a.md5", "bb", "x/2.jpg", True, "dd")],
+                          "file STRING, md5_hex STRING, path STRING, keep BOOLEAN, actual_md5_hex STRING").write.parquet(str(tmp_path / "dec"))
+
+    class Q:
+        manifest, decisions, out = str(tmp_path / "man"), str(tmp_path / "dec"), str(tmp_path / "q")
+    quarantine(spark, Q)
+    got = {}
+    for r in spark.read.text(f"{Q.out}/manifest").collect():
+        got.setdefault(r["manifest"], []).append(r["value"])
+    assert got == {"a.md5": ["aa *x/1.jpg", "# note", "dd *x/2.jpg"], "b.md5": ["aa *x/1.jpg"]}
+
+    class A:
+        root, index, scan = str(tmp_path / "m"), str(tmp_path / "idx"), str(tmp_path / "scan")
+    (tmp_path / "m").mkdir()
+    for names in (["1.jpg"], ["1.jpg", "2.gif"]):
+        for n in names:
+            (tmp_path / "m" / n).write_bytes(b"x")
+        gen_info(spark, A)
+        assert sorted(r.path for r in load_index(spark, A.index).collect()) == names
+
+
 def test_failure_text(spark, tmp_path):
     failed = spark.createDataFrame([("t1", "k2"), ("t1", "k1"), ("t2", "k3")], "thread_nr STRING, file_key STRING")
     ig.write_failures(ig.integrity_report(failed), str(tmp_path / "f"))

@@ -35,11 +35,20 @@ def _spark(master: str | None) -> SparkSession:
 
 
 def gen_info(spark, a) -> None:
+    """``--scan``: a table of what the last run found; only new and changed files are digested."""
     from threadlake.operators.index import build_index
     from threadlake.sources.index_store import save_index
-    from threadlake.sources.media import list_media, scan_media
+    from threadlake.sources.media import SCAN_DDL, list_media, scan_changes, scan_media
+    from threadlake.sources.versions import VersionedTable
 
-    save_index(build_index(scan_media(spark, a.root, listing=list_media(spark, a.root))), a.index)
+    if not getattr(a, "scan", None):
+        save_index(build_index(scan_media(spark, a.root, listing=list_media(spark, a.root))), a.index)
+        return
+    table = VersionedTable(spark, a.scan, SCAN_DDL)
+    since = table.latest()
+    scan, _ = scan_changes(spark, a.root, table.read(since))
+    now = table.replace(scan, since)
+    save_index(build_index(table.read(now)), a.index)
 
 
 def extract(spark, a) -> None:
@@ -111,13 +120,17 @@ def watch(spark, a) -> None:
 
 
 def quarantine(spark, a) -> None:
-    from threadlake.operators.manifest import apply_quarantine, manifest_line, read_manifest_lines
-
-    m = read_manifest_lines(spark, a.manifest)
-    patched, kept, to_delete = apply_quarantine(m.drop("file"), spark.read.parquet(a.decisions))
-    entry = F.when(F.col("md5_hex").isNotNull(), manifest_line(F.col("md5_hex"), F.col("path")))
-    (patched.orderBy("seq").select(F.coalesce(entry, F.col("value")).alias("value"))
-     .write.mode("overwrite").text(f"{a.out}/manifest"))
+    """``--manifest``: a manifest, a folder or a pattern of them; each comes back on its own. The
+    decisions may name the manifest (``file``: its name or path below ``--manifest``)."""
+    from threadlake.operators.manifest import apply_quarantine, read_manifest_lines, write_manifests
+    from threadlake.sources.paths import root_path
+
+    m, decisions = read_manifest_lines(spark, a.manifest), spark.read.parquet(a.decisions)
+    path = F.regexp_replace(F.url_decode(F.replace(F.col("file"), F.lit("+"), F.lit("%2B"))), r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    root = root_path(spark, a.manifest).rstrip("/") + "/"
+    m = m.withColumn("file", F.when(F.startswith(path, F.lit(root)), F.substring(path, F.lit(len(root) + 1), F.length(path))).otherwise(F.regexp_extract(path, "[^/]*$", 0)))
+    patched, kept, to_delete = apply_quarantine(m, decisions)
+    write_manifests(patched, f"{a.out}/manifest")
     kept.select(F.col("line").alias("value")).write.mode("append").text(f"{a.out}/kept")
     to_delete.write.mode("overwrite").parquet(f"{a.out}/to_delete")
 
@@ -126,7 +139,7 @@ def main(argv=None) -> None:
     p = argparse.ArgumentParser(prog="threadlake")
     p.add_argument("--master", default=None)
     sub = p.add_subparsers(dest="cmd", required=True)
-    s = sub.add_parser("gen-info"); s.add_argument("--root", required=True); s.add_argument("--index", required=True)
+    s = sub.add_parser("gen-info"); s.add_argument("--root", required=True); s.add_argument("--index", required=True); s.add_argument("--scan")
     for cmd, opts in (("extract", ("--pages", "--out")), ("report", ("--tables", "--folders", "--date", "--out")),
                       ("resume", ("--prior", "--new", "--out"))):
         s = sub.add_parser(cmd)

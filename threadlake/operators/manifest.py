@@ -83,7 +83,8 @@ def read_manifest_tree(spark, root: str) -> DataFrame:
 def apply_quarantine(manifest: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Apply keep/drop decisions for files whose digest failed.
 
-    ``manifest(seq, md5_hex, path)``; ``decisions(md5_hex, path, keep, actual_md5_hex)``.
+    ``manifest(seq, md5_hex, path)``; ``decisions(md5_hex, path, keep, actual_md5_hex)``. If both
+    have a column ``file`` (several manifests), a decision holds in its own manifest only.
     Only the first matching row (lowest ``seq``) of each decided ``(md5_hex, path)`` is
     touched: kept -> its digest becomes the actual one; dropped -> removed. Rows with NULL
     ``md5_hex`` (lines that are no entries) match nothing and stay. Returns
@@ -91,8 +92,9 @@ def apply_quarantine(manifest: DataFrame, decisions: DataFrame) -> tuple[DataFra
     ``min`` aggregate and the patch joins on the unique ``seq``, so a line repeated many
     times is never gathered into one task.
     """
-    first = manifest.groupBy("md5_hex", "path").agg(F.min("seq").alias("seq"))
-    hit = first.join(decisions, ["md5_hex", "path"]).select("seq", "keep", "actual_md5_hex")
+    entry = [*(["file"] if "file" in manifest.columns and "file" in decisions.columns else []), "md5_hex", "path"]
+    first = manifest.groupBy(*entry).agg(F.min("seq").alias("seq"))
+    hit = first.join(decisions, entry).select("seq", "keep", "actual_md5_hex")
     patched = (manifest.join(hit, "seq", "left")
                .where(F.coalesce(F.col("keep"), F.lit(True)))
                .withColumn("md5_hex", F.when(F.col("keep"), F.col("actual_md5_hex")).otherwise(F.col("md5_hex")))
@@ -102,6 +104,20 @@ def apply_quarantine(manifest: DataFrame, decisions: DataFrame) -> tuple[DataFra
     return patched, kept, to_delete
 
 
+def write_manifests(manifest: DataFrame, out_dir: str) -> None:
+    """Lines ``(file, seq, value, md5_hex, path)`` back as one manifest for each file: the text below
+    ``manifest=<file>/`` (of a single file: below ``out_dir`` itself), part files in order of name,
+    lines in order of ``seq``. An entry is written from its digest and path, any other line as it
+    was."""
+    entry = F.when(F.col("md5_hex").isNotNull(), manifest_line(F.col("md5_hex"), F.col("path")))
+    lines = (manifest.repartitionByRange("file", "seq").sortWithinPartitions("file", "seq")
+             .select(F.coalesce(entry, F.col("value")).alias("value"), F.col("file").alias("manifest")))
+    if manifest.select("file").distinct().limit(2).count() > 1:
+        lines.write.mode("overwrite").partitionBy("manifest").text(out_dir)
+    else:
+        lines.select("value").write.mode("overwrite").text(out_dir)
+
+
 def quarantine_listing(failed: DataFrame, key: str = "thread_nr", seq: str = "seq") -> DataFrame:
     """Number the failed files of each thread from 0 in ``seq`` order (blockwise
     running count, so a thread with very many failures is not sorted in one task)."""
