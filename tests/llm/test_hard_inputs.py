@@ -170,3 +170,12 @@ def test_word_ids_equal_the_tokenizer():
     sample = [" ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 9))) for _ in range(200)) for _ in range(200)]
     for text, got in zip(sample, words.of([t.encode() for t in sample])):
         assert np.frombuffer(got, "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_word_ids_when_hashes_collide(monkeypatch):
+    words = packing.WordIds(tokenizer_file("word_bpe_49k.json"))
+    sample = ["one two three two", "", " \t", "two onefold " + "x" * 3000 + " " + "y" * 3000, "ONE <|ENDOFTEXT|> é"]
+    want = words.of([t.encode() for t in sample])
+    assert [np.frombuffer(w, "<u4").tolist() for w in want] == [words.tokenizer.encode(t, add_special_tokens=False).ids for t in sample]
+    monkeypatch.setattr(packing, "word_hashes", lambda buf, starts, ends: np.zeros(len(starts), np.uint64))
+    assert words.of([t.encode() for t in sample]) == want and words.of([]) == []

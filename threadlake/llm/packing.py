@@ -38,12 +38,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlake.llm.common import Scratch
+from threadlake.llm.words import same_words, word_hashes, word_spans
 
 SHARD = 512
 CANDIDATES, KEY_TERMS, COMMON = 32, 8, 16
 KNOWN_WORDS = 700_000  # most words that a worker remembers, but for the last stretch's
 KNOWN_ENDS = 50_000  # endings that a worker remembers
 PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{}~"
+LONGEST_END = 8
+IS_PUNCTUATION = np.isin(np.arange(256), list(PUNCTUATION))
+IS_ALNUM = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
 K1, B = 1.2, 0.75  # the usual constants of BM25
 
 
@@ -60,6 +64,19 @@ def stem_of(word: bytes) -> bytes | None:
     return stem if DOTTED_I not in stem and stem.decode().isalpha() else None
 
 
+def without_endings(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words with punctuation after an ASCII letter or digit as two words: the punctuation is a
+    piece of its own there. Endings of up to ``LONGEST_END`` bytes."""
+    cut, own = ends.copy(), np.arange(len(ends))
+    for _ in range(LONGEST_END):
+        own = own[(cut[own] > starts[own] + 1) & IS_PUNCTUATION[buf[cut[own] - 1]]]
+        if not len(own):
+            break
+        cut[own] -= 1
+    cut = cut[(cut < ends) & IS_ALNUM[buf[cut - 1]]] if len(cut) else cut
+    return np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([cut, ends]))
+
+
 class WordIds:
     """Ids of whole texts by way of their words. The tokenizer's normaliser and splitter treat
     white space as a boundary, so the ids of a text are those of its words in turn. Punctuation at
@@ -134,18 +151,35 @@ class WordIds:
     def of(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         # Lower case is what the tokenizer makes of a text; done at once it leaves fewer words.
-        words = []
+        parts = []
         for text in texts:
             low = text.lower()
-            words.append((text if b"<|" in low and any(low.count(m) > text.count(m) for m in self.marks) else low).split())
+            parts.append(text if b"<|" in low and any(low.count(m) > text.count(m) for m in self.marks) else low)
+        raw = b" ".join(parts) + b" "
+        buf, bounds = np.frombuffer(raw, np.uint8), np.cumsum([0, *(len(p) + 1 for p in parts)])
+        # Each different word is looked up once. Words are told apart by their hashes, then compared.
+        starts, ends = without_endings(buf, *word_spans(buf, bounds)[:2])
+        words = np.searchsorted(starts, bounds)
+        _, first, which = np.unique(word_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+        if not same_words(buf, (starts, ends), (starts[first][which], ends[first][which])):
+            place: dict[bytes, int] = {}
+            which = np.array([place.setdefault(raw[s:e], len(place)) for s, e in zip(starts.tolist(), ends.tolist())], np.int64)
+            different = list(place)
+        else:
+            different = [raw[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist())]
         known = self.known
-        new = list(set().union(*words).difference(known))
+        new = [w for w in different if w not in known]
         extra = self.learn(new) if new else {}
+        coded = [extra[w] if w in extra else known[w] for w in different]
         if len(known) < KNOWN_WORDS:  # words met first are the frequent ones
             known |= extra
-            return [b"".join(map(known.__getitem__, own)) for own in words]
-        get, more = known.get, extra.get
-        return [b"".join([get(w) or more(w, b"") for w in own]) for own in words]
+        flat, size = np.frombuffer(b"".join(coded), "<u4"), np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        begin = np.cumsum(size) - size
+        count = size[which]
+        done = np.concatenate([[0], np.cumsum(count)])
+        ids = flat[np.repeat(begin[which] - done[:-1], count) + np.arange(int(done[-1]))]
+        cuts = done[words].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 @lru_cache(2)

@@ -52,3 +52,24 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
         more = left > 8
         own, at, left = own[more], at[more] + 8, left[more] - 8
     return h
+
+
+def same_words(buf: np.ndarray, one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> bool:
+    """Is each word (starts, ends) of ``one`` that of ``two``, byte by byte?"""
+    size = one[1] - one[0]
+    if not np.array_equal(size, two[1] - two[0]):
+        return False
+    own = np.flatnonzero(size > LONG)
+    if any(buf[one[0][i]:one[1][i]].tobytes() != buf[two[0][i]:two[1][i]].tobytes() for i in own.tolist()):
+        return False
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(buf) + 1, "<u8", padded.data, strides=(1,))
+    own = np.flatnonzero((one[0] != two[0]) & (size <= LONG))
+    a, b, left = one[0][own], two[0][own], size[own]
+    while len(left):
+        unused = U(8) * (U(8) - np.minimum(left, 8).astype(U))
+        if ((eight[a] ^ eight[b]) << unused).any():
+            return False
+        more = left > 8
+        a, b, left = a[more] + 8, b[more] + 8, left[more] - 8
+    return True
