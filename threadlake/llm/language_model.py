@@ -47,7 +47,6 @@ HOT = 1 << 18
 SLOTS = 1 << 21  # 64-bit words of a bitmap
 BLOCK = 1 << 22  # bytes of text, or of hashed text, that are worked on together
 TOGETHER = 1 << 21  # n-grams that are counted together
-SHIFT = 32  # to a key's second place in a bitmap
 NUMBERS = 1 << 20  # over HOT
 END = U(0x27BB2EE687B0B0FD)
 LOWER = np.arange(256, dtype=np.uint8)
@@ -82,23 +81,17 @@ def _hashed(batches):
 
 
 class Bitmap:
-    """Which keys may be among some keys: those whose two places (the last 27 bits of each half) are
-    set."""
+    """Which keys may be among some keys: those whose last 27 bits are."""
 
-    def __init__(self, keys: DataFrame):
-        places = F.explode(F.array(F.col("key"), F.shiftrightunsigned("key", SHIFT))).alias("at")
-        slot, bit = F.expr(f"shiftright(at & {64 * SLOTS - 1}, 6)").alias("slot"), F.expr("shiftleft(1L, cast(at & 63 as int))")
-        found = keys.select(places).groupBy(slot).agg(F.bit_or(bit).alias("bits")).toArrow()
+    def __init__(self, keys: DataFrame, scratch: Scratch):
+        slot, bit = F.expr(f"shiftright(key & {64 * SLOTS - 1}, 6)").alias("slot"), F.expr("shiftleft(1L, cast(key & 63 as int))")
+        found = keys.groupBy(slot).agg(F.bit_or(bit).alias("bits")).toArrow()
         self.bits = np.zeros(SLOTS, U)
         self.bits[found.column("slot").to_numpy()] = found.column("bits").to_numpy().view(U)
+        scratch.release()
 
     def may_have(self, keys: np.ndarray) -> np.ndarray:
-        out = self._set(keys)
-        out[out] = self._set(keys[out] >> U(SHIFT))
-        return out
-
-    def _set(self, at: np.ndarray) -> np.ndarray:
-        return (self.bits[((at & U(64 * SLOTS - 1)) >> U(6)).astype(np.int64)] >> (at & U(63))) & U(1) == 1
+        return (self.bits[((keys & U(64 * SLOTS - 1)) >> U(6)).astype(np.int64)] >> (keys & U(63))) & U(1) == 1
 
 
 def _grams(batch: pa.RecordBatch, length: int):
@@ -127,7 +120,7 @@ def _word_counts(batches):
             yield pa.record_batch([_signed(key), pa.array(n)], ["key", "n"])
 
 
-def _pairs(length: int, candidates: Bitmap, ends: Bitmap, hot: np.ndarray):
+def _pairs(length: int, candidates: Bitmap, ends: Bitmap | None, hot: np.ndarray):
     """Counts of contexts of ``length`` words with the n-grams of the same length that end one word
     later. Some millions of n-grams are counted together. A pair of ``hot`` ones goes by their
     two numbers in one column, which are far fewer bytes to shuffle than two hashes."""
@@ -148,7 +141,8 @@ def _pairs(length: int, candidates: Bitmap, ends: Bitmap, hot: np.ndarray):
         for batch in batches:
             for _, _, keys, doc in _grams(batch, length):
                 if len(keys):
-                    inside = np.flatnonzero((doc[1:] == doc[:-1]) & candidates.may_have(keys[:-1]) & ends.may_have(keys[1:]))
+                    inside = (doc[1:] == doc[:-1]) & candidates.may_have(keys[:-1])
+                    inside = np.flatnonzero(inside & ends.may_have(keys[1:]) if ends else inside)
                     found.append((keys[inside], keys[inside + 1]))
                     size += len(inside)
                 if size > TOGETHER:
@@ -215,10 +209,10 @@ class Tree:
         below = words.select("key", (F.log10(F.col("n") + 0.5) - self.scale).alias("lp"))
         contexts, levels = words.where(F.col("n") >= LEAST), [one]
         for length in range(1, depth + 1):
-            # An n-gram seen twice ends in one that was, with a retained context.
-            ends = Bitmap(words.where("n > 1") if length == 1 else below)
+            # An n-gram of the tree ends in one of the tree. (Of words, nearly all are.)
+            ends = Bitmap(below, scratch) if length > 1 else None
             hot = np.sort(most_frequent(words, HOT).column("key").to_numpy().view(U)) if length == 1 else np.zeros(0, U)
-            pairs = train.mapInArrow(_pairs(length, Bitmap(contexts), ends, hot), "context bigint, low bigint, n bigint")
+            pairs = train.mapInArrow(_pairs(length, Bitmap(contexts, scratch), ends, hot), "context bigint, low bigint, n bigint")
             pairs = pairs.groupBy("context", "low").agg(F.sum("n").alias("n")).where("n > 1")
             if len(hot):
                 pairs = pairs.mapInArrow(_spelt(hot), "context bigint, low bigint, n bigint")
@@ -281,7 +275,7 @@ def scored(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_co
         top = most_frequent(level, HOT)
         key, place = np.unique(top.column("key").to_numpy().view(U), return_inverse=True)
         hot = {"key": key} | {c: np.bincount(place, top.column(c).to_numpy().astype(float), len(key)) for c in ("known", "base", "v")}
-        members = Bitmap(level) if length > 1 else None
+        members = Bitmap(level, scratch) if length > 1 else None
         found = tokens.select("row", "tokens").mapInArrow(_positions(length, hot, members), "key bigint, row bigint, known double, base double, v double")
         values = level.select("key", *(F.col(c).alias(f"of_{c}") for c in ("known", "base", "v")))
         found = found.join(values.hint("shuffle_hash"), "key", "left")
