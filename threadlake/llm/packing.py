@@ -148,8 +148,8 @@ class WordIds:
         out |= {w: out[stem] + tail[e] for w, stem, e in ended}
         return out
 
-    def of(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
+    def coded(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and the bounds of each text's."""
         # Lower case is what the tokenizer makes of a text; done at once it leaves fewer words.
         parts = []
         for text in texts:
@@ -177,9 +177,12 @@ class WordIds:
         begin = np.cumsum(size) - size
         count = size[which]
         done = np.concatenate([[0], np.cumsum(count)])
-        ids = flat[np.repeat(begin[which] - done[:-1], count) + np.arange(int(done[-1]))]
-        cuts = done[words].tolist()
-        return [ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+        return flat[np.repeat(begin[which] - done[:-1], count) + np.arange(int(done[-1]))], done[words]
+
+    def of(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text."""
+        ids, cuts = self.coded(texts)
+        return [ids[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
 
 @lru_cache(2)
@@ -208,10 +211,26 @@ TOKENS = "doc bigint, doc_tokens bigint, crcs array<bigint>, rest binary, terms
 DF = pa.list_(pa.struct([("term", pa.int64()), ("n", pa.int64())]))
 
 
+def binaries(ids: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Stretches of 32-bit numbers as a binary column."""
+    data = pa.py_buffer(np.ascontiguousarray(ids, "<u4"))
+    return pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer((4 * cuts).astype(np.int64)), data]).cast(pa.binary())
+
+
+def terms_by_row(ids: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different ids of each row (between cuts) in order, how often each occurs, and the cuts."""
+    n = len(cuts) - 1
+    size = 1 + int(ids.max(initial=0))
+    key = np.repeat(np.arange(n), np.diff(cuts)) * size + ids
+    key.sort()
+    head = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+    row, term = np.divmod(key[head], size)
+    return term, np.diff(np.append(head, len(key))), np.searchsorted(row, np.arange(n + 1))
+
+
 def _tokens(path: str, end_id: int, window: int):
     """Rows of documents with their terms and counts, then one row with the task's document
     frequencies."""
-    size, end = 4 * window, np.array([end_id], "<u4").tobytes()
     names = ["doc", "doc_tokens", "crcs", "rest", "terms", "counts", "df"]
 
     def emit(batches):
@@ -219,21 +238,23 @@ def _tokens(path: str, end_id: int, window: int):
         seen = np.zeros(0, np.int64)
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            ids = batch.column("doc")
+            docs = batch.column("doc")
             for at, to in stretches(np.array([len(t or b"") for t in texts])):
-                crcs, rest, count, whole_terms = [], [], [], []
-                for row in tokens.of([t or b"" for t in texts[at:to]]):
-                    row += end
-                    whole = len(row) // size * size
-                    crcs.append([zlib.crc32(row[i:i + size]) for i in range(0, whole, size)])
-                    rest.append(row[whole:])
-                    count.append(len(row) // 4)
-                    terms, counts = terms_of(np.frombuffer(row, "<u4"))
-                    if int(terms[-1]) >= len(seen):
-                        seen = np.append(seen, np.zeros(int(terms[-1]) + 1 - len(seen), np.int64))
-                    seen[terms] += 1
-                    whole_terms.append((terms.tobytes(), counts.tobytes()))
-                columns = [ids.slice(at, to - at), pa.array(count, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(rest, pa.binary()), *(pa.array(x, pa.binary()) for x in zip(*whole_terms))]
+                ids, cuts = tokens.coded([t or b"" for t in texts[at:to]])
+                ids = np.insert(ids, cuts[1:], end_id)
+                cuts = cuts + np.arange(len(cuts))
+                count = np.diff(cuts)
+                whole = count // window * window
+                crcs: list[list[int]] = [[] for _ in range(to - at)]
+                for i in np.flatnonzero(whole).tolist():
+                    crcs[i] = [zlib.crc32(ids[p:p + window].tobytes()) for p in range(int(cuts[i]), int(cuts[i] + whole[i]), window)]
+                left = ids[np.arange(len(ids)) >= np.repeat(cuts[:-1] + whole, count)]
+                terms, often, bounds = terms_by_row(ids, cuts)
+                found = np.bincount(terms, minlength=len(seen))
+                found[:len(seen)] += seen
+                seen = found
+                columns = [docs.slice(at, to - at), pa.array(count, pa.int64()), pa.array(crcs, pa.list_(pa.int64())),
+                           binaries(left, np.concatenate([[0], np.cumsum(count - whole)])), binaries(terms, bounds), binaries(often, bounds)]
                 yield pa.record_batch([*columns, pa.nulls(to - at, DF)], names)
         own = [{"term": t, "n": int(seen[t])} for t in np.flatnonzero(seen).tolist()]
         types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
@@ -400,13 +421,13 @@ def packs(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
     scratch = Scratch(docs.sparkSession, "packing")
     plain = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("binary").alias("text"))
     rows = plain.mapInArrow(_tokens(tokenizer, end_id, window), f"{TOKENS}, df array<struct<term: bigint, n: bigint>>")
-    rows = scratch.write(rows.withColumn("row", F.monotonically_increasing_id()), "tokens")
+    rows = scratch.write(rows.withColumn("row", F.monotonically_increasing_id()), "tokens", compression="snappy")
     found = rows.where("df is not null").select(F.explode("df").alias("x")).groupBy("x.term").agg(F.sum("x.n").alias("n")).collect()
     df = np.zeros(1 + max([r["term"] for r in found], default=0), np.int64)
     df[[r["term"] for r in found]] = [r["n"] for r in found]
     rows = rows.where("df is null").drop("df")
     n = rows.count()
-    keyed = scratch.write(rows.mapInArrow(_keys(*key_order(df, n, shard)), f"{TOKENS}, row bigint, key binary"), "keyed")
+    keyed = scratch.write(rows.mapInArrow(_keys(*key_order(df, n, shard)), f"{TOKENS}, row bigint, key binary"), "keyed", compression="snappy")
     scratch.drop("tokens")
     # Some shards a partition: ranges are even but for what the sampling misses.
     parts = min(10_000, max(1, math.ceil(n / shard / 8)))
