@@ -101,8 +101,8 @@ def write_failures(lines: DataFrame, out_dir: str) -> None:
     line), so the part files of a thread, read in name order, hold its lines in order; a thread
     with very many failures has several."""
     key = lines.columns[0]
-    (lines.repartitionByRange(key, "line_key").sortWithinPartitions(key, "line_key")
-     .select(F.col("line").alias("value"), F.col(key).cast("string").alias("thread"))
+    rows = lines.select(F.col("line").alias("value"), F.col(key).cast("string").alias("thread"), "line_key")
+    (rows.repartitionByRange("thread", "line_key").sortWithinPartitions("thread", "line_key").select("value", "thread")
      .write.mode("overwrite").partitionBy("thread").text(out_dir))
 
 

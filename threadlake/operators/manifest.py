@@ -110,8 +110,8 @@ def write_manifests(manifest: DataFrame, out_dir: str) -> None:
     lines in order of ``seq``. An entry is written from its digest and path, any other line as it
     was."""
     entry = F.when(F.col("md5_hex").isNotNull(), manifest_line(F.col("md5_hex"), F.col("path")))
-    lines = (manifest.repartitionByRange("file", "seq").sortWithinPartitions("file", "seq")
-             .select(F.coalesce(entry, F.col("value")).alias("value"), F.col("file").alias("manifest")))
+    lines = manifest.select(F.coalesce(entry, F.col("value")).alias("value"), F.col("file").alias("manifest"), "seq")
+    lines = lines.repartitionByRange("manifest", "seq").sortWithinPartitions("manifest", "seq").select("value", "manifest")
     if manifest.select("file").distinct().limit(2).count() > 1:
         lines.write.mode("overwrite").partitionBy("manifest").text(out_dir)
     else:

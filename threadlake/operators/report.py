@@ -56,11 +56,12 @@ def write_reports(lines: DataFrame, out_dir: str, run_date: str, n_ranges: int |
     Rows are range-partitioned on (folder, thread, key) and sorted within partitions, so
     the part files of a folder, read in name order, hold the report lines in order.
     """
-    df = lines.withColumn("run_date", F.lit(run_date))
+    # The sort begins with the writer's own partition columns, under their names: then the writer adds
+    # no sort of its own, which would not keep the order of keys.
+    df = lines.select(F.col("line").alias("value"), F.col("folder_name").alias("folder"), F.lit(run_date).alias("run_date"), "thread_nr", "key")
     if n_ranges:
-        df = df.repartitionByRange(n_ranges, "folder_name", "thread_nr", "key")
+        df = df.repartitionByRange(n_ranges, "folder", "thread_nr", "key")
     else:
-        df = df.repartitionByRange("folder_name", "thread_nr", "key")
-    (df.sortWithinPartitions("folder_name", "thread_nr", "key")
-     .select(F.col("line").alias("value"), F.col("folder_name").alias("folder"), "run_date")
+        df = df.repartitionByRange("folder", "thread_nr", "key")
+    (df.sortWithinPartitions("folder", "run_date", "thread_nr", "key").select("value", "folder", "run_date")
      .write.mode("append").partitionBy("folder", "run_date").text(out_dir))
