@@ -5,13 +5,15 @@ import re
 
 import numpy as np
 import pytest
-from samples import SF
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from samples import SF, multiset
 from test_copies import fingerprint, groups
 
 import __spark_entry__ as E
 import corpus_pipeline
 from threadlake.llm import ann, quality, queries
+from threadlake.llm.common import Scratch
 
 VECTORS = "vec_id bigint, embedding array<float>, label int, cell int, query int"
 
@@ -36,6 +38,33 @@ def test_search_edge_rows(spark):
     assert ann.search(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def few_vectors(spark):
+    rng = np.random.default_rng(3)
+    return spark.createDataFrame([(i, [float(x) for x in rng.normal(size=6)]) for i in range(400)], "vec_id bigint, embedding array<float>")
+
+
+def test_chunks_of_queries_do_not_follow_the_partitions(spark, monkeypatch):
+    for name in ("repartition", "repartitionByRange"):
+        plain = getattr(DataFrame, name)
+        monkeypatch.setattr(DataFrame, name, lambda df, n, *cols, plain=plain: plain(df, max(n, 30), *cols))
+    written, plain_write = {}, Scratch.write
+
+    def write(self, df, name, **options):
+        written[name] = plain_write(self, df, name, **options)
+        return written[name]
+    monkeypatch.setattr(Scratch, "write", write)
+    assert ann.search(few_vectors(spark), F.col("vec_id") % 2 == 0, k=3).count() == 600
+    assert written["meet"].count() == 1  # 400 entries are one part, 200 queries one chunk
+
+
+def test_search_of_many_parts_and_chunks(spark, monkeypatch):
+    df = few_vectors(spark)
+    found = lambda: multiset(ann.search(df, F.col("vec_id") % 2 == 0, k=3).collect())
+    whole = found()
+    monkeypatch.setattr(ann, "BLOCK", 4)
+    assert found() == whole
+
+
 def test_recall(spark):
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()
     ids, v = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)

@@ -14,8 +14,9 @@ entries are ranked by the exact inner product in double precision.
   other id of the group can be among a query's k nearest. So a vector that a third of all rows
   share is one entry, and one search answers all queries that share a vector.
 * Cells are dealt into parts of about ``BLOCK`` entries; a cell with more is split into blocks
-  over several parts. Queries are ordered by their nearest cell and cut into chunks of about
-  ``BLOCK``, so those of a chunk visit much the same cells. They go, with the cells they visit, to the
+  over several parts. Queries are dealt by their nearest cell into chunks of about ``BLOCK`` in the
+  same way, so those of a chunk visit much the same cells, and there are as many chunks as the
+  queries fill, however many partitions Spark makes. They go, with the cells they visit, to the
   parts; a part goes to the chunks that visit one of its cells, and to no other. A task ranks one
   part for one chunk. No entry is left out.
 * Only the codebooks and the cell counts (``MOST_CENTROIDS`` squared at most) reach the driver.
@@ -42,6 +43,7 @@ SAMPLE = 20_000
 MOST_CENTROIDS = 64
 ENTRIES_PER_CELL = 2.5  # at least, on average
 BLOCK = 4096  # entries of a part, queries of a chunk
+WALKS = 256  # queries whose cells one task finds
 SHARE = 0.45
 LEAST = 1000  # entries that a query visits at least
 
@@ -110,7 +112,8 @@ def _assign(books):
 
 def deal(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """By cell its first part and its number of parts, and the number of all: neighbouring cells
-    share a part of about ``BLOCK`` entries, a larger cell has parts of its own."""
+    share a part of about ``BLOCK`` entries, a larger cell has parts of its own. Queries are dealt
+    into chunks alike."""
     first, blocks = np.zeros(len(counts), np.int64), np.maximum(1, -(-counts // BLOCK))
     part, held = 0, 0
     for cell in np.flatnonzero(counts).tolist():
@@ -134,13 +137,22 @@ def _nearest_cell(books):
     return find
 
 
-def _visit(books, counts, wanted):
+def _counts(rows: DataFrame, cell: str, cells: int) -> np.ndarray:
+    counts = np.zeros(cells, np.int64)
+    for r in rows.groupBy(cell).count().collect():
+        counts[r[cell]] = r["count"]
+    return counts
+
+
+def _visit(books, counts, asked, wanted):
     first, blocks, _ = deal(counts)
+    lead, shares, _ = deal(asked)
 
     def visit(frames):
         for pdf in frames:
-            rows = []
-            for key, vector, chunk in zip(pdf["key"].tolist(), pdf["vector"].tolist(), pdf["chunk"].tolist()):
+            rows, own = [], pdf["first"].to_numpy()
+            chunks = lead[own] + pdf["key"].to_numpy() % shares[own]
+            for key, vector, chunk in zip(pdf["key"].tolist(), pdf["vector"].tolist(), chunks.tolist()):
                 cells = np.array(visited(np.array(vector, np.float64), books, counts, wanted), np.int64)
                 cell = np.repeat(cells, blocks[cells])
                 block = np.arange(len(cell)) - np.repeat(np.cumsum(blocks[cells]) - blocks[cells], blocks[cells])
@@ -196,16 +208,14 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vect
     centroids = min(MOST_CENTROIDS, max(1, round(math.sqrt(n / ENTRIES_PER_CELL))), len(sample))
     books = (fit(sample[:, :half], centroids), fit(sample[:, half:], centroids))
     entries = scratch.write(entries.mapInPandas(_assign(books), "vector array<double>, ids array<bigint>, key bigint, cell bigint"), "assigned")
-    counts = np.zeros(centroids**2, np.int64)
-    for r in entries.groupBy("cell").count().collect():
-        counts[r["cell"]] = r["count"]
+    counts = _counts(entries, "cell", centroids**2)
     askers = scratch.write(rows.where("asks").join(entries.select("vector", "key"), "vector").select("id", "key"), "askers")
     asked = scratch.write(entries.join(askers.select("key").distinct(), "key", "left_semi").select("key", "vector"), "asked")
-    chunks = max(1, math.ceil(asked.count() / BLOCK))
-    asked = asked.mapInPandas(_nearest_cell(books), "key bigint, vector array<double>, first bigint").repartitionByRange(chunks, "first", "key")
-    asked = scratch.write(asked.select("key", "vector", F.spark_partition_id().cast("bigint").alias("chunk")), "chunks")
+    tasks = max(1, math.ceil(asked.count() / WALKS))
+    asked = scratch.write(asked.mapInPandas(_nearest_cell(books), "key bigint, vector array<double>, first bigint"), "near")
     wanted = max(LEAST, math.ceil(share * n))
-    visits = asked.mapInPandas(_visit(books, counts, wanted), "query bigint, asked array<double>, part bigint, chunk bigint, cells array<bigint>")
+    walk = _visit(books, counts, _counts(asked, "first", len(counts)), wanted)
+    visits = asked.repartition(tasks, "key").mapInPandas(walk, "query bigint, asked array<double>, part bigint, chunk bigint, cells array<bigint>")
     visits = scratch.write(visits, "visits")
     meet = scratch.write(visits.select("part", "chunk").distinct(), "meet")
     first, blocks, _ = deal(counts)
