@@ -81,6 +81,25 @@ def test_write_reports_sink(spark, tmp_path):
     assert written == "".join(r.line + "\n" for r in lines.orderBy("key").collect())
 
 
+def test_reports_are_dealt_by_their_number(spark, monkeypatch):
+    from threadlake.plans import q_threads
+
+    used, write = [], rp.write_reports
+
+    def wrapped(lines, out_dir, run_date, n_ranges=None):
+        used.append(n_ranges)
+        write(lines, out_dir, run_date, n_ranges)
+    monkeypatch.setattr(rp, "write_reports", wrapped)
+    monkeypatch.setattr(rp, "REPORTS_PER_RANGE", 10)
+    listing = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(listing)
+    got = q_threads.q_report_text(spark, SF_SMALL)
+    assert used == [-(-q_threads.threads_table(spark, SF_SMALL).count() // 10)] and used[0] > 1
+    assert spark.conf.get(listing) == before
+    want = q_threads.q_thread_report(spark, SF_SMALL).selectExpr("folder_name AS folder", "explode(split(line, '\\n')) AS line")
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
 def test_index_snapshots_round_trip(spark, tmp_path):
     from threadlake.operators import index as ix
     from threadlake.sources import index_store as st

@@ -9,7 +9,7 @@ one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlake.functions import no_message
@@ -21,6 +21,12 @@ HEADER = 'Thread No. %s: "%s", UTC_%s\n\tSaved to: %s\nOP: "%s"\n'
 FILE_BLOCK = 'File: "%s.%s", %s, %s, MD5_b64: "%s", Original filename: "%s"\nMessages and Backlinks (indented):'
 BLOCK_END = "\n"
 
+# Reports that one task writes: a report is a folder and a file of its own, which take far longer
+# to make than its few lines take to write.
+REPORTS_PER_RANGE = 100
+# Tasks that list the folders.
+LISTING_TASKS = 256
+
 
 def thread_report(threads: DataFrame, fetched: DataFrame, posts: DataFrame, links: DataFrame,
                   files: DataFrame, max_level: int = 3) -> DataFrame:
@@ -50,6 +56,12 @@ def thread_report(threads: DataFrame, fetched: DataFrame, posts: DataFrame, link
     return header.unionByName(block).unionByName(tl)
 
 
+def ranges_for(threads: DataFrame) -> int:
+    """Number of ranges for the reports of ``threads``. Left to Spark it would follow the bytes of
+    the lines: about one range a core and of unequal numbers of folders."""
+    return max(1, -(-threads.count() // REPORTS_PER_RANGE))
+
+
 def write_reports(lines: DataFrame, out_dir: str, run_date: str, n_ranges: int | None = None) -> None:
     """Append each thread's report under ``folder=<name>/run_date=<date>/``.
 
@@ -65,3 +77,15 @@ def write_reports(lines: DataFrame, out_dir: str, run_date: str, n_ranges: int |
         df = df.repartitionByRange("folder", "thread_nr", "key")
     (df.sortWithinPartitions("folder", "run_date", "thread_nr", "key").select("value", "folder", "run_date")
      .write.mode("append").partitionBy("folder", "run_date").text(out_dir))
+
+
+def read_reports(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The lines of all reports below ``out_dir`` with their folder and date. Spark lists up to
+    10,000 folders by a task each; here a task lists many."""
+    conf = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, str(min(int(before), LISTING_TASKS)))
+    try:
+        return spark.read.schema("value STRING, folder STRING, run_date STRING").text(out_dir)
+    finally:
+        spark.conf.set(conf, before)

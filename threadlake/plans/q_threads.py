@@ -145,9 +145,8 @@ def q_report_text(spark, sf):
     from threadlake.sources.materialize import table_path
 
     path = table_path(spark, f"reports-{uuid.uuid4().hex}", sf)
-    rp.write_reports(q_thread_report(spark, sf), path, "2024-01-01")
-    back = spark.read.schema("value STRING, folder STRING, run_date STRING").text(path)
-    return back.select("folder", F.col("value").alias("line"))
+    rp.write_reports(q_thread_report(spark, sf), path, "2024-01-01", rp.ranges_for(threads_table(spark, sf)))
+    return rp.read_reports(spark, path).select("folder", F.col("value").alias("line"))
 
 
 @register("file_rejects")
