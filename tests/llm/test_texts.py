@@ -64,8 +64,8 @@ def test_assigned_secret_and_endpoint_on_either_side(spark):
 
 def test_quality(spark, docs, empty):
     con = duckdb.connect()
-    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
-    con.executemany("INSERT INTO documents VALUES (?, ?)", [r[:2] for r in texts() if r[0] not in (None, 2)])
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", [r[:3] for r in texts() if r[0] not in (None, 2)])
     res = con.execute(queries.ORACLE["op6_quality_rules"])
     want = res.fetchall()
     got = quality.rated(docs.where("doc_id <> 2")).select("doc_id", *quality.BASE_COLUMNS, "kept")
