@@ -5,9 +5,8 @@ import re
 
 import numpy as np
 import pytest
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from samples import SF, multiset
+from pyspark.sql import functions as F
 from test_copies import fingerprint, groups
 
 import __spark_entry__ as E
@@ -44,9 +43,10 @@ def few_vectors(spark):
 
 
 def test_chunks_of_queries_do_not_follow_the_partitions(spark, monkeypatch):
+    kind = type(spark.range(1))
     for name in ("repartition", "repartitionByRange"):
-        plain = getattr(DataFrame, name)
-        monkeypatch.setattr(DataFrame, name, lambda df, n, *cols, plain=plain: plain(df, max(n, 30), *cols))
+        plain = getattr(kind, name)
+        monkeypatch.setattr(kind, name, lambda df, n, *cols, plain=plain: plain(df, max(n, 30), *cols))
     written, plain_write = {}, Scratch.write
 
     def write(self, df, name, **options):
