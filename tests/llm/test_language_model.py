@@ -105,6 +105,21 @@ def test_distributions_sum_to_one():
         assert sum(prob(w, context) for w in [*count, b"unknown"]) == pytest.approx(1)
 
 
+def test_positions_of_longer_ngrams_carry_one_number(spark, docs, monkeypatch):
+    """Only words have something to add to n_known and the base score, and a level's tables go
+    once it is scored."""
+    schemas, dropped = [], []
+    monkeypatch.setattr(lm, "LEAST", 4)
+    write, drop = lm.Scratch.write, lm.Scratch.drop
+    monkeypatch.setattr(lm.Scratch, "write", lambda self, df, name, **o: (schemas.append((name, df.columns)), write(self, df, name, **o))[1])
+    monkeypatch.setattr(lm.Scratch, "drop", lambda self, *names: (dropped.extend(names), drop(self, *names))[1])
+    assert lm.scored(docs, F.lit(False)).count() == len(texts())
+    columns = dict(schemas)
+    assert columns["sums1"] == ["row", "known", "base", "v"]
+    assert columns["sums2"] == columns["sums3"] == ["row", "v"]
+    assert set(columns) - set(dropped) == {"tokens", "sums1", "sums2", "sums3"}
+
+
 def test_nothing_to_learn(spark, docs, empty):
     got = lm.scored(docs, F.lit(True)).collect()
     assert len(got) == len(texts()) and all(r["n_known"] == r["train_tokens"] == 0 and r["score"] == pytest.approx(0) for r in got)
