@@ -51,7 +51,7 @@ DEPTH, LEAST, DISCOUNT, MARGIN = 2, 16, 0.5, 0.005  # MARGIN: in log10
 HOT = 1 << 18
 SLOTS = 1 << 21  # 64-bit words of a bitmap
 BLOCK = 1 << 22  # bytes of text, or of hashed text, that are worked on together
-TOGETHER = 1 << 21  # n-grams that are counted together
+TOGETHER = 3 << 19  # n-grams that are counted together
 NUMBERS = 1 << 20  # words, and contexts of two words, that go by number
 PART = 1 << 21  # training tokens whose pairs one part of a shuffle has, about
 END = U(0x27BB2EE687B0B0FD)
@@ -207,10 +207,12 @@ def _pairs(length: int, parts: int, candidates: Bitmap, ends: Bitmap | None, con
     ``contexts`` with one of the frequent ``words`` goes by their two numbers (kind 0), which are
     far fewer bytes to shuffle than two hashes (kind 1)."""
     def counted(found: list[tuple[np.ndarray, ...]]):
-        context, low, word = map(np.concatenate, zip(*found))
+        columns = [np.concatenate(x) for x in zip(*found)]
         found.clear()  # its memory is for the sort
-        first, n = np.unique(joined_key(context, low), return_index=True, return_counts=True)[1:]
-        context, low, word = context[first], low[first], word[first]
+        first, n = np.unique(joined_key(*columns[:2]), return_index=True, return_counts=True)[1:]
+        for i in range(len(columns)):
+            columns[i] = columns[i][first]
+        context, low, word = columns[0], columns[1], columns[-1]
         (one, a), (two, b) = _places(contexts, context), _places(words, word)
         short = a & b
         pair, its = (one * NUMBERS + two)[short].astype(U), n[short]
@@ -231,7 +233,8 @@ def _pairs(length: int, parts: int, candidates: Bitmap, ends: Bitmap | None, con
                 if len(keys):
                     inside = (doc[1:] == doc[:-1]) & candidates.may_have(keys[:-1])
                     inside = np.flatnonzero(inside & ends.may_have(keys[1:]) if ends else inside)
-                    found.append((keys[inside], keys[inside + 1], word[inside + 1]))
+                    # Of words, the second n-gram is the word.
+                    found.append((keys[inside], keys[inside + 1], *([word[inside + 1]] if length > 1 else [])))
                     size += len(inside)
                 if size > TOGETHER:
                     yield from counted(found)
